@@ -21,7 +21,7 @@ REACH = 3.0
 ACCURACY = 0.01
 GAMMA = (1 + ACCURACY) / (1 - ACCURACY)
 #: Least distance of a fence from its quartile, and which sides are tested.
-SLACK = {"word_length": 2.0, "symbol_share": 0.1, "dup_line_share": 0.3, "repeat_share": 0.2}
+SLACK = {"word_length": 2.0, "symbol_share": 0.1, "dup_line_share": 0.5, "repeat_share": 0.3}
 LOWER = ("word_length",)
 LEAST = 1e-4
 

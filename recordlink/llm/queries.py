@@ -8,6 +8,8 @@ import importlib
 MODULES = {
     "op1_mixing": "mixing",
     "op2_quality": "quality",
+    "op3_secrets": "secrets",
+    "op4_bpe": "bpe",
     "op9_urls": "urls",
 }
 
