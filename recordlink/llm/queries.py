@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import importlib
 
+from recordlink.functions.workers import ship
+
 #: query name -> module with query() and, where SQL can express it, SQL
 MODULES = {
     "op1_mixing": "mixing",
     "op2_quality": "quality",
     "op3_secrets": "secrets",
     "op4_bpe": "bpe",
+    "op8_jaccard": "jaccard",
     "op9_urls": "urls",
 }
 
@@ -18,8 +21,16 @@ def _module(name: str):
     return importlib.import_module(f"recordlink.llm.{name}")
 
 
+def _shipped(run):
+    def query(spark, sf_dir: str):
+        ship(spark)
+        return run(spark, sf_dir)
+
+    return query
+
+
 def queries() -> dict:
-    return {k: _module(m).query for k, m in MODULES.items()}
+    return {k: _shipped(_module(m).query) for k, m in MODULES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
