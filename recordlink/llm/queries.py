@@ -12,6 +12,7 @@ MODULES = {
     "op2_quality": "quality",
     "op3_secrets": "secrets",
     "op4_bpe": "bpe",
+    "op7_vectors": "vectors",
     "op8_jaccard": "jaccard",
     "op9_urls": "urls",
 }
