@@ -43,34 +43,63 @@ def mixed(h: np.ndarray, salt: int) -> np.ndarray:
         return h ^ (h >> np.uint64(31))
 
 
-class _Words(dict):
-    """Hashes of words, bounded."""
+_SEG = 1 << 20  # bytes of a text that are hashed at once
+_rng = np.random.Generator(np.random.PCG64(20_26))
+_BYTE = _rng.integers(1, 2**64, 256, np.uint64)
+_BYTE[ord("A") : ord("Z") + 1] = _BYTE[ord("a") : ord("z") + 1]
+_GAP = np.zeros(256, bool)
+_GAP[[9, 10, 11, 12, 13, 32]] = True
+_BASE = 0xD1342543DE82EF95
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 300_000:
-            self.clear()
-        self[word] = h = xxhash.xxh64_intdigest(word)
-        return h
+
+def _powers(base: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return np.cumprod(np.r_[np.uint64(1), np.full(_SEG, base, np.uint64)], dtype=np.uint64)
 
 
-_words = _Words()
+_UP, _DOWN = _powers(_BASE), _powers(pow(_BASE, -1, 2**64))
+
+
+def word_hashes(raw: bytes) -> np.ndarray:
+    """A 64-bit hash of each word: a polynomial in the bytes, A-Z as a-z, from prefix sums modulo 2**64; words of over half a segment by xxhash."""
+    b = np.frombuffer(raw, np.uint8)
+    word = np.concatenate(([False], ~_GAP[b], [False]))
+    edges = np.flatnonzero(word[1:] != word[:-1])
+    starts, ends = edges[::2], edges[1::2]
+    out = np.empty(len(starts), np.uint64)
+    lo = 0
+    with np.errstate(over="ignore"):
+        while lo < len(starts):
+            base = starts[lo]
+            hi = max(lo + 1, int(ends.searchsorted(base + _SEG, "right")))
+            if ends[lo] - base > _SEG // 2:
+                out[lo] = xxhash.xxh64_intdigest(raw[base : ends[lo]].lower())
+                lo += 1
+                continue
+            sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_BYTE[b[base : ends[hi - 1]]] * _UP[: ends[hi - 1] - base], dtype=np.uint64)))
+            s, e = starts[lo:hi] - base, ends[lo:hi] - base
+            out[lo:hi] = mixed((sums[e] - sums[s]) * _DOWN[s] + (e - s).astype(np.uint64), 3)
+            for i in np.flatnonzero(e - s > _SEG // 2) + lo:
+                out[i] = xxhash.xxh64_intdigest(raw[starts[i] : ends[i]].lower())
+            lo = hi
+    return out
 
 
 def shingles(text: str | None) -> np.ndarray:
-    """Sorted distinct shingle hashes. ``bytes.split`` splits at exactly 0x20 and 0x09-0x0D, and ``bytes.lower`` changes A-Z only."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return np.empty(0, np.uint64)
-    w = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
+    """Sorted distinct shingle hashes of the words between 0x20 and 0x09-0x0D; no words, no shingles."""
+    w = word_hashes((text or "").encode("utf-8", "surrogatepass"))
     with np.errstate(over="ignore"):
+        if not len(w):
+            return w
         if len(w) < SHINGLE:
             one = sum((w[i : i + 1] * _MUL[i] for i in range(len(w))), np.zeros(1, np.uint64))
-            return mixed(one, 2 + len(w))
+            return mixed(one, 20 + len(w))
         n = len(w) - SHINGLE + 1
         total = w[:n] * _MUL[0]
         for i in range(1, SHINGLE):
             total += w[i : i + n] * _MUL[i]
-    return np.unique(mixed(total, 1))
+    h = np.sort(mixed(total, 1))
+    return h[np.concatenate(([True], h[1:] != h[:-1]))]
 
 
 def prefix_length(n: int) -> int:
@@ -107,7 +136,16 @@ _SCAN = "doc_id long, c long, n long, " + ", ".join(f"{b} long" for b in BITS) +
 
 def _scan(batches):
     """Document rows (doc_id, class, size, parities) and, at the end of the task, its block counts."""
-    counts, seen = np.zeros(1 << SKETCH_BITS, np.int32), set()
+    counts, seen, some, held = np.zeros(1 << SKETCH_BITS, np.int32), set(), [], 0
+    mask = np.uint64((1 << SKETCH_BITS) - 1)
+
+    def add():
+        nonlocal counts, held
+        if some:
+            counts += np.bincount((np.concatenate(some) & mask).astype(np.int64), minlength=len(counts)).astype(np.int32)
+        some.clear()
+        held = 0
+
     for pdf in batches:
         rows = []
         for doc_id, text in zip(pdf["doc_id"], pdf["text"]):
@@ -117,10 +155,12 @@ def _scan(batches):
             if len(s) and c not in seen:
                 if len(seen) < 1_000_000:
                     seen.add(c)
-                counts += np.bincount((s & np.uint64((1 << SKETCH_BITS) - 1)).astype(np.int64), minlength=1 << SKETCH_BITS).astype(np.int32) if len(s) > 100_000 else 0
-                if len(s) <= 100_000:
-                    np.add.at(counts, (s & np.uint64((1 << SKETCH_BITS) - 1)).astype(np.int64), 1)
+                some.append(s)
+                held += len(s)
+                if held > 2_000_000:
+                    add()
         yield _frame(rows)
+    add()
     part = TaskContext.get().partitionId()
     blocks = [(i, counts[i * BLOCK : (i + 1) * BLOCK]) for i in range(len(counts) // BLOCK)]
     blocks = [(i, x.tobytes()) for i, x in blocks if x.any()]
