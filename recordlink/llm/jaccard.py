@@ -27,7 +27,7 @@ from recordlink.llm import common
 SHINGLE = 5
 #: Similarity as a fraction NUM / DEN.
 NUM, DEN = 80, 100
-SKETCH_BITS, BLOCK = 20, 1024
+SKETCH_BITS, BLOCK = 20, 2048
 #: Members of a bucket's part, as estimated; more frequent tokens are salted.
 HOT = 4096
 BITS = [f"b{i}" for i in range(8)]
@@ -184,7 +184,7 @@ def frequency_levels(blocks: DataFrame) -> np.ndarray:
         total = np.frombuffer(add(key, pdf)["counts"][0], np.int64)
         return pd.DataFrame({"block": [int(key[0])], "levels": [np.ceil(4 * np.log2(np.maximum(total, 1))).astype(np.uint8).tobytes()]})
 
-    some = blocks.groupBy("block", F.pmod("part", F.lit(64)).alias("salt")).applyInPandas(add, "part int, block int, counts binary")
+    some = blocks.groupBy("block", F.expr("part div 64").alias("salt")).applyInPandas(add, "part int, block int, counts binary")
     rows = some.groupBy("block").applyInPandas(top, "block int, levels binary").collect()  # at most 2**SKETCH_BITS bytes in all
     levels = np.zeros(1 << SKETCH_BITS, np.uint8)
     for r in rows:
