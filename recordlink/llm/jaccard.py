@@ -5,7 +5,7 @@ Texts become sets of distinct five-word shingles (64-bit hashes). Equal sets for
 1. A count sketch of fixed size estimates document frequencies; it only defines an order, so an estimate never changes the result.
 2. Order one sorts a set's tokens by frequency, then hash. Two sets with Jaccard >= 0.8 share a token among the first ``n - ceil(0.8 n) + 1``
    of each, under every global order. Prefix tokens of order one are the join key.
-3. Star round: within a token's bucket the members meet two pivots only, so a group of k copies gives about 2k pairs. A bucket
+3. Star round: within a token's bucket the members meet one pivot only, and pivots repeat between buckets, so a group of k near copies gives at most about 4k pairs. A bucket
    of a token that is frequent even so is salted, and the pivots of its parts meet in turn.
 4. Cross round: members of a bucket that are still in different components meet each other. With this no link between components is lost.
 5. A pair must pass the length bound, the bitmap bound (parities of 512 hash buckets; Sandes et al. 2020), shared prefix tokens under
@@ -30,6 +30,8 @@ NUM, DEN = 80, 100
 SKETCH_BITS, BLOCK = 20, 2048
 #: Members of a bucket's part, as estimated; more frequent tokens are salted.
 HOT = 4096
+#: Rows of (class, id), 16 bytes each, that may be broadcast to pick candidates' texts; more go through a shuffle join.
+MOST_BROADCAST = 1_000_000
 BITS = [f"b{i}" for i in range(8)]
 _MUL = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
 
@@ -218,8 +220,11 @@ def _postings(levels_of):
 
 
 def _sets(batches):
+    seen: set = set()
     for pdf in batches:
-        found = [(c, s.tobytes()) for c, s in zip(pdf["c"], map(shingles, pdf["text"])) if class_key(s) == c]
+        found = [(c, s.tobytes()) for c, s in zip(pdf["c"], map(shingles, pdf["text"])) if c not in seen and class_key(s) == c]
+        seen.update(c for c, _ in found)
+        found = list(dict(found).items())
         yield pd.DataFrame(found, columns=["c", "tokens"])
 
 
@@ -272,21 +277,23 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text")
 
     posts = src.filter("doc_id is not null").select("text").mapInPandas(_postings(levels), "token long, salt int, c long")
     bucket = W.partitionBy("token", "salt")
-    x = posts.withColumn("x", F.col("c").bitwiseXOR(F.col("token")))  # orders the members differently in each bucket
+    turn = F.shiftleft(F.col("token"), 62)  # four orders of the members, so that a group has four pivots and not one for each token
+    x = posts.withColumn("x", F.col("c").bitwiseXOR(turn))
     live = x.withColumns({"lo": F.min("x").over(bucket), "hi": F.max("x").over(bucket)}).filter("lo <> hi or salt > 0")
-    live = live.select("token", "salt", "c", F.col("lo").bitwiseXOR(F.col("token")).alias("lo"), F.col("hi").bitwiseXOR(F.col("token")).alias("hi"))
-    live = common.written(live.distinct(), "jaccard-live")
+    live = common.written(live.select("token", "salt", "c", F.col("lo").bitwiseXOR(turn).alias("p")).distinct(), "jaccard-live")
 
     def verified(pairs: DataFrame) -> DataFrame:
         ids = pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct().join(classes.select("c", "doc_id"), "c")
-        sets = src.join(ids, "doc_id").select("c", "text").mapInPandas(_sets, "c long, tokens binary")
-        sets = common.written(sets.dropDuplicates(["c"]), "jaccard-sets")
+        ids = common.small(common.written(ids, "jaccard-ids"), MOST_BROADCAST)
+        sets = common.written(src.join(ids, "doc_id").select("c", "text").mapInPandas(_sets, "c long, tokens binary"), "jaccard-sets")
+        if sets.groupBy("c").count().filter("count > 1").limit(1).count():  # an id that stands in several rows
+            sets = common.written(sets.dropDuplicates(["c"]), "jaccard-sets")
         both = pairs.join(sets.select(F.col("c").alias("a"), F.col("tokens").alias("x")), "a").join(sets.select(F.col("c").alias("b"), F.col("tokens").alias("y")), "b")
         return common.written(both.select("a", "b", "x", "y").mapInPandas(_verify(levels), "a long, b long"), "jaccard-links")
 
     side = lambda name: classes.select(F.col("c").alias(f"{name}_c"), F.struct("n", *BITS).alias(name))
-    stars = live.select("c", F.explode(F.array("lo", "hi")).alias("p"))
-    parts = live.filter("salt > 0").select("token", F.col("lo").alias("p")).distinct()
+    stars = live.select("c", "p")
+    parts = live.filter("salt > 0").select("token", "p").distinct()
     parts = parts.join(parts.groupBy("token").agg(F.min("p").alias("c")), "token").select("c", "p")
     pairs = stars.union(parts).filter("c <> p").select(F.least("c", "p").alias("a"), F.greatest("c", "p").alias("b")).distinct()
     pairs = pairs.join(side("x"), F.col("a") == F.col("x_c")).join(side("y"), F.col("b") == F.col("y_c")).filter(_close("x", "y")).select("a", "b")
