@@ -62,8 +62,8 @@ def _powers(base: int) -> np.ndarray:
 _UP, _DOWN = _powers(_BASE), _powers(pow(_BASE, -1, 2**64))
 
 
-def word_hashes(raw: bytes) -> np.ndarray:
-    """A 64-bit hash of each word: a polynomial in the bytes, A-Z as a-z, from prefix sums modulo 2**64; words of over half a segment by xxhash."""
+def word_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash of each word, and where it starts: a polynomial in the bytes, A-Z as a-z, from prefix sums modulo 2**64; words of over half a segment by xxhash."""
     b = np.frombuffer(raw, np.uint8)
     word = np.concatenate(([False], ~_GAP[b], [False]))
     edges = np.flatnonzero(word[1:] != word[:-1])
@@ -84,23 +84,46 @@ def word_hashes(raw: bytes) -> np.ndarray:
             for i in np.flatnonzero(e - s > _SEG // 2) + lo:
                 out[i] = xxhash.xxh64_intdigest(raw[starts[i] : ends[i]].lower())
             lo = hi
-    return out
+    return out, starts
+
+
+def _rolled(w: np.ndarray) -> np.ndarray:
+    n = len(w) - SHINGLE + 1
+    with np.errstate(over="ignore"):
+        total = w[:n] * _MUL[0]
+        for i in range(1, SHINGLE):
+            total += w[i : i + n] * _MUL[i]
+    return mixed(total, 1)
+
+
+def line_shingles(lines: list[bytes], least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For lines without line breaks, all at once: words of each; of those with ``least`` (5 or more) words, the distinct shingles sorted within each line, and their line numbers."""
+    w, starts = word_hashes(b"\n".join(lines))
+    ends = np.cumsum([len(x) + 1 for x in lines]) if lines else np.empty(0, np.int64)
+    line = ends.searchsorted(starts, "right")
+    n_words = np.bincount(line, minlength=len(lines))
+    if len(w) < SHINGLE:
+        return n_words, np.empty(0, np.uint64), np.empty(0, np.int64)
+    h = _rolled(w)
+    good = (line[: len(h)] == line[SHINGLE - 1 :]) & (n_words[line[: len(h)]] >= least)
+    h, line = h[good], line[: len(good)][good]
+    o = np.lexsort((h, line))
+    h, line = h[o], line[o]
+    once = np.ones(len(h), bool)
+    once[1:] = (h[1:] != h[:-1]) | (line[1:] != line[:-1])
+    return n_words, h[once], line[once]
 
 
 def shingles(text: str | None) -> np.ndarray:
     """Sorted distinct shingle hashes of the words between 0x20 and 0x09-0x0D; no words, no shingles."""
-    w = word_hashes((text or "").encode("utf-8", "surrogatepass"))
+    w = word_hashes((text or "").encode("utf-8", "surrogatepass"))[0]
     with np.errstate(over="ignore"):
         if not len(w):
             return w
         if len(w) < SHINGLE:
             one = sum((w[i : i + 1] * _MUL[i] for i in range(len(w))), np.zeros(1, np.uint64))
             return mixed(one, 20 + len(w))
-        n = len(w) - SHINGLE + 1
-        total = w[:n] * _MUL[0]
-        for i in range(1, SHINGLE):
-            total += w[i : i + n] * _MUL[i]
-    h = np.sort(mixed(total, 1))
+    h = np.sort(_rolled(w))
     return h[np.concatenate(([True], h[1:] != h[:-1]))]
 
 
@@ -260,42 +283,29 @@ def _close(x: str, y: str) -> str:
     return f"{DEN} * least({x}.n, {y}.n) >= {NUM} * greatest({x}.n, {y}.n) AND {DEN + NUM} * ({pop}) <= {DEN - NUM} * ({x}.n + {y}.n)"
 
 
-def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id), one row per input row.
-
-    Null or wordless text: empty set, linked with nothing, component_id = own id. A class whose ids are all null links with
-    nothing (component_id null). Repeated rows and equal texts share a class. Very long texts are read whole. Empty input gives an empty table.
-    """
-    spark = docs.sparkSession
-    src = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    scan = common.written(src.mapInPandas(_scan, _SCAN), "jaccard-scan")
-    rows = scan.filter("block is null").select("doc_id", "c", "n", *BITS)
-    levels = spark.sparkContext.broadcast(frequency_levels(scan.filter("block is not null").select("part", "block", "counts")))
-
-    classes = rows.filter("n > 0 and doc_id is not null").groupBy("c").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), *[F.first(b).alias(b) for b in BITS])
-    classes = common.written(classes, "jaccard-classes")
-
-    posts = src.filter("doc_id is not null").select("text").mapInPandas(_postings(levels), "token long, salt int, c long")
+def live_buckets(posts: DataFrame) -> DataFrame:
+    """(token, salt, c) to (token, salt, c, pivot p), without buckets of one class. One of four orders of the members holds in a bucket, so a group has four pivots and not one for each token."""
     bucket = W.partitionBy("token", "salt")
-    turn = F.shiftleft(F.col("token"), 62)  # four orders of the members, so that a group has four pivots and not one for each token
+    turn = F.shiftleft(F.col("token"), 62)
     x = posts.withColumn("x", F.col("c").bitwiseXOR(turn))
     live = x.withColumns({"lo": F.min("x").over(bucket), "hi": F.max("x").over(bucket)}).filter("lo <> hi or salt > 0")
-    live = common.written(live.select("token", "salt", "c", F.col("lo").bitwiseXOR(turn).alias("p")).distinct(), "jaccard-live")
+    return common.written(live.select("token", "salt", "c", F.col("lo").bitwiseXOR(turn).alias("p")).distinct(), "jaccard-live")
+
+
+def linked_components(live: DataFrame, classes: DataFrame, fetch, verify) -> DataFrame:
+    """(node, component) of the classes that link. ``classes``: c, n and parities; ``fetch(ids)``: (c, tokens) of the wanted classes; ``verify``: confirms (a, b, x, y)."""
 
     def verified(pairs: DataFrame) -> DataFrame:
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct().join(classes.select("c", "doc_id"), "c")
-        ids = common.small(common.written(ids, "jaccard-ids"), MOST_BROADCAST)
-        sets = common.written(src.join(ids, "doc_id").select("c", "text").mapInPandas(_sets, "c long, tokens binary"), "jaccard-sets")
-        if sets.groupBy("c").count().filter("count > 1").limit(1).count():  # an id that stands in several rows
+        sets = common.written(fetch(pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct()), "jaccard-sets")
+        if sets.groupBy("c").count().filter("count > 1").limit(1).count():  # a class that was read in several places
             sets = common.written(sets.dropDuplicates(["c"]), "jaccard-sets")
         both = pairs.join(sets.select(F.col("c").alias("a"), F.col("tokens").alias("x")), "a").join(sets.select(F.col("c").alias("b"), F.col("tokens").alias("y")), "b")
-        return common.written(both.select("a", "b", "x", "y").mapInPandas(_verify(levels), "a long, b long"), "jaccard-links")
+        return common.written(both.select("a", "b", "x", "y").mapInPandas(verify, "a long, b long"), "jaccard-links")
 
     side = lambda name: classes.select(F.col("c").alias(f"{name}_c"), F.struct("n", *BITS).alias(name))
-    stars = live.select("c", "p")
     parts = live.filter("salt > 0").select("token", "p").distinct()
     parts = parts.join(parts.groupBy("token").agg(F.min("p").alias("c")), "token").select("c", "p")
-    pairs = stars.union(parts).filter("c <> p").select(F.least("c", "p").alias("a"), F.greatest("c", "p").alias("b")).distinct()
+    pairs = live.select("c", "p").union(parts).filter("c <> p").select(F.least("c", "p").alias("a"), F.greatest("c", "p").alias("b")).distinct()
     pairs = pairs.join(side("x"), F.col("a") == F.col("x_c")).join(side("y"), F.col("b") == F.col("y_c")).filter(_close("x", "y")).select("a", "b")
     tried = common.written(pairs, "jaccard-stars")
     links = verified(tried)
@@ -304,12 +314,35 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text")
     named = live.select("token", "c").distinct().join(comp, F.col("c") == F.col("node"), "left").select("token", "c", F.coalesce("component", "c").alias("comp"))
     named = common.written(named, "jaccard-named")
     open_ = named.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("token")
-    members = common.written(named.join(open_, "token").join(classes.drop("doc_id"), "c"), "jaccard-open")
+    members = common.written(named.join(open_, "token").join(classes.select("c", "n", *BITS), "c"), "jaccard-open")
     cross = members.alias("x").join(members.alias("y"), F.expr(f"x.token = y.token AND x.c < y.c AND x.comp <> y.comp AND {_close('x', 'y')}"))
     cross = cross.select(F.col("x.c").alias("a"), F.col("y.c").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-    links = links.union(verified(common.written(cross, "jaccard-cross")))
+    return common.components(links.union(verified(common.written(cross, "jaccard-cross"))))
 
-    comp = common.components(links)
+
+def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, n_shingles, component_id), one row per input row.
+
+    Null or wordless text: empty set, linked with nothing, component_id = own id. A class whose ids are all null links with
+    nothing (component_id null). Repeated rows and equal texts share a class. Very long texts are read whole. Empty input gives an empty table.
+    """
+    spark = docs.sparkSession
+    src = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    scan = common.written(src.mapInPandas(_scan, _SCAN), "jaccard-scan")
+    rows = scan.filter("block is null").select("doc_id", "c", "n", *BITS)
+    levels = spark.sparkContext.broadcast(frequency_levels(scan.filter("block is not null").select("part", "block", "counts")))
+
+    classes = rows.filter("n > 0 and doc_id is not null").groupBy("c").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), *[F.first(b).alias(b) for b in BITS])
+    classes = common.written(classes, "jaccard-classes")
+
+    posts = src.filter("doc_id is not null").select("text").mapInPandas(_postings(levels), "token long, salt int, c long")
+    live = live_buckets(posts)
+
+    def fetch(ids: DataFrame) -> DataFrame:
+        ids = common.small(common.written(ids.join(classes.select("c", "doc_id"), "c"), "jaccard-ids"), MOST_BROADCAST)
+        return src.join(ids, "doc_id").select("c", "text").mapInPandas(_sets, "c long, tokens binary")
+
+    comp = linked_components(live, classes, fetch, _verify(levels))
     ends = classes.select("c", "doc_id").join(comp, F.col("c") == F.col("node"), "left").withColumn("comp", F.coalesce("component", "c"))
     ends = ends.select("c", "doc_id", "comp")
     linked = ends.join(comp.select("component").distinct(), F.col("comp") == F.col("component"), "left_semi")

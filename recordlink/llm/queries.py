@@ -12,9 +12,11 @@ MODULES = {
     "op2_quality": "quality",
     "op3_secrets": "secrets",
     "op4_bpe": "bpe",
+    "op6_passages": "passages",
     "op7_vectors": "vectors",
     "op8_jaccard": "jaccard",
     "op9_urls": "urls",
+    "op10_toxicity": "toxicity",
 }
 
 
