@@ -33,6 +33,7 @@ HOT = 4096
 #: Rows of (class, id), 16 bytes each, that may be broadcast to pick candidates' texts; more go through a shuffle join.
 MOST_BROADCAST = 1_000_000
 BITS = [f"b{i}" for i in range(8)]
+HALF = 4
 _MUL = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
 
 
@@ -276,9 +277,9 @@ def _verify(levels_of):
     return run
 
 
-def _close(x: str, y: str) -> str:
-    """Length bound and bitmap bound of two classes, as SQL."""
-    pop = " + ".join(f"bit_count({x}.{b} ^ {y}.{b})" for b in BITS)
+def _close(x: str, y: str, bits: list[str] = BITS) -> str:
+    """Length bound and bitmap bound of two classes, as SQL; fewer parities give a weaker bound."""
+    pop = " + ".join(f"bit_count({x}.{b} ^ {y}.{b})" for b in bits)
     # symmetric difference <= (1 - t) / (1 + t) of the summed sizes
     return f"{DEN} * least({x}.n, {y}.n) >= {NUM} * greatest({x}.n, {y}.n) AND {DEN + NUM} * ({pop}) <= {DEN - NUM} * ({x}.n + {y}.n)"
 
@@ -314,9 +315,17 @@ def linked_components(live: DataFrame, classes: DataFrame, fetch, verify) -> Dat
     named = live.select("token", "c").distinct().join(comp, F.col("c") == F.col("node"), "left").select("token", "c", F.coalesce("component", "c").alias("comp"))
     named = common.written(named, "jaccard-named")
     open_ = named.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("token")
-    members = common.written(named.join(open_, "token").join(classes.select("c", "n", *BITS), "c"), "jaccard-open")
-    cross = members.alias("x").join(members.alias("y"), F.expr(f"x.token = y.token AND x.c < y.c AND x.comp <> y.comp AND {_close('x', 'y')}"))
-    cross = cross.select(F.col("x.c").alias("a"), F.col("y.c").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+    open_ = common.written(named.join(open_, "token"), "jaccard-open")
+    # a pair shares many open tokens: it is made once, at a token that comes first for both in one of four orders, or else at each of them
+    flip = F.col("token").bitwiseXOR(F.lit(0x5555555555555555))
+    first = open_.groupBy("c").agg(F.min("token").alias("t0"), F.max("token").alias("t1"), F.min(flip).alias("t2"), F.max(flip).alias("t3"))
+    first = first.withColumns({k: F.col(k).bitwiseXOR(F.lit(0x5555555555555555)) for k in ("t2", "t3")})
+    members = open_.join(first, "c").join(classes.select("c", "n", *BITS[:HALF]), "c")
+    members = common.written(members, "jaccard-members")
+    once = "CASE " + " ".join(f"WHEN x.t{k} = y.t{k} THEN x.token = x.t{k}" for k in range(4)) + " ELSE true END"
+    cross = members.alias("x").join(members.alias("y"), F.expr(f"x.token = y.token AND x.c < y.c AND x.comp <> y.comp AND {once} AND {_close('x', 'y', BITS[:HALF])}"))
+    cross = common.written(cross.select(F.col("x.c").alias("a"), F.col("y.c").alias("b")).distinct(), "jaccard-pairs").join(tried, ["a", "b"], "left_anti")
+    cross = cross.join(side("x"), F.col("a") == F.col("x_c")).join(side("y"), F.col("b") == F.col("y_c")).filter(_close("x", "y")).select("a", "b")
     return common.components(links.union(verified(common.written(cross, "jaccard-cross"))))
 
 
