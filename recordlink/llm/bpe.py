@@ -14,8 +14,10 @@ import base64
 import codecs
 import hashlib
 import struct
+from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,6 +27,8 @@ from recordlink.llm import common
 MOST_STATES = 200_000
 MOST_PIECES = 500_000
 LONG_PIECE = 64
+#: Texts whose ids a worker holds at once.
+SLICE = 256
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -48,7 +52,7 @@ class Transducer:
         # state 0: nothing read. A state is (suffix, last tokens of the prefixes ending after 0..len(suffix) of its bytes)
         self.states: list[tuple[bytes, tuple]] = [(b"", (-1,))]
         self.ids: dict[tuple[bytes, tuple], int] = {self.states[0]: 0}
-        self.moves: dict[int, tuple[int, int]] = {}  # by 256 * state + byte
+        self.moves: dict[int, int] = {}  # by 256 * state + byte: next state and last token + 1, packed
 
     def merge(self, piece: bytes) -> list[int]:
         """Plain rank-by-rank merging of a few bytes; used only to compile token pairs."""
@@ -73,8 +77,8 @@ class Transducer:
             ok = self.pair_ok[a, b] = self.merge(self.vocab[a] + self.vocab[b]) == [a, b]
         return ok
 
-    def step(self, state: int, byte: int) -> tuple[int, int]:
-        """Compile a transition: (next state, last token of the prefix read so far)."""
+    def step(self, state: int, byte: int) -> int:
+        """Compile a transition: the next state, and the last token of the prefix read so far, packed in one number."""
         suffix, lasts = self.states[state]
         text = suffix + bytes((byte,))
         last = None
@@ -93,7 +97,7 @@ class Transducer:
         if nxt is None:
             nxt = self.ids[key] = len(self.states)
             self.states.append(key)
-        self.moves[state << 8 | byte] = found = (nxt, last)
+        self.moves[state << 8 | byte] = found = nxt << 32 | (0 if last is None else last + 1)
         return found
 
     def stream(self, piece: bytes):
@@ -116,8 +120,9 @@ class Transducer:
 
         for n, byte in enumerate(piece, 1):
             found = moves.get(state << 8 | byte) or self.step(state, byte)
-            state = found[0]
-            lasts.append(found[1])
+            state = found >> 32
+            last = found & 0xFFFFFFFF
+            lasts.append(last - 1 if last else None)
             if n < LONG_PIECE:
                 continue
             if n - base >= LONG_PIECE + 2 * self.longest and len(self.states) <= MOST_STATES:
@@ -200,22 +205,27 @@ def public_vocabulary() -> tuple[str, str]:
 
 
 def tokens(docs: DataFrame, carry: list[str], path: str, pattern: str, text: str = "text", want: tuple[str, ...] = ("ids",)) -> DataFrame:
-    """``carry`` columns as struct ``row`` and those of ids (array<long>), n_tokens, ids_sha256, decoded (text), decoded_sha256 that ``want`` names.
+    """``carry`` columns as struct ``row`` and those of ids (array<int>), n_tokens, ids_sha256, decoded (text), decoded_sha256 that ``want`` names.
 
     Null text is the empty text: no ids. One row per input row, repeated rows alike, empty input gives an empty table.
     The vocabulary file is read by path on each worker; texts are encoded whole, a batch at a time.
     """
-    kinds = {"ids": "array<long>", "n_tokens": "long", "ids_sha256": "string", "decoded": "string", "decoded_sha256": "string"}
+    kinds = {"ids": "array<int>", "n_tokens": "long", "ids_sha256": "string", "decoded": "string", "decoded_sha256": "string"}
 
     @F.pandas_udf("struct<" + ",".join(f"{k}:{kinds[k]}" for k in want) + ">")
-    def run(texts: pd.Series) -> pd.DataFrame:
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            for i in range(0, len(texts), SLICE):
+                yield encoded(texts[i : i + SLICE])
+
+    def encoded(texts: pd.Series) -> pd.DataFrame:
         c = codec(path, pattern)
         rows = []
         for t in texts:
             ids = c.encode(t)
             row = {"n_tokens": len(ids) // 4}
             if "ids" in want:
-                row["ids"] = memoryview(ids).cast("I").tolist()
+                row["ids"] = np.frombuffer(ids, "<u4").astype(np.int32)
             if "ids_sha256" in want:
                 row["ids_sha256"] = hashlib.sha256(ids).hexdigest()
             if "decoded" in want or "decoded_sha256" in want:
