@@ -1,6 +1,377 @@
-"""All registered queries of the record-matching library, with their SQL."""
+"""All registered queries of the record-matching library, each with the SQL that DuckDB runs on the same tables."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from recordlink.functions import decide, text
+from recordlink.operators import collection, match, rules
+from recordlink.sources.views import view, with_sql
+from recordlink.streaming import ingest
+
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None, views: tuple[str, ...] = ()):
+    def register(run):
+        QUERIES[name] = run
+        if sql:
+            SQL[name] = (with_sql(*views) + (", " + sql[5:] if sql.startswith("WITH ") else " " + sql)) if views else sql
+        return run
+
+    return register
+
+
+def _strict(x: str) -> str:
+    return f"trim(regexp_replace(regexp_replace(strip_accents(replace(lower({x}), 'ß', 'ss')), '[^a-z0-9 ''-]', ' ', 'g'), '\\s+', ' ', 'g'))"
+
+
+def _fuzzy(x: str) -> str:
+    return f"trim(regexp_replace(replace(replace(replace(replace(translate({_strict(x)}, '01l582', 'oiisbz'), 'rn', 'm'), 'vv', 'w'), '-', ''), '''', ''), '\\s+', ' ', 'g'))"
+
+
+ALL_NAMES = "names AS (SELECT card_id, 'EN' AS language, name FROM card UNION ALL SELECT card_id, language, name FROM alt_name)"
+
+
+def _names(spark, d):
+    return view(spark, d, "card").select("card_id", F.lit("EN").alias("language"), "name").unionByName(view(spark, d, "alt_name"))
+
+
+@query("nrm_names", f"WITH {ALL_NAMES} SELECT card_id, language, {_strict('name')} AS strict, {_fuzzy('name')} AS fuzzy, strip_accents(name) AS plain FROM names", ("card", "alt_name"))
+def nrm_names(spark, d) -> DataFrame:
+    n = F.col("name")
+    return _names(spark, d).select("card_id", "language", text.normalize_strict(n).alias("strict"), text.normalize_fuzzy(n).alias("fuzzy"), text.strip_accents(n).alias("plain"))
+
+
+@query("nrm_tokens", f"SELECT item_id, array_to_string(regexp_extract_all({_strict('text')}, '[a-z0-9]+'), ' ') AS tokens, length(list_last(regexp_extract_all({_strict('text')}, '[a-z0-9]+'))) >= 2 AS last_is_prefix FROM benchmark")
+def nrm_tokens(spark, d):
+    t = view(spark, d, "benchmark")
+    return t.select("item_id", F.array_join(text.tokens(F.col("text")), " ").alias("tokens"), text.last_is_prefix(F.col("text")).alias("last_is_prefix"))
+
+
+_PARSE = """WITH c AS (SELECT reading_id, upper(replace(trim(raw_code), ' ', '')) AS t FROM reading),
+p AS (SELECT reading_id, t, regexp_extract(t, '^([A-Z0-9]{2,6})-([A-Z0-9]{2,7})$', 1) AS prefix, regexp_extract(t, '^([A-Z0-9]{2,6})-([A-Z0-9]{2,7})$', 2) AS tail FROM c),
+r AS (SELECT *, CASE WHEN regexp_matches(tail, '^(EN|PT).{2,}$') THEN substr(tail, 1, 2) END AS region FROM p)
+SELECT reading_id, prefix, region, substr(tail, coalesce(length(region), 0) + 1) AS number, prefix || '-' || tail AS canonical,
+    length(array_to_string(list_distinct([t, prefix || '-' || coalesce(region, '') || translate(substr(tail, coalesce(length(region), 0) + 1), 'OILSBZ', '011582'),
+    translate(prefix, '01582', 'OISBZ') || '-' || tail, translate(prefix, '01582', 'OISBZ') || '-' || coalesce(region, '') || translate(substr(tail, coalesce(length(region), 0) + 1), 'OILSBZ', '011582')]), '|')) AS variant_chars FROM r"""
+
+
+@query("cod_parse", _PARSE, ("reading",))
+def cod_parse(spark, d):
+    r = text.with_code(view(spark, d, "reading").select("reading_id", "raw_code"), "raw_code")
+    return r.select("reading_id", "code.prefix", "code.region", "code.number", F.col("code_canonical").alias("canonical"), F.length(F.array_join("code_variants", "|")).cast("long").alias("variant_chars"))
+
+
+@query("pas_ids", "SELECT reading_id, CASE WHEN length(trim(raw_id, ' .')) BETWEEN 5 AND 8 THEN trim(raw_id, ' .') END AS clean_id FROM reading", ("reading",))
+def pas_ids(spark, d):
+    return view(spark, d, "reading").select("reading_id", text.clean_id(F.col("raw_id")).alias("clean_id"))
+
+
+_CODES = """k AS (SELECT set_code_full AS code, CASE WHEN count(DISTINCT card_id) = 1 THEN min(card_id) END AS code_card, CASE WHEN count(*) = 1 THEN min(print_id) END AS code_print FROM card_print GROUP BY 1),
+v AS (SELECT reading_id, raw_code, regexp_extract(raw_code, '^(S[0-9]+)-', 1) AS a, substr(regexp_extract(raw_code, '-(.*)$', 1), 1, 2) AS g, substr(regexp_extract(raw_code, '-(.*)$', 1), 3) AS n FROM reading),
+c AS (SELECT reading_id, unnest([{'i': 0, 'c': raw_code}, {'i': 1, 'c': a || '-' || g || translate(n, 'OILSBZ', '011582')}, {'i': 2, 'c': translate(a, '01582', 'OISBZ') || '-' || g || n}]) AS u FROM v),
+h AS (SELECT reading_id, k.*, row_number() OVER (PARTITION BY reading_id ORDER BY u.i) AS o FROM c JOIN k ON k.code = u.c)"""
+
+
+@query("mat_codes", f"WITH {_CODES} SELECT reading_id, code, code_card, code_print FROM h WHERE o = 1", ("card_print", "reading"))
+def mat_codes(spark, d):
+    return match.resolve_codes(view(spark, d, "reading"), view(spark, d, "card_print")).select("reading_id", "code", "code_card", "code_print")
+
+
+_EXACT = f"""{ALL_NAMES}, s AS (SELECT card_id, language, {_strict('name')} AS strict FROM names), e AS (SELECT strict, card_id, language, row_number() OVER (PARTITION BY strict ORDER BY language <> 'EN', card_id, language) AS o FROM s),
+x AS (SELECT reading_id, e.card_id AS name_card, e.language AS name_language FROM reading JOIN e ON e.strict = {_strict('raw_name')} AND o = 1)"""
+
+
+@query("mat_exact", f"WITH {_EXACT} SELECT * FROM x", ("card", "alt_name", "reading"))
+def mat_exact(spark, d):
+    return match.exact_names(view(spark, d, "reading"), match.name_variants(view(spark, d, "card"), view(spark, d, "alt_name")))
+
+
+_MATCH = f"""{_EXACT}, {_CODES}, j AS (SELECT r.reading_id, r.truth, CAST(CASE WHEN length(trim(raw_id, ' .')) BETWEEN 5 AND 8 THEN trim(raw_id, ' .') END AS BIGINT) AS i0, name_card AS n, h.code, code_card AS c, code_print
+  FROM reading r LEFT JOIN x ON x.reading_id = r.reading_id LEFT JOIN h ON h.reading_id = r.reading_id AND h.o = 1),
+y AS (SELECT j.*, card.card_id AS i FROM j LEFT JOIN card ON card.card_id = j.i0),
+m AS (SELECT reading_id, truth, coalesce(i, n, c) AS card_id, CASE WHEN coalesce(i, n, c) = c THEN code_print END AS print_id,
+  CASE WHEN i IS NOT NULL THEN CASE WHEN coalesce(c <> i, false) OR (coalesce(n <> i, false) AND NOT coalesce(c = i, false)) THEN 0.45 ELSE 1.0 END WHEN n IS NOT NULL THEN CASE WHEN c IS NOT NULL AND c <> n THEN 0.45 ELSE 1.0 END ELSE 0.0 END AS confidence,
+  CASE WHEN i IS NOT NULL THEN CASE WHEN coalesce(c <> i, false) OR (coalesce(n <> i, false) AND NOT coalesce(c = i, false)) THEN 'manual' ELSE 'auto' END
+    WHEN n IS NOT NULL THEN CASE WHEN c IS NOT NULL AND c <> n THEN 'manual' ELSE 'auto' END WHEN code IS NOT NULL AND c IS NOT NULL THEN 'manual' ELSE 'unmatched' END AS decision FROM y)"""
+_ALL = ("card", "alt_name", "card_print", "reading")
+
+
+def _matched(spark, d):
+    return match.match(*[view(spark, d, v) for v in ("reading", "card", "alt_name", "card_print")])
+
+
+@query("match_readings", f"WITH {_MATCH} SELECT * FROM m", _ALL)
+def match_readings(spark, d):
+    return _matched(spark, d)
+
+
+@query("match_decisions", f"WITH {_MATCH} SELECT decision, count(*) AS readings, count(*) FILTER (card_id = truth) AS correct FROM m GROUP BY 1", _ALL)
+def match_decisions(spark, d):
+    return _matched(spark, d).groupBy("decision").agg(F.count("*").alias("readings"), F.count_if(F.col("card_id") == F.col("truth")).alias("correct"))
+
+
+@query("agg_accuracy", f"WITH {_MATCH} SELECT avg(CAST(card_id IS NOT DISTINCT FROM truth AS INT)) AS name_top1, avg(CASE WHEN print_id IS NOT NULL THEN CAST(card_id = truth AS INT) END) AS code_top1, sum(CAST(decision = 'auto' AND card_id <> truth AS INT)) AS wrong_auto FROM m", _ALL)
+def agg_accuracy(spark, d):
+    m = _matched(spark, d)
+    right = F.col("card_id").eqNullSafe(F.col("truth")).cast("double")
+    return m.agg(F.avg(right).alias("name_top1"), F.avg(F.when(F.col("print_id").isNotNull(), right)).alias("code_top1"), F.sum(((F.col("decision") == "auto") & (F.col("card_id") != F.col("truth"))).cast("long")).alias("wrong_auto"))
+
+
+_DEC = """SELECT event_id, round(c, 9) AS confidence, CASE WHEN agreed = false THEN 'manual' WHEN c >= 0.93 AND margin >= 0.08 THEN 'auto' WHEN agreed AND c >= 0.88 THEN 'auto' WHEN margin < 0.05 THEN 'manual' WHEN c >= 0.7 THEN 'pending' ELSE 'manual' END AS route
+FROM (SELECT *, CASE WHEN agreed = false THEN 0.45 * name ELSE greatest(0.0, least(1.0, name + CASE WHEN agreed THEN 0.15 ELSE 0 END + CASE WHEN margin > 0.15 THEN 0.05 WHEN margin < 0.05 THEN -0.15 ELSE 0 END)) END AS c
+FROM (SELECT event_id, least(1.0, greatest(0.0, value / 100)) AS name, (event_id % 40) / 100.0 - 0.1 AS margin, CASE event_id % 3 WHEN 0 THEN true WHEN 1 THEN false END AS agreed FROM events))"""
+
+
+@query("dec_route", _DEC)
+def dec_route(spark, d):
+    e = view(spark, d, "events").select("event_id", (F.col("value") / 100).alias("name"), (F.col("event_id") % 40 / 100.0 - 0.1).alias("margin"), F.when(F.col("event_id") % 3 == 0, True).when(F.col("event_id") % 3 == 1, False).alias("agreed"))
+    c = decide.confidence(F.lit(True), F.col("name"), F.lit(1.0), F.col("agreed"), F.col("margin"))
+    e = e.withColumn("c", c)
+    return e.select("event_id", F.round("c", 9).alias("confidence"), decide.decision(F.lit(True), F.col("c"), F.col("agreed"), F.col("margin")).alias("route"))
+
+
+@query("agg_sweep", """WITH e AS (SELECT d.doc_id, quality = 1 AS ok, least(1.0, n_chars / 5000.0) AS c FROM labels l JOIN documents d ON d.doc_id = l.doc_id), g AS (SELECT (70 + a.i) / 100.0 AS auto_at, (50 + b.i) / 100.0 AS review_at FROM range(30) a(i), range(21) b(i))
+SELECT auto_at, review_at, count(*) FILTER (c >= auto_at) AS accepted, count(*) FILTER (c >= auto_at AND ok) AS accepted_right, count(*) FILTER (c < auto_at AND c >= review_at) AS to_review FROM e, g GROUP BY ALL""")
+def agg_sweep(spark, d):
+    e = view(spark, d, "labels").join(view(spark, d, "documents").select("doc_id", "n_chars"), "doc_id").select((F.col("quality") == 1).alias("ok"), F.least(F.lit(1.0), F.col("n_chars") / 5000.0).alias("c"))
+    # scores are counted before they meet the grid, whose size is fixed
+    e = e.groupBy("ok", "c").agg(F.count("*").alias("k"))
+    grid = spark.range(30).select(((70 + F.col("id")) / 100.0).alias("auto_at")).crossJoin(spark.range(21).select(((50 + F.col("id")) / 100.0).alias("review_at")))
+    x = e.crossJoin(F.broadcast(grid))
+    n = lambda cond, name: F.sum(F.when(cond, F.col("k")).otherwise(0)).alias(name)
+    auto = F.col("c") >= F.col("auto_at")
+    return x.groupBy("auto_at", "review_at").agg(n(auto, "accepted"), n(auto & F.col("ok"), "accepted_right"), n(~auto & (F.col("c") >= F.col("review_at")), "to_review"))
+
+
+@query("flt_cards", "SELECT card_id, name, type, level, atk FROM card WHERE contains(lower(archetype), 'brand#1') AND atk BETWEEN 920 AND 980 AND level >= 10", ("card",))
+def flt_cards(spark, d):
+    return view(spark, d, "card").filter(F.col("archetype").ilike("%brand#1%") & F.col("atk").between(920, 980) & (F.col("level") >= 10)).select("card_id", "name", "type", "level", "atk")
+
+
+@query("flt_cards_in_set", "SELECT card_id, name FROM card WHERE card_id IN (SELECT card_id FROM card_print WHERE set_prefix = 'S0007')", ("card", "card_print"))
+def flt_cards_in_set(spark, d):
+    return view(spark, d, "card").join(view(spark, d, "card_print").filter("set_prefix = 'S0007'"), "card_id", "left_semi").select("card_id", "name")
+
+
+@query("flt_prints", "SELECT card_id, p.set_code_full, p.rarity FROM card_print p JOIN card_set s ON s.set_code = p.set_prefix WHERE contains(lower(concat_ws('|', p.set_code_full, s.set_name, p.rarity, p.region)), '0042')", ("card_print", "card_set"))
+def flt_prints(spark, d):
+    p = view(spark, d, "card_print").join(view(spark, d, "card_set"), F.col("set_code") == F.col("set_prefix"))
+    has = F.lit(False)
+    for c in ("set_code_full", "set_name", "rarity", "region"):
+        has = has | F.col(c).ilike("%0042%")
+    return p.filter(has).select("card_id", "set_code_full", "rarity")
+
+
+@query("agg_facets", "SELECT 'type' AS facet, type AS value, count(*) AS n FROM card GROUP BY 2 UNION ALL SELECT 'archetype', archetype, count(*) FROM card GROUP BY 2", ("card",))
+def agg_facets(spark, d):
+    c = view(spark, d, "card").select(F.explode(F.array(F.struct(F.lit("type").alias("facet"), F.col("type").alias("value")), F.struct(F.lit("archetype").alias("facet"), F.col("archetype").alias("value")))).alias("f"))
+    return c.groupBy("f.facet", "f.value").agg(F.count("*").alias("n"))
+
+
+@query("srt_localised", f"SELECT * FROM (SELECT c.card_id, coalesce(a.name, c.name) AS name, a.name IS NOT NULL AS is_translated, row_number() OVER (ORDER BY strip_accents(lower(coalesce(a.name, c.name))), coalesce(a.name, c.name), c.card_id) AS place FROM card c LEFT JOIN alt_name a ON a.card_id = c.card_id AND a.language = 'PT') WHERE place BETWEEN 61 AND 120", ("card", "alt_name"))
+def srt_localised(spark, d):
+    """The second page of 60 in the order of the shown language."""
+    a = view(spark, d, "alt_name").filter("language = 'PT'").select(F.col("card_id").alias("a_id"), F.col("name").alias("alt"))
+    c = view(spark, d, "card").join(a, F.col("card_id") == F.col("a_id"), "left").select("card_id", F.coalesce("alt", "name").alias("name"), F.col("alt").isNotNull().alias("is_translated"))
+    page = c.orderBy(text.strip_accents(F.lower("name")), "name", "card_id").limit(120)  # the page is the feature
+    return page.withColumn("place", F.row_number().over(W.orderBy(text.strip_accents(F.lower("name")), "name", "card_id"))).filter("place > 60")
+
+
+_KEYS = ", ".join(collection.KEY)
+_OLD = f"o AS (SELECT {_KEYS}, sum(quantity) AS q FROM delta WHERE batch < 2 GROUP BY ALL), n AS (SELECT {_KEYS}, sum(quantity) AS q FROM delta WHERE batch = 2 GROUP BY ALL)"
+_ON = " AND ".join(f"o.{k} IS NOT DISTINCT FROM n.{k}" for k in collection.KEY)
+
+
+def _target(spark, d):
+    return view(spark, d, "delta").filter("batch < 2").groupBy(*collection.KEY).agg(F.sum("quantity").alias("quantity"))
+
+
+@query("ups_add", f"WITH {_OLD} SELECT {', '.join(f'coalesce(o.{k}, n.{k}) AS {k}' for k in collection.KEY)}, CAST(coalesce(o.q, 0) + coalesce(n.q, 0) AS BIGINT) AS quantity, CASE WHEN o.card_id IS NULL THEN 'created' WHEN n.card_id IS NULL THEN 'kept' ELSE 'updated' END AS action FROM o FULL JOIN n ON {_ON}", ("delta",))
+def ups_add(spark, d):
+    return collection.add(_target(spark, d), view(spark, d, "delta").filter("batch = 2"))
+
+
+@query("ups_remove", f"WITH {_OLD} SELECT {', '.join(f'o.{k}' for k in collection.KEY)}, CAST(o.q - least(o.q, coalesce(n.q, 0)) AS BIGINT) AS quantity FROM o LEFT JOIN n ON {_ON} WHERE o.q > coalesce(n.q, 0)", ("delta",))
+def ups_remove(spark, d):
+    return collection.remove(_target(spark, d), view(spark, d, "delta").filter("batch = 2"))
+
+
+@query("ups_resolve", f"""WITH {_OLD}, ch AS (SELECT card_id AS c, set_prefix AS s, min(print_id) AS chosen FROM card_print GROUP BY 1, 2),
+j AS (SELECT o.card_id, coalesce(chosen, print_id) AS print_id, CASE WHEN chosen IS NULL THEN pending_set END AS pending_set, CASE WHEN chosen IS NULL THEN pending_rarity END AS pending_rarity, condition, language, q FROM o LEFT JOIN ch ON o.print_id IS NULL AND o.card_id = c AND o.pending_set = s)
+SELECT {_KEYS}, CAST(sum(q) AS BIGINT) AS quantity FROM j GROUP BY ALL""", ("delta", "card_print"))
+def ups_resolve(spark, d):
+    choice = view(spark, d, "card_print").groupBy("card_id", F.col("set_prefix").alias("pending_set")).agg(F.min("print_id").alias("chosen"))
+    return collection.resolve_prints(_target(spark, d), choice)
+
+
+_SHOWN = f"""i AS (SELECT {_KEYS}, CAST(sum(quantity) AS BIGINT) AS quantity FROM delta GROUP BY ALL),
+s AS (SELECT i.*, c.name, p.set_prefix, p.print_id IS NOT NULL AS has_print, CASE WHEN p.print_id IS NOT NULL THEN p.set_code_full ELSE pending_set END AS show_set, CASE WHEN p.print_id IS NOT NULL THEN p.rarity ELSE pending_rarity END AS show_rarity
+FROM i JOIN card c ON c.card_id = i.card_id LEFT JOIN card_print p ON p.print_id = i.print_id)"""
+_SV = ("delta", "card", "card_print")
+
+
+def _shown(spark, d):
+    items = view(spark, d, "delta").groupBy(*collection.KEY).agg(F.sum("quantity").alias("quantity"))
+    return collection.listing(items, view(spark, d, "card"), view(spark, d, "card_print"))
+
+
+@query("col_listing", f"WITH {_SHOWN} SELECT {_KEYS}, quantity, name, show_set, show_rarity, has_print FROM s", _SV)
+def col_listing(spark, d):
+    return _shown(spark, d).select(*collection.KEY, "quantity", "name", "show_set", "show_rarity", "has_print")
+
+
+@query("agg_stats", f"WITH {_SHOWN} SELECT count(DISTINCT card_id) AS cards, CAST(sum(quantity) AS BIGINT) AS copies, count(*) FILTER (print_id IS NULL AND pending_set IS NULL) AS without_set, count(DISTINCT set_prefix) AS sets, count(*) FILTER (show_rarity IS NULL) AS without_rarity FROM s", _SV)
+def agg_stats(spark, d):
+    return collection.stats(_shown(spark, d))
+
+
+@query("col_search", f"WITH {_SHOWN} SELECT s.card_id, s.print_id, s.condition, s.language, s.pending_set, s.pending_rarity, quantity FROM s WHERE contains({_strict('s.name')}, 'ring') OR EXISTS (SELECT 1 FROM alt_name a WHERE a.card_id = s.card_id AND a.language = 'PT' AND contains({_strict('a.name')}, 'ring'))", (*_SV, "alt_name"))
+def col_search(spark, d):
+    return collection.search(_shown(spark, d), view(spark, d, "alt_name"), "ring", "PT").select(*collection.KEY, "quantity")
+
+
+@query("snk_list", f"WITH {_SHOWN} SELECT concat(CAST(quantity AS STRING), 'x ', name, ' ', CASE WHEN has_print THEN '[' || show_set || ']' ELSE '[set desconhecido]' END, CASE WHEN show_rarity <> '' THEN ' (' || show_rarity || ')' ELSE '' END) AS line FROM s", _SV)
+def snk_list(spark, d):
+    return collection.export_text(_shown(spark, d), "list")
+
+
+@query("snk_deck", f"WITH {_SHOWN} SELECT line, CAST(sum(quantity) AS BIGINT) AS copies FROM (SELECT name AS line, quantity FROM s) GROUP BY 1", _SV)
+def snk_deck(spark, d):
+    return collection.export_text(_shown(spark, d), "deck").groupBy("line").agg(F.count("*").alias("copies"))
+
+
+@query("snk_csv_cells", f"WITH {_SHOWN} SELECT CASE WHEN regexp_matches(name, '^[=+@\\t\\r-]') THEN '''' || name ELSE name END AS \"Card Name\", quantity AS \"Card Quantity\", coalesce(show_rarity, '') AS \"Card Rarity\", condition AS \"Card Condition\", coalesce(show_set, '') AS \"Card Set Code\" FROM s", _SV)
+def snk_csv_cells(spark, d):
+    return _shown(spark, d).select(text.safe_cell(F.col("name")).alias("Card Name"), F.col("quantity").alias("Card Quantity"), F.coalesce("show_rarity", F.lit("")).alias("Card Rarity"), F.col("condition").alias("Card Condition"), F.coalesce("show_set", F.lit("")).alias("Card Set Code"))
+
+
+@query("agg_jobs", "SELECT job_id, count(*) AS crops, count(*) FILTER (decision = 'auto') AS auto, count(*) FILTER (decision IN ('pending', 'manual', 'unmatched')) AS queue, CAST(round_even(100.0 * count(*) FILTER (decision = 'auto') / count(*), 0) AS BIGINT) AS auto_percent FROM scan_result GROUP BY 1", ("scan_result",))
+def agg_jobs(spark, d):
+    g = view(spark, d, "scan_result").groupBy("job_id").agg(F.count("*").alias("crops"), F.count_if(F.col("decision") == "auto").alias("auto"), F.count_if(F.col("decision").isin("pending", "manual", "unmatched")).alias("queue"))
+    return g.withColumn("auto_percent", F.bround(100.0 * F.col("auto") / F.col("crops")).cast("long"))
+
+
+@query("srt_queue", "SELECT event_id, job_id, place FROM (SELECT *, row_number() OVER (ORDER BY created_at, event_id) AS place FROM scan_result WHERE decision IN ('pending', 'manual', 'unmatched')) WHERE place <= 50", ("scan_result",))
+def srt_queue(spark, d):
+    """The 50 oldest results to review."""
+    top = view(spark, d, "scan_result").filter(F.col("decision").isin("pending", "manual", "unmatched")).orderBy("created_at", "event_id").limit(50)
+    return top.withColumn("place", F.row_number().over(W.orderBy("created_at", "event_id"))).select("event_id", "job_id", "place")
+
+
+@query("win_latest", "SELECT job_id, event_id, decision FROM (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY created_at DESC, event_id DESC) AS o FROM scan_result) WHERE o = 1", ("scan_result",))
+def win_latest(spark, d):
+    return collection.latest(view(spark, d, "scan_result"), "job_id", "created_at", "event_id").select("job_id", "event_id", "decision")
+
+
+@query("chk_decks", """WITH p AS (SELECT deck_id, card_id, sum(quantity) AS q, sum(CASE WHEN zone = 'main' THEN quantity ELSE 0 END) AS m, sum(CASE WHEN zone = 'extra' THEN quantity ELSE 0 END) AS e, sum(CASE WHEN zone = 'side' THEN quantity ELSE 0 END) AS s FROM deck_card GROUP BY 1, 2),
+g AS (SELECT deck_id, CAST(sum(m) AS BIGINT) AS main, CAST(sum(e) AS BIGINT) AS extra, CAST(sum(s) AS BIGINT) AS side, count(*) FILTER (q > CASE ban_tcg WHEN 'Forbidden' THEN 0 WHEN 'Limited' THEN 1 WHEN 'Semi-Limited' THEN 2 ELSE 3 END) AS over_limit FROM p JOIN card ON card.card_id = p.card_id GROUP BY 1)
+SELECT *, main BETWEEN 40 AND 60 AND extra <= 15 AND side <= 15 AND over_limit = 0 AS legal FROM g""", ("deck_card", "card"))
+def chk_decks(spark, d):
+    return rules.deck_legality(view(spark, d, "deck_card"), view(spark, d, "card"))
+
+
+@query("dq_orphans", "SELECT 'delta.print_id' AS rule, count(*) AS violations FROM delta WHERE print_id IS NOT NULL AND print_id NOT IN (SELECT print_id FROM card_print) UNION ALL SELECT 'card_print.card_id', count(*) FROM card_print WHERE card_id % 2 = 1 AND card_id NOT IN (SELECT card_id FROM alt_name)", ("delta", "card_print", "alt_name"))
+def dq_orphans(spark, d):
+    p = view(spark, d, "card_print")
+    return rules.orphans(view(spark, d, "delta"), p, "print_id", "print_id", "delta.print_id").unionByName(rules.orphans(p.filter("card_id % 2 = 1"), view(spark, d, "alt_name"), "card_id", "card_id", "card_print.card_id"))
+
+
+@query("dq_duplicates", "SELECT card_id, set_code_full, count(*) AS n FROM card_print GROUP BY 1, 2 HAVING count(*) > 1", ("card_print",))
+def dq_duplicates(spark, d):
+    return view(spark, d, "card_print").groupBy("card_id", "set_code_full").agg(F.count("*").alias("n")).filter("n > 1")
+
+
+@query("agg_text_lines", "SELECT conv_id, role, string_agg(text, ' ' ORDER BY turn) AS joined, arg_max(text, struct_pack(a := -length(text), b := -turn)) AS best, count(*) AS lines FROM conversations WHERE text IS NOT NULL GROUP BY 1, 2")
+def agg_text_lines(spark, d):
+    """Lines of a region joined by position, and the most confident one (here the shortest, the earlier of equal ones)."""
+    c = view(spark, d, "conversations").filter("text is not null")
+    return c.groupBy("conv_id", "role").agg(F.expr("listagg(text, ' ') WITHIN GROUP (ORDER BY turn)").alias("joined"), F.max_by("text", F.struct(-F.length("text"), -F.col("turn"))).alias("best"), F.count("*").alias("lines"))
+
+
+@query("set_labels", "WITH a AS (SELECT card_id, name, atk FROM card WHERE card_id % 10 <> 3), b AS (SELECT card_id, name, CASE WHEN card_id % 7 = 0 THEN atk + 1 ELSE atk END AS atk FROM card WHERE card_id % 10 <> 5) SELECT coalesce(a.card_id, b.card_id) AS card_id, CASE WHEN a.card_id IS NULL THEN 'insert' WHEN b.card_id IS NULL THEN 'stale' WHEN a.atk = b.atk THEN 'same' ELSE 'update' END AS action FROM a FULL JOIN b ON a.card_id = b.card_id", ("card",))
+def set_labels(spark, d):
+    c = view(spark, d, "card")
+    new = c.filter("card_id % 10 <> 5").withColumn("atk", F.when(F.col("card_id") % 7 == 0, F.col("atk") + 1).otherwise(F.col("atk")))
+    return collection.labelled(c.filter("card_id % 10 <> 3"), new, "card_id", ["name", "atk"])
+
+
+@query("jon_new_files", "SELECT sha256(text) AS file_hash, min(doc_id) AS first_doc, count(*) AS files FROM documents WHERE sha256(text) NOT IN (SELECT sha256(text) FROM documents WHERE source = 'src1') GROUP BY 1")
+def jon_new_files(spark, d):
+    docs = view(spark, d, "documents").select("doc_id", "source", F.sha2("text", 256).alias("file_hash"))
+    return docs.join(docs.filter("source = 'src1'").select("file_hash"), "file_hash", "left_anti").groupBy("file_hash").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("files"))
+
+
+@query("jon_sibling_print", "SELECT a.print_id, b.print_id AS sibling FROM card_print a JOIN (SELECT *, row_number() OVER (PARTITION BY card_id, region, rarity ORDER BY print_id) AS o FROM card_print) b ON b.o = 1 AND a.card_id = b.card_id AND a.number = b.number AND a.rarity = b.rarity AND a.region = 'EN' AND b.region = 'PT'", ("card_print",))
+def jon_sibling_print(spark, d):
+    """The first print of the same record, number and rarity in the other language."""
+    p = view(spark, d, "card_print")
+    other = p.filter("region = 'PT'").groupBy("card_id", "number", "rarity").agg(F.min("print_id").alias("sibling"))
+    return p.filter("region = 'EN'").join(other, ["card_id", "number", "rarity"]).select("print_id", "sibling")
+
+
+@query("fun_masked", "SELECT doc_id, md5(regexp_replace(text, '(sk-[A-Za-z0-9]{4})[A-Za-z0-9]{12,}([A-Za-z0-9]{4})', '\\1***\\2', 'g')) AS masked_md5 FROM documents")
+def fun_masked(spark, d):
+    return view(spark, d, "documents").select("doc_id", F.md5(text.mask_keys(F.col("text"))).alias("masked_md5"))
+
+
+_BM = f"""WITH t AS (SELECT doc_id, regexp_extract_all({_strict('text')}, '[a-z0-9]+') AS t FROM documents), p AS (SELECT doc_id, len(t) AS dl, unnest(t) AS token FROM t),
+x AS (SELECT doc_id, dl, token, count(*) AS tf FROM p GROUP BY ALL), q AS (SELECT DISTINCT item_id AS query_id, unnest(regexp_extract_all({_strict('text')}, '[a-z0-9]+')) AS token FROM benchmark),
+n AS (SELECT count(*) AS n, avg(len(t)) AS a FROM t), f AS (SELECT token, count(*) AS df FROM x GROUP BY 1),
+s AS (SELECT query_id, doc_id, sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / a))) AS score FROM q JOIN x ON q.token = x.token JOIN f ON f.token = q.token, n GROUP BY 1, 2)
+SELECT query_id, doc_id, round(score, 6) AS score, place FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS place FROM s) WHERE place <= 10"""
+
+
+@query("mat_bm25", _BM)
+def mat_bm25(spark, d):
+    docs = view(spark, d, "documents")
+    index = match.postings(docs, "doc_id", "text")
+    totals = docs.select(F.size(text.tokens(F.col("text"))).alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    q = view(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(text.tokens(F.col("text"))).alias("token"))
+    return match.bm25(index, totals, q, "doc_id").select("query_id", "doc_id", F.round("score", 6).alias("score"), F.col("rank").alias("place"))
+
+
+@query("mat_similar", f"""WITH r AS (SELECT DISTINCT {_strict('raw_name')} AS name FROM reading WHERE length({_strict('raw_name')}) >= 4 AND kind = 3), c AS (SELECT DISTINCT {_strict('name')} AS name FROM card)
+SELECT r.name AS l_id, c.name AS r_id, round(1 - levenshtein(r.name, c.name) / greatest(length(r.name), length(c.name)), 9) AS score FROM r JOIN c ON abs(length(r.name) - length(c.name)) <= 3 AND 1 - levenshtein(r.name, c.name) / greatest(length(r.name), length(c.name)) >= 0.95""", ("reading", "card"))
+def mat_similar(spark, d):
+    """Names cut short in reading, against the catalogue's: distinct strict forms, edit similarity of at least 0.95."""
+    s = lambda t, c: t.select(text.normalize_strict(F.col(c)).alias("name")).distinct().select(F.col("name").alias("id"), "name")
+    cut = view(spark, d, "reading").filter("kind = 3")  # the readings of this kind of error
+    return match.blocked_similarity(s(cut, "raw_name").filter(F.length("name") >= 4), s(view(spark, d, "card"), "name"), 0.95).withColumn("score", F.round("score", 9))
+
+
+@query("box_candidates", "SELECT box_id, image_id FROM box WHERE w * h BETWEEN 0.02 AND 0.45 AND abs(w / h - 59.0 / 86) <= 0.18", ("box",))
+def box_candidates(spark, d):
+    return rules.candidate_boxes(view(spark, d, "box")).select("box_id", "image_id")
+
+
+@query("box_order")
+def box_order(spark, d):
+    return rules.ordered_boxes(view(spark, d, "box"))
+
+
+@query("box_accepted", "SELECT image_id, count(*) AS boxes, CASE WHEN count(*) BETWEEN 2 AND 16 THEN 'grid' ELSE 'whole' END AS layout FROM box WHERE w * h BETWEEN 0.02 AND 0.45 AND abs(w / h - 59.0 / 86) <= 0.18 GROUP BY 1", ("box",))
+def box_accepted(spark, d):
+    g = rules.candidate_boxes(view(spark, d, "box")).groupBy("image_id").agg(F.count("*").alias("boxes"))
+    return g.withColumn("layout", F.when(F.col("boxes").between(2, 16), "grid").otherwise("whole"))
+
+
+@query("box_grid", "SELECT item_id, r, c, round(c / 3.0, 9) AS x0, round(r / 2.0, 9) AS y0, row_number() OVER (PARTITION BY item_id ORDER BY r, c) - 1 AS cell FROM benchmark, range(2) a(r), range(3) b(c)")
+def box_grid(spark, d):
+    """Cells of a 2 by 3 grid for each image, in reading order."""
+    t = view(spark, d, "benchmark").select("item_id", F.explode(F.sequence(F.lit(0), F.lit(1)).cast("array<long>")).alias("r")).select("item_id", "r", F.explode(F.sequence(F.lit(0), F.lit(2)).cast("array<long>")).alias("c"))
+    return t.select("item_id", "r", "c", F.round(F.col("c") / 3.0, 9).alias("x0"), F.round(F.col("r") / 2.0, 9).alias("y0"), (F.col("r") * 3 + F.col("c")).alias("cell"))
+
+
+@query("str_new_images", "SELECT DISTINCT sha256(text) AS file_hash FROM documents")
+def str_new_images(spark, d):
+    return ingest.new_images(spark, d)
+
+
+@query("str_hourly", "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS hour, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def str_hourly(spark, d):
+    return ingest.hourly_status(spark, d).select(F.date_format("hour", "yyyy-MM-dd HH:mm:ss").alias("hour"), "event_type", "n")
