@@ -12,6 +12,7 @@ MODULES = {
     "op2_quality": "quality",
     "op3_secrets": "secrets",
     "op4_bpe": "bpe",
+    "op5_licenses": "licenses",
     "op6_passages": "passages",
     "op7_vectors": "vectors",
     "op8_jaccard": "jaccard",
