@@ -33,7 +33,6 @@ HOT = 4096
 #: Rows of (class, id), 16 bytes each, that may be broadcast to pick candidates' texts; more go through a shuffle join.
 MOST_BROADCAST = 1_000_000
 BITS = [f"b{i}" for i in range(8)]
-HALF = 4
 _MUL = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
 
 
@@ -320,10 +319,10 @@ def linked_components(live: DataFrame, classes: DataFrame, fetch, verify) -> Dat
     flip = F.col("token").bitwiseXOR(F.lit(0x5555555555555555))
     first = open_.groupBy("c").agg(F.min("token").alias("t0"), F.max("token").alias("t1"), F.min(flip).alias("t2"), F.max(flip).alias("t3"))
     first = first.withColumns({k: F.col(k).bitwiseXOR(F.lit(0x5555555555555555)) for k in ("t2", "t3")})
-    members = open_.join(first, "c").join(classes.select("c", "n", *BITS[:HALF]), "c")
+    members = open_.join(first, "c").join(classes.select("c", "n", *BITS), "c")
     members = common.written(members, "jaccard-members")
     once = "CASE " + " ".join(f"WHEN x.t{k} = y.t{k} THEN x.token = x.t{k}" for k in range(4)) + " ELSE true END"
-    cross = members.alias("x").join(members.alias("y"), F.expr(f"x.token = y.token AND x.c < y.c AND x.comp <> y.comp AND {once} AND {_close('x', 'y', BITS[:HALF])}"))
+    cross = members.alias("x").join(members.alias("y"), F.expr(f"x.token = y.token AND x.c < y.c AND x.comp <> y.comp AND {once} AND {_close('x', 'y', BITS)}"))
     cross = common.written(cross.select(F.col("x.c").alias("a"), F.col("y.c").alias("b")).distinct(), "jaccard-pairs").join(tried, ["a", "b"], "left_anti")
     cross = cross.join(side("x"), F.col("a") == F.col("x_c")).join(side("y"), F.col("b") == F.col("y_c")).filter(_close("x", "y")).select("a", "b")
     return common.components(links.union(verified(common.written(cross, "jaccard-cross"))))
