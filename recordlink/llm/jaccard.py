@@ -17,6 +17,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -32,6 +33,8 @@ SKETCH_BITS, BLOCK = 20, 2048
 HOT = 4096
 #: Rows of (class, id), 16 bytes each, that may be broadcast to pick candidates' texts; more go through a shuffle join.
 MOST_BROADCAST = 1_000_000
+#: Shingles that a task keeps while it compares texts, 32 MB; beyond that they are made again.
+MEMO_TOKENS = 4_000_000
 BITS = [f"b{i}" for i in range(8)]
 _MUL = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
 
@@ -243,25 +246,37 @@ def _postings(levels_of):
 
 
 def _sets(batches):
+    """One text of each class, compressed: a third of its shingles' size or less; whoever compares it makes the shingles again."""
     seen: set = set()
+    pack = zstandard.ZstdCompressor(level=3)
     for pdf in batches:
-        found = [(c, s.tobytes()) for c, s in zip(pdf["c"], map(shingles, pdf["text"])) if c not in seen and class_key(s) == c]
-        seen.update(c for c, _ in found)
-        found = list(dict(found).items())
-        yield pd.DataFrame(found, columns=["c", "tokens"])
+        found = {}
+        for c, text in zip(pdf["c"], pdf["text"]):
+            if c not in seen and class_key(shingles(text)) == c:
+                seen.add(c)
+                found[c] = pack.compress((text or "").encode("utf-8", "surrogatepass"))
+        yield pd.DataFrame(list(found.items()), columns=["c", "tokens"])
 
 
 def _verify(levels_of):
     def run(batches):
         levels = levels_of.value
-        for pdf in batches:
-            memo: dict = {}
+        memo: dict = {}
+        held = 0
+        unpack = zstandard.ZstdDecompressor()
+
+        def views(c, raw):
+            nonlocal held
+            if c not in memo:
+                if held > MEMO_TOKENS:
+                    memo.clear()
+                    held = 0
+                s = shingles(unpack.decompress(raw).decode("utf-8", "surrogatepass"))
+                memo[c] = (s, np.sort(prefix(s, levels, 2)), np.sort(prefix(s, levels, 3)))
+                held += len(s)
+            return memo[c]
 
-            def views(c, raw):
-                if c not in memo:
-                    s = np.frombuffer(raw, np.uint64)
-                    memo[c] = (s, np.sort(prefix(s, levels, 2)), np.sort(prefix(s, levels, 3)))
-                return memo[c]
+        for pdf in batches:
 
             links = []
             for a, b, x, y in zip(pdf["a"], pdf["b"], pdf["x"], pdf["y"]):
@@ -293,7 +308,7 @@ def live_buckets(posts: DataFrame) -> DataFrame:
 
 
 def linked_components(live: DataFrame, classes: DataFrame, fetch, verify) -> DataFrame:
-    """(node, component) of the classes that link. ``classes``: c, n and parities; ``fetch(ids)``: (c, tokens) of the wanted classes; ``verify``: confirms (a, b, x, y)."""
+    """(node, component) of the classes that link. ``classes``: c, n and parities; ``fetch(ids)``: (c, tokens) of the wanted classes, tokens in a form that ``verify`` reads; ``verify``: confirms (a, b, x, y)."""
 
     def verified(pairs: DataFrame) -> DataFrame:
         sets = common.written(fetch(pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct()), "jaccard-sets")
