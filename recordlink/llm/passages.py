@@ -1,22 +1,35 @@
-"""Substring dedup by paragraph MinHash banding.
+"""Substring dedup: repeated paragraphs by MinHash banding, and repeated word spans that do not depend on line ends.
 
 A paragraph is a ``\n``-line with at least ``LEAST_WORDS`` words. Paragraphs with the same set of five-word shingles form a class. ``BANDS`` bands of ``ROWS`` MinHash values
 find colliding classes: a pair with Jaccard s collides with probability 1 - (1 - s**ROWS)**BANDS, 0.9986 at 0.8 and 0.9999 at 0.9. Colliding classes are
 joined as in the n-gram join (pivots first, then what is still apart), the exact Jaccard confirms, and connected components are the clusters.
 In each cluster the first occurrence (smallest doc_id, then position) stays and all others are removals.
+
+A span is a run of ``SPAN`` words or more, over the whole text, of which each window of ``SPAN`` words also stands in another document:
+
+1. Winnowing: of the ``GRAM``-word hashes in each window the smallest is the window's fingerprint. It follows from the window's words alone, so equal windows have equal fingerprints and none is missed.
+   Windows in a row with one fingerprint are a group. Where all groups of a fingerprint have the same words, one hash of the group stands for its windows.
+2. Groups and windows whose fingerprint stands in two documents are compared by the hash of all their words; those in two documents are hits.
+3. Hits in a row with the same first document join, which extends them to the maximal common span.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from recordlink.llm import common, jaccard
 
 LEAST_WORDS = 20
 BANDS, ROWS = 9, 3
+#: Words of a window, and of the hashes that its fingerprint is taken from.
+SPAN, GRAM = 50, 25
+#: Fingerprints of 8 bytes that may be broadcast to pick candidates' texts; more go through a shuffle join.
+MOST_FINGERPRINTS = 2_000_000
 
 
 def _paragraphs(texts, group: int = 2_000_000):
@@ -135,5 +148,105 @@ def repeated_paragraphs(docs: DataFrame, key: str = "doc_id", text: str = "text"
     return out.select("doc_id", "para", "start", "end", "n_words", "cluster", "copies", F.col("at.doc_id").alias("first_doc_id"), removed.alias("removed"))
 
 
+def runs(w: np.ndarray, k: int) -> np.ndarray:
+    """A hash of each ``k`` words in a row, from prefix sums."""
+    step, out = jaccard._SEG // 2, [np.empty(0, np.uint64)]
+    with np.errstate(over="ignore"):
+        for lo in range(0, len(w) - k + 1, step):
+            part = w[lo : lo + step + k - 1]
+            sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(part * jaccard._UP[: len(part)], dtype=np.uint64)))
+            out.append(jaccard.mixed((sums[k:] - sums[:-k]) * jaccard._DOWN[: len(part) - k + 1], k))
+    return np.concatenate(out)
+
+
+def fingerprints(w: np.ndarray) -> np.ndarray:
+    """The fingerprint of each window of ``SPAN`` words (there is one at least)."""
+    least, size, width = runs(w, GRAM), 1, SPAN - GRAM + 1
+    while 2 * size <= width:
+        least = np.minimum(least[:-size], least[size:])
+        size *= 2
+    rest = width - size
+    return np.minimum(least[: len(least) - rest], least[rest:]) if rest else least
+
+
+def groups(w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of the windows in a row with one fingerprint: the fingerprint, the first and the last window, and a hash of all their words; and the hash of each window."""
+    f, h = fingerprints(w), runs(w, SPAN)
+    first = np.flatnonzero(np.append(True, f[1:] != f[:-1]))
+    last = np.append(first[1:], len(f)) - 1
+    turn = (np.arange(len(f)) - np.repeat(first, last - first + 1)).astype(np.uint64)
+    with np.errstate(over="ignore"):
+        return f[first], first, last, jaccard.mixed(np.add.reduceat(jaccard.mixed(h + turn * jaccard._MUL[0], 11), first), 12), h
+
+
+def _fingerprints(batches):
+    for pdf in batches:
+        found, words, ids = [np.empty(0, np.uint64)], [np.empty(0, np.uint64)], []
+        for doc_id, text in zip(pdf["doc_id"].tolist(), pdf["text"]):
+            w = jaccard.word_hashes((text or "").encode("utf-8", "surrogatepass"))[0]
+            if len(w) >= SPAN:
+                f, _, _, g, _ = groups(w)
+                found.append(f)
+                words.append(g)
+                ids += [doc_id] * len(f)
+        yield pd.DataFrame({"doc_id": np.array(ids, np.int64), "f": np.concatenate(found).view(np.int64), "g": np.concatenate(words).view(np.int64)})
+
+
+_WINDOWS = "doc_id long, v long, i int, j int, start int, `end` int, h long"
+
+
+def _windows(batches):
+    """Groups (``one``) and single windows (``many``) with a wanted fingerprint: first and last window, where they stand in code points, and the hash of their words. ``v`` tells texts of one id apart."""
+    for pdf in batches:
+        for doc_id, one, many, text in zip(pdf["doc_id"].tolist(), pdf["one"], pdf["many"], pdf["text"]):
+            raw = (text or "").encode("utf-8", "surrogatepass")
+            w, starts = jaccard.word_hashes(raw)
+            if len(w) < SPAN:
+                continue
+            f, first, last, g, h = groups(w)
+            whole = np.isin(f, np.asarray(one, np.int64).view(np.uint64))
+            single = np.flatnonzero(np.repeat(np.isin(f, np.asarray(many, np.int64).view(np.uint64)), last - first + 1))
+            i, j = np.concatenate((first[whole], single)), np.concatenate((last[whole], single))
+            if not len(i):
+                continue
+            b = np.frombuffer(raw, np.uint8)
+            point = np.cumsum((b & 0xC0) != 0x80)  # code points up to and with each byte
+            stop = np.flatnonzero(~jaccard._GAP[b] & np.append(jaccard._GAP[b[1:]], True))
+            yield pd.DataFrame({"doc_id": doc_id, "v": xxhash.xxh32_intdigest(raw), "i": i, "j": j, "start": point[starts[i]] - 1, "end": point[stop[j + SPAN - 1]], "h": np.concatenate((g[whole], h[single])).view(np.int64)})
+
+
+def _in_two(rows: DataFrame, key: str, *more) -> DataFrame:
+    return rows.groupBy(key).agg(F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("last"), *more).filter("first_doc_id <> last").drop("last")
+
+
+def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per span: doc_id, start, end, n_words, cluster, copies, first_doc_id and removed.
+
+    cluster is the smallest hash of a group or window in the span, copies the most occurrences of one, first_doc_id the smallest id that has it. Repeats within one document only do not count here.
+    Null and shorter texts have no spans; rows with a null id are left out. Rows that stand twice give their spans once. Empty input gives an empty table.
+    """
+    src = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).filter("doc_id is not null")
+    prints = common.written(src.mapInPandas(_fingerprints, "doc_id long, f long, g long"), "span-fingerprints")
+    twice = _in_two(prints, "f", (F.min("g") == F.max("g")).alias("same")).select("f", "same")
+    of = lambda same: F.collect_set(F.when(same, F.col("f")))
+    ids = prints.select("doc_id", "f").join(twice, "f").groupBy("doc_id").agg(of(F.col("same")).alias("one"), of(~F.col("same")).alias("many"))  # at most a text's fingerprints
+    ids = common.written(ids, "span-ids")
+    few = (ids.agg(F.sum(F.size("one") + F.size("many"))).first()[0] or 0) <= MOST_FINGERPRINTS
+    wins = common.written(src.join(F.broadcast(ids) if few else ids, "doc_id").select("doc_id", "one", "many", "text").mapInPandas(_windows, _WINDOWS), "span-windows")
+    hits = wins.join(_in_two(wins, "h", F.count("*").alias("k")), "h")
+    place = W.partitionBy("doc_id", "v").orderBy("i")
+    new = F.coalesce((F.col("i") - F.lag("j").over(place) > 1) | (F.col("first_doc_id") != F.lag("first_doc_id").over(place)), F.lit(True))
+    hits = hits.withColumn("new", new.cast("int")).withColumn("n", F.sum("new").over(place))
+    spans = hits.groupBy("doc_id", "v", "n", "first_doc_id").agg(F.min("start").alias("start"), F.max("end").alias("end"), (F.max("j") - F.min("i") + SPAN).cast("long").alias("n_words"), F.min("h").alias("cluster"), F.max("k").alias("copies"))
+    return spans.select("doc_id", "start", "end", "n_words", "cluster", "copies", "first_doc_id", (F.col("doc_id") != F.col("first_doc_id")).alias("removed"))
+
+
+def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Repeated paragraphs (kind line) and repeated spans (kind span, para null); a long line that repeats exactly is in both."""
+    lines = repeated_paragraphs(docs, key, text).withColumn("kind", F.lit("line"))
+    spans = repeated_spans(docs, key, text).withColumns({"para": F.lit(None).cast("int"), "kind": F.lit("span")})
+    return lines.unionByName(spans)
+
+
 def query(spark, sf_dir: str) -> DataFrame:
-    return repeated_paragraphs(common.table(spark, sf_dir, "documents"))
+    return repeated_passages(common.table(spark, sf_dir, "documents"))
