@@ -1,10 +1,10 @@
 """Secret scans: pattern matches plus a sliding-window entropy scan with an allow-list.
 
-A candidate is a maximal run of ``[A-Za-z0-9+/_=-]`` with at least ``WINDOW`` characters. Each run is split into
-stretches of a character class (hex, then base64). A window of fixed width slides over the stretch; its Shannon entropy follows from counts
+A candidate is a maximal run of ``[A-Za-z0-9+/_=-]`` with at least ``WINDOW`` characters. Its hex stretches are scanned first, then the parts
+outside their spans as base64, without the names that a part starts or ends with (``example_key=``). A window of fixed width slides over the stretch; its Shannon entropy follows from counts
 that change by one in and one out per step. Windows at or above the class's threshold are joined to a span.
-Spans that look like ordinary text are suppressed: a base64 stretch must mix digits with letters in a share that words and
-paths do not have, and the allow-list drops known harmless shapes.
+Spans that look like ordinary text are suppressed: a base64 span must hold two of lower case, upper case and digits, and the allow-list, which is
+tested on each span alone, drops known harmless shapes. A placeholder drops a span of less than three windows; out of a longer one only the placeholder is cut.
 """
 
 from __future__ import annotations
@@ -28,8 +28,15 @@ HEX_RUN = re.compile(r"[0-9A-Fa-f]+")
 WINDOW = 20
 #: class -> bits per character that a window must reach
 THRESHOLD = {"entropy_hex": 3.0, "entropy_base64": 3.7}
-#: Harmless shapes: placeholders, words joined by separators, dotted or slashed paths, digits only.
-ALLOW = (re.compile(r"(?ai)(example|sample|placeholder|changeme|dummy|lorem|x{6,}|0{8,}|1234567)"), re.compile(r"[A-Za-z]+([-_/=+][A-Za-z]+)*[-_/=+]*"), re.compile(r"[0-9]+([-_/=+][0-9]+)*"))
+#: A word, also in camel case, with a short number behind; or a short number.
+NAME = r"(?:(?:[A-Z]+|[a-z]+|[A-Z]{1,3}[a-z]{2,})(?:[A-Z]{1,3}[a-z]{2,})*[0-9]{0,4}|[0-9]{1,4})"
+PLACEHOLDER = re.compile(r"(?ai)(example|sample|placeholder|changeme|dummy|lorem|x{6,}|0{8,}|1234567)")
+#: Harmless shapes besides: names joined by separators as in paths, digits only.
+ALLOW = (re.compile(rf"[-_/=+]*{NAME}([-_/=+]+{NAME})*[-_/=+]*"), re.compile(r"[0-9]+([-_/=+][0-9]+)*"))
+#: A name of three letters or more that a separator ends or starts.
+BEFORE = re.compile(rf"[-_/=]*(?=[A-Za-z]{{3}}){NAME}[-_/=]")
+AFTER = re.compile(rf"[-_/=](?=[A-Za-z]{{3}}){NAME}[-_/=]*\Z")
+LONGEST_NAME = 64
 _TERM = [0.0] + [c * math.log2(c) for c in range(1, WINDOW + 1)]
 
 
@@ -57,7 +64,35 @@ def windows(run: str, threshold: float, width: int = WINDOW) -> list[tuple[int,
 
 
 def allowed(found: str) -> bool:
-    return bool(ALLOW[0].search(found)) or any(a.fullmatch(found) for a in ALLOW[1:])
+    return any(a.fullmatch(found) for a in ALLOW)
+
+
+def kept(run: str, threshold: float) -> list[tuple[int, int]]:
+    """Spans of ``run`` that are left after the allow-list."""
+    out = []
+    for a, b in windows(run, threshold):
+        part, at = run[a:b], 0
+        holes = [m.span() for m in PLACEHOLDER.finditer(part)]
+        if holes and len(part) < 3 * WINDOW:
+            continue
+        for lo, hi in [*holes, (len(part), len(part))]:
+            found = windows(part[at:lo], threshold) if holes else [(0, len(part))]
+            out += [(a + at + x, a + at + y) for x, y in found if not allowed(part[at + x : at + y])]
+            at = hi
+    return out
+
+
+def unnamed(run: str, a: int, b: int) -> tuple[int, int]:
+    """The part a to b of ``run`` without the names it starts or ends with, as long as a window is left."""
+    while (m := BEFORE.match(run, a, b)) and b - m.end() >= WINDOW:
+        a = m.end()
+    while (m := AFTER.search(run, max(a, b - LONGEST_NAME), b)) and m.start() - a >= WINDOW:
+        b = m.start()
+    return a, b
+
+
+def classes(part: str) -> int:
+    return any(c.islower() for c in part) + any(c.isupper() for c in part) + any(c.isdigit() for c in part)
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -75,18 +110,17 @@ def entropy_spans(text: str) -> list[tuple[int, int, int]]:
         run, at = m[0], m.start()
         if allowed(run):
             continue
-        taken = 0
+        parts, free = [], 0
         for h in HEX_RUN.finditer(run):
             if h.end() - h.start() >= WINDOW and sum(c.isdigit() for c in h[0]) >= 4 and not h[0].isdigit():
-                spans = [(a, b) for a, b in windows(h[0], THRESHOLD["entropy_hex"]) if not allowed(h[0][a:b])]
-                out += [(at + h.start() + a, 3, at + h.start() + b) for a, b in spans]
-                taken += len(spans)
-        if not taken:
-            for a, b in windows(run, THRESHOLD["entropy_base64"]):
-                part = run[a:b]
-                digits = sum(c.isdigit() for c in part)
-                if 10 * digits >= len(part) and any(c.isalpha() for c in part) and not allowed(part):
-                    out.append((at + a, 4, at + b))
+                for a, b in kept(h[0], THRESHOLD["entropy_hex"]):
+                    out.append((at + h.start() + a, 3, at + h.start() + b))
+                    parts.append((free, h.start() + a))
+                    free = h.start() + b
+        for lo, hi in [*parts, (free, len(run))]:
+            lo, hi = unnamed(run, lo, hi)
+            if hi - lo >= WINDOW:
+                out += [(at + lo + a, 4, at + lo + b) for a, b in kept(run[lo:hi], THRESHOLD["entropy_base64"]) if classes(run[lo + a : lo + b]) > 1]
     return out
 
 
