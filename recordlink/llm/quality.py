@@ -2,9 +2,11 @@
 
 Every (language, source) gets its own fences. They come from mergeable quantile sketches: a value falls
 in a logarithmic bucket (relative error ``ACCURACY``, the DDSketch of Masson, Rim and Lee 2019) and a sketch is the table
-of bucket counts, so merging two sketches is adding counts. Groups with fewer than ``MIN_DOCS`` documents use the merged sketch of their
-language, and that of all documents if the language is small too. A document is kept if it passes the base rules and
-no measure lies beyond its group's fences (quartiles widened by ``REACH`` times their distance, by ``SLACK`` at least).
+of bucket counts, so merging two sketches is adding counts. The quartiles of a group of n documents are drawn to those of its language with weight
+``PRIOR`` / (n + ``PRIOR``), and those of a language to those of all documents alike, so a group's size changes its fences smoothly.
+A fence is a quartile widened by ``REACH`` times the distance of the quartiles. A document is kept if it passes the base rules and no measure lies beyond its
+group's fences by more than ``SIGMAS`` standard errors of its own count (a Poisson count c of n words or lines has the error sqrt(c) / n), so that one odd line of a short text is no evidence.
+No fence has a fixed floor or cut.
 """
 
 from __future__ import annotations
@@ -12,16 +14,19 @@ from __future__ import annotations
 import math
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from recordlink.llm import common
 
-MIN_DOCS = 200
+#: Documents that the prior of a group counts for.
+PRIOR = 200
 REACH = 3.0
+SIGMAS = 3.0
 ACCURACY = 0.01
 GAMMA = (1 + ACCURACY) / (1 - ACCURACY)
-#: Least distance of a fence from its quartile, and which sides are tested.
-SLACK = {"word_length": 2.0, "symbol_share": 0.1, "dup_line_share": 0.5, "repeat_share": 0.3}
+#: measure -> its count, and what it is counted in. ``LOWER`` ones have a lower fence too.
+MEASURES = {"word_length": ("word_chars", "n_words"), "symbol_share": ("n_symbols", "n_words"), "dup_line_share": ("n_dup_lines", "n_lines"), "repeat_share": ("n_repeat_words", "n_words")}
 LOWER = ("word_length",)
 LEAST = 1e-4
 
@@ -56,14 +61,10 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
     return df.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
 
 
-def _measures() -> dict[str, Column]:
-    n, lines = F.col("n_words").cast("double"), F.col("n_lines").cast("double")
-    return {"word_length": F.col("word_chars") / n, "symbol_share": F.col("n_symbols") / n, "dup_line_share": F.col("n_dup_lines") / lines, "repeat_share": F.col("n_repeat_words") / n}
-
-
 def sketches(df: DataFrame, lang: str, source: str) -> DataFrame:
     """(lang, source, measure, bucket, n) of every measured document that has a word: partial sums before the shuffle."""
-    pairs = F.array(*[F.struct(F.lit(k).alias("measure"), v.alias("value")) for k, v in _measures().items()])
+    # a row without words may reach these expressions before the filter does: the division gives null then
+    pairs = F.array(*[F.struct(F.lit(k).alias("measure"), F.try_divide(F.col(c).cast("double"), F.col(n).cast("double")).alias("value")) for k, (c, n) in MEASURES.items()])
     rows = df.filter("n_words > 0").select(F.col(lang).alias("lang"), F.col(source).alias("source"), F.explode(pairs).alias("p"))
     bucket = F.when(F.col("p.value") < LEAST, F.lit(-100_000)).otherwise(F.ceil(F.log(F.col("p.value")) / F.lit(math.log(GAMMA)))).cast("int")
     return rows.groupBy("lang", "source", F.col("p.measure").alias("measure"), bucket.alias("bucket")).agg(F.count("*").alias("n"))
@@ -71,8 +72,6 @@ def sketches(df: DataFrame, lang: str, source: str) -> DataFrame:
 
 def _quartiles(counts: DataFrame, keys: list[str]) -> DataFrame:
     """Quartiles of every measure for each group of ``keys``, after merging the sketches by adding counts."""
-    from pyspark.sql import Window as W
-
     merged = counts.groupBy(*keys, "measure", "bucket").agg(F.sum("n").alias("n"))
     by = W.partitionBy(*keys, "measure")
     cum = merged.withColumns({"up_to": F.sum("n").over(by.orderBy("bucket").rowsBetween(W.unboundedPreceding, 0)), "docs": F.sum("n").over(by)})
@@ -80,37 +79,41 @@ def _quartiles(counts: DataFrame, keys: list[str]) -> DataFrame:
     return cum.groupBy(*keys, "measure").agg(F.first("docs").alias("docs"), F.min(F.when(4 * F.col("up_to") >= F.col("docs"), value)).alias("q1"), F.min(F.when(4 * F.col("up_to") >= 3 * F.col("docs"), value)).alias("q3"))
 
 
-def fences(counts: DataFrame) -> DataFrame:
-    """One row per (lang, source): a lower and an upper fence for each measure."""
+def fences(counts: DataFrame, prior: int = PRIOR, reach: float = REACH) -> DataFrame:
+    """One row per (lang, source): a lower and an upper fence for each measure, from quartiles shrunk to the language's and all documents'."""
     own, lang, whole = _quartiles(counts, ["lang", "source"]), _quartiles(counts, ["lang"]), _quartiles(counts, [])
     as_ = lambda d, p: d.select(*[F.col(c).alias(f"{p}_{c}") for c in d.columns])
     l, a = as_(lang, "l"), as_(whole, "a")
     df = own.join(l, F.col("lang").eqNullSafe(F.col("l_lang")) & (F.col("measure") == F.col("l_measure"))).join(a, F.col("measure") == F.col("a_measure"))
-    pick = lambda q: F.when(F.col("docs") >= MIN_DOCS, F.col(q)).when(F.col("l_docs") >= MIN_DOCS, F.col(f"l_{q}")).otherwise(F.col(f"a_{q}"))
-    slack = F.element_at(F.create_map(*[F.lit(x) for kv in SLACK.items() for x in kv]), F.col("measure"))
-    wide = F.greatest(REACH * (pick("q3") - pick("q1")), slack)
-    df = df.select("lang", "source", "measure", (pick("q1") - wide).alias("low"), (pick("q3") + wide).alias("high"))
-    cols = [F.max(F.when(F.col("measure") == k, F.col(s))).alias(f"{k}_{s}") for k in SLACK for s in ("low", "high")]
+
+    def drawn(q: str) -> Column:
+        wide = (F.col("l_docs") * F.col(f"l_{q}") + prior * F.col(f"a_{q}")) / (F.col("l_docs") + prior)
+        return (F.col("docs") * F.col(q) + prior * wide) / (F.col("docs") + prior)
+
+    df = df.select("lang", "source", "measure", drawn("q1").alias("q1"), drawn("q3").alias("q3"))
+    df = df.withColumns({"low": F.col("q1") - reach * (F.col("q3") - F.col("q1")), "high": F.col("q3") + reach * (F.col("q3") - F.col("q1"))})
+    cols = [F.max(F.when(F.col("measure") == k, F.col(s))).alias(f"{k}_{s}") for k in MEASURES for s in ("low", "high")]
     return df.groupBy("lang", "source").agg(*cols)
 
 
 def quality_rules(docs: DataFrame, carry: list[str], text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
     """``carry`` columns of ``docs`` as struct ``row``, the measures, base_failed and kept; one row per input row.
 
-    Null text: no words, base_failed, not kept. Null language or source: a group of its own. Repeated rows are judged alike
+    Null, empty or blank text: no words, base_failed, not kept. Null language or source: a group of its own. Repeated rows are judged alike
     and counted each time. Empty input gives an empty table. Column names of ``docs`` cannot clash, as ``carry`` travels in a struct.
     """
-    # a null row struct field list is fine; the texts are carried only if asked for
+    # the texts are carried only if asked for
     base = docs.select(F.struct(*[F.col(c) for c in carry]).alias("row"), F.col(lang).alias("lang"), F.col(source).alias("source"), F.col(text).alias("text"))
     df = common.written(measured(base).drop("text"), "quality")
     edges = common.small(common.written(fences(sketches(df, "lang", "source")), "fences"))
     edges = edges.withColumnsRenamed({"lang": "e_lang", "source": "e_source"})
     df = df.join(edges, F.col("lang").eqNullSafe(F.col("e_lang")) & F.col("source").eqNullSafe(F.col("e_source")), "left")
     beyond = F.lit(False)
-    for k, v in _measures().items():
-        beyond = beyond | F.coalesce(v > F.col(f"{k}_high"), F.lit(False))
+    for k, (c, n) in MEASURES.items():
+        count, error, of = F.col(c).cast("double"), SIGMAS * F.sqrt(F.col(c).cast("double")), F.col(n).cast("double")
+        beyond = beyond | F.coalesce(count - error > F.col(f"{k}_high") * of, F.lit(False))
         if k in LOWER:
-            beyond = beyond | F.coalesce(v < F.col(f"{k}_low"), F.lit(False))
+            beyond = beyond | F.coalesce(count + error < F.col(f"{k}_low") * of, F.lit(False))
     return df.withColumn("kept", ~F.col("base_failed") & ~beyond).select("row", "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
@@ -123,7 +126,6 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules(docs, docs.columns).filter("kept").select("row.*")
 
 
-_CASE = "CASE measure " + " ".join(f"WHEN '{k}' THEN {v!r}" for k, v in SLACK.items()) + " END"
 SQL = rf"""
 WITH d AS (SELECT row_number() OVER () AS k, doc_id, lang, source, coalesce(text, '') AS t FROM documents),
 a AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w,
@@ -136,9 +138,9 @@ m AS (SELECT a.k, doc_id, lang, source, CAST(len(w) AS BIGINT) AS n_words, CAST(
         CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, CAST(coalesce(r.n, 0) AS BIGINT) AS n_repeat_words
       FROM a LEFT JOIN r ON a.k = r.k),
 x AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
-        [{{'measure': 'word_length', 'value': word_chars / n_words}}, {{'measure': 'symbol_share', 'value': n_symbols / n_words}},
-         {{'measure': 'dup_line_share', 'value': n_dup_lines / n_lines}}, {{'measure': 'repeat_share', 'value': n_repeat_words / n_words}}] AS ms FROM m),
-s AS (SELECT lang, source, u.measure AS measure, CASE WHEN u.value < {LEAST} THEN -100000 ELSE CAST(ceil(ln(u.value) / {math.log(GAMMA)!r}) AS INT) END AS bucket, count(*) AS n
+        [{{'measure': 'word_length', 'c': CAST(word_chars AS DOUBLE), 'n': CAST(n_words AS DOUBLE)}}, {{'measure': 'symbol_share', 'c': CAST(n_symbols AS DOUBLE), 'n': CAST(n_words AS DOUBLE)}},
+         {{'measure': 'dup_line_share', 'c': CAST(n_dup_lines AS DOUBLE), 'n': CAST(n_lines AS DOUBLE)}}, {{'measure': 'repeat_share', 'c': CAST(n_repeat_words AS DOUBLE), 'n': CAST(n_words AS DOUBLE)}}] AS ms FROM m),
+s AS (SELECT lang, source, u.measure AS measure, CASE WHEN u.c / u.n < {LEAST} THEN -100000 ELSE CAST(ceil(ln(u.c / u.n) / {math.log(GAMMA)!r}) AS INT) END AS bucket, count(*) AS n
       FROM (SELECT lang, source, unnest(ms) AS u FROM x WHERE n_words > 0) GROUP BY ALL),
 lev AS (SELECT 0 AS lv, lang, source, measure, bucket, n FROM s UNION ALL SELECT 1, lang, NULL, measure, bucket, sum(n) FROM s GROUP BY ALL
         UNION ALL SELECT 2, NULL, NULL, measure, bucket, sum(n) FROM s GROUP BY ALL),
@@ -146,11 +148,11 @@ c AS (SELECT *, sum(n) OVER (PARTITION BY lv, lang, source, measure ORDER BY buc
 q AS (SELECT lv, lang, source, measure, any_value(docs) AS docs,
         min(CASE WHEN 4 * u >= docs THEN CASE WHEN bucket = -100000 THEN 0.0 ELSE 2 * pow({GAMMA!r}, bucket) / {GAMMA + 1!r} END END) AS q1,
         min(CASE WHEN 4 * u >= 3 * docs THEN CASE WHEN bucket = -100000 THEN 0.0 ELSE 2 * pow({GAMMA!r}, bucket) / {GAMMA + 1!r} END END) AS q3 FROM c GROUP BY lv, lang, source, measure),
-f AS (SELECT o.lang, o.source, o.measure, CASE WHEN o.docs >= {MIN_DOCS} THEN o.q1 WHEN l.docs >= {MIN_DOCS} THEN l.q1 ELSE g.q1 END AS q1,
-        CASE WHEN o.docs >= {MIN_DOCS} THEN o.q3 WHEN l.docs >= {MIN_DOCS} THEN l.q3 ELSE g.q3 END AS q3
+f AS (SELECT o.lang, o.source, o.measure, (o.docs * o.q1 + {PRIOR} * ((l.docs * l.q1 + {PRIOR} * g.q1) / (l.docs + {PRIOR}))) / (o.docs + {PRIOR}) AS q1,
+        (o.docs * o.q3 + {PRIOR} * ((l.docs * l.q3 + {PRIOR} * g.q3) / (l.docs + {PRIOR}))) / (o.docs + {PRIOR}) AS q3
       FROM q o JOIN q l ON o.lv = 0 AND l.lv = 1 AND o.lang IS NOT DISTINCT FROM l.lang AND o.measure = l.measure JOIN q g ON g.lv = 2 AND g.measure = o.measure),
-e AS (SELECT lang, source, measure, q1 - greatest({REACH} * (q3 - q1), {_CASE}) AS low, q3 + greatest({REACH} * (q3 - q1), {_CASE}) AS high FROM f),
-b AS (SELECT y.k, bool_or(y.u.value > e.high OR (y.u.measure = 'word_length' AND y.u.value < e.low)) AS beyond
+e AS (SELECT lang, source, measure, q1 - {REACH} * (q3 - q1) AS low, q3 + {REACH} * (q3 - q1) AS high FROM f),
+b AS (SELECT y.k, bool_or(y.u.c - {SIGMAS} * sqrt(y.u.c) > e.high * y.u.n OR (y.u.measure = 'word_length' AND y.u.c + {SIGMAS} * sqrt(y.u.c) < e.low * y.u.n)) AS beyond
       FROM (SELECT k, lang, source, unnest(ms) AS u FROM x WHERE n_words > 0) y
       JOIN e ON y.lang IS NOT DISTINCT FROM e.lang AND y.source IS NOT DISTINCT FROM e.source AND y.u.measure = e.measure GROUP BY y.k)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT coalesce(beyond, false) AS kept FROM x LEFT JOIN b ON x.k = b.k
