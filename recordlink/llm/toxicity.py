@@ -1,51 +1,87 @@
 """Toxicity: a counterfactual-regularised classifier.
 
-Logistic regression on the words a text has, trained on labelled rows with the loss
-``log loss + L2 * |w|^2 + SWAP * mean over swaps of (score change)^2``, where a swap replaces an identity term of a labelled
-sentence by another one or by a neutral word (Garg et al. 2019, counterfactual logit pairing). A linear model changes its logit by
-``w[new] - w[old]``, so each pair of terms enters with the number of sentences it was swapped in.
-Training takes at most ``MOST_ROWS`` labelled documents (those with the smallest hashed id) and ``MOST_WORDS`` words; scoring reads every whole text.
+Logistic regression on the words a text has, hashed to ``2**HASH_BITS`` features, trained on labelled rows with the loss
+``log loss + L2 * |w|^2 + SWAP * mean over counterfactuals of (score change)^2`` (Garg et al. 2019, counterfactual logit pairing). A counterfactual
+changes one labelled sentence: an identity term gives way to another one of its language, or, where a sentence has none, a term of the sentence's language
+is put in. A linear model changes its logit by ``w[new] - w[old]``, or by ``w[new]``, so each pair of terms enters with the number of sentences it changes.
+Training takes labelled documents in the order of their hashed ids, at most ``MOST_ROWS`` and until they hold ``MOST_ENTRIES`` words; scoring reads every whole text.
 """
 
 from __future__ import annotations
 
 import math
 import re
+import zlib
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from recordlink.llm import common
 
-MOST_ROWS = 20_000
-MOST_WORDS = 4_000
-LEAST_DOCS = 5
-L2, SWAP, STEPS = 1e-4, 1.0, 400
+#: Bounds of the training sample: labelled rows, and different words of a row summed over them.
+MOST_ROWS, MOST_ENTRIES = 20_000, 6_000_000
+HASH_BITS = 20
+L2, SWAP, STEPS = 1e-4, 1.0, 300
 CUT = 0.3
-#: Identity terms and neutral words that stand in for each other.
-IDENTITY = ("asian", "black", "blind", "buddhist", "catholic", "christian", "deaf", "disabled", "female", "gay", "hindu", "immigrant", "jewish", "latino", "lesbian", "male", "muslim", "refugee", "trans", "white", "person", "people", "someone")
+#: Words whose weight a worker remembers; beyond that it looks them up again.
+MEMO_WORDS = 500_000
+# ---- fixed values: identity terms by language, and common words that tell a sentence's language ---
+IDENTITY = {
+    "en": ("asian", "black", "blind", "buddhist", "catholic", "christian", "deaf", "disabled", "female", "gay", "hindu", "immigrant", "jewish", "latino", "lesbian", "male", "muslim", "refugee", "trans", "white", "women", "men", "person", "people", "someone"),
+    "de": ("asiatisch", "behindert", "blind", "buddhistisch", "christlich", "flüchtling", "frauen", "jüdisch", "katholisch", "lesbisch", "männer", "muslimisch", "schwarz", "schwul", "taub", "weiß", "einwanderer", "person", "leute", "jemand"),
+    "fr": ("asiatique", "aveugle", "bouddhiste", "catholique", "chrétien", "femmes", "handicapé", "hommes", "immigré", "juif", "lesbienne", "musulman", "noir", "réfugié", "sourd", "blanc", "personne", "gens", "quelqu"),
+    "es": ("asiático", "blanco", "budista", "católico", "ciego", "cristiano", "discapacitado", "gay", "hombres", "inmigrante", "judío", "lesbiana", "mujeres", "musulmán", "negro", "refugiado", "sordo", "persona", "gente", "alguien"),
+}
+COMMON = {"en": {"the", "and", "of", "to", "is", "in"}, "de": {"der", "die", "und", "das", "ist", "von"}, "fr": {"le", "la", "les", "et", "des", "du"}, "es": {"el", "los", "las", "que", "una", "del"}}
+# --------------------------------------------------------------------------------------------------
+_TERM_LANGUAGE = [(lang, t) for lang, ts in IDENTITY.items() for t in ts]
 _TOKEN = re.compile(r"[^\W\d_]+")
+_SENTENCE = re.compile(r"[.!?\n]+")
 
 
 def words(text: str | None) -> set[str]:
     return set(_TOKEN.findall((text or "").lower()))
 
 
+def feature(word: str) -> int:
+    return xxhash.xxh32_intdigest(word) & ((1 << HASH_BITS) - 1)
+
+
 def fold(doc_id: Column) -> Column:
     """crc32 of the id as text, modulo 4; null ids belong to no fold (null)."""
     return F.crc32(doc_id.cast("string")) % 4
 
 
-def train_weights(rows: list[tuple[int, list[int]]], n_words: int, swaps: dict[tuple[int, int], int], l2: float = L2, swap: float = SWAP, steps: int = STEPS) -> tuple[float, np.ndarray]:
-    """(bias, weights) by Adam on the full batch. rows: (label, word numbers); swaps: (old, new) -> sentences."""
-    y = np.array([r[0] for r in rows], np.float64)
-    lens = np.array([len(r[1]) for r in rows])
-    idx = np.fromiter((i for r in rows for i in r[1]), np.int64, int(lens.sum()))
-    doc = np.repeat(np.arange(len(rows)), lens)
-    a, b, n = (np.array(x) for x in zip(*[(i, j, c) for (i, j), c in swaps.items()])) if swaps else (np.empty(0, int), np.empty(0, int), np.empty(0))
-    share = n / max(n.sum(), 1) * len(IDENTITY)
+def counterfactuals(text: str | None):
+    """(old term or None, new term) for each changed sentence of a text."""
+    for sentence in _SENTENCE.split((text or "").lower()):
+        ws = set(_TOKEN.findall(sentence))
+        if not ws:
+            continue
+        hits = [(lang, t) for lang, t in _TERM_LANGUAGE if t in ws]
+        best = max(len(ws & c) for c in COMMON.values())
+        langs = [lang for lang, c in COMMON.items() if len(ws & c) == best]
+        if hits:
+            for lang, old in hits:
+                if lang in langs or not any(h in langs for h, _ in hits):
+                    yield from ((old, new) for new in IDENTITY[lang] if new not in ws)
+        else:
+            terms = IDENTITY[langs[zlib.crc32(sentence.encode("utf-8", "surrogatepass")) % len(langs)]]
+            yield None, terms[zlib.crc32(sentence.encode("utf-8", "surrogatepass")) // 7 % len(terms)]
+
+
+def train_weights(labels: np.ndarray, lens: np.ndarray, idx: np.ndarray, n_words: int, swaps: dict[tuple[int, int], int], l2: float = L2, swap: float = SWAP, steps: int = STEPS) -> tuple[float, np.ndarray]:
+    """(bias, weights) by Adam on the full batch. ``idx``: feature numbers of the rows one after another, ``lens`` of each; swaps: (old or -1, new) -> sentences."""
+    y, lens = np.asarray(labels, np.float64), np.asarray(lens, np.int64)
+    doc = np.repeat(np.arange(len(y)), lens)
+    pairs = np.array(list(swaps), np.int64).reshape(-1, 2)
+    a, b = pairs[:, 0], pairs[:, 1]
+    n = np.array(list(swaps.values()), np.float64)
+    share, swapped = n / max(n.sum(), 1) * len(_TERM_LANGUAGE), a >= 0
     rate = min(max(y.mean(), 1e-3), 1 - 1e-3) if len(y) else 0.01
     w, bias = np.zeros(n_words), math.log(rate / (1 - rate))
     m, v = np.zeros(n_words + 1), np.zeros(n_words + 1)
@@ -53,8 +89,8 @@ def train_weights(rows: list[tuple[int, list[int]]], n_words: int, swaps: dict[t
         z = bias + np.bincount(doc, w[idx], len(y))
         g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / len(y)
         gw = np.bincount(idx, g[doc], n_words) + 2 * l2 * w
-        gap = 2 * swap * share * (w[b] - w[a])
-        gw += np.bincount(b, gap, n_words) - np.bincount(a, gap, n_words)
+        gap = 2 * swap * share * (w[b] - np.where(swapped, w[a], 0.0))
+        gw += np.bincount(b, gap, n_words) - np.bincount(a[swapped], gap[swapped], n_words)
         full = np.append(gw, g.sum())
         m, v = 0.9 * m + 0.1 * full, 0.999 * v + 0.001 * full * full
         step = 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
@@ -62,50 +98,66 @@ def train_weights(rows: list[tuple[int, list[int]]], n_words: int, swaps: dict[t
     return float(bias), w
 
 
-def train(docs: DataFrame, labels: DataFrame, swap: float = SWAP) -> tuple[float, dict[str, float]]:
-    """(bias, word -> weight) from ``labels`` (doc_id, toxic) joined with ``docs`` (doc_id, text). Several labels of an id: the largest; null ones are left out."""
-    spark = docs.sparkSession
+def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(toxic, n, ids, changes) of the bounded sample: features as packed 32-bit integers, and the counterfactuals of a row counted."""
     lab = labels.filter("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    lab = F.broadcast(lab.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MOST_ROWS))  # at most MOST_ROWS rows of two numbers
+    lab = lab.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MOST_ROWS)  # at most MOST_ROWS rows of two numbers
 
     def split(batches):
         for pdf in batches:
-            yield pd.DataFrame({"toxic": pdf["toxic"], "words": [sorted(words(t)) for t in pdf["text"]]})
-
-    rows = docs.select("doc_id", "text").join(lab, "doc_id").select(F.col("toxic").cast("int").alias("toxic"), "text").mapInPandas(split, "toxic int, words array<string>")
-    rows = common.written(rows, "toxicity-rows")
-    total, bad = rows.agg(F.count("*"), F.coalesce(F.sum((F.col("toxic") > 0).cast("int")), F.lit(0))).first()
-    seen = rows.select("toxic", F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n"), F.sum((F.col("toxic") > 0).cast("int")).alias("k")).filter(F.col("n") >= LEAST_DOCS)
-    expected = F.col("n") * F.lit(bad / max(total, 1))
-    chi = F.pow(F.col("k") - expected, 2) / (expected + 1e-9)
-    chosen = [r[0] for r in seen.orderBy(chi.desc(), "word").limit(MOST_WORDS).collect()]
-    vocab = {x: i for i, x in enumerate(dict.fromkeys(chosen + list(IDENTITY)))}
-
-    def number(batches):
-        for pdf in batches:
-            yield pd.DataFrame({"toxic": pdf["toxic"], "ids": [[vocab[x] for x in ws if x in vocab] for ws in pdf["words"]]})
-
-    data = [(int(r[0] > 0), list(r[1])) for r in rows.mapInPandas(number, "toxic int, ids array<int>").collect()]  # bounded by MOST_ROWS and MOST_WORDS
-    terms = [vocab[x] for x in IDENTITY]
-    swaps: dict[tuple[int, int], int] = {}
-    for _, ids in data:
-        for old in set(ids).intersection(terms):
-            for new in terms:
-                if new != old:
-                    swaps[old, new] = swaps.get((old, new), 0) + 1
-    bias, w = train_weights(sorted(data), len(vocab), swaps, swap=swap)
-    return bias, {x: float(w[i]) for x, i in vocab.items() if abs(w[i]) > 1e-4}
-
-
-def score(docs: DataFrame, carry: list[str], model: tuple[float, dict[str, float]], text: str = "text") -> DataFrame:
-    """``carry`` columns as struct ``row`` and score. Null or empty text: the score of no words. One row per input row; empty input gives an empty table."""
-    bias, weights = model
+            rows = []
+            for doc_id, toxic, text in zip(pdf["doc_id"], pdf["toxic"], pdf["text"]):
+                ids = np.unique(np.fromiter((feature(x) for x in words(text)), np.int32))
+                changes: dict = {}
+                for old, new in counterfactuals(text):
+                    k = (-1 if old is None else feature(old), feature(new))
+                    changes[k] = changes.get(k, 0) + 1
+                rows.append((doc_id, int(toxic > 0), len(ids), ids.astype("<i4").tobytes(), [(a, b, c) for (a, b), c in changes.items()]))
+            yield pd.DataFrame(rows, columns=["doc_id", "toxic", "n", "ids", "changes"])
+
+    src = docs.select("doc_id", "text").join(F.broadcast(lab), "doc_id").select("doc_id", "toxic", "text")
+    rows = common.written(src.mapInPandas(split, "doc_id long, toxic int, n long, ids binary, changes array<struct<a:int,b:int,n:long>>"), "toxicity-rows")
+    before = F.sum("n").over(W.orderBy(F.xxhash64("doc_id"), "doc_id", "ids").rowsBetween(W.unboundedPreceding, 0))  # at most MOST_ROWS ids
+    return rows.withColumn("up_to", before).filter(F.col("up_to") <= MOST_ENTRIES)
+
+
+def train(docs: DataFrame, labels: DataFrame, swap: float = SWAP) -> tuple[float, dict[int, float], int]:
+    """(bias, feature -> weight, changed sentences) from ``labels`` (doc_id, toxic) joined with ``docs`` (doc_id, text).
+
+    Several labels of an id: the largest; null ones are left out. Several texts of an id: each is a row. No labelled row: a model without weights.
+    """
+    rows = common.written(training_rows(docs, labels), "toxicity-sample")
+    data = sorted((r[0], r[1]) for r in rows.select("toxic", "ids").collect())  # bounded by MOST_ROWS and MOST_ENTRIES
+    pairs = rows.select(F.explode("changes").alias("c")).groupBy("c.a", "c.b").agg(F.sum("c.n").alias("n")).orderBy("a", "b").collect()  # at most one row for two terms
+    lens = np.array([len(ids) // 4 for _, ids in data], np.int64)
+    raw = np.frombuffer(b"".join(ids for _, ids in data), "<i4").astype(np.int64)
+    terms = np.array([feature(t) for _, t in _TERM_LANGUAGE], np.int64)
+    known, idx = np.unique(np.concatenate((raw, terms)), return_inverse=True)
+    at = {int(k): i for i, k in enumerate(known)}
+    swaps = {(at[r[0]] if r[0] >= 0 else -1, at[r[1]]): r[2] for r in pairs}
+    bias, w = train_weights(np.array([y for y, _ in data], np.float64), lens, idx[: len(raw)], len(known), swaps, swap=swap)
+    return bias, {int(k): float(x) for k, x in zip(known, w) if abs(x) > 1e-4}, int(sum(r[2] for r in pairs))
+
+
+def score(docs: DataFrame, carry: list[str], model: tuple, text: str = "text") -> DataFrame:
+    """``carry`` columns as struct ``row`` and score. Null, empty or wordless text: the score of no words. One row per input row, repeated rows alike; empty input gives an empty table. Columns of any name may be carried."""
+    bias, weights = model[0], model[1]
+    table = np.zeros(1 << HASH_BITS, np.float32)
+    table[list(weights)] = list(weights.values())
+    shared = docs.sparkSession.sparkContext.broadcast(table)  # 4 bytes for each of 2**HASH_BITS features
 
     @F.pandas_udf("double")
     def run(texts: pd.Series) -> pd.Series:
-        known = weights.keys()
-        z = [bias + sum(weights[x] for x in sorted(words(t) & known)) for t in texts]
-        return pd.Series(1 / (1 + np.exp(-np.clip(z, -30, 30))))
+        w, memo = shared.value, {}
+        z = []
+        for t in texts:
+            if len(memo) > MEMO_WORDS:
+                memo.clear()
+            seen = words(t)
+            for x in seen.difference(memo):
+                memo[x] = float(w[feature(x)])
+            z.append(bias + math.fsum(map(memo.__getitem__, seen)))
+        return pd.Series(1 / (1 + np.exp(-np.clip(np.array(z), -30, 30))))
 
     src = docs.select(F.struct(*[F.col(c) for c in carry]).alias("row"), F.col(text).alias("text"))
     return src.withColumn("score", run("text")).select("row", "score")
