@@ -5,8 +5,8 @@ Texts become sets of distinct five-word shingles (64-bit hashes). Equal sets for
 1. A count sketch of fixed size estimates document frequencies; it only defines an order, so an estimate never changes the result.
 2. Order one sorts a set's tokens by frequency, then hash. Two sets with Jaccard >= 0.8 share a token among the first ``n - ceil(0.8 n) + 1``
    of each, under every global order. Prefix tokens of order one are the join key.
-3. Star round: within a token's bucket the members meet one pivot only, and pivots repeat between buckets, so a group of k near copies gives at most about 4k pairs. A bucket
-   of a token that is frequent even so is salted, and the pivots of its parts meet in turn.
+3. Star rounds: within a token's bucket the members meet one pivot only, and pivots repeat between buckets. Each class first meets one pivot, then the others that are still in another
+   component, so a group of k near copies gives about k pairs. A bucket of a token that is frequent even so is salted, and the pivots of its parts meet in turn.
 4. Cross round: members of a bucket that are still in different components meet each other. With this no link between components is lost.
 5. A pair must pass the length bound, the bitmap bound (parities of 512 hash buckets; Sandes et al. 2020), shared prefix tokens under
    orders two and three, and at last the exact intersection. All bounds are necessary conditions.
@@ -36,6 +36,8 @@ MOST_BROADCAST = 1_000_000
 #: Shingles that a task keeps while it compares texts, 32 MB; beyond that they are made again.
 MEMO_TOKENS = 4_000_000
 BITS = [f"b{i}" for i in range(8)]
+#: Seed of the second key of a set, by which two sets of one class key are noticed.
+SECOND = 77
 _MUL = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
 
 
@@ -134,8 +136,8 @@ def prefix_length(n: int) -> int:
     return n - -(-NUM * n // DEN) + 1
 
 
-def class_key(tokens: np.ndarray) -> int:
-    return xxhash.xxh64_intdigest(tokens.tobytes()) - 2**63
+def class_key(tokens: np.ndarray, seed: int = 0) -> int:
+    return xxhash.xxh64_intdigest(tokens.tobytes(), seed) - 2**63
 
 
 def parities(tokens: np.ndarray) -> np.ndarray:
@@ -159,45 +161,48 @@ def prefix(tokens: np.ndarray, levels: np.ndarray, order: int) -> np.ndarray:
     return tokens[np.argpartition(order_keys(tokens, levels, order), p - 1)[:p]]
 
 
-_SCAN = "doc_id long, c long, n long, " + ", ".join(f"{b} long" for b in BITS) + ", part int, block int, counts binary"
+_SCAN = "doc_id long, digest long, c long, c2 long, n long, " + ", ".join(f"{b} long" for b in BITS) + ", part int, block int, counts binary"
 
 
-def _scan(batches):
-    """Document rows (doc_id, class, size, parities) and, at the end of the task, its block counts."""
-    counts, seen, some, held = np.zeros(1 << SKETCH_BITS, np.int32), set(), [], 0
-    mask = np.uint64((1 << SKETCH_BITS) - 1)
+def _scan(seed: int):
+    def run(batches):
+        """Document rows (doc_id, digest, class, a second key of the set, size, parities) and, at the end of the task, its block counts."""
+        counts, seen, some, held = np.zeros(1 << SKETCH_BITS, np.int32), set(), [], 0
+        mask = np.uint64((1 << SKETCH_BITS) - 1)
 
-    def add():
-        nonlocal counts, held
-        if some:
-            counts += np.bincount((np.concatenate(some) & mask).astype(np.int64), minlength=len(counts)).astype(np.int32)
-        some.clear()
-        held = 0
+        def add():
+            nonlocal counts, held
+            if some:
+                counts += np.bincount((np.concatenate(some) & mask).astype(np.int64), minlength=len(counts)).astype(np.int32)
+            some.clear()
+            held = 0
 
-    for pdf in batches:
-        rows = []
-        for doc_id, text in zip(pdf["doc_id"], pdf["text"]):
-            s = shingles(text)
-            c = class_key(s)
-            rows.append((doc_id, c, len(s), *(parities(s) if len(s) else [0] * 8)))
-            if len(s) and c not in seen:
-                if len(seen) < 1_000_000:
-                    seen.add(c)
-                some.append(s)
-                held += len(s)
-                if held > 2_000_000:
-                    add()
-        yield _frame(rows)
-    add()
-    part = TaskContext.get().partitionId()
-    blocks = [(i, counts[i * BLOCK : (i + 1) * BLOCK]) for i in range(len(counts) // BLOCK)]
-    blocks = [(i, x.tobytes()) for i, x in blocks if x.any()]
-    out = _frame([(None, None, None, *([None] * 8))] * len(blocks))
-    yield out.assign(part=pd.array([part] * len(blocks), "Int32"), block=pd.array([i for i, _ in blocks], "Int32"), counts=[x for _, x in blocks])
+        for pdf in batches:
+            rows = []
+            for doc_id, digest, text in zip(pdf["doc_id"], pdf["digest"], pdf["text"]):
+                s = shingles(text)
+                c = class_key(s, seed)
+                rows.append((doc_id, digest, c, class_key(s, SECOND), len(s), *(parities(s) if len(s) else [0] * 8)))
+                if len(s) and c not in seen:
+                    if len(seen) < 1_000_000:
+                        seen.add(c)
+                    some.append(s)
+                    held += len(s)
+                    if held > 2_000_000:
+                        add()
+            yield _frame(rows)
+        add()
+        part = TaskContext.get().partitionId()
+        blocks = [(i, counts[i * BLOCK : (i + 1) * BLOCK]) for i in range(len(counts) // BLOCK)]
+        blocks = [(i, x.tobytes()) for i, x in blocks if x.any()]
+        out = _frame([(None, None, None, None, None, *([None] * 8))] * len(blocks))
+        yield out.assign(part=pd.array([part] * len(blocks), "Int32"), block=pd.array([i for i, _ in blocks], "Int32"), counts=[x for _, x in blocks])
+
+    return run
 
 
 def _frame(rows) -> pd.DataFrame:
-    df = pd.DataFrame(rows, columns=["doc_id", "c", "n", *BITS]).astype("Int64")
+    df = pd.DataFrame(rows, columns=["doc_id", "digest", "c", "c2", "n", *BITS]).astype("Int64")
     return df.assign(part=pd.array([None] * len(df), "Int32"), block=pd.array([None] * len(df), "Int32"), counts=None)
 
 
@@ -220,14 +225,14 @@ def frequency_levels(blocks: DataFrame) -> np.ndarray:
     return levels
 
 
-def _postings(levels_of):
+def _postings(levels_of, seed: int = 0):
     def run(batches):
         levels, seen = levels_of.value, set()
         for pdf in batches:
             out_t, out_s, out_c = [], [], []
             for text in pdf["text"]:
                 s = shingles(text)
-                c = class_key(s)
+                c = class_key(s, seed)
                 if not len(s) or c in seen:
                     continue
                 if len(seen) < 1_000_000:
@@ -245,17 +250,20 @@ def _postings(levels_of):
     return run
 
 
-def _sets(batches):
-    """One text of each class, compressed: a third of its shingles' size or less; whoever compares it makes the shingles again."""
-    seen: set = set()
-    pack = zstandard.ZstdCompressor(level=3)
-    for pdf in batches:
-        found = {}
-        for c, text in zip(pdf["c"], pdf["text"]):
-            if c not in seen and class_key(shingles(text)) == c:
-                seen.add(c)
-                found[c] = pack.compress((text or "").encode("utf-8", "surrogatepass"))
-        yield pd.DataFrame(list(found.items()), columns=["c", "tokens"])
+def _sets(seed: int = 0):
+    def run(batches):
+        """One text of each class, compressed: a third of its shingles' size or less; whoever compares it makes the shingles again."""
+        seen: set = set()
+        pack = zstandard.ZstdCompressor(level=3)
+        for pdf in batches:
+            found = {}
+            for c, text in zip(pdf["c"], pdf["text"]):
+                if c not in seen and class_key(shingles(text), seed) == c:
+                    seen.add(c)
+                    found[c] = pack.compress((text or "").encode("utf-8", "surrogatepass"))
+            yield pd.DataFrame(list(found.items()), columns=["c", "tokens"])
+
+    return run
 
 
 def _verify(levels_of):
@@ -308,22 +316,38 @@ def live_buckets(posts: DataFrame) -> DataFrame:
 
 
 def linked_components(live: DataFrame, classes: DataFrame, fetch, verify) -> DataFrame:
-    """(node, component) of the classes that link. ``classes``: c, n and parities; ``fetch(ids)``: (c, tokens) of the wanted classes, tokens in a form that ``verify`` reads; ``verify``: confirms (a, b, x, y)."""
+    """(node, component) of the classes that link. ``classes``: c, n and parities; ``fetch(ids)``: (c, tokens) of the wanted classes, tokens in a form that ``verify`` reads; ``verify``: confirms (a, b, x, y).
+
+    Star rounds: first each class meets one pivot, the smallest of its buckets; then it meets the other pivots of its buckets that are still in another component. What is left apart meets in the cross round.
+    """
+    sets = common.written(fetch(live.select("c").distinct()), "jaccard-sets")
+    if sets.groupBy("c").count().filter("count > 1").limit(1).count():  # a class that was read in several places
+        sets = common.written(sets.dropDuplicates(["c"]), "jaccard-sets")
+
+    side = lambda name: classes.select(F.col("c").alias(f"{name}_c"), F.struct("n", *BITS).alias(name))
+
+    def ordered(pairs: DataFrame) -> DataFrame:
+        return pairs.filter("c <> p").select(F.least("c", "p").alias("a"), F.greatest("c", "p").alias("b")).distinct()
+
+    def close(pairs: DataFrame, name: str) -> DataFrame:
+        near = pairs.join(side("x"), F.col("a") == F.col("x_c")).join(side("y"), F.col("b") == F.col("y_c")).filter(_close("x", "y"))
+        return common.written(near.select("a", "b"), name)
 
     def verified(pairs: DataFrame) -> DataFrame:
-        sets = common.written(fetch(pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct()), "jaccard-sets")
-        if sets.groupBy("c").count().filter("count > 1").limit(1).count():  # a class that was read in several places
-            sets = common.written(sets.dropDuplicates(["c"]), "jaccard-sets")
         both = pairs.join(sets.select(F.col("c").alias("a"), F.col("tokens").alias("x")), "a").join(sets.select(F.col("c").alias("b"), F.col("tokens").alias("y")), "b")
         return common.written(both.select("a", "b", "x", "y").mapInPandas(verify, "a long, b long"), "jaccard-links")
 
-    side = lambda name: classes.select(F.col("c").alias(f"{name}_c"), F.struct("n", *BITS).alias(name))
+    tried = close(ordered(live.groupBy("c").agg(F.min("p").alias("p"))), "jaccard-first")
+    links = verified(tried)
+    comp = common.components(links)
+    of = lambda name: comp.select(F.col("node").alias(f"{name}_node"), F.col("component").alias(f"{name}_comp"))
     parts = live.filter("salt > 0").select("token", "p").distinct()
     parts = parts.join(parts.groupBy("token").agg(F.min("p").alias("c")), "token").select("c", "p")
-    pairs = live.select("c", "p").union(parts).filter("c <> p").select(F.least("c", "p").alias("a"), F.greatest("c", "p").alias("b")).distinct()
-    pairs = pairs.join(side("x"), F.col("a") == F.col("x_c")).join(side("y"), F.col("b") == F.col("y_c")).filter(_close("x", "y")).select("a", "b")
-    tried = common.written(pairs, "jaccard-stars")
-    links = verified(tried)
+    more = ordered(live.select("c", "p").union(parts))
+    more = more.join(of("a"), F.col("a") == F.col("a_node"), "left").join(of("b"), F.col("b") == F.col("b_node"), "left")
+    more = more.filter(F.coalesce("a_comp", "a") != F.coalesce("b_comp", "b")).select("a", "b").join(tried, ["a", "b"], "left_anti")
+    more = close(more, "jaccard-stars")
+    tried, links = tried.union(more), links.union(verified(more))
 
     comp = common.components(links)
     named = live.select("token", "c").distinct().join(comp, F.col("c") == F.col("node"), "left").select("token", "c", F.coalesce("component", "c").alias("comp"))
@@ -339,53 +363,69 @@ def linked_components(live: DataFrame, classes: DataFrame, fetch, verify) -> Dat
     once = "CASE " + " ".join(f"WHEN x.t{k} = y.t{k} THEN x.token = x.t{k}" for k in range(4)) + " ELSE true END"
     cross = members.alias("x").join(members.alias("y"), F.expr(f"x.token = y.token AND x.c < y.c AND x.comp <> y.comp AND {once} AND {_close('x', 'y', BITS)}"))
     cross = common.written(cross.select(F.col("x.c").alias("a"), F.col("y.c").alias("b")).distinct(), "jaccard-pairs").join(tried, ["a", "b"], "left_anti")
-    cross = cross.join(side("x"), F.col("a") == F.col("x_c")).join(side("y"), F.col("b") == F.col("y_c")).filter(_close("x", "y")).select("a", "b")
     return common.components(links.union(verified(common.written(cross, "jaccard-cross"))))
 
 
 def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id), one row per input row.
+    """(doc_id, digest, n_shingles, component_id, group), one row per input row; digest is xxhash64 of the text, group tells components apart also where ids are null or repeat.
 
-    Null or wordless text: empty set, linked with nothing, component_id = own id. A class whose ids are all null links with
-    nothing (component_id null). Repeated rows and equal texts share a class. Very long texts are read whole. Empty input gives an empty table.
+    Null or wordless text: empty set, linked with nothing, component_id = own id, group null. A class whose ids are all null links with
+    nothing (component_id null). Repeated rows and equal texts share a class. Very long texts are read whole. Empty input gives an empty table. Other columns are not read, so their names cannot clash.
     """
     spark = docs.sparkSession
-    src = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    scan = common.written(src.mapInPandas(_scan, _SCAN), "jaccard-scan")
-    rows = scan.filter("block is null").select("doc_id", "c", "n", *BITS)
+    src = docs.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(text).alias("digest"), F.col(text).alias("text"))
+    for seed in range(3):
+        scan = common.written(src.mapInPandas(_scan(seed), _SCAN), "jaccard-scan")
+        rows = scan.filter("block is null").select("doc_id", "digest", "c", "c2", "n", *BITS)
+        # two different sets of one 64-bit key: not to be expected below billions of sets, but then other keys are taken
+        if not rows.groupBy("c").agg(F.min("c2").alias("lo"), F.max("c2").alias("hi")).filter("lo <> hi").limit(1).count():
+            break
+    else:
+        raise RuntimeError("class keys collide")
     levels = spark.sparkContext.broadcast(frequency_levels(scan.filter("block is not null").select("part", "block", "counts")))
 
     classes = rows.filter("n > 0 and doc_id is not null").groupBy("c").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), *[F.first(b).alias(b) for b in BITS])
     classes = common.written(classes, "jaccard-classes")
 
-    posts = src.filter("doc_id is not null").select("text").mapInPandas(_postings(levels), "token long, salt int, c long")
+    posts = src.filter("doc_id is not null").select("text").mapInPandas(_postings(levels, seed), "token long, salt int, c long")
     live = live_buckets(posts)
 
     def fetch(ids: DataFrame) -> DataFrame:
         ids = common.small(common.written(ids.join(classes.select("c", "doc_id"), "c"), "jaccard-ids"), MOST_BROADCAST)
-        return src.join(ids, "doc_id").select("c", "text").mapInPandas(_sets, "c long, tokens binary")
+        return src.select("doc_id", "text").join(ids, "doc_id").select("c", "text").mapInPandas(_sets(seed), "c long, tokens binary")
 
     comp = linked_components(live, classes, fetch, _verify(levels))
     ends = classes.select("c", "doc_id").join(comp, F.col("c") == F.col("node"), "left").withColumn("comp", F.coalesce("component", "c"))
     ends = ends.select("c", "doc_id", "comp")
     linked = ends.join(comp.select("component").distinct(), F.col("comp") == F.col("component"), "left_semi")
     least = linked.groupBy("comp").agg(F.min("doc_id").alias("least"))
-    final = ends.join(least, "comp", "left").select("c", F.coalesce("least", "doc_id").alias("component_id"))
-    out = rows.select("doc_id", "c", "n").join(final, "c", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    final = ends.join(least, "comp", "left").select("c", "comp", F.coalesce("least", "doc_id").alias("component_id"))
+    out = rows.select("doc_id", "digest", "c", "n").join(final, "c", "left")
+    whole = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
+    return out.select("doc_id", "digest", F.col("n").alias("n_shingles"), whole.alias("component_id"), F.when(F.col("n") > 0, F.coalesce("comp", "c")).alias("group"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return jaccard_components(common.table(spark, sf_dir, "documents"))
+    return jaccard_components(common.table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group stays; rows that share an id count as one document, rows without an id or words all stay."""
-    out = common.written(jaccard_components(docs), "jaccard")
-    keep = out.filter("doc_id = component_id").select("doc_id").distinct()
-    one = F.row_number().over(W.partitionBy("doc_id").orderBy(F.xxhash64("text")))
-    with_id = docs.join(keep, "doc_id", "left_semi").withColumn("__n", one).filter("__n = 1").drop("__n")
-    return with_id.select(docs.columns).union(docs.filter("doc_id is null"))
+    """One row of each group stays, that with the smallest id (then the smallest digest); rows without an id or words all stay, and so do different texts under one id that do not link.
+
+    Decided by ids and digests: the texts are not shuffled for it, but for rows that stand twice.
+    """
+    out = common.written(jaccard_components(docs), "jaccard").filter("doc_id is not null and group is not null")
+    first = out.groupBy("group").agg(F.min(F.struct("doc_id", "digest")).alias("first"))
+    per = out.groupBy("group", "doc_id", "digest").agg(F.count("*").alias("k")).join(first, "group")
+    stays = F.struct("doc_id", "digest") == F.col("first")
+    gone = common.small(common.written(per.filter(~stays).select("doc_id", "digest"), "jaccard-gone"))
+    twice = common.small(common.written(per.filter(stays & (F.col("k") > 1)).select("doc_id", "digest"), "jaccard-twice"))
+    keyed = docs.withColumns({"__d": F.xxhash64("text"), "__id": F.col("doc_id").cast("long")})
+    on = lambda t: (F.col("__id") == t["doc_id"]) & (F.col("__d") == t["digest"])
+    left = keyed.join(gone, on(gone), "left_anti")
+    one = F.row_number().over(W.partitionBy("__id", "__d").orderBy(*[F.col(c) for c, kind in docs.dtypes if kind in ("string", "bigint", "int", "double")]))
+    again = left.join(twice, on(twice), "left_semi").withColumn("__n", one).filter("__n = 1")
+    return left.join(twice, on(twice), "left_anti").select(docs.columns).union(again.select(docs.columns))
 
 
 SQL = r"""

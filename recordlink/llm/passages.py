@@ -1,6 +1,6 @@
 """Substring dedup: repeated paragraphs by MinHash banding, and repeated word spans that do not depend on line ends.
 
-A paragraph is a ``\n``-line with at least ``LEAST_WORDS`` words. Paragraphs with the same set of five-word shingles form a class. ``BANDS`` bands of ``ROWS`` MinHash values
+A paragraph is a ``\n``-line; lines of fewer than ``LEAST_WORDS`` words go on in the next ones until there are as many, so that short lines are compared too (what is left at a text's end needs five words, one shingle). Paragraphs with the same set of five-word shingles form a class. ``BANDS`` bands of ``ROWS`` MinHash values
 find colliding classes: a pair with Jaccard s collides with probability 1 - (1 - s**ROWS)**BANDS, 0.9986 at 0.8 and 0.9999 at 0.9. Colliding classes are
 joined as in the n-gram join (pivots first, then what is still apart), the exact Jaccard confirms, and connected components are the clusters.
 In each cluster the first occurrence (smallest doc_id, then position) stays and all others are removals.
@@ -33,18 +33,20 @@ MOST_FINGERPRINTS = 2_000_000
 
 
 def _paragraphs(texts, group: int = 2_000_000):
-    """Lists of (text number, index, start, end, words) of long enough paragraphs, with their shingles one after another and where each one's begin; about ``group`` characters at a time."""
+    """Lists of (text number, index, start, end, words) of paragraphs, with their shingles one after another and where each one's begin; about ``group`` characters at a time."""
     spans: list = []
     raw: list[bytes] = []
     held = 0
     for k, text in enumerate(texts):
-        at = 0
-        for i, line in enumerate((text or "").split("\n")):
-            if len(line) >= 2 * LEAST_WORDS - 1:
-                spans.append((k, i, at, at + len(line)))
-                raw.append(line.encode("utf-8", "surrogatepass"))
-                held += len(line)
+        i, at, start, n = 0, 0, 0, 0
+        for line in (text or "").split("\n"):
+            n += len(line.split()) if len(line) < 12 * LEAST_WORDS else LEAST_WORDS
             at += len(line) + 1
+            if n >= LEAST_WORDS or (n >= jaccard.SHINGLE and at > len(text or "")):
+                spans.append((k, i, start, at - 1))
+                raw.append(text[start : at - 1].encode("utf-8", "surrogatepass"))
+                held += at - start
+                i, start, n = i + 1, at, 0
         if held >= group:
             yield _group(spans, raw)
             spans, raw, held = [], [], 0
@@ -53,17 +55,21 @@ def _paragraphs(texts, group: int = 2_000_000):
 
 
 def _group(spans, raw):
-    n_words, h, line = jaccard.line_shingles(raw, LEAST_WORDS)
+    n_words, h, line = jaccard.line_shingles(raw, jaccard.SHINGLE)
     begins = np.flatnonzero(np.concatenate(([True], line[1:] != line[:-1]))) if len(h) else np.empty(0, np.int64)
     return [(*spans[j], int(n_words[j])) for j in line[begins].tolist()], h, begins
 
 
+_ODD = jaccard.mixed(np.arange(BANDS * ROWS, dtype=np.uint64), 31) | np.uint64(1)
+
+
 def bands(h: np.ndarray, begins: np.ndarray) -> np.ndarray:
     """Band keys (paragraphs x BANDS) from the smallest of ``BANDS * ROWS`` permuted hashes of each paragraph."""
     keys = np.zeros((len(begins), BANDS), np.uint64)
     with np.errstate(over="ignore"):
         for i in range(BANDS * ROWS):
-            keys[:, i // ROWS] += np.minimum.reduceat(jaccard.mixed(h, 100 + i), begins) * jaccard._MUL[i % ROWS]
+            # the hashes are well mixed already: an odd factor permutes them
+            keys[:, i // ROWS] += np.minimum.reduceat(h * _ODD[i], begins) * jaccard._MUL[i % ROWS]
         return jaccard.mixed(keys + np.arange(BANDS, dtype=np.uint64), 5).view(np.int64)
 
 
