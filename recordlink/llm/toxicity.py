@@ -1,10 +1,11 @@
 """Toxicity: a counterfactual-regularised classifier.
 
-Logistic regression on the words a text has, hashed to ``2**HASH_BITS`` features, trained on labelled rows with the loss
-``log loss + L2 * |w|^2 + SWAP * mean over counterfactuals of (score change)^2`` (Garg et al. 2019, counterfactual logit pairing). A counterfactual
+Logistic regression on the words a text has and their beginnings (of 4 to 7 letters, so that inflected forms share evidence), hashed to ``2**HASH_BITS`` features, none of which is cut for being rare. Each
+feature is scaled by its log-count ratio between the two labels, smoothed by ``SMOOTH`` documents (Wang and Manning 2012), which gives rare and unrelated ones little say. It is trained on labelled rows with the loss
+``log loss + L2 * |v|^2 + SWAP * mean over counterfactuals of (score change)^2`` (Garg et al. 2019, counterfactual logit pairing). A counterfactual
 changes one labelled sentence: an identity term gives way to another one of its language, or, where a sentence has none, a term of the sentence's language
-is put in. A linear model changes its logit by ``w[new] - w[old]``, or by ``w[new]``, so each pair of terms enters with the number of sentences it changes.
-Training takes labelled documents in the order of their hashed ids, at most ``MOST_ROWS`` and until they hold ``MOST_ENTRIES`` words; scoring reads every whole text.
+is put in. A linear model changes its logit by the difference of the two terms' features, or by the new term's, so each pair of terms enters with the number of sentences it changes.
+Training takes labelled documents in the order of their hashed ids, at most ``MOST_ROWS`` and until they hold ``MOST_ENTRIES`` features; scoring reads every whole text.
 """
 
 from __future__ import annotations
@@ -12,6 +13,8 @@ from __future__ import annotations
 import math
 import re
 import zlib
+from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -22,10 +25,11 @@ from pyspark.sql import functions as F
 
 from recordlink.llm import common
 
-#: Bounds of the training sample: labelled rows, and different words of a row summed over them.
+#: Bounds of the training sample: labelled rows, and different features of a row summed over them.
 MOST_ROWS, MOST_ENTRIES = 20_000, 6_000_000
 HASH_BITS = 20
-L2, SWAP, STEPS = 1e-4, 1.0, 300
+L2, SWAP, SMOOTH, STEPS = 1e-4, 1.0, 10.0, 60
+STEMS = (4, 5, 6, 7)
 CUT = 0.3
 #: Words whose weight a worker remembers; beyond that it looks them up again.
 MEMO_WORDS = 500_000
@@ -47,8 +51,9 @@ def words(text: str | None) -> set[str]:
     return set(_TOKEN.findall((text or "").lower()))
 
 
-def feature(word: str) -> int:
-    return xxhash.xxh32_intdigest(word) & ((1 << HASH_BITS) - 1)
+def features(word: str) -> tuple[int, ...]:
+    """Numbers of the word and of its beginnings."""
+    return tuple(xxhash.xxh32_intdigest(x) & ((1 << HASH_BITS) - 1) for x in (word, *("^" + word[:n] for n in STEMS if len(word) > n)))
 
 
 def fold(doc_id: Column) -> Column:
@@ -74,28 +79,63 @@ def counterfactuals(text: str | None):
             yield None, terms[zlib.crc32(sentence.encode("utf-8", "surrogatepass")) // 7 % len(terms)]
 
 
-def train_weights(labels: np.ndarray, lens: np.ndarray, idx: np.ndarray, n_words: int, swaps: dict[tuple[int, int], int], l2: float = L2, swap: float = SWAP, steps: int = STEPS) -> tuple[float, np.ndarray]:
-    """(bias, weights) by Adam on the full batch. ``idx``: feature numbers of the rows one after another, ``lens`` of each; swaps: (old or -1, new) -> sentences."""
+def minimised(f, x: np.ndarray, steps: int, memory: int = 8) -> np.ndarray:
+    """L-BFGS with backtracking; ``f`` gives value and gradient."""
+    s, y = [], []
+    value, g = f(x)
+    for _ in range(steps):
+        d, along = g.copy(), []
+        for a, b in zip(reversed(s), reversed(y)):
+            along.append((a @ d) / (a @ b))
+            d -= along[-1] * b
+        if s:
+            d *= (s[-1] @ y[-1]) / (y[-1] @ y[-1])
+        for a, b, k in zip(s, y, reversed(along)):
+            d += a * (k - (b @ d) / (a @ b))
+        t, slope = (1.0 if s else min(1.0, 1 / max(np.abs(g).sum(), 1e-12))), g @ d
+        while True:
+            to = x - t * d
+            new, h = f(to)
+            if new <= value - 1e-4 * t * slope or t < 1e-10:
+                break
+            t /= 2
+        if (to - x) @ (h - g) > 1e-12:
+            s, y = [*s, to - x][-memory:], [*y, h - g][-memory:]
+        still = abs(value - new) < 1e-7 * max(1.0, abs(value))
+        x, value, g = to, new, h
+        if still:
+            break
+    return x
+
+
+def train_weights(labels: np.ndarray, lens: np.ndarray, idx: np.ndarray, n_features: int, changes: list[tuple], l2: float = L2, swap: float = SWAP, steps: int = STEPS) -> tuple[float, np.ndarray]:
+    """(bias, weights). ``idx``: feature numbers of the rows one after another, ``lens`` of each; changes: (lost features, new features, sentences)."""
     y, lens = np.asarray(labels, np.float64), np.asarray(lens, np.int64)
-    doc = np.repeat(np.arange(len(y)), lens)
-    pairs = np.array(list(swaps), np.int64).reshape(-1, 2)
-    a, b = pairs[:, 0], pairs[:, 1]
-    n = np.array(list(swaps.values()), np.float64)
-    share, swapped = n / max(n.sum(), 1) * len(_TERM_LANGUAGE), a >= 0
-    rate = min(max(y.mean(), 1e-3), 1 - 1e-3) if len(y) else 0.01
-    w, bias = np.zeros(n_words), math.log(rate / (1 - rate))
-    m, v = np.zeros(n_words + 1), np.zeros(n_words + 1)
-    for t in range(1, steps + 1 if len(y) else 1):
-        z = bias + np.bincount(doc, w[idx], len(y))
-        g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / len(y)
-        gw = np.bincount(idx, g[doc], n_words) + 2 * l2 * w
-        gap = 2 * swap * share * (w[b] - np.where(swapped, w[a], 0.0))
-        gw += np.bincount(b, gap, n_words) - np.bincount(a[swapped], gap[swapped], n_words)
-        full = np.append(gw, g.sum())
-        m, v = 0.9 * m + 0.1 * full, 0.999 * v + 0.001 * full * full
-        step = 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-        w, bias = w - step[:-1], bias - step[-1]
-    return float(bias), w
+    if not len(y):
+        return math.log(0.01 / 0.99), np.zeros(n_features)
+    doc, n = np.repeat(np.arange(len(y)), lens), len(y)
+    rate = min(max(y.mean(), 1e-3), 1 - 1e-3)
+    all_, pos = np.bincount(idx, minlength=n_features), np.bincount(idx, np.repeat(y, lens), n_features)
+    ratio = np.log((pos + 2 * SMOOTH * rate) / (y.sum() + SMOOTH)) - np.log((all_ - pos + 2 * SMOOTH * (1 - rate)) / (n - y.sum() + SMOOTH))
+    scale = np.abs(ratio)
+    # counterfactuals as a sparse matrix of +1 and -1
+    row = np.array([k for k, (old, new, _) in enumerate(changes) for _ in (*old, *new)], np.int64)
+    col = np.array([i for old, new, _ in changes for i in (*old, *new)], np.int64)
+    sign = np.array([v for old, new, _ in changes for v in [-1.0] * len(old) + [1.0] * len(new)])
+    share = np.array([c for _, _, c in changes], np.float64)
+    share /= max(share.sum(), 1)
+
+    def loss(x):
+        w = x[:-1] * scale
+        z = np.clip(x[-1] + np.bincount(doc, w[idx], n), -30, 30)
+        g = (1 / (1 + np.exp(-z)) - y) / n
+        gap = np.bincount(row, w[col] * sign, len(changes))
+        gw = np.bincount(idx, g[doc], n_features) + np.bincount(col, (2 * swap * share * gap)[row] * sign, n_features)
+        value = np.mean(np.logaddexp(0, z) - y * z) + l2 * (x[:-1] ** 2).sum() + swap * (share * gap * gap).sum()
+        return value, np.append(gw * scale + 2 * l2 * x[:-1], g.sum())
+
+    x = minimised(loss, np.append(np.zeros(n_features), math.log(rate / (1 - rate))), steps)
+    return float(x[-1]), x[:-1] * scale
 
 
 def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -107,22 +147,19 @@ def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
         for pdf in batches:
             rows = []
             for doc_id, toxic, text in zip(pdf["doc_id"], pdf["toxic"], pdf["text"]):
-                ids = np.unique(np.fromiter((feature(x) for x in words(text)), np.int32))
-                changes: dict = {}
-                for old, new in counterfactuals(text):
-                    k = (-1 if old is None else feature(old), feature(new))
-                    changes[k] = changes.get(k, 0) + 1
+                ids = np.unique(np.fromiter((i for x in words(text) for i in features(x)), np.int32))
+                changes = Counter((old, new) for old, new in counterfactuals(text))
                 rows.append((doc_id, int(toxic > 0), len(ids), ids.astype("<i4").tobytes(), [(a, b, c) for (a, b), c in changes.items()]))
             yield pd.DataFrame(rows, columns=["doc_id", "toxic", "n", "ids", "changes"])
 
     src = docs.select("doc_id", "text").join(F.broadcast(lab), "doc_id").select("doc_id", "toxic", "text")
-    rows = common.written(src.mapInPandas(split, "doc_id long, toxic int, n long, ids binary, changes array<struct<a:int,b:int,n:long>>"), "toxicity-rows")
+    rows = common.written(src.mapInPandas(split, "doc_id long, toxic int, n long, ids binary, changes array<struct<a:string,b:string,n:long>>"), "toxicity-rows")
     before = F.sum("n").over(W.orderBy(F.xxhash64("doc_id"), "doc_id", "ids").rowsBetween(W.unboundedPreceding, 0))  # at most MOST_ROWS ids
     return rows.withColumn("up_to", before).filter(F.col("up_to") <= MOST_ENTRIES)
 
 
 def train(docs: DataFrame, labels: DataFrame, swap: float = SWAP) -> tuple[float, dict[int, float], int]:
-    """(bias, feature -> weight, changed sentences) from ``labels`` (doc_id, toxic) joined with ``docs`` (doc_id, text).
+    """(bias, feature -> weight, counterfactuals) from ``labels`` (doc_id, toxic) joined with ``docs`` (doc_id, text).
 
     Several labels of an id: the largest; null ones are left out. Several texts of an id: each is a row. No labelled row: a model without weights.
     """
@@ -131,11 +168,14 @@ def train(docs: DataFrame, labels: DataFrame, swap: float = SWAP) -> tuple[float
     pairs = rows.select(F.explode("changes").alias("c")).groupBy("c.a", "c.b").agg(F.sum("c.n").alias("n")).orderBy("a", "b").collect()  # at most one row for two terms
     lens = np.array([len(ids) // 4 for _, ids in data], np.int64)
     raw = np.frombuffer(b"".join(ids for _, ids in data), "<i4").astype(np.int64)
-    terms = np.array([feature(t) for _, t in _TERM_LANGUAGE], np.int64)
-    known, idx = np.unique(np.concatenate((raw, terms)), return_inverse=True)
-    at = {int(k): i for i, k in enumerate(known)}
-    swaps = {(at[r[0]] if r[0] >= 0 else -1, at[r[1]]): r[2] for r in pairs}
-    bias, w = train_weights(np.array([y for y, _ in data], np.float64), lens, idx[: len(raw)], len(known), swaps, swap=swap)
+    terms = {t: features(t) for _, t in _TERM_LANGUAGE}
+    known, idx = np.unique(np.concatenate((raw, np.array([i for f in terms.values() for i in f], np.int64))), return_inverse=True)
+    at = {t: np.searchsorted(known, f).tolist() for t, f in terms.items()}
+    changes = []
+    for r in pairs:
+        old, new = set(at[r[0]]) if r[0] else set(), set(at[r[1]])
+        changes.append((sorted(old - new), sorted(new - old), r[2]))
+    bias, w = train_weights(np.array([y for y, _ in data], np.float64), lens, idx[: len(raw)], len(known), changes, swap=swap)
     return bias, {int(k): float(x) for k, x in zip(known, w) if abs(x) > 1e-4}, int(sum(r[2] for r in pairs))
 
 
@@ -147,17 +187,19 @@ def score(docs: DataFrame, carry: list[str], model: tuple, text: str = "text") -
     shared = docs.sparkSession.sparkContext.broadcast(table)  # 4 bytes for each of 2**HASH_BITS features
 
     @F.pandas_udf("double")
-    def run(texts: pd.Series) -> pd.Series:
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         w, memo = shared.value, {}
-        z = []
-        for t in texts:
-            if len(memo) > MEMO_WORDS:
-                memo.clear()
-            seen = words(t)
-            for x in seen.difference(memo):
-                memo[x] = float(w[feature(x)])
-            z.append(bias + math.fsum(map(memo.__getitem__, seen)))
-        return pd.Series(1 / (1 + np.exp(-np.clip(np.array(z), -30, 30))))
+        for texts in batches:
+            z = []
+            for t in texts:
+                if len(memo) > MEMO_WORDS:
+                    memo.clear()
+                seen = words(t)
+                for x in seen.difference(memo):
+                    memo[x] = tuple(i for i in features(x) if w[i])
+                has = sorted(set().union(*map(memo.__getitem__, seen)))
+                z.append(bias + float(w[has].sum(dtype=np.float64)) if has else bias)
+            yield pd.Series(1 / (1 + np.exp(-np.clip(np.array(z, np.float64), -30, 30))))
 
     src = docs.select(F.struct(*[F.col(c) for c in carry]).alias("row"), F.col(text).alias("text"))
     return src.withColumn("score", run("text")).select("row", "score")
