@@ -19,23 +19,45 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a temporary one only where it is unset (tests)."""
+    """The folder in ``spark.checkpoint.dir``; a temporary one only where it is unset and the master is local (tests), since executors elsewhere would not see it."""
     sc = spark.sparkContext
-    folder = sc.getConf().get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = sc.getCheckpointDir()
+    folder = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not folder:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="spark-")
         sc.setCheckpointDir(folder)
     return folder
 
 
+#: Folders that ``written`` made and ``forget`` has not removed yet.
+_folders: list[str] = []
+
+
+def folder(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder; ``forget`` removes it."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _folders.append(path)
+    return path
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends there and lost executors lose nothing."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = folder(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def forget(spark: SparkSession) -> None:
+    """Remove all intermediate tables of this session. Results that were not written elsewhere are lost with them, so call it after the job."""
+    while _folders:
+        remove(spark, _folders.pop())
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def small(df: DataFrame, most_rows: int = 100_000) -> DataFrame:
@@ -83,6 +105,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """
     cur = edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).filter("a <> b")
     cur = written(cur.mapInPandas(_forest, "a long, b long").distinct(), "edges")
+    spark = edges.sparkSession
 
     def star(e: DataFrame, large: bool) -> DataFrame:
         ordered = e.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
@@ -103,8 +126,11 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 
     before = sign(cur)
     for _ in range(most_rounds if before[0] else 0):
+        old = _folders[-1]
         cur = written(star(star(cur, True), False), "edges")
         now = sign(cur)
+        _folders.remove(old)
+        remove(spark, old)  # nothing reads the round before any more
         if now == before:
             break
         before = now

@@ -10,6 +10,8 @@ A prediction counts only if the comparison with its family's notices confirms it
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import CountVectorizer
 from pyspark.ml.functions import vector_to_array
@@ -147,24 +149,25 @@ def unknown_sample(paras: DataFrame, most: int = UNKNOWN_ROWS) -> DataFrame:
 
 
 def _made(spark: SparkSession) -> DataFrame:
-    """(family, v, w): variants of the notices, with words lost at random and with words added; and for the unknown class the sentences about licences, and notices of versions that no family has."""
+    """(family, v, w, noisy): variants of the notices, with words lost at random and with words added; and for the unknown class the sentences about licences, and notices of versions that no family has."""
     rows = [(f, t) for f, _, t in template_rows()]
     old = [(UNKNOWN, " ".join(str(int(x) + 5) if x.isdigit() else x for x in t.replace(".", " ").split())) for _, t in rows if any(x.isdigit() for x in t.replace(".", " ").split())]
     made = spark.createDataFrame([*rows, *old, *[(UNKNOWN, t) for t in ABOUT]], "family string, text string").withColumn("v", F.explode(F.sequence(F.lit(0), F.lit(VARIANTS - 1)))).withColumn("w0", _words(F.col("text")))
     decides = lambda x: x.isin(*DECIDING) | x.rlike("^[0-9]+$")
     lost = F.filter("w0", lambda x, i: decides(x) | (F.pmod(F.xxhash64(F.col("v"), i, x), F.lit(100)) >= 12) | (F.col("v") == 0))
     noise = F.transform(F.sequence(F.lit(0), F.pmod(F.xxhash64("v", "text"), F.lit(4)).cast("int")), lambda i: F.translate(F.substring(F.md5(F.concat_ws("-", F.col("v").cast("string"), i.cast("string"), F.col("text"))), 1, 6), "0123456789", "ghijklmnop"))
-    return made.select("family", "v", F.when(F.col("v") % 2 == 0, lost).otherwise(F.concat(lost, noise)).alias("w"))
+    return made.select("family", "v", F.when(F.col("v") % 2 == 0, lost).otherwise(F.concat(lost, noise)).alias("w"), (F.col("v") % 2 != 0).alias("noisy"))
 
 
 def train(spark: SparkSession, paras: DataFrame) -> tuple[DataFrame, DataFrame, list[float], float]:
     """(weights: gram, family, weight; biases: family, bias; the table of bounds; the least sum of bounds with which the cut can be reached), the cut being a column of biases."""
-    rows = common.written(_made(spark).unionByName(unknown_sample(paras).select(F.lit(UNKNOWN).alias("family"), F.pmod("h", F.lit(10)).cast("int").alias("v"), "w")), "license-rows")
+    rows = common.written(_made(spark).unionByName(unknown_sample(paras).select(F.lit(UNKNOWN).alias("family"), F.pmod("h", F.lit(10)).cast("int").alias("v"), "w", F.lit(False).alias("noisy"))), "license-rows")
     names = [*NAMES, UNKNOWN]
     label = F.array_position(F.array(*map(F.lit, names)), F.col("family")) - 1
-    rows = rows.select("family", (F.col("v") % 5 == 4).alias("held"), label.cast("double").alias("label"), _grams(F.col("w")).cast("array<string>").alias("grams"))
-    counts = CountVectorizer(inputCol="grams", outputCol="features", binary=True, minDF=1, vocabSize=1 << 20).fit(rows.filter("family <> 'unknown'"))  # every n-gram of the notices and their variants
-    data = counts.transform(rows).repartition(8).cache()
+    rows = rows.select("family", (F.col("v") % 5 == 4).alias("held"), label.cast("double").alias("label"), _grams(F.col("w")).cast("array<string>").alias("grams"), "noisy")
+    plain = rows.filter("family <> 'unknown' and not noisy")
+    counts = CountVectorizer(inputCol="grams", outputCol="features", binary=True, minDF=1, vocabSize=1 << 20).fit(plain)  # every n-gram of the notices and of what is left of them without some words
+    data = common.written(counts.transform(rows).select("family", "held", "label", "features").repartition(8), "license-vectors")
     share = {r[0]: r[1] for r in rows.groupBy("family").count().collect()}  # one row per family
     weigh = F.create_map(*[F.lit(x) for f, n in share.items() for x in (f, (8000.0 if f == UNKNOWN else 1000.0) / n)])
     model = LogisticRegression(maxIter=40, regParam=5e-3, elasticNetParam=0.7, family="multinomial", weightCol="weight").fit(data.filter("not held").withColumn("weight", weigh[F.col("family")]))
@@ -180,13 +183,10 @@ def train(spark: SparkSession, paras: DataFrame) -> tuple[DataFrame, DataFrame,
             table[int(g) % (1 << TABLE_BITS)] += float(x)
     least = float(-(max(bias[:-1] - bias[-1])) + _logit(cut))
     weights = [(int(g), names[f], float(matrix[f][i])) for i, g in enumerate(counts.vocabulary) for f in range(len(names)) if abs(matrix[f][i]) > 1e-6]
-    data.unpersist()
     return spark.createDataFrame(weights, "gram long, family string, weight double"), spark.createDataFrame([(names[f], float(bias[f]), float(cut)) for f in range(len(names))], "family string, bias double, cut double"), table, least
 
 
 def _logit(p: float) -> float:
-    import math
-
     return math.log(p / (1 - p))
 
 

@@ -1,9 +1,10 @@
 """Embedding near-duplicates by hierarchical navigable small-world graphs, one per shard.
 
 Equal vectors form a class first, so copies cost one vector. Classes are dealt to shards by hash; each shard's graph is built in a
-task of its own, in batches (layers with a sixteenth of the nodes each, neighbours chosen by the diversity rule of Malkov and Yashunin 2018).
-Every class then queries every shard, in blocks. A task audits itself: the exact hits of a stated query sample are compared with the graph's,
-and the beam widens until their recall is at least ``RECALL``. A query whose beam is full of hits has more than the beam holds
+task of its own, in batches (layers with a sixteenth of the nodes each, neighbours chosen by the diversity rule of Malkov and Yashunin 2018), and written to the shared folder.
+Every class then queries every shard: a task holds a block of queries and streams the graphs past it, one at a time, so no vector is shuffled once for each shard. For each graph a task audits itself: the exact
+hits of sampled queries, as many as it takes to see ``AUDIT_PAIRS`` true pairs, are compared with the graph's, and the beam widens until their recall is at least ``RECALL``; truths and hits are also counted
+over all tasks, and should that recall be below, all is searched again with a wider beam. A query whose beam is full of hits has more than the beam holds
 and is compared with its whole shard. Candidates are confirmed in double precision; links are united by connected components.
 """
 
@@ -22,7 +23,8 @@ COSINE = 0.9
 SHARD_ROWS, LEAST_SHARDS = 50_000, 6
 BLOCK_ROWS, LEAST_BLOCKS = 25_000, 2
 LINKS, FANOUT, BEAM_BUILD, BEAM = 24, 16, 48, 48
-AUDIT, RECALL = 64, 0.99
+#: Queries of an audit step, steps at most, true pairs that are enough, and the recall wanted.
+AUDIT, AUDIT_STEPS, AUDIT_PAIRS, RECALL = 64, 16, 50, 0.99
 
 
 class Graph:
@@ -185,79 +187,133 @@ def _graph(key, pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"dim": [int(key[0])], "shard": [int(key[1])], "graph": [out.getvalue()]})
 
 
-def _query(key, graphs: pd.DataFrame, pdf: pd.DataFrame) -> pd.DataFrame:
-    """Rows (c, links, null) for each query class and forest edges (c, null, other) of the links met here."""
-    if not len(graphs) or not len(pdf):
-        return pd.DataFrame({"c": [], "links": [], "other": []}).astype("Int64")
-    z = np.load(io.BytesIO(graphs["graph"].iloc[0]))
-    c, w, unit = z["c"], z["w"], _unit(z["x"])
-    depth = sum(k.startswith("nodes") for k in z.files)
-    g = Graph(unit.astype(np.float32), c, [(z[f"nodes{i}"], z[f"near{i}"]) for i in range(depth)])
-    pdf = pdf.sort_values("c")
-    qc, qx = pdf["c"].to_numpy(), _unit(_matrix(pdf["v"]))
-    q = qx.astype(np.float32)
-    least = COSINE - 1e-4
-    beam, sample = BEAM, np.linspace(0, len(q) - 1, min(AUDIT, len(q))).astype(int)
-    truth = [set(np.flatnonzero(r)) for r in q[sample] @ g.unit.T >= least]
-    while beam < len(c):
-        got = g.hits(q[sample], beam, least)
-        if sum(len(t.intersection(f)) for t, f in zip(truth, got)) >= RECALL * sum(map(len, truth)):
+def _open_graphs(uri: str):
+    """(dim, c, w, unit vectors in double precision, graph) of each shard in the shared folder, one at a time."""
+    import pyarrow.fs
+    import pyarrow.parquet
+
+    files, root = pyarrow.fs.FileSystem.from_uri(uri)
+    for info in sorted(files.get_file_info(pyarrow.fs.FileSelector(root)), key=lambda i: i.path):
+        if not info.path.endswith(".parquet"):
+            continue
+        with files.open_input_file(info.path) as f:
+            for batch in pyarrow.parquet.ParquetFile(f).iter_batches(batch_size=1):
+                for row in batch.to_pylist():
+                    z = np.load(io.BytesIO(row["graph"]))
+                    c, unit = z["c"], _unit(z["x"])
+                    depth = sum(k.startswith("nodes") for k in z.files)
+                    yield row["dim"], c, z["w"], unit, Graph(unit.astype(np.float32), c, [(z[f"nodes{i}"], z[f"near{i}"]) for i in range(depth)])
+
+
+def _audited(g: Graph, q: np.ndarray, beam: int, least: float) -> tuple[int, int, int]:
+    """(beam, true pairs, found ones): the beam, widened until the audit passes."""
+    order = np.random.Generator(np.random.PCG64(len(q))).permutation(len(q))
+    sample, truth = [], []
+    for i in range(0, min(len(q), AUDIT * AUDIT_STEPS), AUDIT):
+        part = order[i : i + AUDIT]
+        truth += [set(np.flatnonzero(r)) for r in q[part] @ g.unit.T >= least]
+        sample += part.tolist()
+        if sum(len(t) > 1 for t in truth) >= AUDIT_PAIRS:  # each query may find itself
             break
+    total = sum(map(len, truth))
+    while True:
+        found = sum(len(t.intersection(f)) for t, f in zip(truth, g.hits(q[sample], beam, least))) if beam < len(g.unit) else total
+        if found >= RECALL * total or beam >= len(g.unit):
+            return beam, total, found
         beam *= 2
-    parent: dict = {}
-
-    def root(v):
-        while parent.setdefault(v, v) != v:
-            parent[v] = v = parent[parent[v]]
-        return v
-
-    links = np.zeros(len(q), np.int64)
-    for lo in range(0, len(q), 1024):
-        part = q[lo : lo + 1024]
-        found = g.hits(part, beam, least) if beam < len(c) else [np.flatnonzero(r) for r in part @ g.unit.T >= least]
-        for i, f in enumerate(found, lo):
-            f = f[unit[f] @ qx[i] >= COSINE]
-            f = f[c[f] != qc[i]]
-            links[i] = w[f].sum()
-            for o in c[f].tolist() if len(f) else ():
-                a, b = root(int(qc[i])), root(o)
-                if a != b:
-                    parent[max(a, b)] = min(a, b)
-    edges = [(k, root(k)) for k in list(parent) if root(k) != k]
-    a = pd.DataFrame({"c": qc, "links": links, "other": None})
-    b = pd.DataFrame({"c": [e[0] for e in edges], "links": None, "other": [e[1] for e in edges]})
-    return pd.concat([a.astype("Int64"), b.astype("Int64")])
-
-
-def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+
+
+def _search(uri: str, beam: int):
+    """Blocks of queries past every graph: rows (c, links) for each query class, forest edges (c, other) of the links met, and what the audits saw (truth, found)."""
+
+    def block(ids: np.ndarray, x: np.ndarray):
+        qx = _unit(x)
+        q, least = qx.astype(np.float32), COSINE - 1e-4
+        parent: dict = {}
+
+        def root(v):
+            while parent.setdefault(v, v) != v:
+                parent[v] = v = parent[parent[v]]
+            return v
+
+        links, truth, found = np.zeros(len(q), np.int64), 0, 0
+        for dim, c, w, unit, g in _open_graphs(uri):
+            if dim != q.shape[1]:
+                continue
+            wide, t, f = _audited(g, q, beam, least)
+            truth, found = truth + t, found + f
+            for lo in range(0, len(q), 1024):
+                part = q[lo : lo + 1024]
+                hits = g.hits(part, wide, least) if wide < len(c) else [np.flatnonzero(r) for r in part @ g.unit.T >= least]
+                for i, near in enumerate(hits, lo):
+                    near = near[unit[near] @ qx[i] >= COSINE]
+                    near = near[c[near] != ids[i]]
+                    links[i] += w[near].sum()
+                    for o in c[near].tolist() if len(near) else ():
+                        a, b = root(int(ids[i])), root(o)
+                        if a != b:
+                            parent[max(a, b)] = min(a, b)
+        edges = [(k, root(k)) for k in list(parent) if root(k) != k]
+        parts = [pd.DataFrame({"c": ids, "links": links}), pd.DataFrame(edges, columns=["c", "other"]), pd.DataFrame({"truth": [truth], "found": [found]})]
+        return pd.concat([d.reindex(columns=["c", "links", "other", "truth", "found"]).astype("Int64") for d in parts if len(d)])
+
+    def run(batches):
+        held: dict[int, list] = {}
+
+        def ready(dim):
+            rows = held.pop(dim)
+            return block(np.concatenate([r[0] for r in rows]), np.vstack([r[1] for r in rows]))
+
+        for pdf in batches:
+            for dim, some in pdf.groupby("dim"):
+                held.setdefault(int(dim), []).append((some["c"].to_numpy(np.int64), _matrix(some["v"])))
+                if sum(len(r[0]) for r in held[int(dim)]) >= BLOCK_ROWS:
+                    yield ready(int(dim))
+        for dim in list(held):
+            yield ready(dim)
+
+    return run
+
+
+def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", beam: int = BEAM) -> DataFrame:
     """(vec_id, n_links, component_id, kept), one row per input row.
 
     Null, zero or empty vectors and those with null or non-finite components: no links, component_id = own id. Vectors of different lengths are not
-    compared. Repeated vectors link with each other. A null id never names a component. Empty input gives an empty table.
+    compared. Repeated vectors, and rows that stand twice, link with each other. A null id never names a component. Empty input gives an empty table. Other columns are not read, so their names cannot clash.
     """
+    spark = vectors.sparkSession
     v = F.col(vector).cast("array<double>")
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     usable = F.coalesce(finite & F.exists(v, lambda x: x != 0), F.lit(False))
     rows = vectors.select(F.col(key).cast("long").alias("vec_id"), F.when(usable, F.transform(v, lambda x: x + 0.0)).alias("v"))
-    rows = rows.withColumn("c", F.when(F.col("v").isNotNull(), F.xxhash64("v")))
-    classes = rows.filter("c is not null").groupBy("c").agg(F.first("v").alias("v"), F.count("*").alias("w"), F.min("vec_id").alias("least"))
-    classes = common.written(classes.withColumn("dim", F.size("v")), "vectors")
+    exact = rows.filter("v is not null").groupBy("v").agg(F.count("*").alias("w"), F.min("vec_id").alias("least"))  # by the values themselves
+    for seed in range(3):
+        c = F.xxhash64(F.lit(seed), "v")
+        classes = common.written(exact.select(c.alias("c"), "v", "w", "least", F.size("v").alias("dim")), "vectors")
+        if not classes.groupBy("c").count().filter("count > 1").limit(1).count():  # two vectors of one number: then other numbers are taken
+            break
+    else:
+        raise RuntimeError("class numbers collide")
     n = classes.count()
     shards, blocks = max(LEAST_SHARDS, -(-n // SHARD_ROWS)), max(LEAST_BLOCKS, -(-n // BLOCK_ROWS))
     shard = F.pmod(F.xxhash64("c"), F.lit(shards)).cast("int")
     graphs = classes.select("dim", shard.alias("shard"), "c", "v", "w").groupBy("dim", "shard").applyInPandas(_graph, "dim int, shard int, graph binary")
-    graphs = common.written(graphs, "graphs").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    queries = classes.select("dim", "c", "v", F.pmod(F.xxhash64("c", F.lit(1)), F.lit(blocks)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
-    keys = ["dim", "shard", "block"]
-    found = graphs.groupBy(*keys).cogroup(queries.groupBy(*keys)).applyInPandas(_query, "c long, links long, other long")
-    found = common.written(found, "vector-links")
-    links = found.filter("other is null").groupBy("c").agg(F.sum("links").alias("links"))
+    path = common.folder(spark, "graphs")
+    graphs.write.parquet(path)
+    queries = classes.select("dim", "c", "v").repartition(blocks, "c")
+    while True:
+        found = common.written(queries.mapInPandas(_search(path, beam), "c long, links long, other long, truth long, found long"), "vector-links")
+        truth, hits = found.agg(F.coalesce(F.sum("truth"), F.lit(0)), F.coalesce(F.sum("found"), F.lit(0))).first()
+        if hits >= RECALL * truth or beam >= SHARD_ROWS:
+            break
+        beam *= 2
+    links = found.filter("links is not null").groupBy("c").agg(F.sum("links").alias("links"))
     comp = common.components(found.filter("other is not null").select(F.col("c").alias("a"), F.col("other").alias("b")))
     ends = classes.select("c", "w", "least").join(links, "c", "left").join(comp, F.col("c") == F.col("node"), "left").withColumn("comp", F.coalesce("component", "c"))
     ends = ends.select("c", "w", "least", "links", "comp")
     smallest = ends.groupBy("comp").agg(F.min("least").alias("component_id"))
     ends = ends.join(smallest, "comp").select("c", (F.coalesce("links", F.lit(0)) + F.col("w") - 1).alias("n_links"), "component_id")
-    out = rows.select("vec_id", "c").join(ends, "c", "left")
+    out = rows.select("vec_id", F.when(F.col("v").isNotNull(), c).alias("c")).join(ends, "c", "left")
     out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 
