@@ -104,6 +104,10 @@ def with_code(df: DataFrame, raw: str) -> DataFrame:
     return df.withColumns({"code_canonical": code_canonical(F.col("code_text"), F.col("code")), "code_variants": code_variants(F.col("code_text"), F.col("code"))})
 
 
+def looks_like_code(p: Column) -> Column:
+    return p.isNotNull()
+
+
 def code_canonical(t: Column, p: Column) -> Column:
     """PREFIX-REGIONNUMBER, or the cleaned text where it is no code."""
     return F.coalesce(F.concat(p["prefix"], F.lit("-"), F.coalesce(p["region"], F.lit("")), p["number"]), t)

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from recordlink.functions import decide, text
+from recordlink.functions import decide, shared, similarity, text
+from recordlink.operators import ladder, lookup
 
 
 def name_variants(card: DataFrame, alt: DataFrame) -> DataFrame:
@@ -30,12 +31,33 @@ def code_catalogue(prints: DataFrame) -> DataFrame:
     return g.select("code", F.when(F.col("n_cards") == 1, F.col("c")).alias("code_card"), F.when(F.col("n_prints") == 1, F.col("p")).alias("code_print"), "n_cards", "n_prints")
 
 
+def code_resolution(readings: DataFrame, prints: DataFrame) -> DataFrame:
+    """One row per reading: code, position, code_card, code_print, n_cards, n_prints (null without a hit), region, parsed, prefix_known and code_score (1 hit, 0.5 known prefix, 0).
+
+    The first variant of the read code that the catalogue has wins. Without one, a code of another region is tried as an English one. A region of two letters or none is taken as read;
+    one of a single letter only with a hit.
+    """
+    r = text.with_code(readings.select("reading_id", "raw_code"), "raw_code")
+    r = shared.written(r.select("reading_id", "code.prefix", "code.region", "code.number", "code_variants"), "read-codes")
+    english = F.when(F.col("region") != "EN", F.concat("prefix", F.lit("-EN"), "number"))
+    tried = F.concat("code_variants", F.array_compact(F.array(english)))
+    rows = r.select("reading_id", F.size("code_variants").alias("own"), F.posexplode_outer(tried).alias("position", "code"))  # outer: an inferred filter would be pushed down and run the expressions again
+    catalogue = code_catalogue(prints)
+    hits = rows.join(catalogue, "code")
+    cols = ["position", "own", "code", "code_card", "code_print", "n_cards", "n_prints"]
+    best = hits.groupBy("reading_id").agg(F.min(F.struct(*cols)).alias("m")).select("reading_id", "m.*")
+    known = prints.select(F.col("set_prefix").alias("k_prefix")).distinct()
+    j = r.select("reading_id", "prefix", F.col("region").alias("read_region")).join(best, "reading_id", "left").join(known, F.col("prefix") == F.col("k_prefix"), "left")
+    # with a hit of its own the region is the hit's; a hit of the English code keeps the region that was read
+    hit_region = F.nullif(F.regexp_extract("code", f"-({'|'.join(text.REGIONS_TWO)}|[{''.join(text.REGIONS_ONE)}](?=[0-9]+$))", 1), F.lit(""))
+    region = F.when(F.col("position") < F.col("own"), hit_region).when(F.length("read_region") >= 2, F.col("read_region"))
+    score = F.when(F.col("code").isNotNull(), 1.0).when(F.col("k_prefix").isNotNull(), 0.5).otherwise(0.0)
+    return j.select("reading_id", *[c for c in cols if c != "own"], region.alias("region"), F.col("prefix").isNotNull().alias("parsed"), F.col("k_prefix").isNotNull().alias("prefix_known"), score.alias("code_score"))
+
+
 def resolve_codes(readings: DataFrame, prints: DataFrame) -> DataFrame:
-    """(reading_id, code, position, code_card, code_print, n_cards, n_prints): the first variant of the read code that the catalogue has."""
-    rows = text.with_code(readings.select("reading_id", "raw_code"), "raw_code").select("reading_id", F.posexplode_outer("code_variants").alias("position", "code"))  # outer: an inferred filter would be pushed down and run the expressions again
-    hits = rows.join(code_catalogue(prints), "code")
-    cols = ["position", "code", "code_card", "code_print", "n_cards", "n_prints"]
-    return hits.groupBy("reading_id").agg(F.min(F.struct(*cols)).alias("m")).select("reading_id", "m.*")
+    """(reading_id, position, code, code_card, code_print, n_cards, n_prints) of the readings whose code the catalogue has."""
+    return code_resolution(readings, prints).filter("code is not null").select("reading_id", "position", "code", "code_card", "code_print", "n_cards", "n_prints")
 
 
 def resolve_ids(readings: DataFrame, card: DataFrame) -> DataFrame:
@@ -44,26 +66,46 @@ def resolve_ids(readings: DataFrame, card: DataFrame) -> DataFrame:
     return ids.filter("card_id is not null").join(card.select("card_id"), "card_id").select("reading_id", F.col("card_id").alias("id_card"))
 
 
-def match(readings: DataFrame, card: DataFrame, alt: DataFrame, prints: DataFrame) -> DataFrame:
-    """One row per reading: card, print, confidence and decision from name, code and id together.
+def match(readings: DataFrame, card: DataFrame, alt: DataFrame, prints: DataFrame, scorer=similarity.native, lengths: bool = True) -> DataFrame:
+    """One row per reading: card, print, name score, margin, language, tier, confidence and decision from name, code and id together.
 
-    A valid id fixes the card unless the code, or the name where no code confirms, says another one; then a person decides. Without an id the name's card is confirmed
-    or contradicted by the code's card; a code alone always goes to a person.
+    The name runs through the tiers of ``ladder``; its best candidate is reconciled with the code's card, and the margin is measured after promotion. A valid id fixes the card unless the code, or the
+    name where no code confirms, says another one; then a person decides. A code without any name candidate always goes to a person.
     """
-    df = readings.join(exact_names(readings, name_variants(card, alt)), "reading_id", "left").join(resolve_codes(readings, prints), "reading_id", "left").join(resolve_ids(readings, card), "reading_id", "left")
-    by_id, by_code, by_name = F.col("id_card"), F.col("code_card"), F.col("name_card")
+    base = readings.select("reading_id", text.normalize_strict(F.col("raw_name")).alias("typed"), "raw_code", "raw_id", *[c for c in ("truth",) if c in readings.columns])
+    base = shared.written(base, "readings")  # three branches read it
+    found = ladder.candidates(base.select("typed"), name_variants(card, alt), scorer, lengths=lengths)
+    lists = found.groupBy("typed").agg(F.sort_array(F.collect_list(F.struct("place", "card_id", "score", "language", "tier"))).alias("names"))  # at most ladder.TOP
+    j = base.join(lists, "typed", "left").join(code_resolution(base, prints), "reading_id", "left").join(resolve_ids(base, card), "reading_id", "left")
+    return decided(j).select(
+        "reading_id", "card_id", "print_id", "name_score", "margin", "language", "tier", "confidence", "decision", *[c for c in ("truth",) if c in readings.columns],
+    )
+
+
+def decided(j: DataFrame) -> DataFrame:
+    """Target, scores and route from columns names (candidates in order), code, code_card, code_print, code_score, region and id_card."""
+    first, second = F.get("names", F.lit(0)), F.get("names", F.lit(1))
+    own = F.get(F.filter("names", lambda x: x["card_id"] == F.col("code_card")), F.lit(0))
+    j = j.withColumns({"_f": first, "_s": second["score"], "_o": own["score"]})
+    top = F.col("_f.score")
+    promoted = F.coalesce((F.col("code_card") != F.col("_f.card_id")) & (top - F.col("_o") <= lookup.PROMOTE_GAP + 1e-9), F.lit(False))
+    j = j.withColumn("_p", promoted)
+    j = j.withColumns({
+        "by_name": F.when(F.col("_p"), F.col("code_card")).otherwise(F.col("_f.card_id")), "_score": F.when(F.col("_p"), F.col("_o")).otherwise(top),
+        "margin": F.when(F.col("_f").isNotNull(), F.round(F.coalesce(F.when(F.col("_p"), F.col("_o") - top).otherwise(top - F.col("_s")), F.lit(1.0)), 9)),
+        "agreement": F.when(F.col("code_card").isNotNull() & F.col("_f").isNotNull(), F.col("_p") | (F.col("code_card") == F.col("_f.card_id"))),
+    })
+    by_id, by_code, by_name = F.col("id_card"), F.col("code_card"), F.col("by_name")
     conflict = F.coalesce(by_code != by_id, F.lit(False)) | (F.coalesce(by_name != by_id, F.lit(False)) & ~F.coalesce(by_code == by_id, F.lit(False)))
-    agreement = F.when(by_name.isNotNull() & by_code.isNotNull(), by_name == by_code)
-    score = decide.confidence(by_name.isNotNull(), F.lit(1.0), F.lit(1.0), agreement, F.lit(1.0))
-    route = decide.decision(by_name.isNotNull(), score, agreement, F.lit(1.0))
+    j = j.withColumn("_c", decide.confidence(by_name.isNotNull(), F.col("_score"), F.coalesce("code_score", F.lit(0.0)), F.col("agreement"), F.col("margin")))
+    route = decide.decision(by_name.isNotNull(), F.col("_c"), F.col("agreement"), F.col("margin"))
     target = F.when(by_id.isNotNull(), by_id).when(by_name.isNotNull(), by_name).otherwise(by_code)
-    with_print = F.when(target == by_code, F.col("code_print"))
-    return df.select(
-        "reading_id", target.alias("card_id"), with_print.alias("print_id"),
-        F.when(by_id.isNotNull(), F.when(conflict, 0.45).otherwise(1.0)).when(by_name.isNotNull(), score).otherwise(0.0).alias("confidence"),
-        F.when(by_id.isNotNull(), F.when(conflict, "manual").otherwise("auto")).when(by_name.isNotNull(), route).when(F.col("code").isNotNull(), F.when(by_code.isNull(), "unmatched").otherwise("manual")).otherwise("unmatched").alias("decision"),
-        *[c for c in ("truth",) if c in readings.columns],
-    )
+    j = j.withColumn("_t", target)
+    return j.withColumns({
+        "card_id": F.col("_t"), "print_id": F.when(F.col("_t") == by_code, F.col("code_print")), "name_score": F.col("_score"), "language": F.coalesce("region", F.col("_f.language")), "tier": F.col("_f.tier"),
+        "confidence": F.round(F.when(by_id.isNotNull(), F.when(conflict, 0.45).otherwise(1.0)).when(by_name.isNotNull(), F.col("_c")).otherwise(0.0), 9),
+        "decision": F.when(by_id.isNotNull(), F.when(conflict, "manual").otherwise("auto")).when(by_name.isNotNull(), route).when(F.col("code").isNotNull() & by_code.isNotNull(), "manual").otherwise("unmatched"),
+    })
 
 
 def postings(docs: DataFrame, key: str, body: str) -> DataFrame:
@@ -75,33 +117,52 @@ def postings(docs: DataFrame, key: str, body: str) -> DataFrame:
 def bm25(index: DataFrame, docs_count: DataFrame, queries: DataFrame, key: str, k: int = 10, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """Top ``k`` documents of each query (query_id, token): score = sum of idf * tf part; idf is at least 1e-6. Ties: smaller key first.
 
-    ``docs_count``: one row with n (documents) and avgdl. The frequency of each token is computed for query tokens only.
+    ``docs_count``: one row with n (documents) and avgdl. Only postings of query tokens are kept (written once), and the frequency of each is counted there.
     """
-    wanted = queries.select("query_id", "token").distinct()
-    hit = index.join(wanted.select("token").distinct(), "token", "left_semi")
-    df = hit.groupBy("token").agg(F.count("*").alias("df"))
+    wanted = shared.written(queries.select("query_id", "token").distinct(), "query-tokens")
+    hit = shared.written(index.join(shared.small(wanted.select("token").distinct()), "token", "left_semi"), "query-postings")
+    df = hit.groupBy("token").agg(F.count("*").alias("df")).crossJoin(F.broadcast(docs_count))  # one row of totals
     idf = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
+    df = wanted.join(df, "token").select("query_id", "token", "avgdl", idf.alias("idf"))
     part = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    rows = hit.join(df, "token").crossJoin(F.broadcast(docs_count)).select("token", key, (idf * part).alias("s"))  # one row of totals
-    scored = wanted.join(rows, "token").groupBy("query_id", key).agg(F.sum("s").alias("score"))
+    scored = hit.join(df, "token").groupBy("query_id", key).agg(F.sum(F.col("idf") * part).alias("score"))
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.round("score", 9).desc(), key))
     return scored.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
 def blocked_similarity(left: DataFrame, right: DataFrame, cutoff: float = 0.7, grams: int = 3) -> DataFrame:
-    """(l_id, r_id, score) with edit similarity >= cutoff, among pairs that share one of their rarest 3-grams (prefix filter on the gram sets).
+    """(l_id, r_id, score) with edit similarity >= cutoff; complete.
 
-    ``left`` and ``right``: (id, name). With d = (1 - cutoff) * length allowed edits, each edit touches at most ``grams`` grams, so two names that match share one of the first ``grams * d + 1``.
+    ``left`` and ``right``: (id, name), ids unique. A name of n characters may differ by at most d = n * (1 - cutoff) / cutoff edits from one it matches, and each edit touches at most ``grams`` of its different grams. A name with more
+    than ``grams * d`` of them shares one of its ``grams * d + 1`` rarest with each match, if that one has as many too; such names meet by grams, near the same place. The others meet by length.
+    Only ids and numbers take part in the joins; names are fetched for the pairs that are left.
     """
-    g = lambda d, p: d.select(F.col("id").alias(f"{p}_id"), F.col("name").alias(f"{p}_name"), F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("name") - grams + 1, F.lit(1))), lambda i: F.substring(F.col("name"), i, F.lit(grams)))).alias("g"))
-    # names may repeat: only distinct ones are compared
-    a, b = g(left, "l"), g(right, "r")
-    both = a.select(F.explode("g").alias("gram")).unionByName(b.select(F.explode("g").alias("gram"))).groupBy("gram").agg(F.count("*").alias("n"))
-    def keyed(d, p):
-        rows = d.select(f"{p}_id", f"{p}_name", F.explode("g").alias("gram")).join(both, "gram")
-        rank = F.row_number().over(W.partitionBy(f"{p}_id").orderBy("n", "gram"))
-        most = F.floor(F.lit(grams) * F.floor(F.lit(1 - cutoff) * F.length(f"{p}_name") / F.lit(cutoff)) + 1)
-        return rows.withColumn("k", rank).filter(F.col("k") <= most).select(f"{p}_id", f"{p}_name", "gram")
-    near = keyed(a, "l").join(keyed(b, "r"), "gram").filter(F.least(F.length("l_name"), F.length("r_name")) >= cutoff * F.greatest(F.length("l_name"), F.length("r_name")))
-    pairs = near.select("l_id", "r_id", "l_name", "r_name").distinct()
-    return pairs.withColumn("score", text.edit_similarity(F.col("l_name"), F.col("r_name"))).filter(F.col("score") >= cutoff).select("l_id", "r_id", "score")
+    size = lambda: F.length("name")
+
+    def prepared(d: DataFrame, side: str) -> DataFrame:
+        g = F.transform(F.sequence(F.lit(1), F.greatest(size() - grams + 1, F.lit(1))), lambda i: F.struct(F.substring(F.col("name"), i, F.lit(grams)).alias("gram"), i.alias("at")))
+        d = d.select("id", "name", size().alias("n"), F.floor(size() * ((1 - cutoff) / cutoff) + 1e-9).cast("int").alias("d"), g.alias("g"))
+        few = F.size(F.array_distinct(F.transform("g", lambda x: x["gram"]))) <= grams * F.col("d")
+        return shared.written(d.withColumn("few", few), f"names-{side}")
+
+    a, b = prepared(left, "left"), prepared(right, "right")
+    each = lambda d: d.filter("not few").select("id", "n", "d", F.explode("g").alias("g")).select("id", "n", "d", "g.gram", "g.at")
+    counts = shared.written(each(a).select("gram").unionByName(each(b).select("gram")).groupBy("gram").agg(F.count("*").alias("k")), "gram-counts")
+    counts = shared.small(counts, 1_000_000)  # a gram and a number
+
+    def keyed(d: DataFrame, p: str) -> DataFrame:
+        rows = each(d).join(counts, "gram").groupBy("id", "n", "d").agg(F.sort_array(F.collect_list(F.struct("k", "gram", "at"))).alias("g"))  # a name's grams
+        rarest = F.array_distinct(F.transform("g", lambda x: F.struct(x["k"], x["gram"])))
+        limit = F.get(rarest, grams * F.col("d"))  # the last gram of the prefix; equal grams stand at several places
+        kept = F.filter("g", lambda x: F.struct(x["k"], x["gram"]) <= limit)
+        return rows.select(F.col("id").alias(f"{p}_id"), F.col("n").alias(f"{p}_n"), F.col("d").alias(f"{p}_d"), F.explode(kept).alias("g")).select(f"{p}_id", f"{p}_n", f"{p}_d", "g.gram", F.col("g.at").alias(f"{p}_at"))
+
+    within = lambda x, y: F.least(x, y) >= cutoff * F.greatest(x, y) - 1e-9
+    close = within(F.col("l_n"), F.col("r_n")) & (F.abs(F.col("l_at") - F.col("r_at")) <= F.least("l_d", "r_d"))
+    by_gram = keyed(a, "l").join(keyed(b, "r"), "gram").filter(close).select("l_id", "r_id")
+    spread = lambda d: d.withColumn("m", F.explode(F.sequence(F.ceil(F.col("n") * cutoff - 1e-9).cast("int"), F.floor(F.col("n") / cutoff + 1e-9).cast("int"))))
+    ids = lambda d, p: d.select(F.col("id").alias(f"{p}_id"), F.col("n").alias(f"{p}_n"), F.col("few").alias(f"{p}_few"))
+    by_length = spread(a).select(F.col("id").alias("l_id"), F.col("few").alias("l_few"), "m").join(ids(b, "r").withColumnRenamed("r_n", "m"), "m").filter("l_few or r_few").select("l_id", "r_id")
+    pairs = by_gram.unionByName(by_length).distinct()
+    named = pairs.join(a.select(F.col("id").alias("l_id"), F.col("name").alias("l_name")), "l_id").join(b.select(F.col("id").alias("r_id"), F.col("name").alias("r_name")), "r_id")
+    return named.withColumn("score", text.edit_similarity(F.col("l_name"), F.col("r_name"))).filter(F.col("score") >= cutoff).select("l_id", "r_id", "score")

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from recordlink.functions import decide, text
-from recordlink.operators import collection, match, rules
+from recordlink.functions import decide, shared, text
+from recordlink.operators import collection, ladder, match, rules
 from recordlink.sources.views import view, with_sql
 from recordlink.streaming import ingest
 
@@ -52,23 +52,29 @@ def nrm_tokens(spark, d):
     return t.select("item_id", F.array_join(text.tokens(F.col("text")), " ").alias("tokens"), text.last_is_prefix(F.col("text")).alias("last_is_prefix"))
 
 
-_PARSE = """WITH c AS (SELECT reading_id, upper(replace(trim(raw_code), ' ', '')) AS t FROM reading),
-p AS (SELECT reading_id, t, regexp_extract(t, '^([A-Z0-9]{2,6})-([A-Z0-9]{2,7})$', 1) AS prefix, regexp_extract(t, '^([A-Z0-9]{2,6})-([A-Z0-9]{2,7})$', 2) AS tail FROM c),
-r AS (SELECT *, CASE WHEN regexp_matches(tail, '^(EN|PT).{2,}$') THEN substr(tail, 1, 2) END AS region FROM p)
-SELECT reading_id, prefix, region, substr(tail, coalesce(length(region), 0) + 1) AS number, prefix || '-' || tail AS canonical,
-    length(array_to_string(list_distinct([t, prefix || '-' || coalesce(region, '') || translate(substr(tail, coalesce(length(region), 0) + 1), 'OILSBZ', '011582'),
-    translate(prefix, '01582', 'OISBZ') || '-' || tail, translate(prefix, '01582', 'OISBZ') || '-' || coalesce(region, '') || translate(substr(tail, coalesce(length(region), 0) + 1), 'OILSBZ', '011582')]), '|')) AS variant_chars FROM r"""
+_REGIONS = "|".join(text.REGIONS_TWO)
+_PARSE = f"""WITH c AS (SELECT reading_id, upper(replace(trim(raw_code), ' ', '')) AS t FROM misread),
+p AS (SELECT reading_id, t, nullif(regexp_extract(t, '^([A-Z0-9]{{2,6}})-([A-Z0-9]{{2,7}})$', 1), '') AS prefix, nullif(regexp_extract(t, '^([A-Z0-9]{{2,6}})-([A-Z0-9]{{2,7}})$', 2), '') AS tail FROM c),
+q AS (SELECT *, CASE WHEN regexp_matches(tail, '^({_REGIONS}).{{2,}}$') THEN substr(tail, 1, 2) WHEN regexp_matches(tail, '^[EAFGIPS][0-9]{{2,}}$') THEN substr(tail, 1, 1) END AS region FROM p),
+r AS (SELECT *, region IS NOT NULL OR regexp_matches(tail, '[0-9]') AS ok, substr(tail, coalesce(length(region), 0) + 1) AS number FROM q),
+s AS (SELECT *, translate(number, 'OILSBZ', '011582') AS d, translate(prefix, '01582', 'OISBZ') AS l, coalesce(region, '') AS g, [t[:i] || '-' || t[i + 1:] for i in range(2, least(6, length(t) - 2) + 1)] AS cuts FROM r),
+u AS (SELECT *, CASE WHEN ok THEN [t, prefix || '-' || g || d, l || '-' || g || number, l || '-' || g || d] ELSE list_concat([t, translate(t, 'OILSBZ', '011582'), translate(t, '01582', 'OISBZ')], CASE WHEN contains(t, '-') THEN [] ELSE cuts END) END AS v FROM s)
+SELECT reading_id, CASE WHEN ok THEN prefix END AS prefix, CASE WHEN ok THEN region END AS region, CASE WHEN ok THEN number END AS number, CASE WHEN ok THEN prefix || '-' || tail ELSE t END AS canonical, ok IS TRUE AS looks_like,
+    array_to_string([x for x, i in list_distinct_in_order], '|') AS variants FROM (SELECT *, [v[i] for i in range(1, len(v) + 1) if list_position(v, v[i]) = i][:6] AS kept FROM u)"""
+_PARSE = _PARSE.replace("[x for x, i in list_distinct_in_order]", "kept")
 
 
-@query("cod_parse", _PARSE, ("reading",))
+@query("cod_parse", _PARSE, ("misread",))
 def cod_parse(spark, d):
-    r = text.with_code(view(spark, d, "reading").select("reading_id", "raw_code"), "raw_code")
-    return r.select("reading_id", "code.prefix", "code.region", "code.number", F.col("code_canonical").alias("canonical"), F.length(F.array_join("code_variants", "|")).cast("long").alias("variant_chars"))
+    """Codes of all regions, misread ones, ones without a hyphen and texts that are no code: parts, canonical form and the variants themselves."""
+    r = text.with_code(view(spark, d, "misread").select("reading_id", "raw_code"), "raw_code")
+    return r.select("reading_id", "code.prefix", "code.region", "code.number", F.col("code_canonical").alias("canonical"), text.looks_like_code(F.col("code")).alias("looks_like"), F.array_join("code_variants", "|").alias("variants"))
 
 
-@query("pas_ids", "SELECT reading_id, CASE WHEN length(trim(raw_id, ' .')) BETWEEN 5 AND 8 THEN trim(raw_id, ' .') END AS clean_id FROM reading", ("reading",))
+@query("pas_ids", r"""WITH t AS (SELECT reading_id, translate(replace(upper(trim(raw_id, ' .#')), ' ', ''), 'OILSBZ', '011582') AS t FROM misread), r AS (SELECT reading_id, t, regexp_extract_all(t, '[0-9]{5,8}') AS runs FROM t)
+SELECT reading_id, CASE WHEN regexp_matches(t, '^[0-9]+$') THEN CASE WHEN length(t) BETWEEN 5 AND 8 THEN t END ELSE (SELECT x FROM (SELECT unnest(runs) AS x, generate_subscripts(runs, 1) AS i) ORDER BY length(x) DESC, i LIMIT 1) END AS clean_id FROM r""", ("misread",))
 def pas_ids(spark, d):
-    return view(spark, d, "reading").select("reading_id", text.clean_id(F.col("raw_id")).alias("clean_id"))
+    return view(spark, d, "misread").select("reading_id", text.clean_id(F.col("raw_id")).alias("clean_id"))
 
 
 _CODES = """k AS (SELECT set_code_full AS code, CASE WHEN count(DISTINCT card_id) = 1 THEN min(card_id) END AS code_card, CASE WHEN count(*) = 1 THEN min(print_id) END AS code_print FROM card_print GROUP BY 1),
@@ -91,13 +97,51 @@ def mat_exact(spark, d):
     return match.exact_names(view(spark, d, "reading"), match.name_variants(view(spark, d, "card"), view(spark, d, "alt_name")))
 
 
-_MATCH = f"""{_EXACT}, {_CODES}, j AS (SELECT r.reading_id, r.truth, CAST(CASE WHEN length(trim(raw_id, ' .')) BETWEEN 5 AND 8 THEN trim(raw_id, ' .') END AS BIGINT) AS i0, name_card AS n, h.code, code_card AS c, code_print
-  FROM reading r LEFT JOIN x ON x.reading_id = r.reading_id LEFT JOIN h ON h.reading_id = r.reading_id AND h.o = 1),
-y AS (SELECT j.*, card.card_id AS i FROM j LEFT JOIN card ON card.card_id = j.i0),
-m AS (SELECT reading_id, truth, coalesce(i, n, c) AS card_id, CASE WHEN coalesce(i, n, c) = c THEN code_print END AS print_id,
-  CASE WHEN i IS NOT NULL THEN CASE WHEN coalesce(c <> i, false) OR (coalesce(n <> i, false) AND NOT coalesce(c = i, false)) THEN 0.45 ELSE 1.0 END WHEN n IS NOT NULL THEN CASE WHEN c IS NOT NULL AND c <> n THEN 0.45 ELSE 1.0 END ELSE 0.0 END AS confidence,
-  CASE WHEN i IS NOT NULL THEN CASE WHEN coalesce(c <> i, false) OR (coalesce(n <> i, false) AND NOT coalesce(c = i, false)) THEN 'manual' ELSE 'auto' END
-    WHEN n IS NOT NULL THEN CASE WHEN c IS NOT NULL AND c <> n THEN 'manual' ELSE 'auto' END WHEN code IS NOT NULL AND c IS NOT NULL THEN 'manual' ELSE 'unmatched' END AS decision FROM y)"""
+def _similar(a: str, b: str) -> str:
+    sort = lambda x: f"array_to_string(list_sort(string_split({x}, ' ')), ' ')"
+    edit = lambda x, y: f"(1 - levenshtein({x}, {y}) / greatest(length({x}), length({y})))"
+    return f"greatest({edit(a, b)}, 0.95 * {edit(sort(a), sort(b))})"
+
+
+def _bm(docs: str, name: str) -> str:
+    """Full-text candidates of ``lt`` over ``docs`` (card_id, language, strict), as CTEs."""
+    return f"""{name}x AS (SELECT card_id, language, dl, token, count(*) AS tf FROM (SELECT card_id, language, len(t) AS dl, unnest(t) AS token FROM (SELECT card_id, language, regexp_extract_all(strict, '[a-z0-9]+') AS t FROM {docs})) GROUP BY ALL),
+{name}n AS (SELECT count(*) AS n, avg(dl) AS a FROM (SELECT DISTINCT card_id, language, dl FROM {name}x)),
+{name}e AS (SELECT term, prefix, token FROM (SELECT DISTINCT term, prefix FROM ph) JOIN (SELECT DISTINCT token FROM {name}x) ON CASE WHEN prefix THEN starts_with(token, term) ELSE token = term END),
+{name}h AS (SELECT term, prefix, card_id, language, dl, sum(tf) AS tf FROM {name}x JOIN {name}e USING (token) GROUP BY ALL), {name}f AS (SELECT term, prefix, count(*) AS df FROM {name}h GROUP BY ALL),
+{name}s AS (SELECT typed, card_id, language, sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / a))) AS score FROM ph JOIN {name}h USING (term, prefix) JOIN {name}f USING (term, prefix), {name}n WHERE df <= 0.5 * n GROUP BY ALL),
+{name}r AS (SELECT typed, card_id, min(o) AS o FROM (SELECT *, row_number() OVER (PARTITION BY typed ORDER BY round(score, 9) DESC, card_id, language) AS o FROM {name}s) WHERE o <= 50 GROUP BY ALL),
+{name}c AS (SELECT typed, card_id, row_number() OVER (PARTITION BY typed ORDER BY o, card_id) AS rank FROM {name}r)"""
+
+
+def _top(pairs: str) -> str:
+    return f"""SELECT typed, card_id, score, language, place FROM (SELECT typed, card_id, score, language, row_number() OVER (PARTITION BY typed ORDER BY score DESC, card_id) AS place FROM (
+  SELECT *, row_number() OVER (PARTITION BY typed, card_id ORDER BY score DESC, language <> 'EN', language) AS o FROM ({pairs}) WHERE score >= 0.7) WHERE o = 1) WHERE place <= 5"""
+
+
+_LADDER = f"""{ALL_NAMES}, nv AS (SELECT card_id, language, {_strict('name')} AS strict, {_fuzzy('name')} AS fuzzy FROM names), v4 AS (SELECT * FROM nv WHERE language = 'EN' OR length(strict) >= 4),
+ty AS (SELECT typed, {_fuzzy('typed')} AS asked FROM (SELECT DISTINCT {_strict('raw_name')} AS typed FROM reading) WHERE length(typed) >= 4),
+t0 AS (SELECT typed, card_id, 1.0 AS score, language, 1 AS place FROM (SELECT typed, card_id, language, row_number() OVER (PARTITION BY typed ORDER BY language <> 'EN', card_id, language) AS o FROM ty JOIN v4 ON strict = typed) WHERE o = 1),
+lt AS (SELECT * FROM ty WHERE typed NOT IN (SELECT typed FROM t0)),
+ph AS (SELECT DISTINCT typed, t[i] AS term, i = len(t) AND length(t[i]) >= 2 AS prefix FROM (SELECT typed, t, unnest(range(1, len(t) + 1)) AS i FROM (SELECT typed, regexp_extract_all(typed, '[a-z0-9]+') AS t FROM lt))),
+en AS (SELECT * FROM v4 WHERE language = 'EN'), ot AS (SELECT * FROM v4 WHERE language <> 'EN'), {_bm('en', 'en_')}, {_bm('ot', 'ot_')},
+sl AS (SELECT typed, card_id FROM (SELECT typed, card_id, row_number() OVER (PARTITION BY typed ORDER BY k, rank) AS place FROM (SELECT typed, card_id, min(k) AS k, arg_min(rank, k) AS rank FROM (SELECT *, 0 AS k FROM en_c UNION ALL SELECT *, 1 FROM ot_c) GROUP BY ALL)) WHERE place <= 50),
+t3 AS ({_top(f"SELECT sl.typed, sl.card_id, language, round({_similar('asked', 'fuzzy')}, 9) AS score FROM sl JOIN v4 ON v4.card_id = sl.card_id AND length(fuzzy) >= 4 JOIN lt ON lt.typed = sl.typed")}),
+t4 AS ({_top(f"SELECT typed, card_id, language, round({_similar('asked', 'fuzzy')}, 9) AS score FROM lt JOIN v4 ON length(fuzzy) >= 4 AND length(asked) >= 4 AND least(length(asked), length(fuzzy)) >= 0.7 * greatest(length(asked), length(fuzzy)) - 1e-9 WHERE typed NOT IN (SELECT typed FROM t3)")}),
+cand AS (SELECT *, 0 AS tier FROM t0 UNION ALL SELECT *, 3 FROM t3 UNION ALL SELECT *, 4 FROM t4)"""
+
+_MATCH = f"""{_LADDER}, {_CODES}, j AS (SELECT r.reading_id, r.truth, {_strict('raw_name')} AS typed, CAST(CASE WHEN regexp_matches(idt, '^[0-9]{{5,8}}$') THEN idt END AS BIGINT) AS i0, h.code, code_card AS c, code_print, CASE WHEN h.code IS NOT NULL THEN 1.0 ELSE 0.5 END AS cs, substr(regexp_extract(raw_code, '-(.*)$', 1), 1, 2) AS region
+  FROM (SELECT *, translate(trim(upper(raw_id), ' .'), 'OILSBZ', '011582') AS idt FROM reading) r LEFT JOIN h ON h.reading_id = r.reading_id AND h.o = 1),
+w AS (SELECT typed, max(CASE WHEN place = 1 THEN card_id END) AS f, max(CASE WHEN place = 1 THEN score END) AS s1, max(CASE WHEN place = 2 THEN score END) AS s2, max(CASE WHEN place = 1 THEN language END) AS lg, max(CASE WHEN place = 1 THEN tier END) AS tier, list({{'c': card_id, 's': score}}) AS all_ FROM cand GROUP BY 1),
+y AS (SELECT j.*, card.card_id AS i, f, s1, s2, lg, tier, list_filter(all_, lambda x: x.c = j.c)[1].s AS sc FROM j LEFT JOIN card ON card.card_id = j.i0 LEFT JOIN w ON w.typed = j.typed),
+y2 AS (SELECT *, coalesce(c <> f AND s1 - sc <= 0.100000001, false) AS pr FROM y),
+y3 AS (SELECT *, CASE WHEN pr THEN c ELSE f END AS n, CASE WHEN pr THEN sc ELSE s1 END AS ns, CASE WHEN f IS NOT NULL THEN round(coalesce(CASE WHEN pr THEN sc - s1 ELSE s1 - s2 END, 1.0), 9) END AS margin, CASE WHEN c IS NOT NULL AND f IS NOT NULL THEN pr OR c = f END AS agreed FROM y2),
+y4 AS (SELECT *, CASE WHEN n IS NULL THEN 0.0 WHEN agreed = false THEN 0.45 * ns ELSE greatest(0.0, least(1.0, ns + CASE WHEN agreed THEN 0.15 * cs ELSE 0 END + CASE WHEN margin > 0.15 THEN 0.05 WHEN margin < 0.05 THEN -0.15 ELSE 0 END)) END AS conf,
+  coalesce(c <> i, false) OR (coalesce(n <> i, false) AND NOT coalesce(c = i, false)) AS clash FROM y3),
+m AS (SELECT reading_id, truth, coalesce(i, n, c) AS card_id, CASE WHEN coalesce(i, n, c) = c THEN code_print END AS print_id, CAST(ns AS DOUBLE) AS name_score, CAST(margin AS DOUBLE) AS margin, coalesce(region, lg) AS language, tier, CAST(round(CASE WHEN i IS NOT NULL THEN CASE WHEN clash THEN 0.45 ELSE 1.0 END ELSE conf END, 9) AS DOUBLE) AS confidence,
+  CASE WHEN i IS NOT NULL THEN CASE WHEN clash THEN 'manual' ELSE 'auto' END
+    WHEN n IS NOT NULL THEN CASE WHEN agreed = false THEN 'manual' WHEN conf >= 0.93 AND margin >= 0.08 THEN 'auto' WHEN agreed AND conf >= 0.88 THEN 'auto' WHEN margin < 0.05 THEN 'manual' WHEN conf >= 0.7 THEN 'pending' ELSE 'manual' END
+    WHEN code IS NOT NULL AND c IS NOT NULL THEN 'manual' ELSE 'unmatched' END AS decision FROM y4)"""
 _ALL = ("card", "alt_name", "card_print", "reading")
 
 
@@ -105,6 +149,22 @@ def _matched(spark, d):
     return match.match(*[view(spark, d, v) for v in ("reading", "card", "alt_name", "card_print")])
 
 
+def _candidates(spark, d):
+    typed = view(spark, d, "reading").select(text.normalize_strict(F.col("raw_name")).alias("typed"))
+    return typed, ladder.candidates(typed, match.name_variants(view(spark, d, "card"), view(spark, d, "alt_name")))
+
+
+@query("mat_ladder", f"WITH {_LADDER} SELECT typed, card_id, CAST(score AS DOUBLE) AS score, language, place, tier FROM cand", ("card", "alt_name", "reading"))
+def mat_ladder(spark, d):
+    """Candidates of every distinct name that was read: exact, full text and rerank, then the whole catalogue for what is left."""
+    return _candidates(spark, d)[1]
+
+
+@query("agg_tiers", f"WITH {_LADDER}, k AS (SELECT tier, count(DISTINCT typed) AS hits FROM cand GROUP BY 1), n AS (SELECT count(*) AS n FROM ty) SELECT t.tier, CAST(n - coalesce((SELECT sum(hits) FROM k WHERE k.tier < t.tier), 0) AS BIGINT) AS attempts, coalesce(hits, 0) AS hits FROM (VALUES (0), (3), (4)) t(tier) LEFT JOIN k ON k.tier = t.tier, n", ("card", "alt_name", "reading"))
+def agg_tiers(spark, d):
+    return ladder.tier_statistics(*_candidates(spark, d))
+
+
 @query("match_readings", f"WITH {_MATCH} SELECT * FROM m", _ALL)
 def match_readings(spark, d):
     return _matched(spark, d)
@@ -115,11 +175,12 @@ def match_decisions(spark, d):
     return _matched(spark, d).groupBy("decision").agg(F.count("*").alias("readings"), F.count_if(F.col("card_id") == F.col("truth")).alias("correct"))
 
 
-@query("agg_accuracy", f"WITH {_MATCH} SELECT avg(CAST(card_id IS NOT DISTINCT FROM truth AS INT)) AS name_top1, avg(CASE WHEN print_id IS NOT NULL THEN CAST(card_id = truth AS INT) END) AS code_top1, sum(CAST(decision = 'auto' AND card_id <> truth AS INT)) AS wrong_auto FROM m", _ALL)
+@query("agg_accuracy", f"WITH {_MATCH} SELECT avg(CAST(card_id IS NOT DISTINCT FROM truth AS INT)) AS name_top1, avg(CASE WHEN print_id IS NOT NULL THEN CAST(card_id = truth AS INT) END) AS code_top1, avg(CASE WHEN raw_id IS NOT NULL THEN CAST(card_id IS NOT DISTINCT FROM truth AS INT) END) AS id_top1, CAST(sum(CAST(decision = 'auto' AND card_id <> truth AS INT)) AS BIGINT) AS wrong_auto FROM m JOIN (SELECT reading_id, raw_id FROM reading) USING (reading_id)", _ALL)
 def agg_accuracy(spark, d):
-    m = _matched(spark, d)
+    """Accuracies of the match: all readings, those with a print, those with an id; and wrong cards that were accepted."""
+    m = _matched(spark, d).join(view(spark, d, "reading").select("reading_id", "raw_id"), "reading_id")
     right = F.col("card_id").eqNullSafe(F.col("truth")).cast("double")
-    return m.agg(F.avg(right).alias("name_top1"), F.avg(F.when(F.col("print_id").isNotNull(), right)).alias("code_top1"), F.sum(((F.col("decision") == "auto") & (F.col("card_id") != F.col("truth"))).cast("long")).alias("wrong_auto"))
+    return m.agg(F.avg(right).alias("name_top1"), F.avg(F.when(F.col("print_id").isNotNull(), right)).alias("code_top1"), F.avg(F.when(F.col("raw_id").isNotNull(), right)).alias("id_top1"), F.sum(((F.col("decision") == "auto") & (F.col("card_id") != F.col("truth"))).cast("long")).alias("wrong_auto"))
 
 
 _DEC = """SELECT event_id, round(c, 9) AS confidence, CASE WHEN agreed = false THEN 'manual' WHEN c >= 0.93 AND margin >= 0.08 THEN 'auto' WHEN agreed AND c >= 0.88 THEN 'auto' WHEN margin < 0.05 THEN 'manual' WHEN c >= 0.7 THEN 'pending' ELSE 'manual' END AS route
@@ -329,19 +390,22 @@ SELECT query_id, doc_id, round(score, 6) AS score, place FROM (SELECT *, row_num
 @query("mat_bm25", _BM)
 def mat_bm25(spark, d):
     docs = view(spark, d, "documents")
-    index = match.postings(docs, "doc_id", "text")
-    totals = docs.select(F.size(text.tokens(F.col("text"))).alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    index = shared.written(match.postings(docs, "doc_id", "text"), "postings")
+    n = docs.agg(F.count("*").alias("n"))
+    totals = index.agg(F.sum("tf").alias("words")).crossJoin(n).select("n", (F.col("words") / F.col("n")).alias("avgdl"))  # two single rows
     q = view(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(text.tokens(F.col("text"))).alias("token"))
     return match.bm25(index, totals, q, "doc_id").select("query_id", "doc_id", F.round("score", 6).alias("score"), F.col("rank").alias("place"))
 
 
-@query("mat_similar", f"""WITH r AS (SELECT DISTINCT {_strict('raw_name')} AS name FROM reading WHERE length({_strict('raw_name')}) >= 4 AND kind = 3), c AS (SELECT DISTINCT {_strict('name')} AS name FROM card)
-SELECT r.name AS l_id, c.name AS r_id, round(1 - levenshtein(r.name, c.name) / greatest(length(r.name), length(c.name)), 9) AS score FROM r JOIN c ON abs(length(r.name) - length(c.name)) <= 3 AND 1 - levenshtein(r.name, c.name) / greatest(length(r.name), length(c.name)) >= 0.95""", ("reading", "card"))
+@query("mat_similar", f"""WITH {ALL_NAMES}, c AS (SELECT DISTINCT {_strict('name')} AS name FROM names), r AS (SELECT DISTINCT {_strict('raw_name')} AS name FROM reading WHERE length({_strict('raw_name')}) >= 4 AND {_strict('raw_name')} NOT IN (SELECT name FROM c))
+SELECT r.name AS l_id, c.name AS r_id, round(1 - levenshtein(r.name, c.name) / greatest(length(r.name), length(c.name)), 9) AS score FROM r JOIN c ON least(length(r.name), length(c.name)) >= 0.9 * greatest(length(r.name), length(c.name)) - 1e-9 AND 1 - levenshtein(r.name, c.name) / greatest(length(r.name), length(c.name)) >= 0.9""", ("reading", "card", "alt_name"))
 def mat_similar(spark, d):
-    """Names cut short in reading, against the catalogue's: distinct strict forms, edit similarity of at least 0.95."""
-    s = lambda t, c: t.select(text.normalize_strict(F.col(c)).alias("name")).distinct().select(F.col("name").alias("id"), "name")
-    cut = view(spark, d, "reading").filter("kind = 3")  # the readings of this kind of error
-    return match.blocked_similarity(s(cut, "raw_name").filter(F.length("name") >= 4), s(view(spark, d, "card"), "name"), 0.95).withColumn("score", F.round("score", 9))
+    """All distinct names that were read and are no name of the catalogue, against all its names: edit similarity of at least 0.9."""
+    s = lambda t, c: t.select(text.normalize_strict(F.col(c)).alias("name")).distinct()
+    every = s(_names(spark, d), "name")
+    left = s(view(spark, d, "reading"), "raw_name").filter(F.length("name") >= 4).join(every, "name", "left_anti")
+    keyed = lambda t: t.select(F.col("name").alias("id"), "name")
+    return match.blocked_similarity(keyed(left), keyed(every), 0.9).withColumn("score", F.round("score", 9))
 
 
 @query("box_candidates", "SELECT box_id, image_id FROM box WHERE w * h BETWEEN 0.02 AND 0.45 AND abs(w / h - 59.0 / 86) <= 0.18", ("box",))

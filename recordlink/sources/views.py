@@ -24,6 +24,12 @@ VIEWS = {
         concat('S', lpad(cast(l_suppkey AS string), 4, '0'), '-', CASE WHEN l_suppkey % 2 = 0 THEN 'EN' ELSE 'PT' END, CASE WHEN l_orderkey % 3 = 0 THEN replace(lpad(cast(l_partkey AS string), 5, '0'), '0', 'O') ELSE lpad(cast(l_partkey AS string), 5, '0') END) AS raw_code,
         CASE WHEN l_linenumber = 2 THEN concat(' ', lpad(cast(l_partkey AS string), 5, '0'), '. ') END AS raw_id
         FROM {lineitem} JOIN (SELECT p_partkey, concat_ws(' ', p_name, lower(p_type), replace(p_brand, '#', ' '), cast(p_size AS string)) AS name FROM {part}) n ON p_partkey = l_partkey""",
+    "misread": """SELECT concat_ws('-', cast(l_orderkey AS string), cast(l_linenumber AS string), cast(l_partkey AS string), cast(l_suppkey AS string)) AS reading_id,
+        concat(CASE WHEN l_orderkey % 4 = 0 THEN concat('S', lpad(cast(l_suppkey AS string), 4, '0')) WHEN l_orderkey % 4 = 1 THEN concat('5D', substr('KLMNOPQR', cast(1 + l_suppkey % 8 AS int), 1)) ELSE concat('L0', substr('BCDEFGHI', cast(1 + l_suppkey % 8 AS int), 1)) END,
+          CASE WHEN l_orderkey % 7 = 6 THEN '' WHEN l_orderkey % 11 = 10 THEN ' - ' ELSE '-' END,
+          substr('ENFRDEITPTSPESJPJAKRAEASTCSCNAEUE A F G I P S     ', cast(1 + 2 * (l_partkey % 25) AS int), 2), CASE WHEN l_partkey % 6 = 0 THEN 'XYZ' WHEN l_partkey % 3 = 0 THEN replace(lpad(cast(l_suppkey % 1000 AS string), 3, '0'), '1', 'I') ELSE replace(lpad(cast(l_suppkey % 1000 AS string), 3, '0'), '0', 'O') END) AS raw_code,
+        CASE l_orderkey % 6 WHEN 0 THEN NULL WHEN 1 THEN concat(' ', cast(12345678 + l_partkey AS string), '.') WHEN 2 THEN replace(cast(80018000 + l_partkey AS string), '8', 'B') WHEN 3 THEN concat(cast(40007000 + l_partkey AS string), ' 1Edicao')
+          WHEN 4 THEN concat('#', cast(l_partkey % 1000 AS string)) ELSE concat('XY', cast(10000 + l_partkey % 70000 AS string), 'K', cast(200000 + l_suppkey AS string), 'Q') END AS raw_id FROM {lineitem}""",
     "scan_result": """SELECT event_id, user_id AS job_id, ts AS created_at, value, CASE event_type WHEN 'purchase' THEN 'auto' WHEN 'click' THEN 'pending' WHEN 'view' THEN 'manual' WHEN 'error' THEN 'unmatched' ELSE 'rejected' END AS decision,
         CASE WHEN value / 100 > 1 THEN 1.0 ELSE value / 100 END AS confidence FROM {events}""",
     "deck_card": """SELECT l_orderkey AS deck_id, l_partkey AS card_id, CASE l_returnflag WHEN 'A' THEN 'main' WHEN 'N' THEN 'extra' ELSE 'side' END AS zone,
