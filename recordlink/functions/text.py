@@ -148,6 +148,21 @@ def mask_keys(c: Column) -> Column:
     return F.regexp_replace(c, r"(sk-[A-Za-z0-9]{4})[A-Za-z0-9]{12,}([A-Za-z0-9]{4})", "$1***$2")
 
 
+def grid_layout(c: Column) -> Column:
+    """struct(rows, cols) of ``ROWSxCOLS`` with one or two digits each, or null."""
+    t, shape = F.lower(F.trim(c)), "^([1-9][0-9]?)x([1-9][0-9]?)$"
+    return F.when(t.rlike(shape), F.struct(F.regexp_extract(t, shape, 1).try_cast("int").alias("rows"), F.regexp_extract(t, shape, 2).try_cast("int").alias("cols")))
+
+
+def identity_label(name: Column, card_id: Column, marker: Column) -> Column:
+    """The label of a candidate that a code or an id brought in."""
+    return F.concat(F.coalesce(F.nullif(name, F.lit("")), F.concat(F.lit("Carta #"), card_id.cast("string"))), F.lit(" ("), marker, F.lit(")"))
+
+
+def stored_score(c: Column) -> Column:
+    return F.round(c, 4)
+
+
 def copy_limit(ban: Column) -> Column:
     return F.when(ban == "Forbidden", 0).when(ban == "Limited", 1).when(ban == "Semi-Limited", 2).otherwise(3)
 

@@ -90,3 +90,8 @@ def remaining(owned: DataFrame, deck_cards: DataFrame) -> DataFrame:
     used = deck_cards.groupBy("deck_id", "card_id").agg(F.sum("quantity").alias("used"))
     j = used.join(owned.select("card_id", "copies"), "card_id", "left")
     return j.select("deck_id", "card_id", F.greatest(F.lit(0), F.coalesce("copies", F.lit(0)) - F.col("used")).cast("long").alias("remaining"))
+
+
+def pool(items: DataFrame) -> DataFrame:
+    """One row per card of items that passed the filters, before any page is cut."""
+    return items.groupBy("card_id").agg(F.min("name").alias("name"), F.count("*").alias("items"))

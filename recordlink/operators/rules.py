@@ -22,6 +22,20 @@ def deck_legality(deck_cards: DataFrame, card: DataFrame) -> DataFrame:
     return g.withColumn("legal", F.col("main").between(MAIN_LEAST, MAIN_MOST) & (F.col("extra") <= EXTRA_MOST) & (F.col("side") <= SIDE_MOST) & (F.col("over_limit") == 0))
 
 
+def deck_issues(deck_cards: DataFrame, card: DataFrame) -> DataFrame:
+    """(deck_id, issues): a list of what breaks a rule, empty for a legal list; cards over their limit as ``copies id:number,...``."""
+    zone = lambda z: F.sum(F.when(F.col("zone") == z, F.col("quantity")).otherwise(0)).alias(z)
+    per_card = deck_cards.groupBy("deck_id", "card_id").agg(zone("main"), zone("extra"), zone("side"), F.sum("quantity").alias("n")).join(card.select("card_id", "ban_tcg"), "card_id")
+    over = F.when(F.col("n") > text.copy_limit(F.col("ban_tcg")), F.struct("card_id", F.concat_ws(":", "card_id", F.col("n").cast("long")).alias("t")))
+    g = per_card.groupBy("deck_id").agg(*[F.sum(z).alias(z) for z in ("main", "extra", "side")], F.sort_array(F.collect_list(over)).alias("over"))
+    copies = F.array_join(F.transform("over", lambda x: x["t"]), ",")
+    issues = [
+        F.when(F.col("main") < MAIN_LEAST, f"main below {MAIN_LEAST}"), F.when(F.col("main") > MAIN_MOST, f"main above {MAIN_MOST}"), F.when(F.col("extra") > EXTRA_MOST, f"extra above {EXTRA_MOST}"),
+        F.when(F.col("side") > SIDE_MOST, f"side above {SIDE_MOST}"), F.when(copies != "", F.concat(F.lit("copies "), copies)),
+    ]
+    return g.select("deck_id", F.array_compact(F.array(*issues)).alias("issues"))
+
+
 def orphans(child: DataFrame, parent: DataFrame, child_key: str, parent_key: str, name: str) -> DataFrame:
     """One row: how many child rows name no parent (a null key names none on purpose)."""
     bad = child.filter(F.col(child_key).isNotNull()).join(parent.select(F.col(parent_key).alias("_p")), F.col(child_key) == F.col("_p"), "left_anti")

@@ -85,12 +85,6 @@ def chk_remaining(spark, d):
     return lookup.remaining(_owned(spark, d), view(spark, d, "deck_card"))
 
 
-@query("chk_pool", "SELECT card_id, name FROM card WHERE card_id IN (SELECT card_id FROM delta) AND level >= 10 AND frame_type = 'link'", ("card", "delta"))
-def chk_pool(spark, d):
-    """Owned cards that a search with filters offers for a list."""
-    return view(spark, d, "card").filter("level >= 10 and frame_type = 'link'").join(view(spark, d, "delta"), "card_id", "left_semi").select("card_id", "name")
-
-
 @query("snk_pocket", f"""WITH {_SHOWN} SELECT CAST(card_id AS STRING) AS card_id, CASE WHEN regexp_matches(name, '^[=+@\\t\\r-]') THEN '''' || name ELSE name END AS card_name, CAST(quantity AS STRING) AS quantity, coalesce(show_set, '') AS set_code, coalesce(show_rarity, '') AS rarity, condition, upper(language) AS language, lower(language) AS printing_region,
 {', '.join(f"'{'false' if c in exports.FLAGS else ''}' AS {c}" for c in exports.POCKET_COLUMNS if c not in ('card_id', 'card_name', 'quantity', 'set_code', 'rarity', 'condition', 'language', 'printing_region'))} FROM s""", _SV)
 def snk_pocket(spark, d):

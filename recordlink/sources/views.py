@@ -12,6 +12,12 @@ VIEWS = {
         CASE WHEN p_partkey % 10 < 7 THEN 'normal' WHEN p_partkey % 10 = 7 THEN 'fusion' WHEN p_partkey % 10 = 8 THEN 'synchro' ELSE 'link' END AS frame_type,
         CASE p_partkey % 10 WHEN 1 THEN 'Forbidden' WHEN 2 THEN 'Limited' WHEN 3 THEN 'Semi-Limited' END AS ban_tcg FROM {part}""",
     "alt_name": """SELECT p_partkey AS card_id, 'PT' AS language, translate(concat_ws(' ', p_name, lower(p_type), replace(p_brand, '#', ' '), cast(p_size AS string)), 'aeo', 'áéô') AS name FROM {part} WHERE p_partkey % 3 = 0""",
+    "catalogue": """SELECT p_partkey AS card_id, concat_ws(' ', p_name, lower(p_type), replace(p_brand, '#', ' '), cast(p_size AS string)) AS name, p_type AS type, p_brand AS archetype, p_size AS level, cast(floor(p_retailprice) AS int) AS atk,
+        CASE WHEN p_partkey % 9 <> 0 THEN cast(floor(p_retailprice / 2) AS int) END AS defense, CASE p_partkey % 6 WHEN 0 THEN 'DARK' WHEN 1 THEN 'LIGHT' WHEN 2 THEN 'EARTH' WHEN 3 THEN 'WATER' WHEN 4 THEN 'FIRE' END AS attribute,
+        CASE p_size % 3 WHEN 0 THEN 'Beast' WHEN 1 THEN 'Fiend' ELSE 'Aqua' END AS race, CASE WHEN p_partkey % 10 = 8 THEN p_size % 13 END AS scale, CASE WHEN p_partkey % 10 = 9 THEN 1 + p_size % 6 END AS linkval,
+        concat('Effect of ', p_name) AS description, CASE WHEN p_partkey % 10 < 7 THEN 'normal' WHEN p_partkey % 10 = 7 THEN 'fusion' WHEN p_partkey % 10 = 8 THEN 'synchro' ELSE 'link' END AS frame_type FROM {part}""",
+    "alt_text": """SELECT p_partkey AS card_id, 'PT' AS language, translate(concat_ws(' ', p_name, lower(p_type), replace(p_brand, '#', ' '), cast(p_size AS string)), 'aeo', 'áéô') AS name, CASE WHEN p_partkey % 2 = 0 THEN ' ' ELSE concat('Efeito de ', p_name) END AS description,
+        CASE WHEN p_partkey % 5 = 0 THEN upper(p_name) ELSE concat_ws(' ', p_name, lower(p_type), replace(p_brand, '#', ' '), cast(p_size AS string)) END AS name_en FROM {part} WHERE p_partkey % 3 = 0""",
     "card_set": "SELECT concat('S', lpad(cast(s_suppkey AS string), 4, '0')) AS set_code, s_name AS set_name FROM {supplier}",
     "card_print": """SELECT DISTINCT l_partkey AS card_id, concat('S', lpad(cast(l_suppkey AS string), 4, '0'), '-', CASE WHEN l_suppkey % 2 = 0 THEN 'EN' ELSE 'PT' END, lpad(cast(l_partkey AS string), 5, '0')) AS set_code_full,
         concat('S', lpad(cast(l_suppkey AS string), 4, '0')) AS set_prefix, CASE WHEN l_suppkey % 2 = 0 THEN 'EN' ELSE 'PT' END AS region, lpad(cast(l_partkey AS string), 5, '0') AS number, l_returnflag AS rarity,
