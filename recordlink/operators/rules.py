@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recordlink.functions import text
@@ -42,6 +42,22 @@ def orphans(child: DataFrame, parent: DataFrame, child_key: str, parent_key: str
     return bad.agg(F.lit(name).alias("rule"), F.count("*").alias("violations"))
 
 
+def violations(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
+    """(rule, violations): how many rows meet each bad condition, all in one pass; null is no violation."""
+    g = df.agg(*[F.count_if(bad).alias(name) for name, bad in rules.items()])
+    return g.select(F.explode(F.array(*[F.struct(F.lit(n).alias("rule"), F.col(n).alias("violations")) for n in rules])).alias("r")).select("r.*")
+
+
+def repeated_keys(df: DataFrame, key: list[str], name: str) -> DataFrame:
+    """One row: how many keys stand more than once, null being equal to null."""
+    return df.groupBy(*key).count().filter("count > 1").agg(F.lit(name).alias("rule"), F.count("*").alias("violations"))
+
+
+def wrong_translations(alt: DataFrame, card: DataFrame) -> DataFrame:
+    j = alt.select("card_id", "language", "name_en").join(card.select("card_id", "name"), "card_id")
+    return j.filter(~F.col("name_en").eqNullSafe(F.col("name"))).select("card_id", "language", "name_en", "name")
+
+
 def candidate_boxes(boxes: DataFrame) -> DataFrame:
     """Boxes whose area and aspect could be a card's."""
     return boxes.filter((F.col("w") * F.col("h")).between(*AREA) & (F.abs(F.col("w") / F.col("h") - ASPECT) <= ASPECT_SLACK))
