@@ -23,14 +23,28 @@ def confidence(has_candidate: Column, name: Column, code: Column, agreement: Col
     return F.when(~has_candidate, F.lit(0.0)).when(~agreement, 0.45 * name).otherwise(_unit(c))
 
 
-def decision(has_candidate: Column, confidence: Column, agreement: Column, margin: Column, auto=AUTO, review=REVIEW) -> Column:
-    """The first rule that holds; ``auto`` and ``review`` may be columns (threshold sweeps)."""
+def _rules(has_candidate: Column, confidence: Column, agreement: Column, margin: Column, auto, review, agreed_at) -> list[tuple[Column, str, str]]:
     agreed = F.coalesce(agreement, F.lit(False))
-    return (
-        F.when(~has_candidate, "unmatched").when(F.coalesce(~agreement, F.lit(False)), "manual")
-        .when((confidence >= auto) & (margin >= CLEAR), "auto").when(agreed & (confidence >= AGREED), "auto")
-        .when(margin < AMBIGUOUS, "manual").when(confidence >= review, "pending").otherwise("manual")
-    )
+    return [
+        (~has_candidate, "unmatched", "no candidate"), (F.coalesce(~agreement, F.lit(False)), "manual", "name and code disagree"), ((confidence >= auto) & (margin >= CLEAR), "auto", "sure and clear"),
+        (agreed & (confidence >= agreed_at), "auto", "name and code agree"), (margin < AMBIGUOUS, "manual", "ambiguous"), (confidence >= review, "pending", "likely"),
+    ]
+
+
+def decision(has_candidate: Column, confidence: Column, agreement: Column, margin: Column, auto=AUTO, review=REVIEW, agreed_at=AGREED) -> Column:
+    """The first rule that holds; the thresholds may be columns (sweeps)."""
+    out = F
+    for when, what, _ in _rules(has_candidate, confidence, agreement, margin, auto, review, agreed_at):
+        out = out.when(when, what)
+    return out.otherwise("manual")
+
+
+def reason(has_candidate: Column, confidence: Column, agreement: Column, margin: Column, auto=AUTO, review=REVIEW, agreed_at=AGREED) -> Column:
+    """Why: the rule by which ``decision`` decided."""
+    out = F
+    for when, _, why in _rules(has_candidate, confidence, agreement, margin, auto, review, agreed_at):
+        out = out.when(when, why)
+    return out.otherwise("unsure")
 
 
 def downgrade(decision: Column, has_print: Column, has_rarity: Column, no_auto: bool = False, need_set: bool = True, need_rarity: bool = False) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from recordlink.operators import collection
@@ -16,25 +17,18 @@ def set_quantity(target: DataFrame, wanted: DataFrame) -> DataFrame:
     return j.select(*[F.col(f"t.{k}") for k in collection.KEY], n.alias("quantity")).filter("quantity > 0")
 
 
-def apply_accepted(target: DataFrame, results: DataFrame, applied: DataFrame) -> DataFrame:
-    """One copy for each accepted result (result_id and key columns) that is not in ``applied`` (result_id) yet; a result that stands twice counts once."""
-    new = results.join(applied.select("result_id"), "result_id", "left_anti").dropDuplicates(["result_id"])
-    return collection.add(target, new.select(*collection.KEY, F.lit(1).alias("quantity")))
-
-
 def overrides(rows: DataFrame, key: list[str], value: str, *order: str) -> DataFrame:
     """The last value of each key."""
     return rows.groupBy(*key).agg(F.max_by(value, F.struct(*order)).alias(value))
 
 
 def register_sets(existing: DataFrame, asked: DataFrame) -> DataFrame:
-    """``asked`` (set_code, set_name) with a status: blank, exists or created. Of several rows with one new code, the smallest name is created and the others exist."""
+    """``asked`` (set_code, set_name) with a status: blank, exists or created. Of several rows with one new code and a name, one with the smallest name is created and the others, equal ones too, exist."""
     a = asked.select(F.upper(F.trim("set_code")).alias("set_code"), F.trim("set_name").alias("set_name"))
-    e = existing.select(F.col("set_code").alias("e_code"))
-    first = a.groupBy("set_code").agg(F.min("set_name").alias("first_name"))
-    j = a.join(e, F.col("set_code") == F.col("e_code"), "left").join(first, "set_code", "left")
     blank = (F.coalesce("set_code", F.lit("")) == "") | (F.coalesce("set_name", F.lit("")) == "")
-    status = F.when(blank, "blank").when(F.col("e_code").isNotNull() | (F.col("set_name") != F.col("first_name")), "exists").otherwise("created")
+    turn = F.row_number().over(W.partitionBy("set_code", blank).orderBy("set_name"))
+    j = a.withColumns({"_b": blank, "_n": turn}).join(existing.select(F.col("set_code").alias("e_code")).distinct(), F.col("set_code") == F.col("e_code"), "left")
+    status = F.when(F.col("_b"), "blank").when(F.col("e_code").isNotNull() | (F.col("_n") > 1), "exists").otherwise("created")
     return j.select("set_code", "set_name", status.alias("status"))
 
 

@@ -86,3 +86,31 @@ def labelled(existing: DataFrame, incoming: DataFrame, key: str, columns: list[s
     i = incoming.select(F.col(key).alias("k2"), F.struct(*columns).alias("new"))
     action = F.when(F.col("k1").isNull(), "insert").when(F.col("k2").isNull(), "stale").when(F.col("old").eqNullSafe(F.col("new")), "same").otherwise("update")
     return e.join(i, F.col("k1") == F.col("k2"), "full").select(F.coalesce("k1", "k2").alias(key), action.alias("action"))
+
+
+def item_payload(items: DataFrame) -> DataFrame:
+    """Items with ``rarity_pending``: a rarity was typed that no print stands for."""
+    return items.withColumn("rarity_pending", F.col("print_id").isNull() & F.col("pending_rarity").isNotNull())
+
+
+def primary_images(images: DataFrame) -> DataFrame:
+    """(card_id, url): of a card's images (position, is_primary, image_url, image_url_small) the flagged one, else the first; its small variant if there is one."""
+    order = F.struct((~F.coalesce("is_primary", F.lit(False))).cast("int"), "position")
+    return images.groupBy("card_id").agg(F.min_by(F.coalesce(F.nullif("image_url_small", F.lit("")), F.col("image_url")), order).alias("url"))
+
+
+def card_detail(card: DataFrame, prints: DataFrame, items: DataFrame, alt: DataFrame) -> DataFrame:
+    """(card_id, name, prints, owned, languages): the prints in order with an owned flag, the copies owned over all prints, and English with the languages of its names."""
+    have = items.filter("print_id is not null").select(F.col("print_id").alias("h_id")).distinct()
+    p = prints.join(have, F.col("print_id") == F.col("h_id"), "left").groupBy("card_id").agg(F.sort_array(F.collect_list(F.struct("set_code_full", "print_id", "rarity", F.col("h_id").isNotNull().alias("owned")))).alias("prints"))
+    n = items.groupBy("card_id").agg(F.sum("quantity").alias("owned"))
+    a = alt.groupBy("card_id").agg(F.array_sort(F.collect_set("language")).alias("others"))
+    j = card.select("card_id", "name").join(p, "card_id", "left").join(n, "card_id", "left").join(a, "card_id", "left")
+    none = F.array().cast("array<string>")
+    return j.select("card_id", "name", F.coalesce("prints", F.array().cast(p.schema["prints"].dataType)).alias("prints"), F.coalesce("owned", F.lit(0)).cast("long").alias("owned"), F.concat(F.array(F.lit("EN")), F.coalesce("others", none)).alias("languages"))
+
+
+def nested_decks(deck_cards: DataFrame, card: DataFrame) -> DataFrame:
+    """(deck_id, cards): the cards of a list in order of zone and id; a list holds some dozens."""
+    j = deck_cards.join(card.select("card_id", "name"), "card_id")
+    return j.groupBy("deck_id").agg(F.sort_array(F.collect_list(F.struct("zone", "card_id", "name", "quantity"))).alias("cards"))

@@ -17,6 +17,7 @@ POCKET_COLUMNS = (
     "source", "edition", "purchase_price", "market_value_override",
 )
 BACKUP_COLUMNS = ("item_id", "card_id", "card_name", "card_print_id", "set_code_full", "set_prefix", "region", "rarity", "quantity", "condition", "edition", "language", "source", "added_at", "notes")
+PARTNER_COLUMNS = ("Card Name", "Card Quantity", "Card Rarity", "Card Condition", "Card Edition", "Card Set", "Card Set Code")
 CONDITIONS = {"Near Mint": "NM", "Lightly Played": "LP", "Moderately Played": "MP", "Heavily Played": "HP", "Damaged": "DMG"}
 FLAGS = ("sealed", "signed", "altered")
 # -------------------------------------------------------------------------------------------------
@@ -42,15 +43,24 @@ def pocket(shown: DataFrame) -> DataFrame:
 
 
 def backup(shown: DataFrame) -> DataFrame:
-    """The 15 columns with ids, from which a collection can be restored. ``item_id`` is a digest of the logical key, so that it stays the same."""
+    """The 15 columns with ids, from which a collection can be restored. ``item_id`` is a digest of the logical key, so that it stays the same; region is that of the print's code, null if it has none."""
     item = F.md5(F.concat_ws("|", *[F.coalesce(F.col(k).cast("string"), F.lit("~")) for k in collection.KEY]))
-    known = {
-        "item_id": item, "card_name": F.col("name"), "card_print_id": F.col("print_id"), "set_code_full": F.col("show_set"), "rarity": F.col("show_rarity"),
-        "region": F.when(F.col("has_print"), F.substring(F.regexp_extract("show_set", "-(EN|PT)", 1), 1, 2)),
-    }
+    shown = text.with_code(shown.withColumn("_code", F.when(F.col("has_print"), F.col("show_set"))), "_code")
+    known = {"item_id": item, "card_name": F.col("name"), "card_print_id": F.col("print_id"), "set_code_full": F.col("show_set"), "rarity": F.col("show_rarity"), "region": F.col("code.region")}
     return shown.select(*[known.get(c, _has(shown, c)).alias(c) for c in BACKUP_COLUMNS])
 
 
+def partner(shown: DataFrame) -> DataFrame:
+    """The seven columns of the exchange format; what is unknown is empty."""
+    known = (text.safe_cell(F.col("name")), F.col("quantity"), _text(F.col("show_rarity")), text.safe_cell(F.col("condition")), _text(_has(shown, "edition")), _text(_has(shown, "set_name")), F.coalesce("show_set", F.lit("")))
+    return shown.select(*[v.alias(c) for c, v in zip(PARTNER_COLUMNS, known)])
+
+
+def ordered(shown: DataFrame) -> DataFrame:
+    """By name, then by the whole key: the order of every export."""
+    return shown.orderBy(F.lower("name"), "name", *[F.col(k).asc_nulls_first() for k in collection.KEY])
+
+
 def csv_lines(df: DataFrame) -> DataFrame:
     """Rows as CSV text (column ``line``): cells with a quote, comma or line break are quoted, nulls are empty."""
 
@@ -69,6 +79,7 @@ def write_csv(df: DataFrame, path: str, newline: str = "\n", bom: bool = False)
 
 #: (format, name) -> rows to export; the first of a format is its default.
 PROFILES: dict[tuple[str, str], Callable[[DataFrame], DataFrame]] = {
+    ("csv", "partner"): partner,
     ("csv", "pocket"): pocket,
     ("csv", "backup"): backup,
     ("text", "list"): lambda df: collection.export_text(df, "list"),
@@ -78,10 +89,20 @@ PROFILES: dict[tuple[str, str], Callable[[DataFrame], DataFrame]] = {
 
 
 def profile(kind: str, name: str | None = None) -> Callable[[DataFrame], DataFrame]:
+    """The rows of a profile, in the order of every export."""
     found = [f for (k, n), f in PROFILES.items() if k == kind and name in (None, n)]
     if not found:
         raise ValueError(f"no profile {name!r} for {kind!r}; known: {sorted(PROFILES)}")
-    return found[0]
+    return lambda shown: found[0](ordered(shown))
+
+
+def profiles(shown: DataFrame) -> DataFrame:
+    """(format, name, is_default, columns) of each profile."""
+    rows, seen = [], set()
+    for (kind, name), f in PROFILES.items():
+        rows.append((kind, name, kind not in seen, f(shown).columns))
+        seen.add(kind)
+    return shown.sparkSession.createDataFrame(rows, "format string, name string, is_default boolean, columns array<string>")
 
 
 def report(shown: DataFrame, skip_unresolved: bool) -> DataFrame:

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from recordlink.functions import text
 
 # ---- fixed values -------------------------------------------------------------------------------
 MAIN_LEAST, MAIN_MOST, EXTRA_MOST, SIDE_MOST = 40, 60, 15, 15
-AREA, ASPECT, ASPECT_SLACK, SAME_BOX = (0.02, 0.45), 59 / 86, 0.18, 0.6
+AREA, ASPECT, ASPECT_SLACK, RECTANGULAR, SAME_BOX = (0.02, 0.45), 59 / 86, 0.18, 0.75, 0.6
+BLANK_DEVIATION, BLANK_EDGES = 8.0, 4.0
 # -------------------------------------------------------------------------------------------------
 
 
@@ -59,8 +61,23 @@ def wrong_translations(alt: DataFrame, card: DataFrame) -> DataFrame:
 
 
 def candidate_boxes(boxes: DataFrame) -> DataFrame:
-    """Boxes whose area and aspect could be a card's."""
-    return boxes.filter((F.col("w") * F.col("h")).between(*AREA) & (F.abs(F.col("w") / F.col("h") - ASPECT) <= ASPECT_SLACK))
+    """Boxes whose area, aspect and rectangularity (``filled``, the contour's area, over the box's) could be a card's."""
+    area = F.col("w") * F.col("h")
+    return boxes.filter(area.between(*AREA) & (F.abs(F.col("w") / F.col("h") - ASPECT) <= ASPECT_SLACK) & (F.col("filled") >= RECTANGULAR * area))
+
+
+def filled_cells(cells: DataFrame) -> DataFrame:
+    """Grid cells (image_id, cell, deviation, edges) without the blank ones (smooth and without edges); an image of blank cells only keeps all."""
+    blank = (F.col("deviation") <= BLANK_DEVIATION) & (F.col("edges") <= BLANK_EDGES)
+    some = F.bool_or(~blank).over(W.partitionBy("image_id"))
+    return cells.withColumn("_some", some).filter(~blank | ~F.col("_some")).drop("_some")
+
+
+def pixel_box(left: Column, top: Column, right: Column, bottom: Column, width: Column, height: Column) -> Column:
+    """A relative box in whole pixels, cut at the image's borders."""
+    at = lambda x, n: F.floor(x * n).cast("int")
+    zero = lambda c: F.greatest(F.lit(0), c)
+    return F.struct(zero(at(left, width)).alias("left"), zero(at(top, height)).alias("top"), F.least(width, at(right, width)).alias("right"), F.least(height, at(bottom, height)).alias("bottom"))
 
 
 def ordered_boxes(boxes: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from recordlink.functions import decide, shared, text
-from recordlink.operators import collection, ladder, match, rules
+from recordlink.operators import collection, exports, ladder, match, rules
 from recordlink.sources.views import view, with_sql
 from recordlink.streaming import ingest
 
@@ -183,7 +183,8 @@ def agg_accuracy(spark, d):
     return m.agg(F.avg(right).alias("name_top1"), F.avg(F.when(F.col("print_id").isNotNull(), right)).alias("code_top1"), F.avg(F.when(F.col("raw_id").isNotNull(), right)).alias("id_top1"), F.sum(((F.col("decision") == "auto") & (F.col("card_id") != F.col("truth"))).cast("long")).alias("wrong_auto"))
 
 
-_DEC = """SELECT event_id, round(c, 9) AS confidence, CASE WHEN agreed = false THEN 'manual' WHEN c >= 0.93 AND margin >= 0.08 THEN 'auto' WHEN agreed AND c >= 0.88 THEN 'auto' WHEN margin < 0.05 THEN 'manual' WHEN c >= 0.7 THEN 'pending' ELSE 'manual' END AS route
+_DEC = """SELECT event_id, round(c, 9) AS confidence, CASE WHEN agreed = false THEN 'manual' WHEN c >= 0.93 AND margin >= 0.08 THEN 'auto' WHEN agreed AND c >= 0.88 THEN 'auto' WHEN margin < 0.05 THEN 'manual' WHEN c >= 0.7 THEN 'pending' ELSE 'manual' END AS route,
+CASE WHEN agreed = false THEN 'name and code disagree' WHEN c >= 0.93 AND margin >= 0.08 THEN 'sure and clear' WHEN agreed AND c >= 0.88 THEN 'name and code agree' WHEN margin < 0.05 THEN 'ambiguous' WHEN c >= 0.7 THEN 'likely' ELSE 'unsure' END AS reason
 FROM (SELECT *, CASE WHEN agreed = false THEN 0.45 * name ELSE greatest(0.0, least(1.0, name + CASE WHEN agreed THEN 0.15 ELSE 0 END + CASE WHEN margin > 0.15 THEN 0.05 WHEN margin < 0.05 THEN -0.15 ELSE 0 END)) END AS c
 FROM (SELECT event_id, least(1.0, greatest(0.0, value / 100)) AS name, (event_id % 40) / 100.0 - 0.1 AS margin, CASE event_id % 3 WHEN 0 THEN true WHEN 1 THEN false END AS agreed FROM events))"""
 
@@ -193,20 +194,8 @@ def dec_route(spark, d):
     e = view(spark, d, "events").select("event_id", (F.col("value") / 100).alias("name"), (F.col("event_id") % 40 / 100.0 - 0.1).alias("margin"), F.when(F.col("event_id") % 3 == 0, True).when(F.col("event_id") % 3 == 1, False).alias("agreed"))
     c = decide.confidence(F.lit(True), F.col("name"), F.lit(1.0), F.col("agreed"), F.col("margin"))
     e = e.withColumn("c", c)
-    return e.select("event_id", F.round("c", 9).alias("confidence"), decide.decision(F.lit(True), F.col("c"), F.col("agreed"), F.col("margin")).alias("route"))
-
-
-@query("agg_sweep", """WITH e AS (SELECT d.doc_id, quality = 1 AS ok, least(1.0, n_chars / 5000.0) AS c FROM labels l JOIN documents d ON d.doc_id = l.doc_id), g AS (SELECT (70 + a.i) / 100.0 AS auto_at, (50 + b.i) / 100.0 AS review_at FROM range(30) a(i), range(21) b(i))
-SELECT auto_at, review_at, count(*) FILTER (c >= auto_at) AS accepted, count(*) FILTER (c >= auto_at AND ok) AS accepted_right, count(*) FILTER (c < auto_at AND c >= review_at) AS to_review FROM e, g GROUP BY ALL""")
-def agg_sweep(spark, d):
-    e = view(spark, d, "labels").join(view(spark, d, "documents").select("doc_id", "n_chars"), "doc_id").select((F.col("quality") == 1).alias("ok"), F.least(F.lit(1.0), F.col("n_chars") / 5000.0).alias("c"))
-    # scores are counted before they meet the grid, whose size is fixed
-    e = e.groupBy("ok", "c").agg(F.count("*").alias("k"))
-    grid = spark.range(30).select(((70 + F.col("id")) / 100.0).alias("auto_at")).crossJoin(spark.range(21).select(((50 + F.col("id")) / 100.0).alias("review_at")))
-    x = e.crossJoin(F.broadcast(grid))
-    n = lambda cond, name: F.sum(F.when(cond, F.col("k")).otherwise(0)).alias(name)
-    auto = F.col("c") >= F.col("auto_at")
-    return x.groupBy("auto_at", "review_at").agg(n(auto, "accepted"), n(auto & F.col("ok"), "accepted_right"), n(~auto & (F.col("c") >= F.col("review_at")), "to_review"))
+    args = (F.lit(True), F.col("c"), F.col("agreed"), F.col("margin"))
+    return e.select("event_id", F.round("c", 9).alias("confidence"), decide.decision(*args).alias("route"), decide.reason(*args).alias("reason"))
 
 
 @query("flt_cards", "SELECT card_id, name, type, level, atk FROM card WHERE contains(lower(archetype), 'brand#1') AND atk BETWEEN 920 AND 980 AND level >= 10", ("card",))
@@ -306,15 +295,11 @@ def snk_deck(spark, d):
     return collection.export_text(_shown(spark, d), "deck").groupBy("line").agg(F.count("*").alias("copies"))
 
 
-@query("snk_csv_cells", f"WITH {_SHOWN} SELECT CASE WHEN regexp_matches(name, '^[=+@\\t\\r-]') THEN '''' || name ELSE name END AS \"Card Name\", quantity AS \"Card Quantity\", coalesce(show_rarity, '') AS \"Card Rarity\", condition AS \"Card Condition\", coalesce(show_set, '') AS \"Card Set Code\" FROM s", _SV)
-def snk_csv_cells(spark, d):
-    return _shown(spark, d).select(text.safe_cell(F.col("name")).alias("Card Name"), F.col("quantity").alias("Card Quantity"), F.coalesce("show_rarity", F.lit("")).alias("Card Rarity"), F.col("condition").alias("Card Condition"), F.coalesce("show_set", F.lit("")).alias("Card Set Code"))
-
-
-@query("agg_jobs", "SELECT job_id, count(*) AS crops, count(*) FILTER (decision = 'auto') AS auto, count(*) FILTER (decision IN ('pending', 'manual', 'unmatched')) AS queue, CAST(round_even(100.0 * count(*) FILTER (decision = 'auto') / count(*), 0) AS BIGINT) AS auto_percent FROM scan_result GROUP BY 1", ("scan_result",))
-def agg_jobs(spark, d):
-    g = view(spark, d, "scan_result").groupBy("job_id").agg(F.count("*").alias("crops"), F.count_if(F.col("decision") == "auto").alias("auto"), F.count_if(F.col("decision").isin("pending", "manual", "unmatched")).alias("queue"))
-    return g.withColumn("auto_percent", F.bround(100.0 * F.col("auto") / F.col("crops")).cast("long"))
+@query("snk_partner", f"WITH {_SHOWN} SELECT CASE WHEN regexp_matches(name, '^[=+@\\t\\r-]') THEN chr(39) || name ELSE name END AS \"Card Name\", quantity AS \"Card Quantity\", coalesce(show_rarity, '') AS \"Card Rarity\", condition AS \"Card Condition\", '' AS \"Card Edition\", coalesce(c.set_name, '') AS \"Card Set\", coalesce(show_set, '') AS \"Card Set Code\" FROM s LEFT JOIN card_set c ON c.set_code = s.set_prefix", (*_SV, "card_set"))
+def snk_partner(spark, d):
+    """The seven-column exchange format."""
+    sets = view(spark, d, "card_set").select(F.col("set_code").alias("set_prefix"), "set_name")
+    return exports.profile("csv", "partner")(_shown(spark, d).join(sets, "set_prefix", "left"))
 
 
 @query("srt_queue", "SELECT event_id, job_id, place FROM (SELECT *, row_number() OVER (ORDER BY created_at, event_id) AS place FROM scan_result WHERE decision IN ('pending', 'manual', 'unmatched')) WHERE place <= 50", ("scan_result",))
@@ -347,13 +332,6 @@ def dq_duplicates(spark, d):
     return view(spark, d, "card_print").groupBy("card_id", "set_code_full").agg(F.count("*").alias("n")).filter("n > 1")
 
 
-@query("agg_text_lines", "SELECT conv_id, role, string_agg(text, ' ' ORDER BY turn) AS joined, arg_max(text, struct_pack(a := -length(text), b := -turn)) AS best, count(*) AS lines FROM conversations WHERE text IS NOT NULL GROUP BY 1, 2")
-def agg_text_lines(spark, d):
-    """Lines of a region joined by position, and the most confident one (here the shortest, the earlier of equal ones)."""
-    c = view(spark, d, "conversations").filter("text is not null")
-    return c.groupBy("conv_id", "role").agg(F.expr("listagg(text, ' ') WITHIN GROUP (ORDER BY turn)").alias("joined"), F.max_by("text", F.struct(-F.length("text"), -F.col("turn"))).alias("best"), F.count("*").alias("lines"))
-
-
 @query("set_labels", "WITH a AS (SELECT card_id, name, atk FROM card WHERE card_id % 10 <> 3), b AS (SELECT card_id, name, CASE WHEN card_id % 7 = 0 THEN atk + 1 ELSE atk END AS atk FROM card WHERE card_id % 10 <> 5) SELECT coalesce(a.card_id, b.card_id) AS card_id, CASE WHEN a.card_id IS NULL THEN 'insert' WHEN b.card_id IS NULL THEN 'stale' WHEN a.atk = b.atk THEN 'same' ELSE 'update' END AS action FROM a FULL JOIN b ON a.card_id = b.card_id", ("card",))
 def set_labels(spark, d):
     c = view(spark, d, "card")
@@ -367,14 +345,6 @@ def jon_new_files(spark, d):
     return docs.join(docs.filter("source = 'src1'").select("file_hash"), "file_hash", "left_anti").groupBy("file_hash").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("files"))
 
 
-@query("jon_sibling_print", "SELECT a.print_id, b.print_id AS sibling FROM card_print a JOIN (SELECT *, row_number() OVER (PARTITION BY card_id, region, rarity ORDER BY print_id) AS o FROM card_print) b ON b.o = 1 AND a.card_id = b.card_id AND a.number = b.number AND a.rarity = b.rarity AND a.region = 'EN' AND b.region = 'PT'", ("card_print",))
-def jon_sibling_print(spark, d):
-    """The first print of the same record, number and rarity in the other language."""
-    p = view(spark, d, "card_print")
-    other = p.filter("region = 'PT'").groupBy("card_id", "number", "rarity").agg(F.min("print_id").alias("sibling"))
-    return p.filter("region = 'EN'").join(other, ["card_id", "number", "rarity"]).select("print_id", "sibling")
-
-
 @query("fun_masked", "SELECT doc_id, md5(regexp_replace(text, '(sk-[A-Za-z0-9]{4})[A-Za-z0-9]{12,}([A-Za-z0-9]{4})', '\\1***\\2', 'g')) AS masked_md5 FROM documents")
 def fun_masked(spark, d):
     return view(spark, d, "documents").select("doc_id", F.md5(text.mask_keys(F.col("text"))).alias("masked_md5"))
@@ -408,7 +378,7 @@ def mat_similar(spark, d):
     return match.blocked_similarity(keyed(left), keyed(every), 0.9).withColumn("score", F.round("score", 9))
 
 
-@query("box_candidates", "SELECT box_id, image_id FROM box WHERE w * h BETWEEN 0.02 AND 0.45 AND abs(w / h - 59.0 / 86) <= 0.18", ("box",))
+@query("box_candidates", "SELECT box_id, image_id FROM box WHERE w * h BETWEEN 0.02 AND 0.45 AND abs(w / h - 59.0 / 86) <= 0.18 AND filled >= 0.75 * w * h", ("box",))
 def box_candidates(spark, d):
     return rules.candidate_boxes(view(spark, d, "box")).select("box_id", "image_id")
 
@@ -418,7 +388,7 @@ def box_order(spark, d):
     return rules.ordered_boxes(view(spark, d, "box"))
 
 
-@query("box_accepted", "SELECT image_id, count(*) AS boxes, CASE WHEN count(*) BETWEEN 2 AND 16 THEN 'grid' ELSE 'whole' END AS layout FROM box WHERE w * h BETWEEN 0.02 AND 0.45 AND abs(w / h - 59.0 / 86) <= 0.18 GROUP BY 1", ("box",))
+@query("box_accepted", "SELECT image_id, count(*) AS boxes, CASE WHEN count(*) BETWEEN 2 AND 16 THEN 'grid' ELSE 'whole' END AS layout FROM box WHERE w * h BETWEEN 0.02 AND 0.45 AND abs(w / h - 59.0 / 86) <= 0.18 AND filled >= 0.75 * w * h GROUP BY 1", ("box",))
 def box_accepted(spark, d):
     g = rules.candidate_boxes(view(spark, d, "box")).groupBy("image_id").agg(F.count("*").alias("boxes"))
     return g.withColumn("layout", F.when(F.col("boxes").between(2, 16), "grid").otherwise("whole"))

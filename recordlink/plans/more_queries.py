@@ -5,50 +5,52 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from recordlink.functions import text
-from recordlink.operators import changes, collection, exports, lookup, match
-from recordlink.plans.catalog_of_queries import _CODES, _KEYS, _OLD, _ON, _SHOWN, _SV, _shown, _strict, _target, query
+from recordlink.operators import changes, collection, exports, lookup, match, review
+from recordlink.plans.catalog_of_queries import _CODES, _KEYS, _LADDER, _OLD, _ON, _SHOWN, _SV, _candidates, _shown, _strict, _target, query
 from recordlink.sources.views import view
 
-_SCORED = f"""r AS (SELECT DISTINCT {_strict('raw_name')} AS typed FROM reading WHERE length({_strict('raw_name')}) >= 4), n AS (SELECT {_strict('name')} AS name, min(card_id) AS card_id FROM card GROUP BY 1),
-c AS (SELECT typed, card_id, round(1 - levenshtein(typed, name) / greatest(length(typed), length(name)), 9) AS score FROM r JOIN n ON abs(length(typed) - length(name)) <= 12 AND 1 - levenshtein(typed, name) / greatest(length(typed), length(name)) >= 0.95)"""
-
-
-def _typed(spark, d):
-    """(typed, card_id, score): names as read against the catalogue's, by edit similarity of at least 0.95."""
-    names = view(spark, d, "card").groupBy(text.normalize_strict(F.col("name")).alias("id")).agg(F.min("card_id").alias("card_id"))
-    typed = view(spark, d, "reading").select(text.normalize_strict(F.col("raw_name")).alias("id")).distinct().filter(F.length("id") >= 4)
-    pairs = match.blocked_similarity(typed.withColumn("name", F.col("id")), names.select("id", F.col("id").alias("name")), 0.95)
-    return typed, pairs.join(names, F.col("r_id") == F.col("id")).select(F.col("l_id").alias("typed"), "card_id", F.round("score", 9).alias("score"))
-
-
-@query("mat_manual", f"""WITH {_SCORED}, b AS (SELECT typed, max(score) AS best FROM c GROUP BY 1), m AS (SELECT c.typed, count(DISTINCT card_id) AS k, min(card_id) AS card_id FROM c JOIN b ON b.typed = c.typed WHERE score > best - 0.05 GROUP BY 1)
-SELECT r.typed, CASE WHEN k IS NULL THEN 'not_found' WHEN k > 1 THEN 'ambiguous' ELSE 'found' END AS status, CASE WHEN k = 1 THEN card_id END AS card_id, coalesce(k, 0) AS choices FROM r LEFT JOIN m ON m.typed = r.typed""", ("reading", "card"))
+@query("mat_manual", f"""WITH {_LADDER}, c AS (SELECT * FROM cand WHERE score >= 0.85), b AS (SELECT typed, max(score) AS best FROM c GROUP BY 1), m AS (SELECT c.typed, count(DISTINCT card_id) AS k, min(card_id) AS card_id FROM c JOIN b ON b.typed = c.typed WHERE score > best - 0.05 GROUP BY 1)
+SELECT ty.typed, CASE WHEN k IS NULL THEN 'not_found' WHEN k > 1 THEN 'ambiguous' ELSE 'found' END AS status, CASE WHEN k = 1 THEN card_id END AS card_id, coalesce(k, 0) AS choices FROM ty LEFT JOIN m ON m.typed = ty.typed""", ("reading", "card", "alt_name"))
 def mat_manual(spark, d):
-    typed, scored = _typed(spark, d)
-    every = typed.select(F.col("id").alias("typed")).join(scored, "typed", "left")
-    return lookup.manual_names(every)
+    """Names as a person would type them: exact, else similar by 0.85 or more; several near the best one are ambiguous."""
+    typed, found = _candidates(spark, d)
+    scored = typed.filter(F.length("typed") >= 4).distinct().join(found.filter(F.col("score") >= lookup.MANUAL_CUTOFF).select("typed", "card_id", "score"), "typed", "left")
+    return lookup.manual_names(scored)
 
 
-@query("mat_promote", f"""WITH {_SCORED}, {_CODES.split(',' + chr(10) + 'h AS')[0].replace(' c AS (SELECT reading_id', ' c2 AS (SELECT reading_id').replace(chr(10) + 'c AS', chr(10) + 'c2 AS')},
-h AS (SELECT reading_id, k.*, row_number() OVER (PARTITION BY reading_id ORDER BY u.i) AS o FROM c2 JOIN k ON k.code = u.c),
-x AS (SELECT reading.reading_id, c.card_id, score, h.code_card, row_number() OVER (PARTITION BY reading.reading_id ORDER BY score DESC, c.card_id) AS o FROM reading JOIN c ON c.typed = {_strict('raw_name')} LEFT JOIN h ON h.reading_id = reading.reading_id AND h.o = 1),
+@query("mat_promote", f"""WITH {_LADDER}, {_CODES},
+x AS (SELECT reading.reading_id, c.card_id, score, h.code_card, row_number() OVER (PARTITION BY reading.reading_id ORDER BY score DESC, c.card_id) AS o FROM reading JOIN cand c ON c.typed = {_strict('raw_name')} LEFT JOIN h ON h.reading_id = reading.reading_id AND h.o = 1),
 g AS (SELECT reading_id, any_value(code_card) AS cc, max(CASE WHEN o = 1 THEN card_id END) AS f, max(CASE WHEN o = 1 THEN score END) AS s1, max(CASE WHEN o > 1 THEN score END) AS s2, max(CASE WHEN card_id = code_card THEN score END) AS sc FROM x GROUP BY 1),
 p AS (SELECT *, coalesce(sc IS NOT NULL AND cc <> f AND s1 - sc <= 0.100000001, false) AS pr FROM g)
-SELECT reading_id, CASE WHEN pr THEN cc ELSE f END AS card_id, CASE WHEN pr THEN sc ELSE s1 END AS score, round(coalesce(CASE WHEN pr THEN sc - s1 ELSE s1 - s2 END, 1.0), 9) AS margin, CASE WHEN cc IS NOT NULL THEN pr OR cc = f END AS agreement FROM p""", ("reading", "card", "card_print"))
+SELECT reading_id, CASE WHEN pr THEN cc ELSE f END AS card_id, CAST(CASE WHEN pr THEN sc ELSE s1 END AS DOUBLE) AS score, CAST(round(coalesce(CASE WHEN pr THEN sc - s1 ELSE s1 - s2 END, 1.0), 9) AS DOUBLE) AS margin, CASE WHEN cc IS NOT NULL THEN pr OR cc = f END AS agreement FROM p""", ("reading", "card", "alt_name", "card_print"))
 def mat_promote(spark, d):
     """Name candidates reconciled with the card of the code that was read."""
     r = view(spark, d, "reading")
-    scored = _typed(spark, d)[1]
-    c = r.select("reading_id", text.normalize_strict(F.col("raw_name")).alias("typed")).join(scored, "typed").select("reading_id", "card_id", "score")
+    c = r.select("reading_id", text.normalize_strict(F.col("raw_name")).alias("typed")).join(_candidates(spark, d)[1], "typed").select("reading_id", "card_id", "score")
     return lookup.reconcile(c, match.resolve_codes(r, view(spark, d, "card_print"))).withColumn("margin", F.round("margin", 9))
 
 
-@query("mat_print_lookup", """WITH a AS (SELECT event_id AS ask_id, card_id, set_code_full AS code, CASE WHEN event_id % 2 = 0 THEN lower(rarity) END AS rarity FROM (SELECT event_id, 1 + event_id % 97 AS c FROM events) e JOIN (SELECT card_id, set_code_full, min(rarity) AS rarity FROM card_print GROUP BY 1, 2) p ON p.card_id = e.c),
+@query("mat_resolution", f"""WITH {_CODES} SELECT r.reading_id, h.code, CASE WHEN h.code IS NOT NULL THEN 1.0 ELSE 0.5 END::DOUBLE AS code_score, substr(regexp_extract(raw_code, '-(.*)$', 1), 1, 2) AS region, n_prints FROM reading r LEFT JOIN h ON h.reading_id = r.reading_id AND h.o = 1 LEFT JOIN (SELECT set_code_full, count(*) AS n_prints FROM card_print GROUP BY 1) c ON c.set_code_full = h.code""", ("card_print", "reading"))
+def mat_resolution(spark, d):
+    """Every code that was read: what it names, its region and score."""
+    return match.code_resolution(view(spark, d, "reading"), view(spark, d, "card_print")).select("reading_id", "code", "code_score", "region", "n_prints")
+
+
+@query("mat_options", f"""WITH {_CODES} SELECT h.reading_id, array_to_string(list(p.print_id ORDER BY p.print_id) FILTER (p.card_id = r.truth), ',') AS options FROM h JOIN reading r ON r.reading_id = h.reading_id JOIN card_print p ON p.set_code_full = h.code WHERE h.o = 1 GROUP BY 1 HAVING count(*) > 1""", ("card_print", "reading"))
+def mat_options(spark, d):
+    """The prints to choose from where a code has several."""
+    r, p = view(spark, d, "reading"), view(spark, d, "card_print")
+    codes = match.resolve_codes(r, p).select("reading_id", "code").join(r.select("reading_id", F.col("truth").alias("card_id")), "reading_id")
+    return review.print_options(codes, p).select("reading_id", F.array_join(F.transform("options", lambda x: x["print_id"]), ",").alias("options"))
+
+
+@query("mat_print_lookup", """WITH a AS (SELECT event_id AS ask_id, card_id, set_code_full AS code, CASE WHEN event_id % 2 = 0 THEN lower(rarity) END AS rarity FROM (SELECT event_id, 1 + event_id % (SELECT count(*) FROM part) AS c FROM events) e JOIN (SELECT card_id, set_code_full, min(rarity) AS rarity FROM card_print GROUP BY 1, 2) p ON p.card_id = e.c),
 g AS (SELECT ask_id, code, a.rarity, count(print_id) AS n, min(print_id) AS print_id FROM a LEFT JOIN card_print p ON p.card_id = a.card_id AND p.set_code_full = code AND (a.rarity IS NULL OR lower(p.rarity) = a.rarity) GROUP BY ALL)
 SELECT ask_id, code, CASE n WHEN 1 THEN 'found' WHEN 0 THEN 'not_found' ELSE 'ambiguous' END AS status, CASE WHEN n = 1 THEN print_id END AS print_id FROM g""", ("card_print",))
 def mat_print_lookup(spark, d):
     p = view(spark, d, "card_print")
-    e = view(spark, d, "events").select(F.col("event_id").alias("ask"), (1 + F.col("event_id") % 97).alias("card_id"))
+    n = view(spark, d, "part").count()
+    e = view(spark, d, "events").select(F.col("event_id").alias("ask"), (1 + F.col("event_id") % n).alias("card_id"))
     codes = p.groupBy("card_id", F.col("set_code_full").alias("code")).agg(F.min("rarity").alias("r"))
     a = e.join(codes, "card_id").select(F.struct("ask", "code").alias("ask_id"), "card_id", "code", F.when(F.col("ask") % 2 == 0, F.lower("r")).alias("rarity"))
     return lookup.manual_prints(a, p).select("ask_id.ask", "ask_id.code", "status", "print_id").withColumnRenamed("ask", "ask_id")
@@ -92,7 +94,7 @@ def snk_pocket(spark, d):
 
 
 @query("snk_backup", f"""WITH {_SHOWN} SELECT md5(concat_ws('|', {', '.join(f"coalesce(CAST({k} AS STRING), '~')" for k in collection.KEY)})) AS item_id, card_id, name AS card_name, print_id AS card_print_id, show_set AS set_code_full, set_prefix,
-CASE WHEN has_print THEN regexp_extract(show_set, '-(EN|PT)', 1) END AS region, show_rarity AS rarity, quantity, condition, language, {', '.join(f'CAST(NULL AS STRING) AS {c}' for c in ('edition', 'source', 'added_at', 'notes'))} FROM s""", _SV)
+CASE WHEN has_print THEN substr(split_part(show_set, '-', 2), 1, 2) END AS region, show_rarity AS rarity, quantity, condition, language, {', '.join(f'CAST(NULL AS STRING) AS {c}' for c in ('edition', 'source', 'added_at', 'notes'))} FROM s""", _SV)
 def snk_backup(spark, d):
     return exports.profile("csv", "backup")(_shown(spark, d))
 
@@ -120,10 +122,12 @@ def ups_override(spark, d):
     return changes.overrides(view(spark, d, "delta").filter("print_id is not null"), ["card_id", "language"], "print_id", "added_at", "seq", "print_id")
 
 
-@query("ups_sets", """WITH a AS (SELECT upper(trim(concat(' s', lpad(CAST(n_nationkey * 3 AS STRING), 4, '0')))) AS set_code, trim(CASE WHEN n_nationkey % 5 = 0 THEN ' ' ELSE n_name END) AS set_name FROM nation), f AS (SELECT set_code, min(set_name) AS m FROM a GROUP BY 1)
-SELECT a.set_code, a.set_name, CASE WHEN a.set_name = '' THEN 'blank' WHEN e.set_code IS NOT NULL OR a.set_name <> m THEN 'exists' ELSE 'created' END AS status FROM a JOIN f ON f.set_code = a.set_code LEFT JOIN card_set e ON e.set_code = a.set_code""", ("card_set",))
+@query("ups_sets", """WITH a AS (SELECT upper(trim(concat(' s', lpad(CAST(n_nationkey % 15 * 3 AS STRING), 4, '0')))) AS set_code, trim(CASE WHEN n_nationkey % 5 = 0 THEN ' ' WHEN n_nationkey > 20 THEN 'TWICE' ELSE n_name END) AS set_name FROM nation CROSS JOIN range(2)),
+f AS (SELECT *, row_number() OVER (PARTITION BY set_code, set_name = '' ORDER BY set_name) AS n FROM a)
+SELECT f.set_code, f.set_name, CASE WHEN f.set_name = '' THEN 'blank' WHEN e.set_code IS NOT NULL OR n > 1 THEN 'exists' ELSE 'created' END AS status FROM f LEFT JOIN card_set e ON e.set_code = f.set_code""", ("card_set",))
 def ups_sets(spark, d):
-    a = view(spark, d, "nation").select(F.concat(F.lit(" s"), F.lpad((F.col("n_nationkey") * 3).cast("string"), 4, "0")).alias("set_code"), F.when(F.col("n_nationkey") % 5 == 0, " ").otherwise(F.col("n_name")).alias("set_name"))
+    n = F.col("n_nationkey")
+    a = view(spark, d, "nation").select(F.explode(F.array(F.lit(0), F.lit(1))), F.concat(F.lit(" s"), F.lpad((n % 15 * 3).cast("string"), 4, "0")).alias("set_code"), F.when(n % 5 == 0, " ").when(n > 20, "TWICE").otherwise(F.col("n_name")).alias("set_name"))
     return changes.register_sets(view(spark, d, "card_set"), a)
 
 

@@ -38,10 +38,18 @@ VIEWS = {
           WHEN 4 THEN concat('#', cast(l_partkey % 1000 AS string)) ELSE concat('XY', cast(10000 + l_partkey % 70000 AS string), 'K', cast(200000 + l_suppkey AS string), 'Q') END AS raw_id FROM {lineitem}""",
     "scan_result": """SELECT event_id, user_id AS job_id, ts AS created_at, value, CASE event_type WHEN 'purchase' THEN 'auto' WHEN 'click' THEN 'pending' WHEN 'view' THEN 'manual' WHEN 'error' THEN 'unmatched' ELSE 'rejected' END AS decision,
         CASE WHEN value / 100 > 1 THEN 1.0 ELSE value / 100 END AS confidence FROM {events}""",
+    "print_all": """SELECT card_id, concat(set_prefix, '-', region, number) AS set_code_full, set_prefix, region, number, rarity, print_id FROM (
+        SELECT DISTINCT l_partkey AS card_id, concat('S', lpad(cast(l_suppkey AS string), 4, '0')) AS set_prefix, CASE WHEN l_suppkey % 2 = t THEN 'EN' ELSE 'PT' END AS region, lpad(cast(l_partkey AS string), 5, '0') AS number, CASE WHEN t = 1 AND l_partkey % 8 = 0 THEN 'Z' ELSE l_returnflag END AS rarity,
+        concat('S', lpad(cast(l_suppkey AS string), 4, '0'), '-', lpad(cast(l_partkey AS string), 5, '0'), '/', l_returnflag, CASE WHEN t = 1 THEN '+' ELSE '' END) AS print_id FROM {lineitem} CROSS JOIN (SELECT 0 AS t UNION ALL SELECT 1 AS t) tw WHERE t = 0 OR l_partkey % 4 < 2) x""",
+    "result": """SELECT k AS result_id, o AS image_id, cast(l % 3 AS bigint) AS crop, cast(o % 4 AS bigint) AS crops, p AS card_id, CASE WHEN k % 7 <> 0 THEN concat('S', lpad(cast(s AS string), 4, '0'), '-', lpad(cast(p AS string), 5, '0'), '/', f) END AS print_id,
+        concat('S', lpad(cast(s AS string), 4, '0'), '-', CASE WHEN s % 2 = 0 THEN 'EN' ELSE 'PT' END, lpad(cast(p AS string), 5, '0')) AS set_code, f AS rarity, CASE k % 4 WHEN 0 THEN 'EN' WHEN 1 THEN 'PT' WHEN 2 THEN 'DE' END AS language,
+        CASE k % 5 WHEN 0 THEN 'pending' WHEN 1 THEN 'manual' WHEN 2 THEN 'auto' WHEN 3 THEN 'auto' ELSE 'unmatched' END AS decision, k % 6 = 0 AS applied, CASE k % 11 WHEN 0 THEN 'skipped' WHEN 1 THEN 'failed' WHEN 2 THEN 'empty' ELSE 'ok' END AS status, o % 50 AS job_id, cast(p % 1000 AS double) / 1000.123 AS name_score
+        FROM (SELECT l_orderkey * 10 + l_linenumber AS k, l_orderkey AS o, l_linenumber AS l, min(l_partkey) AS p, min(l_suppkey) AS s, min(l_returnflag) AS f FROM {lineitem} GROUP BY 1, 2, 3) x""",
     "deck_card": """SELECT l_orderkey AS deck_id, l_partkey AS card_id, CASE l_returnflag WHEN 'A' THEN 'main' WHEN 'N' THEN 'extra' ELSE 'side' END AS zone,
         cast(sum(CASE WHEN l_returnflag = 'A' THEN l_quantity ELSE l_quantity % 8 + 1 END) AS bigint) AS quantity FROM {lineitem} GROUP BY 1, 2, 3""",
-    "box": """SELECT vec_id AS box_id, vec_id % 50 AS image_id, abs(cast(embedding[#1] AS double)) AS x, abs(cast(embedding[#2] AS double)) AS y,
-        abs(cast(embedding[#3] AS double)) + 0.01 AS w, abs(cast(embedding[#4] AS double)) + 0.01 AS h FROM {embeddings}""",
+    "box": """SELECT vec_id AS box_id, cast(floor(vec_id / 50.0) AS bigint) AS image_id, abs(cast(embedding[#1] AS double)) AS x, abs(cast(embedding[#2] AS double)) AS y,
+        abs(cast(embedding[#3] AS double)) + 0.01 AS w, abs(cast(embedding[#4] AS double)) + 0.01 AS h,
+        (0.6 + (vec_id % 10) / 20.0) * (abs(cast(embedding[#3] AS double)) + 0.01) * (abs(cast(embedding[#4] AS double)) + 0.01) AS filled FROM {embeddings}""",
 }
 
 

@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-
-def _folder(spark: SparkSession) -> str:
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    return f"{base or 'file://' + tempfile.mkdtemp(prefix='spark-')}/stream-{uuid.uuid4().hex}"
+from recordlink.functions import shared
+from recordlink.operators import collection
 
 
 def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,19 +17,34 @@ def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", 16).parquet(f"{sf_dir}/{name}.parque[t]")  # a pattern takes a file as well as a folder
 
 
-def _drained(df: DataFrame, columns: str, known: str | None = None) -> DataFrame:
-    """Run the stream over what there is and read its output; with ``known``, a batch inserts only rows whose key no earlier batch had."""
-    spark = df.sparkSession
-    out = _folder(spark)
+def run_once(stream: DataFrame, out: str, each: Callable[[DataFrame, int], None]) -> None:
+    """``each`` for every micro-batch of what there is; the checkpoint lies below ``out``, so a restart goes on where the last commit was."""
+    stream.writeStream.foreachBatch(each).option("checkpointLocation", f"{out}/log").trigger(availableNow=True).start().awaitTermination()
+
+
+def earlier(spark: SparkSession, out: str, batch_id: int, schema) -> DataFrame:
+    """What the batches before ``batch_id`` wrote; a batch that is repeated does not see its own first attempt."""
+    rows = spark.read.schema(schema).option("basePath", f"{out}/data").parquet(f"{out}/data/batch=*") if batch_id else None
+    return spark.createDataFrame([], schema) if rows is None else rows.filter(F.col("batch") < batch_id).drop("batch")
+
+
+def merge_new(known: str, out: str) -> Callable[[DataFrame, int], None]:
+    """A batch writer that inserts only rows whose ``known`` key no earlier batch had."""
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        if known:
-            batch = batch.dropDuplicates([known])
-            if batch_id:
-                batch = batch.join(spark.read.schema(batch.schema).parquet(f"{out}/data/*"), known, "left_anti")
+        batch = batch.dropDuplicates([known])
+        if batch_id:
+            batch = batch.join(earlier(batch.sparkSession, out, batch_id, batch.schema), known, "left_anti")
         batch.write.mode("overwrite").parquet(f"{out}/data/batch={batch_id}")  # a repeated batch overwrites itself
 
-    df.writeStream.foreachBatch(merge).option("checkpointLocation", f"{out}/log").trigger(availableNow=True).start().awaitTermination()
+    return merge
+
+
+def _drained(df: DataFrame, columns: str, known: str) -> DataFrame:
+    """Run the stream over what there is, insert each key once, and read the output."""
+    spark = df.sparkSession
+    out = shared.folder(spark, "stream")
+    run_once(df, out, merge_new(known, out))
     return spark.read.schema(columns).parquet(f"{out}/data/*")
 
 
@@ -44,7 +57,7 @@ def new_images(spark: SparkSession, sf_dir: str) -> DataFrame:
 def hourly_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events per hour and kind with a watermark of a day; micro-batches append partial counts, which are added at the end."""
     rows = _stream(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "1 day").groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n"))
-    out = _folder(spark)
+    out = shared.folder(spark, "stream")
 
     def keep(batch: DataFrame, batch_id: int) -> None:
         batch.select(F.col("w.start").alias("hour"), "event_type", "n", F.lit(batch_id).alias("b")).write.mode("overwrite").parquet(f"{out}/data/batch={batch_id}")
@@ -52,3 +65,66 @@ def hourly_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{out}/log").trigger(availableNow=True).start().awaitTermination()
     got = spark.read.schema("hour timestamp, event_type string, n long, b long").parquet(f"{out}/data/*")
     return got.groupBy("hour", "event_type").agg(F.max_by("n", "b").alias("n"))
+
+
+def add_once(out: str) -> Callable[[DataFrame, int], None]:
+    """A batch writer for collection deltas: the sums of each batch under its number, so that a repeated batch replaces its own and adds nothing twice."""
+
+    def add(batch: DataFrame, batch_id: int) -> None:
+        batch.groupBy(*collection.KEY).agg(F.sum("quantity").alias("quantity")).write.mode("overwrite").parquet(f"{out}/data/batch={batch_id}")
+
+    return add
+
+
+def streamed_collection(spark: SparkSession, sf_dir: str, delta: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The collection that the lineitem stream's deltas (``delta`` makes them of its rows) add up to."""
+    out = shared.folder(spark, "stream")
+    rows = delta(_stream(spark, sf_dir, "lineitem"))
+    run_once(rows, out, add_once(out))
+    kinds = dict(rows.dtypes)
+    schema = ", ".join(f"{c} {kinds[c]}" for c in collection.KEY) + ", quantity long"
+    return spark.read.schema(schema).parquet(f"{out}/data/*").groupBy(*collection.KEY).agg(F.sum("quantity").alias("quantity"))
+
+
+def progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Running counters per job: events so far and the last one's time, after all micro-batches."""
+    rows = _stream(spark, sf_dir, "events").groupBy("user_id").agg(F.count("*").alias("events"), F.max("ts").alias("last"))
+    out = shared.folder(spark, "stream")
+
+    def keep(batch: DataFrame, batch_id: int) -> None:
+        batch.withColumn("b", F.lit(batch_id)).write.mode("overwrite").parquet(f"{out}/data/batch={batch_id}")
+
+    rows.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{out}/log").trigger(availableNow=True).start().awaitTermination()
+    got = spark.read.schema(f"user_id long, events long, last {rows.schema['last'].dataType.simpleString()}, b long").parquet(f"{out}/data/*")
+    return got.groupBy("user_id").agg(F.max_by("events", "b").alias("events"), F.max_by("last", "b").alias("last"))
+
+
+def heartbeats(events: DataFrame, job: str, ts: str, silence: int) -> DataFrame:
+    """(job, beats): how many beats ``silence`` seconds apart fall into the gaps between a job's events."""
+    gap = F.unix_micros(F.lead(ts).over(W.partitionBy(job).orderBy(ts))) - F.unix_micros(ts)
+    return events.withColumn("_g", gap).groupBy(job).agg(F.sum(F.floor(F.coalesce("_g", F.lit(0)) / F.lit(silence * 1_000_000)).cast("long")).alias("beats"))
+
+
+def read_with(df: DataFrame, make: Callable[[], Callable], key: str, column: str, schema: str) -> DataFrame:
+    """(key, fields of ``schema``, status, error): a user's reader over each row, in Arrow batches.
+
+    ``make`` builds the reader once for each task (a model is loaded there); the reader takes a value and gives a dict. A row that fails becomes data, never an exception.
+    """
+    names = [c.strip().split()[0] for c in schema.split(",")]
+
+    def run(batches):
+        import pandas as pd
+
+        reader = make()
+        for pdf in batches:
+            rows = []
+            for k, v in zip(pdf[key].tolist(), pdf[column].tolist()):
+                try:
+                    got = reader(v)
+                    rows.append((k, *[got.get(n) for n in names], "ok", None))
+                except Exception as e:  # any failure of the user's reader
+                    rows.append((k, *[None] * len(names), "error", str(e) or type(e).__name__))
+            yield pd.DataFrame(rows, columns=[key, *names, "status", "error"])
+
+    kind = dict(df.dtypes)[key]
+    return df.select(key, column).mapInPandas(run, f"{key} {kind}, {schema}, status string, error string")
