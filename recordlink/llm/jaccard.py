@@ -320,9 +320,9 @@ def linked_components(live: DataFrame, classes: DataFrame, fetch, verify) -> Dat
 
     Star rounds: first each class meets one pivot, the smallest of its buckets; then it meets the other pivots of its buckets that are still in another component. What is left apart meets in the cross round.
     """
-    sets = common.written(fetch(live.select("c").distinct()), "jaccard-sets")
-    if sets.groupBy("c").count().filter("count > 1").limit(1).count():  # a class that was read in several places
-        sets = common.written(sets.dropDuplicates(["c"]), "jaccard-sets")
+    every = common.written(fetch(live.select("c").distinct()), "jaccard-sets")
+    if every.groupBy("c").count().filter("count > 1").limit(1).count():  # a class that was read in several places
+        every = common.written(every.dropDuplicates(["c"]), "jaccard-sets")
 
     side = lambda name: classes.select(F.col("c").alias(f"{name}_c"), F.struct("n", *BITS).alias(name))
 
@@ -334,6 +334,8 @@ def linked_components(live: DataFrame, classes: DataFrame, fetch, verify) -> Dat
         return common.written(near.select("a", "b"), name)
 
     def verified(pairs: DataFrame) -> DataFrame:
+        wanted = common.small(common.written(pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "c"), "jaccard-wanted"), MOST_BROADCAST)
+        sets = every.join(wanted, "c", "left_semi")  # only what is compared is shuffled
         both = pairs.join(sets.select(F.col("c").alias("a"), F.col("tokens").alias("x")), "a").join(sets.select(F.col("c").alias("b"), F.col("tokens").alias("y")), "b")
         return common.written(both.select("a", "b", "x", "y").mapInPandas(verify, "a long, b long"), "jaccard-links")
 
