@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from recordlink.functions import text
 from recordlink.plans import catalog_of_queries as q
-from recordlink.plans import more_queries  # noqa: F401
+from recordlink.plans import load_queries, more_queries, review_queries, search_queries  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -17,11 +17,12 @@ def rows(names, data):
     return sorted((tuple(round(float(r[i]), 6) if isinstance(r[i], float) else r[i] for i in at) for r in data), key=repr)
 
 
-@pytest.mark.parametrize("name", ["nrm_names", "cod_parse", "match_readings", "ups_add", "ups_remove", "ups_resolve", "agg_stats", "chk_decks", "mat_similar", "str_new_images", "box_accepted", "mat_manual", "mat_promote", "mat_print_lookup", "mat_second", "chk_admission", "chk_remaining", "chk_pool", "snk_pocket", "snk_backup", "snk_count", "snk_report", "ups_set", "ups_override", "ups_sets", "ups_reject", "ups_cascade"])
+@pytest.mark.parametrize("name", sorted(q.SQL))
 def test_same_as_sql(spark, name):
     con = duckdb.connect()
     for t in TABLES:
         con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
+    assert name in q.QUERIES
     rel = con.execute(q.SQL[name])
     want = rows([c[0] for c in rel.description], rel.fetchall())
     df = q.QUERIES[name](spark, SF)
