@@ -1,13 +1,11 @@
 """Training-data operators on a small table with nulls, repeats, clashing columns and very long texts."""
 
-import hashlib
 import random
 import re
 
 import pytest
-from pyspark.sql import functions as F
 
-from recordlink.llm import bpe, jaccard, licenses, mixing, passages, quality, secrets, toxicity, urls, vectors
+from recordlink.llm import bpe, jaccard, mixing, quality, secrets, vectors
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept string, size string, row string"
 
@@ -59,23 +57,12 @@ def test_bpe_is_tiktoken_and_round_trips():
             assert "".join(c.decode_stream(c.encode(t), 3)) == t
 
 
-def test_every_operator_takes_the_odd_rows(spark, docs):
-    n = docs.count()
-    assert quality.quality_rules(docs, docs.columns).count() == n
-    assert quality.stage(spark, docs, "").columns == docs.columns
-    assert secrets.scan(docs, docs.columns, redact=True).count() == n
-    assert mixing.mix(docs, docs.columns).count() == n
-    assert bpe.tokens(docs, ["doc_id"], *bpe.public_vocabulary()).count() == n
-    assert toxicity.score(docs, ["doc_id"], (0.0, {"bad": 1.0})).count() == n
-    assert passages.repeated_paragraphs(docs).filter("removed").select("doc_id").distinct().count() >= 2
-
-
 def test_empty_tables(spark, docs):
     none = docs.limit(0)
-    assert jaccard.jaccard_components(none).count() == 0
-    assert quality.quality_rules(none, ["doc_id"]).count() == 0
-    assert mixing.mix(none, ["doc_id"]).count() == 0
-    assert vectors.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+    assert jaccard.jaccard_components(none).collect() == []
+    assert quality.quality_rules(none, ["doc_id"]).collect() == []
+    assert mixing.mix(none, ["doc_id"]).collect() == []
+    assert vectors.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).collect() == []
 
 
 def test_secret_spans():
@@ -92,28 +79,11 @@ def test_secret_spans():
 
 def test_mix_targets_and_overlaps():
     assert mixing.targets({"a": 100, "b": 100, None: 100}) == {"a": 200.0, "b": pytest.approx(250 / 3), None: pytest.approx(500 / 3)}
-    flow = mixing.route({("a",): 10, ("a", "b"): 10}, {"a": 10, "b": 10})
-    assert flow[("a",)]["a"] == 10 and flow[("a", "b")]["b"] == 10
-
-
-def test_urls(spark):
-    rows = [(1, "http://X.example.org/es/1?q"), (2, "https://example.org"), (3, None), (4, "a://b.com/de/x"), (5, "no scheme")]
-    df = urls.judge(urls.split_url(spark.createDataFrame(rows, "page_id long, url string")), urls.rule_table(spark))
-    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in df.collect()}
-    assert got == {1: ("x.example.org", "/es/1", "example.org/es/", "block"), 2: ("example.org", "", None, "allow"), 3: ("", "", None, "allow"), 4: ("b.com", "/de/x", "com/de/", "block"), 5: ("", "", None, "allow")}
+    flow = mixing.route({"a": 10, "ab": 10}, {("a", "a"): 10, ("ab", "a"): 10, ("ab", "b"): 10}, {"a": 10, "b": 10})
+    assert flow == {("a", "a"): 10, ("ab", "a"): 0, ("ab", "b"): 10}
 
 
 def test_vectors_odd_rows(spark):
     rows = [(1, [1.0, 0.0]), (2, [1.0, 0.1]), (3, [0.0, 1.0]), (4, None), (5, [0.0, 0.0]), (6, [float("nan"), 1.0]), (7, [1.0, None]), (8, [1.0, 0.0]), (9, [])]
     got = {r.vec_id: (r.n_links, r.component_id) for r in vectors.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
     assert got == {1: (2, 1), 2: (2, 1), 8: (2, 1), 3: (0, 3), 4: (0, 4), 5: (0, 5), 6: (0, 6), 7: (0, 7), 9: (0, 9)}
-
-
-def test_swaps_shrink_the_gap():
-    rows = [(1, [0, 2]), (0, [1, 3]), (1, [0, 2]), (0, [1])] * 10
-    gap = lambda s: abs(float((w := toxicity.train_weights(rows, 4, {(2, 3): 10, (3, 2): 10}, swap=s)[1])[2] - w[3]))
-    assert gap(1.0) < gap(0.0) / 5
-
-
-def test_digest_of_ids():
-    assert hashlib.sha256(b"").hexdigest() == secrets.sha("") and licenses.UNKNOWN == "unknown" and F is not None
