@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from recordlink.llm import common
 
 #: Bounds of the training sample: labelled rows, and different features of a row summed over them.
-MOST_ROWS, MOST_ENTRIES = 20_000, 6_000_000
+MOST_ROWS, MOST_ENTRIES = 20_000, 3_000_000
 HASH_BITS = 20
 L2, SWAP, SMOOTH, STEPS = 1e-4, 1.0, 10.0, 60
 STEMS = (4, 5, 6, 7)
