@@ -4,8 +4,8 @@ Every (language, source) gets its own fences. They come from mergeable quantile
 in a logarithmic bucket (relative error ``ACCURACY``, the DDSketch of Masson, Rim and Lee 2019) and a sketch is the table
 of bucket counts, so merging two sketches is adding counts. The quartiles of a group of n documents are drawn to those of its language with weight
 ``PRIOR`` / (n + ``PRIOR``), and those of a language to those of all documents alike, so a group's size changes its fences smoothly.
-A fence is a quartile widened by ``REACH`` times the distance of the quartiles. A document is kept if it passes the base rules and no measure lies beyond its
-group's fences by more than ``SIGMAS`` standard errors of its own count (a Poisson count c of n words or lines has the error sqrt(c) / n), so that one odd line of a short text is no evidence.
+A fence is a quartile widened by ``REACH`` times the distance of the quartiles, and leaves at least ``1 - TAIL`` of the group inside (for measures that are zero for most documents, whose quartiles coincide). A document is kept if it passes the base rules and no measure lies beyond its
+group's fences by more than ``SIGMAS`` standard errors of its own count (a Poisson count c of n words or lines has the error sqrt(c) / n; repeated words come by the line, so their count has the error of as many lines), so that one odd line of a short text is no evidence.
 No fence has a fixed floor or cut.
 """
 
@@ -22,6 +22,7 @@ from recordlink.llm import common
 #: Documents that the prior of a group counts for.
 PRIOR = 200
 REACH = 3.0
+TAIL = 0.1
 SIGMAS = 3.0
 ACCURACY = 0.01
 GAMMA = (1 + ACCURACY) / (1 - ACCURACY)
@@ -71,12 +72,13 @@ def sketches(df: DataFrame, lang: str, source: str) -> DataFrame:
 
 
 def _quartiles(counts: DataFrame, keys: list[str]) -> DataFrame:
-    """Quartiles of every measure for each group of ``keys``, after merging the sketches by adding counts."""
+    """Quantiles (1 and 3 quarters; ``TAIL`` and ``1 - TAIL``) of every measure for each group of ``keys``, after merging the sketches by adding counts."""
     merged = counts.groupBy(*keys, "measure", "bucket").agg(F.sum("n").alias("n"))
     by = W.partitionBy(*keys, "measure")
     cum = merged.withColumns({"up_to": F.sum("n").over(by.orderBy("bucket").rowsBetween(W.unboundedPreceding, 0)), "docs": F.sum("n").over(by)})
     value = F.when(F.col("bucket") == -100_000, F.lit(0.0)).otherwise(2 * F.pow(F.lit(GAMMA), F.col("bucket").cast("double")) / F.lit(GAMMA + 1))
-    return cum.groupBy(*keys, "measure").agg(F.first("docs").alias("docs"), F.min(F.when(4 * F.col("up_to") >= F.col("docs"), value)).alias("q1"), F.min(F.when(4 * F.col("up_to") >= 3 * F.col("docs"), value)).alias("q3"))
+    at = lambda share, name: F.min(F.when(F.col("up_to") >= share * F.col("docs"), value)).alias(name)
+    return cum.groupBy(*keys, "measure").agg(F.first("docs").alias("docs"), at(0.25, "q1"), at(0.75, "q3"), at(TAIL, "t1"), at(1 - TAIL, "t3"))
 
 
 def fences(counts: DataFrame, prior: int = PRIOR, reach: float = REACH) -> DataFrame:
@@ -90,8 +92,8 @@ def fences(counts: DataFrame, prior: int = PRIOR, reach: float = REACH) -> DataF
         wide = (F.col("l_docs") * F.col(f"l_{q}") + prior * F.col(f"a_{q}")) / (F.col("l_docs") + prior)
         return (F.col("docs") * F.col(q) + prior * wide) / (F.col("docs") + prior)
 
-    df = df.select("lang", "source", "measure", drawn("q1").alias("q1"), drawn("q3").alias("q3"))
-    df = df.withColumns({"low": F.col("q1") - reach * (F.col("q3") - F.col("q1")), "high": F.col("q3") + reach * (F.col("q3") - F.col("q1"))})
+    df = df.select("lang", "source", "measure", *[drawn(q).alias(q) for q in ("q1", "q3", "t1", "t3")])
+    df = df.withColumns({"low": F.least(F.col("q1") - reach * (F.col("q3") - F.col("q1")), "t1"), "high": F.greatest(F.col("q3") + reach * (F.col("q3") - F.col("q1")), "t3")})
     cols = [F.max(F.when(F.col("measure") == k, F.col(s))).alias(f"{k}_{s}") for k in MEASURES for s in ("low", "high")]
     return df.groupBy("lang", "source").agg(*cols)
 
@@ -110,7 +112,8 @@ def quality_rules(docs: DataFrame, carry: list[str], text: str = "text", lang: s
     df = df.join(edges, F.col("lang").eqNullSafe(F.col("e_lang")) & F.col("source").eqNullSafe(F.col("e_source")), "left")
     beyond = F.lit(False)
     for k, (c, n) in MEASURES.items():
-        count, error, of = F.col(c).cast("double"), SIGMAS * F.sqrt(F.col(c).cast("double")), F.col(n).cast("double")
+        count, of = F.col(c).cast("double"), F.col(n).cast("double")
+        error = SIGMAS * F.sqrt(count * F.try_divide(of, F.col("n_lines").cast("double")) if k == "repeat_share" else count)
         beyond = beyond | F.coalesce(count - error > F.col(f"{k}_high") * of, F.lit(False))
         if k in LOWER:
             beyond = beyond | F.coalesce(count + error < F.col(f"{k}_low") * of, F.lit(False))
@@ -138,21 +141,23 @@ m AS (SELECT a.k, doc_id, lang, source, CAST(len(w) AS BIGINT) AS n_words, CAST(
         CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, CAST(coalesce(r.n, 0) AS BIGINT) AS n_repeat_words
       FROM a LEFT JOIN r ON a.k = r.k),
 x AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
-        [{{'measure': 'word_length', 'c': CAST(word_chars AS DOUBLE), 'n': CAST(n_words AS DOUBLE)}}, {{'measure': 'symbol_share', 'c': CAST(n_symbols AS DOUBLE), 'n': CAST(n_words AS DOUBLE)}},
-         {{'measure': 'dup_line_share', 'c': CAST(n_dup_lines AS DOUBLE), 'n': CAST(n_lines AS DOUBLE)}}, {{'measure': 'repeat_share', 'c': CAST(n_repeat_words AS DOUBLE), 'n': CAST(n_words AS DOUBLE)}}] AS ms FROM m),
+        [{{'measure': 'word_length', 'c': CAST(word_chars AS DOUBLE), 'n': CAST(n_words AS DOUBLE), 'e': CAST(word_chars AS DOUBLE)}}, {{'measure': 'symbol_share', 'c': CAST(n_symbols AS DOUBLE), 'n': CAST(n_words AS DOUBLE), 'e': CAST(n_symbols AS DOUBLE)}},
+         {{'measure': 'dup_line_share', 'c': CAST(n_dup_lines AS DOUBLE), 'n': CAST(n_lines AS DOUBLE), 'e': CAST(n_dup_lines AS DOUBLE)}}, {{'measure': 'repeat_share', 'c': CAST(n_repeat_words AS DOUBLE), 'n': CAST(n_words AS DOUBLE), 'e': CAST(n_repeat_words AS DOUBLE) * (CAST(n_words AS DOUBLE) / CAST(n_lines AS DOUBLE))}}] AS ms FROM m),
 s AS (SELECT lang, source, u.measure AS measure, CASE WHEN u.c / u.n < {LEAST} THEN -100000 ELSE CAST(ceil(ln(u.c / u.n) / {math.log(GAMMA)!r}) AS INT) END AS bucket, count(*) AS n
       FROM (SELECT lang, source, unnest(ms) AS u FROM x WHERE n_words > 0) GROUP BY ALL),
 lev AS (SELECT 0 AS lv, lang, source, measure, bucket, n FROM s UNION ALL SELECT 1, lang, NULL, measure, bucket, sum(n) FROM s GROUP BY ALL
         UNION ALL SELECT 2, NULL, NULL, measure, bucket, sum(n) FROM s GROUP BY ALL),
 c AS (SELECT *, sum(n) OVER (PARTITION BY lv, lang, source, measure ORDER BY bucket) AS u, sum(n) OVER (PARTITION BY lv, lang, source, measure) AS docs FROM lev),
 q AS (SELECT lv, lang, source, measure, any_value(docs) AS docs,
-        min(CASE WHEN 4 * u >= docs THEN CASE WHEN bucket = -100000 THEN 0.0 ELSE 2 * pow({GAMMA!r}, bucket) / {GAMMA + 1!r} END END) AS q1,
-        min(CASE WHEN 4 * u >= 3 * docs THEN CASE WHEN bucket = -100000 THEN 0.0 ELSE 2 * pow({GAMMA!r}, bucket) / {GAMMA + 1!r} END END) AS q3 FROM c GROUP BY lv, lang, source, measure),
+        min(CASE WHEN u >= 0.25 * docs THEN CASE WHEN bucket = -100000 THEN 0.0 ELSE 2 * pow({GAMMA!r}, bucket) / {GAMMA + 1!r} END END) AS q1, min(CASE WHEN u >= 0.75 * docs THEN CASE WHEN bucket = -100000 THEN 0.0 ELSE 2 * pow({GAMMA!r}, bucket) / {GAMMA + 1!r} END END) AS q3,
+        min(CASE WHEN u >= {TAIL!r} * docs THEN CASE WHEN bucket = -100000 THEN 0.0 ELSE 2 * pow({GAMMA!r}, bucket) / {GAMMA + 1!r} END END) AS t1, min(CASE WHEN u >= {1 - TAIL!r} * docs THEN CASE WHEN bucket = -100000 THEN 0.0 ELSE 2 * pow({GAMMA!r}, bucket) / {GAMMA + 1!r} END END) AS t3 FROM c GROUP BY lv, lang, source, measure),
 f AS (SELECT o.lang, o.source, o.measure, (o.docs * o.q1 + {PRIOR} * ((l.docs * l.q1 + {PRIOR} * g.q1) / (l.docs + {PRIOR}))) / (o.docs + {PRIOR}) AS q1,
-        (o.docs * o.q3 + {PRIOR} * ((l.docs * l.q3 + {PRIOR} * g.q3) / (l.docs + {PRIOR}))) / (o.docs + {PRIOR}) AS q3
+        (o.docs * o.q3 + {PRIOR} * ((l.docs * l.q3 + {PRIOR} * g.q3) / (l.docs + {PRIOR}))) / (o.docs + {PRIOR}) AS q3,
+        (o.docs * o.t1 + {PRIOR} * ((l.docs * l.t1 + {PRIOR} * g.t1) / (l.docs + {PRIOR}))) / (o.docs + {PRIOR}) AS t1,
+        (o.docs * o.t3 + {PRIOR} * ((l.docs * l.t3 + {PRIOR} * g.t3) / (l.docs + {PRIOR}))) / (o.docs + {PRIOR}) AS t3
       FROM q o JOIN q l ON o.lv = 0 AND l.lv = 1 AND o.lang IS NOT DISTINCT FROM l.lang AND o.measure = l.measure JOIN q g ON g.lv = 2 AND g.measure = o.measure),
-e AS (SELECT lang, source, measure, q1 - {REACH} * (q3 - q1) AS low, q3 + {REACH} * (q3 - q1) AS high FROM f),
-b AS (SELECT y.k, bool_or(y.u.c - {SIGMAS} * sqrt(y.u.c) > e.high * y.u.n OR (y.u.measure = 'word_length' AND y.u.c + {SIGMAS} * sqrt(y.u.c) < e.low * y.u.n)) AS beyond
+e AS (SELECT lang, source, measure, least(q1 - {REACH} * (q3 - q1), t1) AS low, greatest(q3 + {REACH} * (q3 - q1), t3) AS high FROM f),
+b AS (SELECT y.k, bool_or(y.u.c - {SIGMAS} * sqrt(y.u.e) > e.high * y.u.n OR (y.u.measure = 'word_length' AND y.u.c + {SIGMAS} * sqrt(y.u.e) < e.low * y.u.n)) AS beyond
       FROM (SELECT k, lang, source, unnest(ms) AS u FROM x WHERE n_words > 0) y
       JOIN e ON y.lang IS NOT DISTINCT FROM e.lang AND y.source IS NOT DISTINCT FROM e.source AND y.u.measure = e.measure GROUP BY y.k)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT coalesce(beyond, false) AS kept FROM x LEFT JOIN b ON x.k = b.k
