@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 
 from recordlink.llm import common
 
-MOST_STATES = 200_000
-MOST_PIECES = 500_000
+MOST_STATES = 100_000
+MOST_PIECES = 300_000
 LONG_PIECE = 64
 #: Texts whose ids a worker holds at once.
 SLICE = 256
@@ -44,7 +44,7 @@ class Transducer:
         self.vocab = {v: k for k, v in ranks.items()}
         self.prefixes = {t[:i] for t in ranks for i in range(1, len(t) + 1)}
         self.longest = max(map(len, ranks), default=1)
-        self.pair_ok: dict[tuple[int, int], bool] = {}
+        self.pair_ok: dict[int, bool] = {}  # by both tokens, packed in one number
         self.reachable: dict[int, bool] = {}
         self._clear()
 
@@ -65,16 +65,16 @@ class Transducer:
         return [self.ranks[p] for p in parts]
 
     def compatible(self, a: int, b: int) -> bool:
-        ok = self.pair_ok.get((a, b))
+        if a < 0:
+            ok = self.reachable.get(b)
+            if ok is None:
+                ok = self.reachable[b] = self.merge(self.vocab[b]) == [b]
+            return ok
+        ok = self.pair_ok.get(a << 32 | b)
         if ok is None:
-            if a < 0:
-                ok = self.reachable.get(b)
-                if ok is None:
-                    ok = self.reachable[b] = self.merge(self.vocab[b]) == [b]
-                return ok
             if len(self.pair_ok) > 4 * MOST_STATES:
                 self.pair_ok.clear()
-            ok = self.pair_ok[a, b] = self.merge(self.vocab[a] + self.vocab[b]) == [a, b]
+            ok = self.pair_ok[a << 32 | b] = self.merge(self.vocab[a] + self.vocab[b]) == [a, b]
         return ok
 
     def step(self, state: int, byte: int) -> int:
