@@ -158,8 +158,9 @@ def blocked_similarity(left: DataFrame, right: DataFrame, cutoff: float = 0.7, g
         return rows.select(F.col("id").alias(f"{p}_id"), F.col("n").alias(f"{p}_n"), F.col("d").alias(f"{p}_d"), F.explode(kept).alias("g")).select(f"{p}_id", f"{p}_n", f"{p}_d", "g.gram", F.col("g.at").alias(f"{p}_at"))
 
     within = lambda x, y: F.least(x, y) >= cutoff * F.greatest(x, y) - 1e-9
-    close = within(F.col("l_n"), F.col("r_n")) & (F.abs(F.col("l_at") - F.col("r_at")) <= F.least("l_d", "r_d"))
-    by_gram = keyed(a, "l").join(keyed(b, "r"), "gram").filter(close).select("l_id", "r_id")
+    # the place is part of the key: a gram that neither name's edits touch moved by d places at most
+    near = keyed(a, "l").withColumn("at", F.explode(F.sequence(F.col("l_at") - F.col("l_d"), F.col("l_at") + F.col("l_d"))))
+    by_gram = near.join(keyed(b, "r").withColumnRenamed("r_at", "at"), ["gram", "at"]).filter(within(F.col("l_n"), F.col("r_n"))).select("l_id", "r_id")
     spread = lambda d: d.withColumn("m", F.explode(F.sequence(F.ceil(F.col("n") * cutoff - 1e-9).cast("int"), F.floor(F.col("n") / cutoff + 1e-9).cast("int"))))
     ids = lambda d, p: d.select(F.col("id").alias(f"{p}_id"), F.col("n").alias(f"{p}_n"), F.col("few").alias(f"{p}_few"))
     by_length = spread(a).select(F.col("id").alias("l_id"), F.col("few").alias("l_few"), "m").join(ids(b, "r").withColumnRenamed("r_n", "m"), "m").filter("l_few or r_few").select("l_id", "r_id")

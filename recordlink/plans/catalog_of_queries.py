@@ -368,14 +368,14 @@ def mat_bm25(spark, d):
 
 
 @query("mat_similar", f"""WITH {ALL_NAMES}, c AS (SELECT DISTINCT {_strict('name')} AS name FROM names), r AS (SELECT DISTINCT {_strict('raw_name')} AS name FROM reading WHERE length({_strict('raw_name')}) >= 4 AND {_strict('raw_name')} NOT IN (SELECT name FROM c))
-SELECT r.name AS l_id, c.name AS r_id, round(1 - levenshtein(r.name, c.name) / greatest(length(r.name), length(c.name)), 9) AS score FROM r JOIN c ON least(length(r.name), length(c.name)) >= 0.9 * greatest(length(r.name), length(c.name)) - 1e-9 AND 1 - levenshtein(r.name, c.name) / greatest(length(r.name), length(c.name)) >= 0.9""", ("reading", "card", "alt_name"))
+SELECT r.name AS l_id, c.name AS r_id, round(1 - levenshtein(r.name, c.name) / greatest(length(r.name), length(c.name)), 9) AS score FROM r JOIN c ON least(length(r.name), length(c.name)) >= 0.95 * greatest(length(r.name), length(c.name)) - 1e-9 AND 1 - levenshtein(r.name, c.name) / greatest(length(r.name), length(c.name)) >= 0.95""", ("reading", "card", "alt_name"))
 def mat_similar(spark, d):
-    """All distinct names that were read and are no name of the catalogue, against all its names: edit similarity of at least 0.9."""
+    """All distinct names that were read and are no name of the catalogue, against all its names: edit similarity of at least 0.95 (``mat_ladder`` goes down to 0.7)."""
     s = lambda t, c: t.select(text.normalize_strict(F.col(c)).alias("name")).distinct()
     every = s(_names(spark, d), "name")
     left = s(view(spark, d, "reading"), "raw_name").filter(F.length("name") >= 4).join(every, "name", "left_anti")
     keyed = lambda t: t.select(F.col("name").alias("id"), "name")
-    return match.blocked_similarity(keyed(left), keyed(every), 0.9).withColumn("score", F.round("score", 9))
+    return match.blocked_similarity(keyed(left), keyed(every), 0.95).withColumn("score", F.round("score", 9))
 
 
 @query("box_candidates", "SELECT box_id, image_id FROM box WHERE w * h BETWEEN 0.02 AND 0.45 AND abs(w / h - 59.0 / 86) <= 0.18 AND filled >= 0.75 * w * h", ("box",))
