@@ -359,12 +359,12 @@ def test_toxicity_of_odd_rows(spark, odd, none):
 
 
 def test_toxicity_query_on_held_out_rows(spark):
-    sf = "/root/testdata/sf0.01"
+    sf = "/root/testdata/sf0.1"  # some 3,000 labelled rows to learn from; sf0.01 has 300
     labels = {r[0]: r[1] for r in duckdb.sql(f"select doc_id, toxic from '{sf}/labels.parquet'").fetchall()}
     rows = toxicity.query(spark, sf).collect()
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) and r.predicted == (r.score >= 0.3) for r in rows)
     held = [(labels[r.doc_id], r.predicted) for r in rows if r.held_out and r.doc_id in labels]
-    assert sum(p for y, p in held if y) >= 0.6 * sum(y for y, _ in held) and sum(p for y, p in held if not y) <= 0.03 * len(held)
+    assert sum(p for y, p in held if y) >= 0.85 * sum(y for y, _ in held) and sum(p for y, p in held if not y) <= 0.01 * len(held)
 
 
 # ---- pipeline -----------------------------------------------------------------------------------------
