@@ -237,6 +237,7 @@ def tokens(docs: DataFrame, carry: list[str], path: str, pattern: str, text: str
             rows.append([row[k] for k in want])
         return pd.DataFrame(rows, columns=list(want))
 
+    common.short_batches(docs.sparkSession)
     src = docs.select(F.struct(*[F.col(c) for c in carry]).alias("row"), F.col(text).alias("text"))
     return src.withColumn("e", run("text")).select("row", "e.*")
 

@@ -68,6 +68,13 @@ def small(df: DataFrame, most_rows: int = 100_000) -> DataFrame:
     return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
 
 
+def short_batches(spark: SparkSession, rows: int = 1_000) -> None:
+    """Python workers get at most ``rows`` texts at a time (Spark's default is 10,000, which long texts make too large for a worker)."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name)) > rows:
+        spark.conf.set(name, rows)
+
+
 def word_array(text: Column) -> Column:
     """Words ``[^\\x20\\x09-\\x0D]+`` of a text; null gives no words."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE, -1), "")

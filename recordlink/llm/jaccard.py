@@ -375,6 +375,7 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text")
     nothing (component_id null). Repeated rows and equal texts share a class. Very long texts are read whole. Empty input gives an empty table. Other columns are not read, so their names cannot clash.
     """
     spark = docs.sparkSession
+    common.short_batches(spark)
     src = docs.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(text).alias("digest"), F.col(text).alias("text"))
     for seed in range(3):
         scan = common.written(src.mapInPandas(_scan(seed), _SCAN), "jaccard-scan")

@@ -155,6 +155,7 @@ def scan(docs: DataFrame, carry: list[str], text: str = "text", redact: bool = F
 
     Null text: no spans, null redacted text. One row per input row, repeated rows alike; empty input gives an empty table.
     """
+    common.short_batches(docs.sparkSession)
     src = docs.select(F.struct(*[F.col(c) for c in carry]).alias("row"), F.col(text).alias("text"))
 
     @F.pandas_udf(f"struct<base:array<{SPAN}>,spans:array<{SPAN}>,redacted:string>")
