@@ -91,7 +91,8 @@ def shortlist(typed: DataFrame, variants: DataFrame, k: int = SHORTLIST) -> Data
 def rerank(candidates: DataFrame, typed: DataFrame, variants: DataFrame, scorer: Callable[[Column, Column], Column] = similarity.native, cutoff: float = CUTOFF, top: int = TOP) -> DataFrame:
     """Candidates by their real similarity: the best of all matchable names of a card."""
     v = variants.filter(F.length("fuzzy") >= LEAST_LENGTH).select("card_id", "language", "fuzzy")
-    pairs = candidates.select("typed", "card_id").join(v, "card_id").join(typed.select("typed", F.col("fuzzy").alias("asked")), "typed")
+    dealt = candidates.select("typed", "card_id").repartition(max(64, int(candidates.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    pairs = dealt.join(v, "card_id").join(typed.select("typed", F.col("fuzzy").alias("asked")), "typed")
     return _best(pairs.withColumn("score", scorer(F.col("asked"), F.col("fuzzy"))), "typed", cutoff, top)
 
 
@@ -102,7 +103,8 @@ def whole_catalogue(typed: DataFrame, variants: DataFrame, scorer: Callable[[Col
     if lengths:
         n = F.length("asked")
         t = t.withColumn("n", F.explode(F.sequence(F.ceil(n * cutoff - 1e-9).cast("int"), F.floor(n / cutoff + 1e-9).cast("int"))))
-        pairs = t.join(v.withColumn("n", F.length("fuzzy")), "n")
+        # few names make many pairs: they are dealt out by number, which adaptive execution does not undo
+        pairs = t.repartition(max(64, int(t.sparkSession.conf.get("spark.sql.shuffle.partitions")))).join(v.withColumn("n", F.length("fuzzy")), "n")
     else:
         pairs = v.crossJoin(shared.small(shared.written(t, "left-names")))
     return _best(pairs.withColumn("score", scorer(F.col("asked"), F.col("fuzzy"))), "typed", cutoff, top)
