@@ -18,6 +18,7 @@ MODULES = {
     "op8_jaccard": "jaccard",
     "op9_urls": "urls",
     "op10_toxicity": "toxicity",
+    "op11_conversations": "conversations",
 }
 
 
