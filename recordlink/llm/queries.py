@@ -19,6 +19,7 @@ MODULES = {
     "op9_urls": "urls",
     "op10_toxicity": "toxicity",
     "op11_conversations": "conversations",
+    "op12_neighbours": "neighbours",
     "op13_divergence": "divergence",
 }
 
