@@ -133,8 +133,9 @@ SQL = rf"""
 WITH d AS (SELECT row_number() OVER () AS k, doc_id, lang, source, coalesce(text, '') AS t FROM documents),
 a AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w,
         list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d),
-p AS (SELECT k, unnest(range(1, len(w) - 1)) AS i, w FROM a WHERE len(w) >= 3),
-g AS (SELECT k, i, count(*) OVER (PARTITION BY k, w[i], w[i + 1], w[i + 2]) AS c FROM p),
+o AS (SELECT k, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS i FROM a),
+p AS (SELECT k, i, x, lead(x, 1) OVER v AS y, lead(x, 2) OVER v AS z FROM o WINDOW v AS (PARTITION BY k ORDER BY i)),
+g AS (SELECT k, i, count(*) OVER (PARTITION BY k, x, y, z) AS c FROM p WHERE z IS NOT NULL),
 r AS (SELECT k, count(DISTINCT i + o) AS n FROM g, (VALUES (0), (1), (2)) v(o) WHERE c > 1 GROUP BY k),
 m AS (SELECT a.k, doc_id, lang, source, CAST(len(w) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS BIGINT) AS word_chars,
         CAST(length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(l) AS BIGINT) AS n_lines,
