@@ -40,7 +40,7 @@ def _paragraphs(texts, group: int = 2_000_000):
     for k, text in enumerate(texts):
         i, at, start, n = 0, 0, 0, 0
         for line in (text or "").split("\n"):
-            n += len(line.split()) if len(line) < 12 * LEAST_WORDS else LEAST_WORDS
+            n += len(line.encode("utf-8", "surrogatepass").split(None, LEAST_WORDS))  # bytes are split at the ASCII spaces alone
             at += len(line) + 1
             if n >= LEAST_WORDS or (n >= jaccard.SHINGLE and at > len(text or "")):
                 spans.append((k, i, start, at - 1))
