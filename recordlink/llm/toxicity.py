@@ -139,7 +139,7 @@ def train_weights(labels: np.ndarray, lens: np.ndarray, idx: np.ndarray, n_featu
 
 
 def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(toxic, n, ids, changes) of the bounded sample: features as packed 32-bit integers, and the counterfactuals of a row counted."""
+    """(toxic, n, ids, changes) of the bounded sample, its first text always: features as packed 32-bit integers, and the counterfactuals of a row counted."""
     lab = labels.filter("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     lab = lab.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MOST_ROWS)  # at most MOST_ROWS rows of two numbers
 
@@ -154,8 +154,10 @@ def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     src = docs.select("doc_id", "text").join(F.broadcast(lab), "doc_id").select("doc_id", "toxic", "text")
     rows = common.written(src.mapInPandas(split, "doc_id long, toxic int, n long, ids binary, changes array<struct<a:string,b:string,n:long>>"), "toxicity-rows")
+    texts = F.struct("n", "ids", "toxic", "changes")
+    rows = rows.groupBy("doc_id").agg(F.min(texts).alias("t")).select("doc_id", "t.*")  # one text of an id that repeats
     before = F.sum("n").over(W.orderBy(F.xxhash64("doc_id"), "doc_id", "ids").rowsBetween(W.unboundedPreceding, 0))  # at most MOST_ROWS ids
-    return rows.withColumn("up_to", before).filter(F.col("up_to") <= MOST_ENTRIES)
+    return rows.withColumn("up_to", before).filter((F.col("up_to") <= MOST_ENTRIES) | (F.col("up_to") == F.col("n")))
 
 
 def train(docs: DataFrame, labels: DataFrame, swap: float = SWAP) -> tuple[float, dict[int, float], int]:
