@@ -27,8 +27,6 @@ from recordlink.llm import common
 MOST_STATES = 100_000
 MOST_PIECES = 300_000
 LONG_PIECE = 64
-#: Texts whose ids a worker holds at once.
-SLICE = 256
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -215,8 +213,8 @@ def tokens(docs: DataFrame, carry: list[str], path: str, pattern: str, text: str
     @F.pandas_udf("struct<" + ",".join(f"{k}:{kinds[k]}" for k in want) + ">")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
-            for i in range(0, len(texts), SLICE):
-                yield encoded(texts[i : i + SLICE])
+            for lo, hi in common.slices(texts):
+                yield encoded(texts[lo:hi])
 
     def encoded(texts: pd.Series) -> pd.DataFrame:
         c = codec(path, pattern)
@@ -237,7 +235,6 @@ def tokens(docs: DataFrame, carry: list[str], path: str, pattern: str, text: str
             rows.append([row[k] for k in want])
         return pd.DataFrame(rows, columns=list(want))
 
-    common.short_batches(docs.sparkSession)
     src = docs.select(F.struct(*[F.col(c) for c in carry]).alias("row"), F.col(text).alias("text"))
     return src.withColumn("e", run("text")).select("row", "e.*")
 

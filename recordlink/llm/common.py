@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -68,11 +69,28 @@ def small(df: DataFrame, most_rows: int = 100_000) -> DataFrame:
     return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
 
 
-def short_batches(spark: SparkSession, rows: int = 1_000) -> None:
-    """Python workers get at most ``rows`` texts at a time (Spark's default is 10,000, which long texts make too large for a worker)."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(name)) > rows:
-        spark.conf.set(name, rows)
+#: Characters of texts and rows that a Python worker makes results for at once. Spark bounds the batches that it sends by bytes, but results can be larger than their texts.
+SLICE_CHARS, SLICE_ROWS = 1_000_000, 512
+
+
+def slices(texts) -> Iterator[tuple[int, int]]:
+    """(from, to) of successive parts of a batch: at most ``SLICE_ROWS`` rows, and ``SLICE_CHARS`` characters unless one text alone is longer."""
+    lo, chars = 0, 0
+    for i, t in enumerate(texts):
+        n = len(t) if isinstance(t, (str, bytes)) else 0
+        if i > lo and (i - lo >= SLICE_ROWS or chars + n > SLICE_CHARS):
+            yield lo, i
+            lo, chars = i, 0
+        chars += n
+    if lo < len(texts) or not len(texts):
+        yield lo, len(texts)
+
+
+def parts(batches: Iterator[pd.DataFrame], text: str = "text") -> Iterator[pd.DataFrame]:
+    """The batches in slices of their column ``text``."""
+    for pdf in batches:
+        for lo, hi in slices(pdf[text]):
+            yield pdf.iloc[lo:hi]
 
 
 def word_array(text: Column) -> Column:

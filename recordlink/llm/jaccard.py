@@ -177,7 +177,7 @@ def _scan(seed: int):
             some.clear()
             held = 0
 
-        for pdf in batches:
+        for pdf in common.parts(batches):
             rows = []
             for doc_id, digest, text in zip(pdf["doc_id"], pdf["digest"], pdf["text"]):
                 s = shingles(text)
@@ -228,7 +228,7 @@ def frequency_levels(blocks: DataFrame) -> np.ndarray:
 def _postings(levels_of, seed: int = 0):
     def run(batches):
         levels, seen = levels_of.value, set()
-        for pdf in batches:
+        for pdf in common.parts(batches):
             out_t, out_s, out_c = [], [], []
             for text in pdf["text"]:
                 s = shingles(text)
@@ -255,7 +255,7 @@ def _sets(seed: int = 0):
         """One text of each class, compressed: a third of its shingles' size or less; whoever compares it makes the shingles again."""
         seen: set = set()
         pack = zstandard.ZstdCompressor(level=3)
-        for pdf in batches:
+        for pdf in common.parts(batches):
             found = {}
             for c, text in zip(pdf["c"], pdf["text"]):
                 if c not in seen and class_key(shingles(text), seed) == c:
@@ -375,7 +375,6 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text")
     nothing (component_id null). Repeated rows and equal texts share a class. Very long texts are read whole. Empty input gives an empty table. Other columns are not read, so their names cannot clash.
     """
     spark = docs.sparkSession
-    common.short_batches(spark)
     src = docs.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(text).alias("digest"), F.col(text).alias("text"))
     for seed in range(3):
         scan = common.written(src.mapInPandas(_scan(seed), _SCAN), "jaccard-scan")

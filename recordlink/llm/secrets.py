@@ -12,6 +12,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -31,13 +32,14 @@ THRESHOLD = {"entropy_hex": 3.0, "entropy_base64": 3.7}
 #: A word, also in camel case, with a short number behind; or a short number.
 NAME = r"(?:(?:[A-Z]+|[a-z]+|[A-Z]{1,3}[a-z]{2,})(?:[A-Z]{1,3}[a-z]{2,})*[0-9]{0,4}|[0-9]{1,4})"
 PLACEHOLDER = re.compile(r"(?ai)(example|sample|placeholder|changeme|dummy|lorem|x{6,}|0{8,}|1234567)")
-#: Harmless shapes besides: names joined by separators as in paths, digits only.
-ALLOW = (re.compile(rf"[-_/=+]*{NAME}([-_/=+]+{NAME})*[-_/=+]*"), re.compile(r"[0-9]+([-_/=+][0-9]+)*"))
+#: Harmless shapes besides: names joined by separators as in paths, digits only. A name is read in several ways at its start, so each part is matched alone: all of them in one expression would be tried in all combinations.
+PART, SEPARATORS = re.compile(NAME), re.compile(r"[-_/=+]+")
+DIGITS = re.compile(r"[0-9]+([-_/=+][0-9]+)*")
 #: A name of three letters or more that a separator ends or starts.
 BEFORE = re.compile(rf"[-_/=]*(?=[A-Za-z]{{3}}){NAME}[-_/=]")
 AFTER = re.compile(rf"[-_/=](?=[A-Za-z]{{3}}){NAME}[-_/=]*\Z")
 LONGEST_NAME = 64
-_TERM = [0.0] + [c * math.log2(c) for c in range(1, WINDOW + 1)]
+_TERM = [0.0] + [c * math.log2(c) for c in range(1, WINDOW + 2)]  # a window holds one more while it moves
 
 
 def windows(run: str, threshold: float, width: int = WINDOW) -> list[tuple[int, int]]:
@@ -64,7 +66,8 @@ def windows(run: str, threshold: float, width: int = WINDOW) -> list[tuple[int,
 
 
 def allowed(found: str) -> bool:
-    return any(a.fullmatch(found) for a in ALLOW)
+    parts = [p for p in SEPARATORS.split(found) if p]
+    return bool(parts) and all(map(PART.fullmatch, parts)) or DIGITS.fullmatch(found) is not None
 
 
 def kept(run: str, threshold: float) -> list[tuple[int, int]]:
@@ -155,11 +158,15 @@ def scan(docs: DataFrame, carry: list[str], text: str = "text", redact: bool = F
 
     Null text: no spans, null redacted text. One row per input row, repeated rows alike; empty input gives an empty table.
     """
-    common.short_batches(docs.sparkSession)
     src = docs.select(F.struct(*[F.col(c) for c in carry]).alias("row"), F.col(text).alias("text"))
 
     @F.pandas_udf(f"struct<base:array<{SPAN}>,spans:array<{SPAN}>,redacted:string>")
-    def find(texts: pd.Series) -> pd.DataFrame:
+    def find(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            for lo, hi in common.slices(texts):
+                yield found(texts[lo:hi])
+
+    def found(texts: pd.Series) -> pd.DataFrame:
         rows = []
         for t in texts:
             base, spans = scan_text(t)
