@@ -18,15 +18,17 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recordlink.llm import common
 
 MOST_STATES = 100_000
-MOST_PIECES = 300_000
+MOST_PIECES = 120_000
 LONG_PIECE = 64
+#: Texts that a worker turns to Python objects at once.
+SLICE = 256
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -142,7 +144,25 @@ class Transducer:
         yield from chain(len(piece))
 
     def encode(self, piece: bytes) -> list[int]:
-        return list(self.stream(piece))
+        """The tokens of a piece at once; a short one without the generator's bookkeeping."""
+        if len(piece) >= LONG_PIECE:
+            return list(self.stream(piece))
+        whole = self.ranks.get(piece)
+        if whole is not None:
+            return [whole]
+        if len(self.states) > MOST_STATES:
+            self._clear()
+        state, lasts, get, step = 0, [], self.moves.get, self.step
+        for byte in piece:
+            found = get(state << 8 | byte) or step(state, byte)
+            state = found >> 32
+            lasts.append(found & 0xFFFFFFFF)
+        out, vocab, end = [], self.vocab, len(lasts)
+        while end:
+            token = lasts[end - 1] - 1
+            out.append(token)
+            end -= len(vocab[token])
+        return out[::-1]
 
 
 class Decoder:
@@ -164,18 +184,23 @@ class Codec:
         self.fst = Transducer(load_ranks(path))
         self.split = regex.compile(pattern).findall
         self.memo: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def encode(self, text: str | None) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
-        memo, out = self.memo, []
+        out = []
         pieces = self.split(text or "")
-        for at in range(0, len(pieces), 4096):  # the memo may be emptied between blocks
+        for at in range(0, len(pieces), 4096):
             block = pieces[at : at + 4096]
-            if len(memo) > MOST_PIECES:
-                memo.clear()
+            if len(self.memo) > MOST_PIECES:  # a full memo becomes the old one, from which pieces that come again are taken over
+                self.memo, self.old = {}, self.memo
+            memo, old = self.memo, self.old
             for p in set(block).difference(memo):
-                ids = self.fst.encode(p.encode("utf-8", "surrogatepass"))
-                memo[p] = struct.pack(f"<{len(ids)}I", *ids)
+                known = old.pop(p, None)
+                if known is None:
+                    ids = self.fst.encode(p.encode("utf-8", "surrogatepass"))
+                    known = struct.pack(f"<{len(ids)}I", *ids)
+                memo[p] = known
             out.append(b"".join([memo[p] for p in block]))
         return b"".join(out)
 
@@ -196,6 +221,13 @@ def codec(path: str, pattern: str) -> Codec:
     return Codec(path, pattern)
 
 
+def _column(kind: str, values: list) -> pa.Array:
+    if kind != "ids":
+        return pa.array(values, pa.int64() if kind == "n_tokens" else pa.string())
+    ends = np.cumsum([0, *(len(v) // 4 for v in values)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(values), "<i4"), pa.int32()))
+
+
 def public_vocabulary() -> tuple[str, str]:
     import public_tokenizers
 
@@ -210,20 +242,23 @@ def tokens(docs: DataFrame, carry: list[str], path: str, pattern: str, text: str
     """
     kinds = {"ids": "array<int>", "n_tokens": "long", "ids_sha256": "string", "decoded": "string", "decoded_sha256": "string"}
 
-    @F.pandas_udf("struct<" + ",".join(f"{k}:{kinds[k]}" for k in want) + ">")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("struct<" + ",".join(f"{k}:{kinds[k]}" for k in want) + ">")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        common.tidy()  # earlier stages used the same worker
         for texts in batches:
-            for lo, hi in common.slices(texts):
-                yield encoded(texts[lo:hi])
+            for lo in range(0, len(texts), SLICE):  # as Python objects only a slice at a time
+                part = texts.slice(lo, SLICE).to_pylist()
+                for a, b in common.slices(part):
+                    yield encoded(part[a:b])
 
-    def encoded(texts: pd.Series) -> pd.DataFrame:
+    def encoded(texts: list) -> pa.StructArray:
         c = codec(path, pattern)
         rows = []
         for t in texts:
             ids = c.encode(t)
             row = {"n_tokens": len(ids) // 4}
             if "ids" in want:
-                row["ids"] = np.frombuffer(ids, "<u4").astype(np.int32)
+                row["ids"] = ids
             if "ids_sha256" in want:
                 row["ids_sha256"] = hashlib.sha256(ids).hexdigest()
             if "decoded" in want or "decoded_sha256" in want:
@@ -232,8 +267,8 @@ def tokens(docs: DataFrame, carry: list[str], path: str, pattern: str, text: str
                     digest.update(part.encode())
                     parts.append(part if "decoded" in want else "")
                 row |= {"decoded": "".join(parts), "decoded_sha256": digest.hexdigest()}
-            rows.append([row[k] for k in want])
-        return pd.DataFrame(rows, columns=list(want))
+            rows.append(row)
+        return pa.StructArray.from_arrays([_column(k, [r[k] for r in rows]) for k in want], names=list(want))
 
     src = docs.select(F.struct(*[F.col(c) for c in carry]).alias("row"), F.col(text).alias("text"))
     return src.withColumn("e", run("text")).select("row", "e.*")

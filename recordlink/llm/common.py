@@ -3,11 +3,13 @@ cluster's shared folder, checked broadcasts, and connected components."""
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,15 +75,15 @@ def small(df: DataFrame, most_rows: int = 100_000) -> DataFrame:
 SLICE_CHARS, SLICE_ROWS = 1_000_000, 512
 
 
-def slices(texts) -> Iterator[tuple[int, int]]:
+def slices(texts, chars: int = SLICE_CHARS) -> Iterator[tuple[int, int]]:
     """(from, to) of successive parts of a batch: at most ``SLICE_ROWS`` rows, and ``SLICE_CHARS`` characters unless one text alone is longer."""
-    lo, chars = 0, 0
+    lo, held = 0, 0
     for i, t in enumerate(texts):
         n = len(t) if isinstance(t, (str, bytes)) else 0
-        if i > lo and (i - lo >= SLICE_ROWS or chars + n > SLICE_CHARS):
+        if i > lo and (i - lo >= SLICE_ROWS or held + n > chars):
             yield lo, i
-            lo, chars = i, 0
-        chars += n
+            lo, held = i, 0
+        held += n
     if lo < len(texts) or not len(texts):
         yield lo, len(texts)
 
@@ -91,6 +93,15 @@ def parts(batches: Iterator[pd.DataFrame], text: str = "text") -> Iterator[pd.Da
     for pdf in batches:
         for lo, hi in slices(pdf[text]):
             yield pdf.iloc[lo:hi]
+    tidy()
+
+
+def tidy() -> None:
+    """Hands memory that a worker has freed back to the system: workers are kept for later stages, which need it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
 
 
 def word_array(text: Column) -> Column:
