@@ -57,11 +57,19 @@ class Transducer:
     def merge(self, piece: bytes) -> list[int]:
         """Plain rank-by-rank merging of a few bytes; used only to compile token pairs."""
         parts = [piece[i : i + 1] for i in range(len(piece))]
-        while len(parts) > 1:
-            rank, i = min((self.ranks.get(parts[i] + parts[i + 1], 1 << 60), i) for i in range(len(parts) - 1))
-            if rank == 1 << 60:
+        get, never = self.ranks.get, 1 << 60
+        ranks = [get(a + b, never) for a, b in zip(parts, parts[1:])]
+        while ranks:
+            rank = min(ranks)
+            if rank == never:
                 break
+            i = ranks.index(rank)
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del ranks[i]  # only the neighbours' ranks change
+            if i:
+                ranks[i - 1] = get(parts[i - 1] + parts[i], never)
+            if i < len(ranks):
+                ranks[i] = get(parts[i] + parts[i + 1], never)
         return [self.ranks[p] for p in parts]
 
     def compatible(self, a: int, b: int) -> bool:
