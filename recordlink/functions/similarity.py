@@ -18,6 +18,12 @@ def native(a: Column, b: Column) -> Column:
     return F.greatest(text.edit_similarity(a, b), 0.95 * text.edit_similarity(text.token_sort(a), text.token_sort(b)))
 
 
+def native_from(a: Column, b: Column, a_sorted: Column, b_sorted: Column, least: Column) -> Column:
+    """``native`` where it is at least ``least`` (0 otherwise), from the texts and their sorted words."""
+    whole = text.edit_similarity_from(a, b, least)
+    return F.greatest(whole, 0.95 * text.edit_similarity_from(a_sorted, b_sorted, F.greatest(least, whole) / 0.95))
+
+
 def _common(a: str, b: str) -> int:
     """Length of the longest common subsequence, a row of the table as the bits of one number."""
     where: dict[str, int] = {}

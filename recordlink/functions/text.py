@@ -173,5 +173,35 @@ def edit_similarity(a: Column, b: Column) -> Column:
     return F.when(n == 0, F.lit(1.0)).otherwise(1 - F.levenshtein(a, b) / n)
 
 
+def edit_similarity_from(a: Column, b: Column, least: Column) -> Column:
+    """``edit_similarity`` where it is at least ``least``, else 0; only the diagonal band of the distances that allow it is computed."""
+    n = F.greatest(F.length(a), F.length(b))
+    most = F.floor((1 - least) * n + 1e-9).cast("int")
+    distance = F.call_function("levenshtein", a, b, F.greatest(most, F.lit(0)))
+    return F.when(n == 0, F.lit(1.0)).when((most >= 0) & (distance >= 0), 1 - distance / n).otherwise(F.lit(0.0))
+
+
+#: Letters and the space in three numbers of nine lanes of seven bits, digits in a fourth one of six bits each.
+LANES = tuple((chars, 7) for chars in ("abcdefghi", "jklmnopqr", "stuvwxyz ")) + (("0123456789", 6),)
+
+
+def counts_of_characters(c: Column) -> list[Column]:
+    """Four numbers in which every character of ``LANES`` has a lane with as many low bits set as it occurs, as far as the lane goes."""
+    out = []
+    for chars, bits in LANES:
+        total = F.lit(0).cast("long")
+        for i, ch in enumerate(chars):
+            n = F.least(F.length(c) - F.length(F.replace(c, F.lit(ch), F.lit(""))), F.lit(bits))
+            total = total + F.shiftleft(F.pow(F.lit(2.0), n).cast("long") - 1, bits * i)
+        out.append(total)
+    return out
+
+
+def least_distance(a: list[Column], b: list[Column], n: Column, m: Column) -> Column:
+    """A lower bound of the edit distance of texts of n and m characters by their ``counts_of_characters``, whatever the order of their characters: an insertion or deletion changes one count, a replacement two."""
+    apart = sum((F.bit_count(x.bitwiseXOR(y)) for x, y in zip(a[1:], b[1:])), F.bit_count(a[0].bitwiseXOR(b[0])))
+    return F.shiftright(apart + F.abs(n - m) + 1, 1)
+
+
 def token_sort(c: Column) -> Column:
     return F.array_join(F.array_sort(F.split(c, " ")), " ")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -28,26 +30,92 @@ def name_index(names: DataFrame, doc: list[str]) -> DataFrame:
     return t.select(*doc, F.size("t").alias("dl"), F.explode("t").alias("token")).groupBy("token", *doc, "dl").agg(F.count("*").alias("tf"))
 
 
-def text_search(index: DataFrame, totals: DataFrame, asked: DataFrame, key: str, doc: str, k: int = SHORTLIST, k1: float = 1.2, b: float = 0.75, most_share: float = 0.5) -> DataFrame:
-    """(key, doc, score, rank): the ``k`` most relevant documents (bm25) for any of the terms. Ties: smaller doc.
+#: Documents of a shard of a full-text index, and queries that meet it at once.
+SHARD_DOCS, BLOCK_QUERIES = 100_000, 1_000
 
-    ``totals``: one row with n and avgdl. A term that more than ``most_share`` of the documents have carries the least weight there is (idf at its floor); it is left out, so that no join runs over such terms. 1 keeps them.
-    Words are matched with the terms' beginnings by equality: each different word of the index gives its beginnings once.
+
+def _best_of_shard(k: int):
+    """A block of queries (q, term, idf) against the postings of a shard (term, pos, part): the ``k`` best positions of each.
+
+    A query's terms come in the order of what they can add. As soon as those that are left cannot lift a document over the k-th best so far, they only add to documents that can still reach it (MaxScore).
+    """
+
+    def run(_key, postings: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        postings, out = postings.sort_values(["term", "pos"]), []
+        terms, pos, part = (postings[c].to_numpy() for c in ("term", "pos", "part"))
+        names, starts = np.unique(terms, return_index=True)
+        ends = np.append(starts[1:], len(terms))
+        most = np.maximum.reduceat(part, starts) if len(starts) else np.empty(0)
+        asked = asked[asked["term"].isin(names)]
+        at = np.searchsorted(names, asked["term"].to_numpy())
+        asked = asked.assign(at=at, bound=asked["idf"].to_numpy() * most[at]).sort_values(["q", "bound", "term"], ascending=[True, False, True])
+        qs, ats, idf, bound = (asked[c].to_numpy() for c in ("q", "at", "idf", "bound"))
+        begins = np.flatnonzero(np.append(True, qs[1:] != qs[:-1])) if len(qs) else []
+        score = np.zeros(int(pos.max()) + 1 if len(pos) else 0)
+        for lo, hi in zip(begins, [*begins[1:], len(qs)]):
+            q, idfs, rest, left = qs[lo], idf[lo:hi], bound[lo:hi][::-1].cumsum()[::-1], None
+            for i, t in enumerate(ats[lo:hi].tolist()):
+                where, adds = pos[starts[t] : ends[t]], part[starts[t] : ends[t]]
+                if left is None and i and len(where) > 1_000 + k and rest[i] < (least := np.partition(score, -k)[-k]) - 1e-8:
+                    left = np.flatnonzero(score >= least - rest[i] - 1e-8)
+                if left is None:
+                    score[where] += idfs[i] * adds
+                else:
+                    j = np.minimum(np.searchsorted(where, left), len(where) - 1)
+                    has = where[j] == left
+                    score[left[has]] += idfs[i] * adds[j[has]]
+            found = np.flatnonzero(score) if left is None else left[score[left] > 0]
+            rounded = np.round(score[found], 9)
+            if len(found) > k:
+                found = found[rounded >= np.partition(rounded, -k)[-k]]
+                found = found[np.lexsort((found, -np.round(score[found], 9)))[:k]]
+            out.append((q, found, score[found]))
+            score[:] = 0
+        counts = [len(f) for _, f, _ in out]
+        return pd.DataFrame({"q": np.repeat(np.array([q for q, *_ in out], object), counts), "pos": np.concatenate([f for _, f, _ in out] or [np.empty(0, int)]), "score": np.concatenate([x for *_, x in out] or [np.empty(0)])})
+
+    return run
+
+
+def text_search(index: DataFrame, totals: DataFrame, asked: DataFrame, key: str, doc: str, k: int = SHORTLIST, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """(key, doc, score, rank): the ``k`` most relevant documents (bm25) for any of the terms, as a scan of all terms finds them. Ties: smaller doc.
+
+    ``totals``: one row with n and avgdl. Words are matched with the terms' beginnings by equality: each different word of the index gives its beginnings once.
+    Documents are dealt to shards of a bounded size and queries to blocks; each block meets each shard in a task of its own, and the best of all shards are ranked again. Frequencies are those of the whole index.
     """
     wanted = asked.select("term", "prefix").distinct()
     words = index.select("token").distinct()
     starts = words.select("token", F.explode(F.transform(F.sequence(F.lit(2), F.greatest(F.length("token"), F.lit(2))), lambda i: F.substring(F.col("token"), F.lit(1), i))).alias("term"))
     long = starts.distinct().join(wanted.filter("prefix"), "term").select("term", "prefix", "token")
     expanded = wanted.filter("not prefix").select("term", "prefix", F.col("term").alias("token")).unionByName(long)
-    hits = index.join(expanded, "token").groupBy("term", "prefix", doc, "dl").agg(F.sum("tf").alias("tf"))
-    hits = shared.written(hits, "term-hits")
-    df = hits.groupBy("term", "prefix").agg(F.count("*").alias("df")).crossJoin(F.broadcast(totals)).filter(F.col("df") <= most_share * F.col("n"))  # one row of totals
+    n, queries = index.select(doc).distinct().count(), asked.select(key).distinct().count()
+    shards, blocks = max(1, -(-n // SHARD_DOCS)), max(1, -(-queries // BLOCK_QUERIES))
+    docs = index.select(doc, "dl").distinct().withColumn("shard", F.pmod(F.xxhash64(doc), F.lit(shards)).cast("int"))
+    docs = shared.written(docs.withColumn("pos", F.row_number().over(W.partitionBy("shard").orderBy(doc)) - 1), "documents-places")
+    damping = k1 * (1 - b + b * F.col("dl") / F.col("avgdl"))
+    hits = index.join(expanded, "token").groupBy("term", "prefix", doc).agg(F.sum("tf").alias("tf")).join(docs, doc).crossJoin(F.broadcast(totals))  # one row of totals
+    hits = shared.written(hits.select("term", "prefix", "shard", "pos", (F.col("tf") * (k1 + 1) / (F.col("tf") + damping)).alias("part"), "n"), "term-hits")
     idf = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
-    part = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    rows = hits.join(df, ["term", "prefix"]).select("term", "prefix", doc, (idf * part).alias("s"))
-    scored = asked.join(rows, ["term", "prefix"]).groupBy(key, doc).agg(F.sum("s").alias("score"))
+    terms = hits.groupBy("term", "prefix", "n").agg(F.count("*").alias("df")).select("term", "prefix", idf.alias("idf"), F.monotonically_increasing_id().alias("number"))
+    terms = shared.written(terms, "query-terms")
+    each = lambda m, name: F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias(name)
+    postings = hits.join(terms, ["term", "prefix"]).select("shard", each(blocks, "block"), F.col("number").alias("term"), "pos", "part")
+    block = F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("block")
+    queries = asked.join(terms, ["term", "prefix"]).select(each(shards, "shard"), block, F.col(key).cast("string").alias("q"), F.col("number").alias("term"), "idf")
+    tasks = max(2 * shards * blocks, int(index.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # by number: a small cell can take long, so adaptive execution shall not put many into one task
+    cell = lambda df: df.repartition(tasks, "shard", "block").groupBy("shard", "block")
+    cells = cell(postings).cogroup(cell(queries))
+    best = cells.applyInPandas(_with_shard(_best_of_shard(k)), "shard int, q string, pos int, score double")
+    best = best.join(docs.select("shard", "pos", doc), ["shard", "pos"]).select(F.col("q").cast(asked.schema[key].dataType).alias(key), doc, "score")
     rank = F.row_number().over(W.partitionBy(key).orderBy(F.round("score", 9).desc(), doc))
-    return scored.withColumn("rank", rank).filter(F.col("rank") <= k)
+    return best.withColumn("rank", rank).filter(F.col("rank") <= k)
+
+
+def _with_shard(run):
+    def cell(key, postings: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        return run(key, postings, asked).assign(shard=int(key[0]))[["shard", "q", "pos", "score"]]
+
+    return cell
 
 
 def totals(index: DataFrame, doc: list[str]) -> DataFrame:
@@ -88,26 +156,78 @@ def shortlist(typed: DataFrame, variants: DataFrame, k: int = SHORTLIST) -> Data
     return fused(lists, "typed", "card_id", k)
 
 
+def prepared(names: DataFrame, name: str, prefix: str) -> DataFrame:
+    """Adds what comparisons of a column need: its sorted words, its length and its counts of characters (``{prefix}_sorted``, ``_n``, ``_s0`` to ``_s3``)."""
+    c = F.col(name)
+    return names.withColumns({f"{prefix}_sorted": text.token_sort(c), f"{prefix}_n": F.length(c), **{f"{prefix}_s{i}": s for i, s in enumerate(text.counts_of_characters(c))}})
+
+
+def dealt(rows: DataFrame) -> DataFrame:
+    """Rows that give much work each, over many tasks; by number, which adaptive execution does not undo."""
+    return rows.repartition(max(64, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+
+
+def score_of(scorer: Callable[[Column, Column], Column], least: Column) -> Column:
+    """The score of prepared names; the native one only where it is at least ``least``, else 0."""
+    if scorer is similarity.native:
+        return similarity.native_from(F.col("asked"), F.col("fuzzy"), F.col("a_sorted"), F.col("b_sorted"), least)
+    return scorer(F.col("asked"), F.col("fuzzy"))
+
+
+def most_score() -> Column:
+    """An upper bound of the native score of prepared names: sorting words keeps the counts of characters."""
+    side = lambda p: [F.col(f"{p}_s{i}") for i in range(4)]
+    return 1 - text.least_distance(side("a"), side("b"), F.col("a_n"), F.col("b_n")) / F.greatest("a_n", "b_n")
+
+
 def rerank(candidates: DataFrame, typed: DataFrame, variants: DataFrame, scorer: Callable[[Column, Column], Column] = similarity.native, cutoff: float = CUTOFF, top: int = TOP) -> DataFrame:
     """Candidates by their real similarity: the best of all matchable names of a card."""
-    v = variants.filter(F.length("fuzzy") >= LEAST_LENGTH).select("card_id", "language", "fuzzy")
-    dealt = candidates.select("typed", "card_id").repartition(max(64, int(candidates.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    pairs = dealt.join(v, "card_id").join(typed.select("typed", F.col("fuzzy").alias("asked")), "typed")
-    return _best(pairs.withColumn("score", scorer(F.col("asked"), F.col("fuzzy"))), "typed", cutoff, top)
+    v = shared.written(prepared(variants.filter(F.length("fuzzy") >= LEAST_LENGTH).select("card_id", "language", "fuzzy"), "fuzzy", "b"), "variants-prepared")
+    t = shared.written(prepared(typed.select("typed", F.col("fuzzy").alias("asked")), "asked", "a"), "names-prepared")
+    pairs = dealt(candidates.select("typed", "card_id")).join(v, "card_id").join(t, "typed")
+    if scorer is similarity.native:
+        pairs = pairs.filter(most_score() >= cutoff - 1e-9)
+    return _best(pairs.withColumn("score", score_of(scorer, F.lit(cutoff - 1e-9))), "typed", cutoff, top)
+
+
+#: Parts of the catalogue that give a first candidate each; names of a part of it that one task compares.
+FIRST_PARTS, PART_NAMES = 16, 100_000
 
 
 def whole_catalogue(typed: DataFrame, variants: DataFrame, scorer: Callable[[Column, Column], Column] = similarity.native, cutoff: float = CUTOFF, top: int = TOP, lengths: bool = True) -> DataFrame:
-    """What earlier tiers left against every name. With ``lengths`` names meet by length, within the bounds that an edit similarity of ``cutoff`` allows, which loses nothing for the native score; a scorer with partial ratios needs ``lengths=False``: then a stated, small query set meets the whole catalogue."""
+    """What earlier tiers left against every name; complete.
+
+    With ``lengths`` (for the native score, in which names of too different lengths cannot reach the cutoff) names meet by length as numbers: counts of characters, packed in four longs, bound the edit distance from below.
+    A first pass takes the least bound in each of ``FIRST_PARTS`` parts of the catalogue and scores these few; the ``top``-th score is one that the result reaches. The second pass lets through only pairs whose bound allows that much,
+    and only they are compared as texts, within the band of distances that is left. A scorer with partial ratios needs ``lengths=False``: then a stated, small query set meets the whole catalogue.
+    """
     v = variants.filter(F.length("fuzzy") >= LEAST_LENGTH).select("card_id", "language", "fuzzy")
     t = typed.select("typed", F.col("fuzzy").alias("asked")).filter(F.length("asked") >= LEAST_LENGTH)
-    if lengths:
-        n = F.length("asked")
-        t = t.withColumn("n", F.explode(F.sequence(F.ceil(n * cutoff - 1e-9).cast("int"), F.floor(n / cutoff + 1e-9).cast("int"))))
-        # few names make many pairs: they are dealt out by number, which adaptive execution does not undo
-        pairs = t.repartition(max(64, int(t.sparkSession.conf.get("spark.sql.shuffle.partitions")))).join(v.withColumn("n", F.length("fuzzy")), "n")
-    else:
+    if not lengths:
         pairs = v.crossJoin(shared.small(shared.written(t, "left-names")))
-    return _best(pairs.withColumn("score", scorer(F.col("asked"), F.col("fuzzy"))), "typed", cutoff, top)
+        return _best(pairs.withColumn("score", score_of(scorer, F.lit(0.0))), "typed", cutoff, top)
+    v, t = prepared(v, "fuzzy", "b"), prepared(t, "asked", "a")
+    number = F.xxhash64("card_id", "language").bitwiseAND(F.lit((1 << 47) - 1))
+    v, t = shared.written(v.withColumn("number", number), "variants-prepared"), shared.written(t, "names-prepared")
+    parts = max(1, -(-v.count() // PART_NAMES))
+    v = v.withColumn("part", F.pmod("number", F.lit(parts)).cast("int"))
+    fits = F.sequence(F.ceil(F.col("a_n") * cutoff - 1e-9).cast("int"), F.floor(F.col("a_n") / cutoff + 1e-9).cast("int"))
+    numbers = lambda p: [f"{p}_n", *[f"{p}_s{i}" for i in range(4)]]
+
+    def met(t: DataFrame, *more: str) -> DataFrame:
+        """Pairs of names of fitting lengths, without their texts. The fewer names go to every part of the catalogue."""
+        spread = t.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).select("typed", *more, *numbers("a"), "part", F.explode(fits).alias("n"))
+        return dealt(spread).join(v.select("part", "number", *numbers("b"), F.col("b_n").alias("n")), ["n", "part"])
+
+    far = F.floor((1 - most_score()) * 1000).cast("long")
+    first = met(t).groupBy("typed", F.pmod("number", F.lit(FIRST_PARTS)).alias("of")).agg(F.min(F.shiftleft(far, 47).bitwiseOR(F.col("number"))).alias("least"))
+    first = first.select("typed", F.col("least").bitwiseAND(F.lit((1 << 47) - 1)).alias("number"))
+    tried = first.join(v, "number").join(t, "typed").withColumn("score", score_of(scorer, F.lit(cutoff - 1e-9)))
+    floors = _best(tried, "typed", cutoff, top).filter(F.col("place") == top).select("typed", (F.col("score") - 2e-9).alias("floor"))
+    t = shared.written(t.join(floors, "typed", "left").withColumn("floor", F.coalesce("floor", F.lit(cutoff - 1e-9))), "name-floors")
+    near = shared.written(met(t, "floor").filter(most_score() >= F.col("floor")).select("typed", "number"), "name-pairs")
+    pairs = dealt(near).join(v, "number").join(t, "typed")
+    return _best(pairs.withColumn("score", score_of(scorer, F.col("floor"))), "typed", cutoff, top)
 
 
 def candidates(names: DataFrame, variants: DataFrame, scorer: Callable[[Column, Column], Column] = similarity.native, cutoff: float = CUTOFF, lengths: bool = True) -> DataFrame:

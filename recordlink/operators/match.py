@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -72,7 +72,10 @@ def match(readings: DataFrame, card: DataFrame, alt: DataFrame, prints: DataFram
     The name runs through the tiers of ``ladder``; its best candidate is reconciled with the code's card, and the margin is measured after promotion. A valid id fixes the card unless the code, or the
     name where no code confirms, says another one; then a person decides. A code without any name candidate always goes to a person.
     """
-    base = readings.select("reading_id", text.normalize_strict(F.col("raw_name")).alias("typed"), "raw_code", "raw_id", *[c for c in ("truth",) if c in readings.columns])
+    more = [c for c in ("truth",) if c in readings.columns]
+    base = readings.select("reading_id", "raw_name", "raw_code", "raw_id", *more)
+    names = base.select(F.col("raw_name").alias("raw")).filter("raw is not null").distinct().withColumn("typed", text.normalize_strict(F.col("raw")))  # each name is normalised once, however often it was read
+    base = base.join(names, F.col("raw_name") == F.col("raw"), "left").select("reading_id", "typed", "raw_code", "raw_id", *more)
     base = shared.written(base, "readings")  # three branches read it
     found = ladder.candidates(base.select("typed"), name_variants(card, alt), scorer, lengths=lengths)
     lists = found.groupBy("typed").agg(F.sort_array(F.collect_list(F.struct("place", "card_id", "score", "language", "tier"))).alias("names"))  # at most ladder.TOP
@@ -135,35 +138,42 @@ def blocked_similarity(left: DataFrame, right: DataFrame, cutoff: float = 0.7, g
 
     ``left`` and ``right``: (id, name), ids unique. A name of n characters may differ by at most d = n * (1 - cutoff) / cutoff edits from one it matches, and each edit touches at most ``grams`` of its different grams. A name with more
     than ``grams * d`` of them shares one of its ``grams * d + 1`` rarest with each match, if that one has as many too; such names meet by grams, near the same place. The others meet by length.
-    Only ids and numbers take part in the joins; names are fetched for the pairs that are left.
+    Only ids and numbers take part in the joins: counts of characters, packed in four longs, bound the distance; names are fetched for the pairs that are left.
     """
-    size = lambda: F.length("name")
+    size, counts_of = lambda: F.length("name"), ["s0", "s1", "s2", "s3"]
 
     def prepared(d: DataFrame, side: str) -> DataFrame:
         g = F.transform(F.sequence(F.lit(1), F.greatest(size() - grams + 1, F.lit(1))), lambda i: F.struct(F.substring(F.col("name"), i, F.lit(grams)).alias("gram"), i.alias("at")))
         d = d.select("id", "name", size().alias("n"), F.floor(size() * ((1 - cutoff) / cutoff) + 1e-9).cast("int").alias("d"), g.alias("g"))
         few = F.size(F.array_distinct(F.transform("g", lambda x: x["gram"]))) <= grams * F.col("d")
-        return shared.written(d.withColumn("few", few), f"names-{side}")
+        return shared.written(d.withColumns({"few": few, **dict(zip(counts_of, text.counts_of_characters(F.col("name"))))}), f"names-{side}")
 
     a, b = prepared(left, "left"), prepared(right, "right")
-    each = lambda d: d.filter("not few").select("id", "n", "d", F.explode("g").alias("g")).select("id", "n", "d", "g.gram", "g.at")
+    each = lambda d: d.filter("not few").select("id", "n", "d", *counts_of, F.explode("g").alias("g")).select("id", "n", "d", *counts_of, "g.gram", "g.at")
     counts = shared.written(each(a).select("gram").unionByName(each(b).select("gram")).groupBy("gram").agg(F.count("*").alias("k")), "gram-counts")
     counts = shared.small(counts, 1_000_000)  # a gram and a number
 
     def keyed(d: DataFrame, p: str) -> DataFrame:
-        rows = each(d).join(counts, "gram").groupBy("id", "n", "d").agg(F.sort_array(F.collect_list(F.struct("k", "gram", "at"))).alias("g"))  # a name's grams
+        rows = each(d).join(counts, "gram").groupBy("id", "n", "d", *counts_of).agg(F.sort_array(F.collect_list(F.struct("k", "gram", "at"))).alias("g"))  # a name's grams
         rarest = F.array_distinct(F.transform("g", lambda x: F.struct(x["k"], x["gram"])))
         limit = F.get(rarest, grams * F.col("d"))  # the last gram of the prefix; equal grams stand at several places
         kept = F.filter("g", lambda x: F.struct(x["k"], x["gram"]) <= limit)
-        return rows.select(F.col("id").alias(f"{p}_id"), F.col("n").alias(f"{p}_n"), F.col("d").alias(f"{p}_d"), F.explode(kept).alias("g")).select(f"{p}_id", f"{p}_n", f"{p}_d", "g.gram", F.col("g.at").alias(f"{p}_at"))
+        own = [F.col(c).alias(f"{p}_{c}") for c in ("id", "n", "d", *counts_of)]
+        return rows.select(*own, F.explode(kept).alias("g")).select(*[f"{p}_{c}" for c in ("id", "n", "d", *counts_of)], "g.gram", F.col("g.at").alias(f"{p}_at"))
+
+    def can_match() -> Column:
+        """By the lengths and the counts of characters: most pairs end here, as numbers."""
+        side = lambda p: [F.col(f"{p}_{c}") for c in counts_of]
+        n, m = F.col("l_n"), F.col("r_n")
+        return (F.least(n, m) >= cutoff * F.greatest(n, m) - 1e-9) & (text.least_distance(side("l"), side("r"), n, m) <= (1 - cutoff) * F.greatest(n, m) + 1e-9)
 
-    within = lambda x, y: F.least(x, y) >= cutoff * F.greatest(x, y) - 1e-9
     # the place is part of the key: a gram that neither name's edits touch moved by d places at most
     near = keyed(a, "l").withColumn("at", F.explode(F.sequence(F.col("l_at") - F.col("l_d"), F.col("l_at") + F.col("l_d"))))
-    by_gram = near.join(keyed(b, "r").withColumnRenamed("r_at", "at"), ["gram", "at"]).filter(within(F.col("l_n"), F.col("r_n"))).select("l_id", "r_id")
+    by_gram = near.join(keyed(b, "r").withColumnRenamed("r_at", "at"), ["gram", "at"]).filter(can_match()).select("l_id", "r_id")
     spread = lambda d: d.withColumn("m", F.explode(F.sequence(F.ceil(F.col("n") * cutoff - 1e-9).cast("int"), F.floor(F.col("n") / cutoff + 1e-9).cast("int"))))
-    ids = lambda d, p: d.select(F.col("id").alias(f"{p}_id"), F.col("n").alias(f"{p}_n"), F.col("few").alias(f"{p}_few"))
-    by_length = spread(a).select(F.col("id").alias("l_id"), F.col("few").alias("l_few"), "m").join(ids(b, "r").withColumnRenamed("r_n", "m"), "m").filter("l_few or r_few").select("l_id", "r_id")
+    ids = lambda d, p, *more: d.select(*[F.col(c).alias(f"{p}_{c}") for c in ("id", "n", "few", *counts_of)], *more)
+    by_length = ladder.dealt(ids(spread(a), "l", "m")).join(ids(b, "r", F.col("n").alias("m")), "m").filter(F.col("l_few") | F.col("r_few")).filter(can_match()).select("l_id", "r_id")
     pairs = by_gram.unionByName(by_length).distinct()
     named = pairs.join(a.select(F.col("id").alias("l_id"), F.col("name").alias("l_name")), "l_id").join(b.select(F.col("id").alias("r_id"), F.col("name").alias("r_name")), "r_id")
-    return named.withColumn("score", text.edit_similarity(F.col("l_name"), F.col("r_name"))).filter(F.col("score") >= cutoff).select("l_id", "r_id", "score")
+    score = text.edit_similarity_from(F.col("l_name"), F.col("r_name"), F.lit(cutoff - 1e-9))
+    return named.withColumn("score", score).filter(F.col("score") >= cutoff).select("l_id", "r_id", "score")

@@ -234,7 +234,7 @@ def truth_rows(matched: DataFrame) -> dict[str, DataFrame]:
     """Ground truth from made readings (file, read_name, read_code, legible, error, card_id, name, code, confidence, decision): the whole ``state``, and of it ``expected`` (resolved, nothing to review) and ``unresolved``."""
     resolved = F.col("card_id").isNotNull() & F.col("error").isNull()
     review = F.col("error").isNotNull() | ~F.coalesce("legible", F.lit(False)) | F.col("card_id").isNull() | (F.col("decision") != "auto")
-    state = matched.select("file", F.when(resolved, F.col("name")).otherwise(F.nullif("read_name", F.lit(""))).alias("name"), F.when(resolved, F.col("code")).alias("set_code"), review.alias("needs_review"), resolved.alias("resolved"), F.round(F.coalesce("confidence", F.lit(0.0)), 3).alias("match_confidence"), F.coalesce("decision", F.lit("unmatched")).alias("match_decision"))
+    state = matched.select("file", F.when(resolved, F.col("name")).otherwise(F.nullif("read_name", F.lit(""))).alias("name"), F.when(resolved, F.col("code")).alias("set_code"), review.alias("needs_review"), resolved.alias("resolved"), F.round(F.coalesce("confidence", F.lit(0.0)).cast("decimal(20,9)"), 3).cast("double").alias("match_confidence"), F.coalesce("decision", F.lit("unmatched")).alias("match_decision"))
     return {"state": state, "expected": state.filter("not needs_review").select("file", "name", "set_code"), "unresolved": state.filter("needs_review")}
 
 

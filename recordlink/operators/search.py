@@ -120,7 +120,7 @@ def search_cards(queries: DataFrame, card: DataFrame, alt: DataFrame, prints: Da
     lists = [by_id]
     for names in (every.filter("language = 'EN'"), every.filter("language <> 'EN'")) if language != "EN" else (every.filter("language = 'EN'"),):
         index = shared.written(ladder.name_index(names, ["card_id"]), "search-index")
-        lists.append(ladder.text_search(index, ladder.totals(index, ["card_id"]), asked, "query_id", "card_id", cap or 2**31 - 1, most_share=1.0).select("query_id", "card_id", "rank"))
+        lists.append(ladder.text_search(index, ladder.totals(index, ["card_id"]), asked, "query_id", "card_id", cap or 2**31 - 1).select("query_id", "card_id", "rank"))
     found = ladder.fused(lists, "query_id", "card_id", cap or 2**31 - 1).join(kept.select("card_id"), "card_id", "left_semi")
     place = F.row_number().over(W.partitionBy("query_id").orderBy("place"))
     return found.withColumn("place", place).filter(F.col("place").between(offset + 1, offset + limit)).select("query_id", "card_id", "place")

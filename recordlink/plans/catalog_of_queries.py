@@ -109,7 +109,7 @@ def _bm(docs: str, name: str) -> str:
 {name}n AS (SELECT count(*) AS n, avg(dl) AS a FROM (SELECT DISTINCT card_id, language, dl FROM {name}x)),
 {name}e AS (SELECT term, prefix, token FROM (SELECT DISTINCT term, prefix FROM ph) JOIN (SELECT DISTINCT token FROM {name}x) ON CASE WHEN prefix THEN starts_with(token, term) ELSE token = term END),
 {name}h AS (SELECT term, prefix, card_id, language, dl, sum(tf) AS tf FROM {name}x JOIN {name}e USING (token) GROUP BY ALL), {name}f AS (SELECT term, prefix, count(*) AS df FROM {name}h GROUP BY ALL),
-{name}s AS (SELECT typed, card_id, language, sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / a))) AS score FROM ph JOIN {name}h USING (term, prefix) JOIN {name}f USING (term, prefix), {name}n WHERE df <= 0.5 * n GROUP BY ALL),
+{name}s AS (SELECT typed, card_id, language, sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / a))) AS score FROM ph JOIN {name}h USING (term, prefix) JOIN {name}f USING (term, prefix), {name}n GROUP BY ALL),
 {name}r AS (SELECT typed, card_id, min(o) AS o FROM (SELECT *, row_number() OVER (PARTITION BY typed ORDER BY round(score, 9) DESC, card_id, language) AS o FROM {name}s) WHERE o <= 50 GROUP BY ALL),
 {name}c AS (SELECT typed, card_id, row_number() OVER (PARTITION BY typed ORDER BY o, card_id) AS rank FROM {name}r)"""
 
@@ -150,7 +150,7 @@ def _matched(spark, d):
 
 
 def _candidates(spark, d):
-    typed = view(spark, d, "reading").select(text.normalize_strict(F.col("raw_name")).alias("typed"))
+    typed = view(spark, d, "reading").select("raw_name").distinct().select(text.normalize_strict(F.col("raw_name")).alias("typed"))
     return typed, ladder.candidates(typed, match.name_variants(view(spark, d, "card"), view(spark, d, "alt_name")))
 
 
@@ -378,6 +378,21 @@ def mat_similar(spark, d):
     return match.blocked_similarity(keyed(left), keyed(every), 0.95).withColumn("score", F.round("score", 9))
 
 
+_NEAREST = f"""WITH {ALL_NAMES}, nv AS (SELECT card_id, language, {_strict('name')} AS fuzzy FROM names WHERE length({_strict('name')}) >= 4),
+r AS (SELECT DISTINCT {_strict('raw_name')} AS typed FROM reading WHERE length({_strict('raw_name')}) >= 4 AND {_strict('raw_name')} NOT IN (SELECT fuzzy FROM nv))
+{_top(f"SELECT typed, card_id, language, round({_similar('typed', 'fuzzy')}, 9) AS score FROM r JOIN nv ON least(length(typed), length(fuzzy)) >= 0.7 * greatest(length(typed), length(fuzzy)) - 1e-9")}"""
+
+
+@query("mat_nearest", _NEAREST, ("reading", "card", "alt_name"))
+def mat_nearest(spark, d):
+    """All distinct names that were read and are no name of the catalogue, each with the five cards of the whole catalogue that are most similar in strict form, from a similarity of 0.70 on."""
+    every = _names(spark, d).select("card_id", "language", text.normalize_strict(F.col("name")).alias("fuzzy")).filter(F.length("fuzzy") >= 4)
+    every = shared.written(every, "strict-names")
+    read = view(spark, d, "reading").select("raw_name").distinct().select(text.normalize_strict(F.col("raw_name")).alias("typed")).distinct()
+    read = read.filter(F.length("typed") >= 4).join(every.select(F.col("fuzzy").alias("typed")), "typed", "left_anti")
+    return ladder.whole_catalogue(read.withColumn("fuzzy", F.col("typed")), every)
+
+
 @query("box_candidates", "SELECT box_id, image_id FROM box WHERE w * h BETWEEN 0.02 AND 0.45 AND abs(w / h - 59.0 / 86) <= 0.18 AND filled >= 0.75 * w * h", ("box",))
 def box_candidates(spark, d):
     return rules.candidate_boxes(view(spark, d, "box")).select("box_id", "image_id")

@@ -210,7 +210,7 @@ def flt_errors(spark, d):
     return review.errors(review.against_truth(m, expected)).select("file", "name_ok", "code_ok")
 
 
-_TRUTH = """SELECT event_id AS file, CASE WHEN ok THEN 'card ' || user_id ELSE event_type END AS name, CASE WHEN ok THEN 'C-' || user_id END AS set_code, NOT ok OR value <= 20 OR event_type <> 'purchase' AS needs_review, ok AS resolved, round(value / 300, 3)::DOUBLE AS match_confidence, CASE WHEN event_type = 'purchase' THEN 'auto' ELSE 'manual' END AS match_decision FROM (SELECT *, event_id % 4 <> 0 AND event_type <> 'error' AS ok FROM events)"""
+_TRUTH = """SELECT event_id AS file, CASE WHEN ok THEN 'card ' || user_id ELSE event_type END AS name, CASE WHEN ok THEN 'C-' || user_id END AS set_code, NOT ok OR value <= 20 OR event_type <> 'purchase' AS needs_review, ok AS resolved, round((value / 300)::DECIMAL(20, 9), 3)::DOUBLE AS match_confidence, CASE WHEN event_type = 'purchase' THEN 'auto' ELSE 'manual' END AS match_decision FROM (SELECT *, event_id % 4 <> 0 AND event_type <> 'error' AS ok FROM events)"""
 
 
 def _truth(spark, d):
