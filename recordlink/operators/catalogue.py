@@ -113,8 +113,9 @@ def enriched_prints(existing: DataFrame, prints: DataFrame, sets: DataFrame) ->
 
 
 def restored(target: DataFrame, backup: DataFrame) -> DataFrame:
-    """The collection after a backup's rows were added by key: ``collection.add`` of rows with a positive quantity, pending set and rarity included."""
+    """The collection after a backup's rows were added by key: ``collection.add`` of rows with a positive quantity, pending set and rarity, edition, source and notes included."""
     rows = backup.filter("quantity > 0").withColumns({
         "print_id": F.col("card_print_id"), "pending_set": F.when(F.col("card_print_id").isNull(), F.col("set_code_full")), "pending_rarity": F.when(F.col("card_print_id").isNull(), F.col("rarity")),
     })
-    return collection.add(target, rows.select(*collection.KEY, "quantity"))
+    rows = collection.keyed(rows)
+    return collection.add(target, rows.select(*collection.KEY, "quantity", *[c for c in collection.CARRIED if c in rows.columns]))

@@ -11,8 +11,8 @@ from recordlink.operators import collection
 
 def set_quantity(target: DataFrame, wanted: DataFrame) -> DataFrame:
     """The quantity of each named key becomes the wanted one (the largest ``seq`` wins); 0 or less deletes the row. Keys that the target lacks change nothing."""
-    last = wanted.groupBy(*collection.KEY).agg(F.max_by("quantity", "seq").alias("wanted"))
-    j = target.alias("t").join(last.alias("d"), collection._same(), "left")
+    last = collection.keyed(wanted).groupBy(*collection.KEY).agg(F.max_by("quantity", "seq").alias("wanted"))
+    j = collection.keyed(target).alias("t").join(last.alias("d"), collection._same(), "left")
     n = F.coalesce(F.col("d.wanted"), F.col("t.quantity")).cast("long")
     return j.select(*[F.col(f"t.{k}") for k in collection.KEY], n.alias("quantity")).filter("quantity > 0")
 

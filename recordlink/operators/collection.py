@@ -8,7 +8,19 @@ from pyspark.sql import functions as F
 
 from recordlink.functions import text
 
-KEY = ["card_id", "print_id", "pending_set", "pending_rarity", "condition", "language"]
+# ---- fixed values -------------------------------------------------------------------------------
+DEFAULT_EDITION = "Unlimited"
+# -------------------------------------------------------------------------------------------------
+KEY = ["card_id", "print_id", "pending_set", "pending_rarity", "condition", "edition", "language"]
+#: What an item carries besides its key and quantity: where it came from first, the first notes, and when it was added.
+CARRIED = ("source", "notes", "added_at")
+
+
+def keyed(items: DataFrame) -> DataFrame:
+    """``items`` with the whole key: no edition is the default one, and an empty pending set or rarity is none."""
+    edition = F.coalesce(F.nullif(F.col("edition"), F.lit("")), F.lit(DEFAULT_EDITION)) if "edition" in items.columns else F.lit(DEFAULT_EDITION)
+    pending = {c: F.nullif(F.col(c), F.lit("")) for c in ("pending_set", "pending_rarity") if c in items.columns}
+    return items.withColumns({"edition": edition, **pending})
 
 
 def _same(keys=KEY):
@@ -18,28 +30,52 @@ def _same(keys=KEY):
     return cond
 
 
-def add(target: DataFrame, delta: DataFrame) -> DataFrame:
-    """Quantities summed on the key (null equals null); the action says what happened. The delta is pre-aggregated before it meets the target."""
-    both = target.select(*KEY, F.col("quantity").alias("old"), F.lit(None).cast("long").alias("new")).unionByName(delta.select(*KEY, F.lit(None).cast("long").alias("old"), F.col("quantity").cast("long").alias("new")))
-    g = both.groupBy(*KEY).agg(F.sum("old").alias("old"), F.sum("new").alias("new"))  # groupBy puts nulls together
+def _carried(columns: list[str], turn: str) -> list:
+    """First source, first notes that are not empty and first time of rows that become one item, in the order of ``turn``."""
+    first = {"source": F.min_by("source", F.when(F.col("source").isNotNull(), F.col(turn))), "notes": F.min_by("notes", F.when(F.coalesce("notes", F.lit("")) != "", F.col(turn))), "added_at": F.min("added_at")} if columns else {}
+    return [first[c].alias(c) for c in CARRIED if c in columns]
+
+
+def items(deltas: DataFrame, order: str = "seq") -> DataFrame:
+    """Deltas as items: quantities summed by key; the source, notes and time of each item are the first ones in ``order``."""
+    d = keyed(deltas)
+    return d.groupBy(*KEY).agg(F.sum("quantity").alias("quantity"), *_carried([c for c in CARRIED if c in d.columns], order))
+
+
+def add(target: DataFrame, delta: DataFrame, order: str | None = None) -> DataFrame:
+    """Quantities summed on the key (null equals null); the action says what happened. Sums are taken on the map side, so a key that many rows share costs one row for each task.
+
+    Where both have a column of ``CARRIED``, an item keeps its own source, and its notes unless they are empty; new rows fill what is missing, in ``order`` if it is given (a column of ``delta``), else the least first.
+    """
+    t, d = keyed(target), keyed(delta)
+    more = [c for c in CARRIED if c in t.columns and c in d.columns]
+    turn = lambda which, by: F.struct(F.lit(which).alias("which"), by.alias("by"))
+    late = F.col(order).cast("string") if order else F.concat_ws("|", *[F.col(c).cast("string") for c in more]) if more else F.lit("")
+    late = F.lpad(late, 20, "0") if order else late
+    old = t.select(*KEY, F.col("quantity").alias("old"), F.lit(None).cast("long").alias("new"), *more, turn(0, F.lit("")).alias("turn"))
+    new = d.select(*KEY, F.lit(None).cast("long").alias("old"), F.col("quantity").cast("long").alias("new"), *more, turn(1, late).alias("turn"))
+    g = old.unionByName(new).groupBy(*KEY).agg(F.sum("old").alias("old"), F.sum("new").alias("new"), *_carried(more, "turn"))  # groupBy puts nulls together
     action = F.when(F.col("old").isNull(), "created").when(F.col("new").isNull(), "kept").otherwise("updated")
-    return g.select(*KEY, (F.coalesce("old", F.lit(0)) + F.coalesce("new", F.lit(0))).alias("quantity"), action.alias("action"))
+    return g.select(*KEY, (F.coalesce("old", F.lit(0)) + F.coalesce("new", F.lit(0))).alias("quantity"), *more, action.alias("action"))
 
 
 def remove(target: DataFrame, delta: DataFrame) -> DataFrame:
     """Copies taken away (all where the delta's quantity is null); rows at zero disappear."""
-    d = delta.groupBy(*KEY).agg(F.sum("quantity").alias("less"), F.max(F.col("quantity").isNull()).alias("all"))
-    j = target.alias("t").join(d.alias("d"), _same(), "left")
+    d = keyed(delta).groupBy(*KEY).agg(F.sum("quantity").alias("less"), F.max(F.col("quantity").isNull()).alias("all"))
+    j = keyed(target).alias("t").join(d.alias("d"), _same(), "left")
     left = F.when(F.coalesce(F.col("d.all"), F.lit(False)), 0).otherwise(F.col("t.quantity") - F.least(F.coalesce("d.less", F.lit(0)), F.col("t.quantity")))
     return j.select(*[F.col(f"t.{k}") for k in KEY], left.cast("long").alias("quantity")).filter("quantity > 0")
 
 
 def resolve_prints(target: DataFrame, choice: DataFrame) -> DataFrame:
-    """Rows without a print get ``choice`` (card_id, pending_set, chosen); pending fields are cleared, and rows that now share a key are merged."""
+    """Rows without a print get ``choice`` (card_id, pending_set, chosen); pending fields are cleared, and rows that now share a key, the edition included, are merged. The row that had the print keeps its source and notes."""
+    target = keyed(target)
+    more = [c for c in CARRIED if c in target.columns]
     j = target.join(choice.withColumnRenamed("pending_set", "c_set").withColumnRenamed("card_id", "c_card"), (F.col("card_id") == F.col("c_card")) & (F.col("pending_set") == F.col("c_set")) & F.col("print_id").isNull(), "left")
     hit = F.col("chosen").isNotNull()
     j = j.withColumns({"print_id": F.coalesce("chosen", "print_id"), "pending_set": F.when(~hit, F.col("pending_set")), "pending_rarity": F.when(~hit, F.col("pending_rarity"))})
-    return j.groupBy(*KEY).agg(F.sum("quantity").alias("quantity"))
+    j = j.withColumn("turn", F.struct(hit.alias("late"), F.concat_ws("|", *[F.col(c).cast("string") for c in more]).alias("by"))) if more else j
+    return j.groupBy(*KEY).agg(F.sum("quantity").alias("quantity"), *_carried(more, "turn"))
 
 
 def listing(items: DataFrame, card: DataFrame, prints: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from recordlink.functions import shared, text
-from recordlink.operators import ladder
+from recordlink.operators import collection, ladder
 
 # ---- fixed values -------------------------------------------------------------------------------
 EQUAL, BOUNDED = ("type", "attribute", "race"), ("atk", "defense", "level", "scale", "linkval")
@@ -83,7 +83,7 @@ def sort_key(name: Column, locale: str = "EN") -> list[Column]:
 def item_order(by: str = "name", descending: bool = False) -> list[Column]:
     """The orders of a collection's listing, with the whole key as the last tie-break."""
     first = {"name": [F.lower("name"), F.col("name")], "quantity": [F.col("quantity")], "added": [F.col("added_at")], "set": [F.col("show_set")]}[by]
-    rest = [F.col(c).asc_nulls_first() for c in ("card_id", "print_id", "pending_set", "pending_rarity", "condition", "language")]
+    rest = [F.col(c).asc_nulls_first() for c in collection.KEY]
     return [c.desc_nulls_last() if descending else c.asc_nulls_first() for c in first] + rest
 
 

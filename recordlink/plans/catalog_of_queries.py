@@ -252,7 +252,7 @@ def ups_remove(spark, d):
 
 
 @query("ups_resolve", f"""WITH {_OLD}, ch AS (SELECT card_id AS c, set_prefix AS s, min(print_id) AS chosen FROM card_print GROUP BY 1, 2),
-j AS (SELECT o.card_id, coalesce(chosen, print_id) AS print_id, CASE WHEN chosen IS NULL THEN pending_set END AS pending_set, CASE WHEN chosen IS NULL THEN pending_rarity END AS pending_rarity, condition, language, q FROM o LEFT JOIN ch ON o.print_id IS NULL AND o.card_id = c AND o.pending_set = s)
+j AS (SELECT o.card_id, coalesce(chosen, print_id) AS print_id, CASE WHEN chosen IS NULL THEN pending_set END AS pending_set, CASE WHEN chosen IS NULL THEN pending_rarity END AS pending_rarity, condition, edition, language, q FROM o LEFT JOIN ch ON o.print_id IS NULL AND o.card_id = c AND o.pending_set = s)
 SELECT {_KEYS}, CAST(sum(q) AS BIGINT) AS quantity FROM j GROUP BY ALL""", ("delta", "card_print"))
 def ups_resolve(spark, d):
     choice = view(spark, d, "card_print").groupBy("card_id", F.col("set_prefix").alias("pending_set")).agg(F.min("print_id").alias("chosen"))
@@ -280,7 +280,7 @@ def agg_stats(spark, d):
     return collection.stats(_shown(spark, d))
 
 
-@query("col_search", f"WITH {_SHOWN} SELECT s.card_id, s.print_id, s.condition, s.language, s.pending_set, s.pending_rarity, quantity FROM s WHERE contains({_strict('s.name')}, 'ring') OR EXISTS (SELECT 1 FROM alt_name a WHERE a.card_id = s.card_id AND a.language = 'PT' AND contains({_strict('a.name')}, 'ring'))", (*_SV, "alt_name"))
+@query("col_search", f"WITH {_SHOWN} SELECT s.card_id, s.print_id, s.condition, s.edition, s.language, s.pending_set, s.pending_rarity, quantity FROM s WHERE contains({_strict('s.name')}, 'ring') OR EXISTS (SELECT 1 FROM alt_name a WHERE a.card_id = s.card_id AND a.language = 'PT' AND contains({_strict('a.name')}, 'ring'))", (*_SV, "alt_name"))
 def col_search(spark, d):
     return collection.search(_shown(spark, d), view(spark, d, "alt_name"), "ring", "PT").select(*collection.KEY, "quantity")
 
@@ -295,7 +295,7 @@ def snk_deck(spark, d):
     return collection.export_text(_shown(spark, d), "deck").groupBy("line").agg(F.count("*").alias("copies"))
 
 
-@query("snk_partner", f"WITH {_SHOWN} SELECT CASE WHEN regexp_matches(name, '^[=+@\\t\\r-]') THEN chr(39) || name ELSE name END AS \"Card Name\", quantity AS \"Card Quantity\", coalesce(show_rarity, '') AS \"Card Rarity\", condition AS \"Card Condition\", '' AS \"Card Edition\", coalesce(c.set_name, '') AS \"Card Set\", coalesce(show_set, '') AS \"Card Set Code\" FROM s LEFT JOIN card_set c ON c.set_code = s.set_prefix", (*_SV, "card_set"))
+@query("snk_partner", f"WITH {_SHOWN} SELECT CASE WHEN regexp_matches(name, '^[=+@\\t\\r-]') THEN chr(39) || name ELSE name END AS \"Card Name\", quantity AS \"Card Quantity\", coalesce(show_rarity, '') AS \"Card Rarity\", condition AS \"Card Condition\", edition AS \"Card Edition\", coalesce(c.set_name, '') AS \"Card Set\", coalesce(show_set, '') AS \"Card Set Code\" FROM s LEFT JOIN card_set c ON c.set_code = s.set_prefix", (*_SV, "card_set"))
 def snk_partner(spark, d):
     """The seven-column exchange format."""
     sets = view(spark, d, "card_set").select(F.col("set_code").alias("set_prefix"), "set_name")

@@ -103,7 +103,7 @@ def ups_enrich_sets(spark, d):
     return _enriched_prints(spark, d)[1]
 
 
-@query("ups_restore", f"""WITH {_SHOWN}, o AS (SELECT {_KEYS}, sum(quantity) AS q FROM delta WHERE batch < 2 GROUP BY ALL), n AS (SELECT card_id, print_id, CASE WHEN print_id IS NULL THEN show_set END AS pending_set, CASE WHEN print_id IS NULL THEN show_rarity END AS pending_rarity, condition, language, sum(quantity) AS q FROM s GROUP BY ALL)
+@query("ups_restore", f"""WITH {_SHOWN}, o AS (SELECT {_KEYS}, sum(quantity) AS q FROM delta WHERE batch < 2 GROUP BY ALL), n AS (SELECT card_id, print_id, CASE WHEN print_id IS NULL THEN show_set END AS pending_set, CASE WHEN print_id IS NULL THEN show_rarity END AS pending_rarity, condition, edition, language, sum(quantity) AS q FROM s GROUP BY ALL)
 SELECT {', '.join(f'coalesce(o.{k}, n.{k}) AS {k}' for k in collection.KEY)}, CAST(coalesce(o.q, 0) + coalesce(n.q, 0) AS BIGINT) AS quantity, CASE WHEN o.card_id IS NULL THEN 'created' WHEN n.card_id IS NULL THEN 'kept' ELSE 'updated' END AS action FROM o FULL JOIN n ON {_ON}""", _SV)
 def ups_restore(spark, d):
     """A backup of the whole collection added to a part of it."""
@@ -123,3 +123,47 @@ def dq_vocabulary(spark, d):
 def dq_translation(spark, d):
     """Translations whose English name is not the card's."""
     return rules.wrong_translations(view(spark, d, "alt_text"), view(spark, d, "card"))
+
+
+_FIRST = "arg_min(source, seq) AS source, arg_min(notes, seq) FILTER (notes <> '') AS notes, min(added_at) AS added_at"
+_FIRSTS = f"""a AS (SELECT {_KEYS}, sum(quantity) AS q, {_FIRST} FROM delta WHERE batch < 2 GROUP BY ALL), b AS (SELECT {_KEYS}, sum(quantity) AS q, {_FIRST} FROM delta WHERE batch = 2 GROUP BY ALL)"""
+
+
+@query(
+    "ups_add_carried",
+    f"""WITH {_FIRSTS}
+SELECT {', '.join(f'coalesce(o.{k}, n.{k}) AS {k}' for k in collection.KEY)}, CAST(coalesce(o.q, 0) + coalesce(n.q, 0) AS BIGINT) AS quantity,
+  coalesce(o.source, n.source) AS source, coalesce(o.notes, n.notes) AS notes, least(o.added_at, n.added_at) AS added_at,
+  CASE WHEN o.card_id IS NULL THEN 'created' WHEN n.card_id IS NULL THEN 'kept' ELSE 'updated' END AS action
+FROM a o FULL JOIN b n ON {_ON}""",
+    ("delta",),
+)
+def ups_add_carried(spark, d):
+    """Copies added to items that keep their first source, and their notes unless they are empty."""
+    deltas = view(spark, d, "delta")
+    return collection.add(collection.items(deltas.filter("batch < 2")), deltas.filter("batch = 2"), "seq")
+
+
+_ITEM_ID = ", ".join(f"coalesce(CAST(s.{k} AS STRING), '~')" for k in collection.KEY)
+
+
+@query(
+    "snk_backup_carried",
+    f"""WITH {_SHOWN}, f AS (SELECT {_KEYS}, {_FIRST} FROM delta GROUP BY ALL)
+SELECT md5(concat_ws('|', {_ITEM_ID})) AS item_id, s.card_id, name AS card_name, s.print_id AS card_print_id, show_set AS set_code_full, set_prefix,
+  CASE WHEN has_print THEN substr(split_part(show_set, '-', 2), 1, 2) END AS region, show_rarity AS rarity, quantity, s.condition, s.edition, s.language, source, added_at, notes
+FROM s JOIN f ON {' AND '.join(f's.{k} IS NOT DISTINCT FROM f.{k}' for k in collection.KEY)}""",
+    _SV,
+)
+def snk_backup_carried(spark, d):
+    """The backup with edition, source, time and notes of every item."""
+    every = collection.items(view(spark, d, "delta"))
+    return exports.profile("csv", "backup")(collection.listing(every, view(spark, d, "card"), view(spark, d, "card_print")))
+
+
+@query("ups_restore_empty", f"SELECT {_KEYS}, CAST(sum(quantity) AS BIGINT) AS quantity, {_FIRST} FROM delta GROUP BY ALL", ("delta",))
+def ups_restore_empty(spark, d):
+    """A backup that is read into an empty collection gives the same collection again."""
+    every = collection.items(view(spark, d, "delta"))
+    saved = exports.backup(collection.listing(every, view(spark, d, "card"), view(spark, d, "card_print")))
+    return catalogue.restored(every.limit(0), saved).drop("action")

@@ -87,14 +87,14 @@ def chk_remaining(spark, d):
     return lookup.remaining(_owned(spark, d), view(spark, d, "deck_card"))
 
 
-@query("snk_pocket", f"""WITH {_SHOWN} SELECT CAST(card_id AS STRING) AS card_id, CASE WHEN regexp_matches(name, '^[=+@\\t\\r-]') THEN '''' || name ELSE name END AS card_name, CAST(quantity AS STRING) AS quantity, coalesce(show_set, '') AS set_code, coalesce(show_rarity, '') AS rarity, condition, upper(language) AS language, lower(language) AS printing_region,
-{', '.join(f"'{'false' if c in exports.FLAGS else ''}' AS {c}" for c in exports.POCKET_COLUMNS if c not in ('card_id', 'card_name', 'quantity', 'set_code', 'rarity', 'condition', 'language', 'printing_region'))} FROM s""", _SV)
+@query("snk_pocket", f"""WITH {_SHOWN} SELECT CAST(card_id AS STRING) AS card_id, CASE WHEN regexp_matches(name, '^[=+@\\t\\r-]') THEN '''' || name ELSE name END AS card_name, CAST(quantity AS STRING) AS quantity, coalesce(show_set, '') AS set_code, coalesce(show_rarity, '') AS rarity, condition, upper(language) AS language, CASE WHEN edition = '1st Edition' THEN edition ELSE '' END AS edition, lower(language) AS printing_region,
+{', '.join(f"'{'false' if c in exports.FLAGS else ''}' AS {c}" for c in exports.POCKET_COLUMNS if c not in ('card_id', 'card_name', 'quantity', 'set_code', 'rarity', 'condition', 'language', 'printing_region', 'edition'))} FROM s""", _SV)
 def snk_pocket(spark, d):
     return exports.profile("csv", "pocket")(_shown(spark, d))
 
 
 @query("snk_backup", f"""WITH {_SHOWN} SELECT md5(concat_ws('|', {', '.join(f"coalesce(CAST({k} AS STRING), '~')" for k in collection.KEY)})) AS item_id, card_id, name AS card_name, print_id AS card_print_id, show_set AS set_code_full, set_prefix,
-CASE WHEN has_print THEN substr(split_part(show_set, '-', 2), 1, 2) END AS region, show_rarity AS rarity, quantity, condition, language, {', '.join(f'CAST(NULL AS STRING) AS {c}' for c in ('edition', 'source', 'added_at', 'notes'))} FROM s""", _SV)
+CASE WHEN has_print THEN substr(split_part(show_set, '-', 2), 1, 2) END AS region, show_rarity AS rarity, quantity, condition, edition, language, {', '.join(f'CAST(NULL AS STRING) AS {c}' for c in ('source', 'added_at', 'notes'))} FROM s""", _SV)
 def snk_backup(spark, d):
     return exports.profile("csv", "backup")(_shown(spark, d))
 

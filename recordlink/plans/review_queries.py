@@ -37,7 +37,7 @@ ap AS (SELECT lg.*, coalesce(decision = 'auto' AND NOT EXISTS (SELECT 1 FROM don
 aq AS (SELECT *, can AND row_number() OVER (PARTITION BY image_id, crop, can ORDER BY result_id) = 1 AS applied_now FROM ap),
 fin AS (SELECT *, CASE WHEN applied_now THEN new_print ELSE print_id END AS used FROM aq)"""
 _FULL = f"SELECT {', '.join(f'coalesce(o.{k}, n.{k}) AS {k}' for k in collection.KEY)}, CAST(coalesce(o.q, 0) + coalesce(n.q, 0) AS BIGINT) AS quantity, CASE WHEN o.card_id IS NULL THEN 'created' WHEN n.card_id IS NULL THEN 'kept' ELSE 'updated' END AS action FROM o FULL JOIN n ON {_ON}"
-_HELD = "o AS (SELECT card_id, print_id, CAST(NULL AS STRING) AS pending_set, CAST(NULL AS STRING) AS pending_rarity, 'Near Mint' AS condition, coalesce(language, 'EN') AS language, count(*) AS q FROM result WHERE print_id IS NOT NULL AND card_id % 2 = 0 GROUP BY ALL)"
+_HELD = "o AS (SELECT card_id, print_id, CAST(NULL AS STRING) AS pending_set, CAST(NULL AS STRING) AS pending_rarity, 'Near Mint' AS condition, 'Unlimited' AS edition, coalesce(language, 'EN') AS language, count(*) AS q FROM result WHERE print_id IS NOT NULL AND card_id % 2 = 0 GROUP BY ALL)"
 
 
 def _held(spark, d):
@@ -53,7 +53,7 @@ def _applied(spark, d):
     return review.apply_auto(_held(spark, d), r.drop("applied"), before, items, view(spark, d, "print_all"), _overrides(spark, d))
 
 
-@query("ups_apply", f"WITH {_APPLY}, {_HELD}, n AS (SELECT card_id, used AS print_id, CASE WHEN used IS NULL THEN set_code END AS pending_set, CAST(NULL AS STRING) AS pending_rarity, 'Near Mint' AS condition, coalesce(language, 'EN') AS language, count(*) AS q FROM fin WHERE applied_now GROUP BY ALL) {_FULL}", _RV)
+@query("ups_apply", f"WITH {_APPLY}, {_HELD}, n AS (SELECT card_id, used AS print_id, CASE WHEN used IS NULL THEN set_code END AS pending_set, CAST(NULL AS STRING) AS pending_rarity, 'Near Mint' AS condition, 'Unlimited' AS edition, coalesce(language, 'EN') AS language, count(*) AS q FROM fin WHERE applied_now GROUP BY ALL) {_FULL}", _RV)
 def ups_apply(spark, d):
     """The collection after the accepted results, one copy for each image and crop that has not counted yet."""
     return _applied(spark, d)[0]
@@ -85,7 +85,7 @@ def _confirmed(spark, d):
     return review.confirm(_held(spark, d), r.select("result_id", "decision", "applied", "language", "card_id", "print_id"), asked, view(spark, d, "print_all"), _overrides(spark, d))
 
 
-@query("ups_confirm", f"WITH {_ASK}, {_HELD}, n AS (SELECT card_id, print_id, CASE WHEN print_id IS NULL THEN set_code END AS pending_set, CASE WHEN print_id IS NULL THEN rarity END AS pending_rarity, 'Near Mint' AS condition, lang AS language, sum(quantity) AS q FROM a4 WHERE outcome = 'confirmed' GROUP BY ALL) {_FULL}", _RV)
+@query("ups_confirm", f"WITH {_ASK}, {_HELD}, n AS (SELECT card_id, print_id, CASE WHEN print_id IS NULL THEN set_code END AS pending_set, CASE WHEN print_id IS NULL THEN rarity END AS pending_rarity, 'Near Mint' AS condition, 'Unlimited' AS edition, lang AS language, sum(quantity) AS q FROM a4 WHERE outcome = 'confirmed' GROUP BY ALL) {_FULL}", _RV)
 def ups_confirm(spark, d):
     """The collection after a batch of confirmations by persons."""
     return _confirmed(spark, d)["collection"]
@@ -321,7 +321,7 @@ def box_pixels(spark, d):
     return view(spark, d, "box").select("box_id", p.alias("p")).select("box_id", F.col("p.left").alias("l"), F.col("p.top").alias("t"), F.col("p.right").alias("r"), F.col("p.bottom").alias("b"))
 
 
-@query("str_collection", "SELECT l_partkey AS card_id, CAST(NULL AS STRING) AS print_id, CAST(NULL AS STRING) AS pending_set, CASE WHEN l_linenumber = 1 THEN l_returnflag END AS pending_rarity, l_linestatus AS condition, 'EN' AS language, CAST(sum(CAST(l_quantity AS INT)) AS BIGINT) AS quantity FROM lineitem GROUP BY ALL")
+@query("str_collection", "SELECT l_partkey AS card_id, CAST(NULL AS STRING) AS print_id, CAST(NULL AS STRING) AS pending_set, CASE WHEN l_linenumber = 1 THEN l_returnflag END AS pending_rarity, l_linestatus AS condition, 'Unlimited' AS edition, 'EN' AS language, CAST(sum(CAST(l_quantity AS INT)) AS BIGINT) AS quantity FROM lineitem GROUP BY ALL")
 def str_collection(spark, d):
     """The collection that the stream's deltas add up to, each batch counted once."""
     none = F.lit(None).cast("string")

@@ -61,7 +61,7 @@ def agg_count(spark, d):
     return _shown(spark, d).filter(search.item_filter("ring", "s0007")).agg(F.count("*").alias("rows_"), F.sum("quantity").alias("copies"))
 
 
-_ORDER = "card_id NULLS FIRST, print_id NULLS FIRST, pending_set NULLS FIRST, pending_rarity NULLS FIRST, condition NULLS FIRST, language NULLS FIRST"
+_ORDER = "card_id NULLS FIRST, print_id NULLS FIRST, pending_set NULLS FIRST, pending_rarity NULLS FIRST, condition NULLS FIRST, edition NULLS FIRST, language NULLS FIRST"
 
 
 @query("srt_items", f"WITH {_SHOWN} SELECT {_KEYS}, quantity, show_set, place, 3 AS page, greatest(1, CAST(ceil((SELECT count(*) FROM s) / 48.0) AS INT)) AS pages FROM (SELECT *, row_number() OVER (ORDER BY show_set DESC NULLS LAST, {_ORDER}) AS place FROM s) WHERE place BETWEEN 97 AND 144", _SV)

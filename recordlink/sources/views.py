@@ -24,7 +24,9 @@ VIEWS = {
         concat('S', lpad(cast(l_suppkey AS string), 4, '0'), '-', lpad(cast(l_partkey AS string), 5, '0'), '/', l_returnflag) AS print_id FROM {lineitem}""",
     "delta": """SELECT l_partkey AS card_id, CASE WHEN l_linenumber <> 1 THEN concat('S', lpad(cast(l_suppkey AS string), 4, '0'), '-', lpad(cast(l_partkey AS string), 5, '0'), '/', l_returnflag) END AS print_id,
         CASE WHEN l_linenumber = 1 AND l_orderkey % 2 = 0 THEN concat('S', lpad(cast(l_suppkey AS string), 4, '0')) END AS pending_set, CASE WHEN l_linenumber = 1 AND l_orderkey % 3 = 0 THEN l_returnflag END AS pending_rarity,
-        l_linestatus AS condition, CASE WHEN l_suppkey % 2 = 0 THEN 'EN' ELSE 'PT' END AS language, cast(l_quantity AS int) AS quantity, l_orderkey * 10 + l_linenumber AS seq, l_shipdate AS added_at, l_orderkey % 4 AS batch FROM {lineitem}""",
+        l_linestatus AS condition, CASE WHEN l_suppkey % 2 = 0 THEN 'EN' ELSE 'PT' END AS language, cast(l_quantity AS int) AS quantity, l_orderkey * 10 + l_linenumber AS seq, l_shipdate AS added_at, l_orderkey % 4 AS batch,
+        CASE WHEN l_linenumber % 3 = 0 THEN '1st Edition' ELSE 'Unlimited' END AS edition, CASE WHEN l_orderkey % 2 = 0 THEN 'scan' ELSE 'manual' END AS source,
+        CASE WHEN l_orderkey % 5 = 0 THEN concat('note ', cast(l_orderkey AS string)) WHEN l_orderkey % 5 = 1 THEN '' END AS notes FROM {lineitem}""",
     "reading": """SELECT DISTINCT concat_ws('-', cast(l_orderkey AS string), cast(l_linenumber AS string), cast(l_partkey AS string), cast(l_suppkey AS string)) AS reading_id, l_orderkey % 5 AS kind, l_partkey AS truth,
         CASE l_orderkey % 5 WHEN 0 THEN name WHEN 1 THEN replace(name, 'o', '0') WHEN 2 THEN upper(name) WHEN 3 THEN substr(name, 1, length(name) - 1) ELSE replace(name, ' ', '') END AS raw_name,
         concat('S', lpad(cast(l_suppkey AS string), 4, '0'), '-', CASE WHEN l_suppkey % 2 = 0 THEN 'EN' ELSE 'PT' END, CASE WHEN l_orderkey % 3 = 0 THEN replace(lpad(cast(l_partkey AS string), 5, '0'), '0', 'O') ELSE lpad(cast(l_partkey AS string), 5, '0') END) AS raw_code,

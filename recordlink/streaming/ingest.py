@@ -71,7 +71,7 @@ def add_once(out: str) -> Callable[[DataFrame, int], None]:
     """A batch writer for collection deltas: the sums of each batch under its number, so that a repeated batch replaces its own and adds nothing twice."""
 
     def add(batch: DataFrame, batch_id: int) -> None:
-        batch.groupBy(*collection.KEY).agg(F.sum("quantity").alias("quantity")).write.mode("overwrite").parquet(f"{out}/data/batch={batch_id}")
+        collection.keyed(batch).groupBy(*collection.KEY).agg(F.sum("quantity").alias("quantity")).write.mode("overwrite").parquet(f"{out}/data/batch={batch_id}")
 
     return add
 
@@ -79,7 +79,7 @@ def add_once(out: str) -> Callable[[DataFrame, int], None]:
 def streamed_collection(spark: SparkSession, sf_dir: str, delta: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """The collection that the lineitem stream's deltas (``delta`` makes them of its rows) add up to."""
     out = shared.folder(spark, "stream")
-    rows = delta(_stream(spark, sf_dir, "lineitem"))
+    rows = collection.keyed(delta(_stream(spark, sf_dir, "lineitem")))
     run_once(rows, out, add_once(out))
     kinds = dict(rows.dtypes)
     schema = ", ".join(f"{c} {kinds[c]}" for c in collection.KEY) + ", quantity long"
