@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import contextlib
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -40,31 +42,52 @@ def merge_new(known: str, out: str) -> Callable[[DataFrame, int], None]:
     return merge
 
 
-def _drained(df: DataFrame, columns: str, known: str) -> DataFrame:
-    """Run the stream over what there is, insert each key once, and read the output."""
-    spark = df.sparkSession
-    out = shared.folder(spark, "stream")
-    run_once(df, out, merge_new(known, out))
-    return spark.read.schema(columns).parquet(f"{out}/data/*")
+STORE, ROCKS = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+@contextlib.contextmanager
+def on_disk(spark: SparkSession) -> Iterator[None]:
+    """Streams that start inside keep their state in RocksDB, whose changes each batch adds to the checkpoint; the session has its own setting again afterwards."""
+    before = spark.conf.get(STORE, None)
+    spark.conf.set(STORE, ROCKS)
+    try:
+        yield
+    finally:
+        spark.conf.unset(STORE) if before is None else spark.conf.set(STORE, before)
+
+
+def first_seen(rows: DataFrame, known: str, out: str) -> DataFrame:
+    """The first row of each ``known`` key of a stream, over what there is. Which keys have come is state, dealt out by their hash: a batch asks for its own keys only and reads no earlier output. A repeated batch starts from the state
+    before it and overwrites what it wrote."""
+
+    def keep(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/data/batch={batch_id}")
+
+    with on_disk(rows.sparkSession):
+        run_once(rows.dropDuplicates([known]), out, keep)
+    return rows.sparkSession.read.schema(rows.schema).parquet(f"{out}/data/*")
 
 
 def new_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct contents (SHA-256) of the documents stream: a file that comes twice is taken once."""
     rows = _stream(spark, sf_dir, "documents").select(F.sha2("text", 256).alias("file_hash"))
-    return _drained(rows, "file_hash string", "file_hash")
+    return first_seen(rows, "file_hash", shared.folder(spark, "stream"))
 
 
-def hourly_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events per hour and kind with a watermark of a day; micro-batches append partial counts, which are added at the end."""
-    rows = _stream(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "1 day").groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n"))
-    out = shared.folder(spark, "stream")
+def hourly_counts(stream: DataFrame, out: str) -> DataFrame:
+    """Events (ts, event_type) per hour and kind, over what there is. Each micro-batch writes the sums of its own rows, which are added at the end: without state and watermark no row comes too late, in whatever order files arrive."""
+    hour = F.date_trunc("hour", F.col("ts").cast("timestamp")).alias("hour")
 
     def keep(batch: DataFrame, batch_id: int) -> None:
-        batch.select(F.col("w.start").alias("hour"), "event_type", "n", F.lit(batch_id).alias("b")).write.mode("overwrite").parquet(f"{out}/data/batch={batch_id}")
+        batch.groupBy(hour, "event_type").agg(F.count("*").alias("n")).write.mode("overwrite").parquet(f"{out}/data/batch={batch_id}")
+
+    run_once(stream, out, keep)
+    got = stream.sparkSession.read.schema("hour timestamp, event_type string, n long").parquet(f"{out}/data/*")
+    return got.groupBy("hour", "event_type").agg(F.sum("n").alias("n"))
 
-    rows.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{out}/log").trigger(availableNow=True).start().awaitTermination()
-    got = spark.read.schema("hour timestamp, event_type string, n long, b long").parquet(f"{out}/data/*")
-    return got.groupBy("hour", "event_type").agg(F.max_by("n", "b").alias("n"))
+
+def hourly_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hourly_counts(_stream(spark, sf_dir, "events"), shared.folder(spark, "stream"))
 
 
 def add_once(out: str) -> Callable[[DataFrame, int], None]:
@@ -105,6 +128,27 @@ def heartbeats(events: DataFrame, job: str, ts: str, silence: int) -> DataFrame:
     return events.withColumn("_g", gap).groupBy(job).agg(F.sum(F.floor(F.coalesce("_g", F.lit(0)) / F.lit(silence * 1_000_000)).cast("long")).alias("beats"))
 
 
+def beating(events: DataFrame, job: str, silence: str = "2 seconds") -> DataFrame:
+    """A stream's events (a column ``job``, a string) as they come (kind ``event``, n their number so far), and of every job that is silent a ``beat`` after each ``silence`` (n: beats so far). Start it in append mode with a trigger by
+    processing time: each job has a timer in the state store, which fires without new events too, and counts survive a restart from the checkpoint."""
+    wait = int(pd.Timedelta(silence).total_seconds() * 1000)
+
+    def update(key, batches, state):
+        seen, beats = state.get if state.exists else (0, 0)
+        if state.hasTimedOut:
+            beats += 1
+            row = (key[0], "beat", beats)
+        else:
+            seen += sum(len(pdf) for pdf in batches)
+            row = (key[0], "event", seen)
+        state.update((seen, beats))
+        state.setTimeoutDuration(wait)
+        yield pd.DataFrame([row], columns=["job", "kind", "n"])
+
+    named = events.select(F.col(job).cast("string").alias("job"))
+    return named.groupBy("job").applyInPandasWithState(update, "job string, kind string, n long", "seen long, beats long", "append", "ProcessingTimeTimeout")
+
+
 def read_with(df: DataFrame, make: Callable[[], Callable], key: str, column: str, schema: str) -> DataFrame:
     """(key, fields of ``schema``, status, error): a user's reader over each row, in Arrow batches.
 
@@ -113,8 +157,6 @@ def read_with(df: DataFrame, make: Callable[[], Callable], key: str, column: str
     names = [c.strip().split()[0] for c in schema.split(",")]
 
     def run(batches):
-        import pandas as pd
-
         reader = make()
         for pdf in batches:
             rows = []
