@@ -106,8 +106,11 @@ def quality_rules(docs: DataFrame, carry: list[str], text: str = "text", lang: s
     """
     # the texts are carried only if asked for
     base = docs.select(F.struct(*[F.col(c) for c in carry]).alias("row"), F.col(lang).alias("lang"), F.col(source).alias("source"), F.col(text).alias("text"))
-    df = common.written(measured(base).drop("text"), "quality")
-    edges = common.small(common.written(fences(sketches(df, "lang", "source")), "fences"))
+    df = measured(base).drop("text")
+    if text not in carry:  # a copy of all texts is not written: they are measured again instead
+        df = common.written(df, "quality")
+    counts = common.written(sketches(df.drop("row"), "lang", "source"), "sketches")  # read at three levels
+    edges = common.small(common.written(fences(counts), "fences"))
     edges = edges.withColumnsRenamed({"lang": "e_lang", "source": "e_source"})
     df = df.join(edges, F.col("lang").eqNullSafe(F.col("e_lang")) & F.col("source").eqNullSafe(F.col("e_source")), "left")
     beyond = F.lit(False)
@@ -117,7 +120,9 @@ def quality_rules(docs: DataFrame, carry: list[str], text: str = "text", lang: s
         beyond = beyond | F.coalesce(count - error > F.col(f"{k}_high") * of, F.lit(False))
         if k in LOWER:
             beyond = beyond | F.coalesce(count + error < F.col(f"{k}_low") * of, F.lit(False))
-    return df.withColumn("kept", ~F.col("base_failed") & ~beyond).select("row", "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    # one sum of both verdicts: as a conjunction, half of a filter on it would go below the measures and bring in their expressions again
+    kept = F.col("base_failed").cast("int") + beyond.cast("int") == 0
+    return df.withColumn("kept", kept).select("row", "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
