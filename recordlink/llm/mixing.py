@@ -122,12 +122,16 @@ def route(patterns: dict, cells: dict[tuple, int], want: dict, repeats: int = RE
     return {k: cap[e ^ 1] for k, e in flows.items()}
 
 
-def membership(df: DataFrame, also: bool) -> DataFrame:
-    """Adds ``pattern``: the sources in which a row's text stands (with its ``also``), as one string. Texts meet by digest; only those of several sources are looked up."""
+def overlaps(df: DataFrame, also: bool) -> DataFrame:
+    """(d, shared): digests of texts that stand in several sources (with their ``also``), and these sources as one string. A table of its own, since texts of one source need no look-up."""
     per = df.select("digest", "members") if also else df.select("digest", F.array("source").alias("members"))
     sources = per.select("digest", F.explode("members").alias("s")).select("digest", F.coalesce(F.concat(F.lit("="), "s"), F.lit("-")).alias("s"))
     many = sources.groupBy("digest").agg(F.array_sort(F.collect_set("s")).alias("all")).filter(F.size("all") > 1)  # a set has at most the sources
-    many = common.written(many.select(F.col("digest").alias("d"), F.to_json("all").alias("shared")), "mix-shared")
+    return common.written(many.select(F.col("digest").alias("d"), F.to_json("all").alias("shared")), "mix-shared")
+
+
+def with_pattern(df: DataFrame, many: DataFrame) -> DataFrame:
+    """Adds ``own`` (the pattern of a row's source alone) and ``pattern`` (that of all sources in which its text stands)."""
     own = F.to_json(F.array(F.coalesce(F.concat(F.lit("="), "source"), F.lit("-"))))
     return df.join(common.small(many), F.col("digest") == F.col("d"), "left").withColumn("own", own).withColumn("pattern", F.coalesce("shared", "own")).drop("d", "shared", "members")
 
@@ -142,14 +146,17 @@ def mix(docs: DataFrame, carry: list[str], text: str = "text", source: str = "so
     members = [] if also is None else [F.concat(F.array(F.col(source)), F.coalesce(F.col(also), F.array().cast("array<string>"))).alias("members")]
     digest = F.when(F.col(text).isNotNull(), F.md5(F.col(text)))
     df = docs.select(F.struct(*[F.col(c) for c in carry]).alias("row"), F.col(source).alias("source"), digest.alias("digest"), common.word_count(F.col(text)).alias("size"), F.pmod(F.xxhash64(F.lit(seed), F.col(text)), F.lit(1 << TEXT_BITS)).alias("t"), F.pmod(F.xxhash64(F.lit(seed), F.col(key).cast("string")), F.lit(1 << KEY_BITS)).alias("k"), *members)
-    df = common.written(df, "mix")
+    # rows that carry their texts are not copied: the sums come from a table without them, and the same expressions run over the documents again
+    every, heavy = df, text in carry
+    df = common.written(df.drop("row") if heavy else df, "mix")
     spark = docs.sparkSession
-    df = membership(df, also is not None)
+    many = overlaps(df, also is not None)
+    df = with_pattern(df, many)
     # the patterns with the most words stay; the documents of the others count for their own source's node
     big = df.filter("size > 0 and pattern <> own").groupBy("pattern").agg(F.sum("size").alias("n")).orderBy(F.desc("n"), "pattern").limit(MOST_PATTERNS).select(F.col("pattern").alias("big"))
     big = F.broadcast(common.written(big, "mix-patterns"))  # at most MOST_PATTERNS rows
-    df = df.join(big, F.col("pattern") == F.col("big"), "left").withColumn("pattern", F.coalesce("big", "own")).drop("big", "own")
-    df = common.written(df, "mix-members")
+    settled = lambda rows: rows.join(big, F.col("pattern") == F.col("big"), "left").withColumn("pattern", F.coalesce("big", "own")).drop("big", "own")
+    df = common.written(settled(df), "mix-members")
     sums = df.groupBy("pattern", "source").agg(F.sum("size").alias("n")).collect()  # at most MOST_PATTERNS times the sources
     once = df.filter("size > 0").groupBy("pattern", "digest").agg(F.max("size").alias("n")).groupBy("pattern").agg(F.sum("n").alias("n")).collect()  # one row per pattern
     sizes: dict = {}
@@ -167,9 +174,13 @@ def mix(docs: DataFrame, carry: list[str], text: str = "text", source: str = "so
         at[p] = at.get(p, 0.0) + rest / cells[p, s]
     plan = spark.createDataFrame(rows, "cell int, p string, s string, whole int, rest double, shift long")
     same = (F.col("pattern") == F.col("p")) & F.col("source").eqNullSafe(F.col("s"))
-    df = df.join(F.broadcast(plan), same, "left")  # the cells, as bounded above
-    df = df.withColumn("h", F.pmod(F.col("t") - F.coalesce("shift", F.lit(0)), F.lit(1 << TEXT_BITS)) * (1 << KEY_BITS) + F.col("k"))
-    df = df.withColumn("b", F.shiftright("h", TEXT_BITS + KEY_BITS - BUCKET_BITS).cast("int")).drop("p", "s", "t", "k", "shift")
+
+    def placed(rows: DataFrame) -> DataFrame:
+        rows = rows.join(F.broadcast(plan), same, "left")  # the cells, as bounded above
+        rows = rows.withColumn("h", F.pmod(F.col("t") - F.coalesce("shift", F.lit(0)), F.lit(1 << TEXT_BITS)) * (1 << KEY_BITS) + F.col("k"))
+        return rows.withColumn("b", F.shiftright("h", TEXT_BITS + KEY_BITS - BUCKET_BITS).cast("int")).drop("p", "s", "t", "k", "shift")
+
+    df = placed(df)
     # bucket sums: bounded rows per cell, summed on the map side
     up = df.filter("rest > 0").groupBy("cell", "rest", F.col("b").alias("bucket")).agg(F.sum("size").alias("words"))
     up = up.withColumn("up_to", F.sum("words").over(W.partitionBy("cell").orderBy("bucket").rowsBetween(W.unboundedPreceding, 0)))
@@ -180,7 +191,7 @@ def mix(docs: DataFrame, carry: list[str], text: str = "text", source: str = "so
     last = inside.withColumn("up_to", run).filter("up_to - words / 2 <= room").groupBy("cell").agg(F.max("h").alias("last"))
     ends = F.broadcast(common.written(cut.drop("room").join(last, "cell", "left"), "mix-ends"))  # one row per cell
     info = F.broadcast(spark.createDataFrame([(s, sizes[s], want[s]) for s in sizes], "s string, source_size long, target double"))  # one row per source
-    out = df.join(ends, "cell", "left").join(info, F.col("source").eqNullSafe(F.col("s")), "left")
+    out = (placed(settled(with_pattern(every, many))) if heavy else df).join(ends, "cell", "left").join(info, F.col("source").eqNullSafe(F.col("s")), "left")
     taken = F.when(F.col("cut").isNull(), 1).when(F.col("b") < F.col("cut"), 1).when((F.col("b") == F.col("cut")) & (F.col("h") <= F.col("last")), 1).otherwise(0)
     extra = F.when(F.coalesce("rest", F.lit(0.0)) <= 0, 0).otherwise(taken)
     times = F.when(F.col("size") == 0, 0).otherwise(F.least(F.lit(REPEATS), F.coalesce("whole", F.lit(0)) + extra))
