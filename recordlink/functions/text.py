@@ -142,6 +142,16 @@ def safe_cell(c: Column) -> Column:
     return F.when(c.rlike(r"^[=+\-@\t\r]"), F.concat(F.lit("'"), c)).otherwise(c)
 
 
+# ---- fixed values: fields whose value is masked whole -------------------------------------------
+SECRET_FIELDS = ("api_key", "llm_api_key", "authorization", "x-api-key", "token")
+# -------------------------------------------------------------------------------------------------
+
+
+def mask_event(fields: Column) -> Column:
+    """A map of an event's fields: those named in ``SECRET_FIELDS`` (in either case) become ``***``, keys inside other values are masked as in ``mask_keys``. Null values and a null map stay."""
+    return F.transform_values(fields, lambda k, v: F.when(v.isNull(), v).when(F.lower(k).isin(*SECRET_FIELDS), "***").otherwise(mask_keys(v)))
+
+
 def mask_keys(c: Column) -> Column:
     """Keys of the form ``sk-...``: the first seven and last four characters stay."""
     c = F.regexp_replace(c, r"(sk-ant-)[A-Za-z0-9_\-]*([A-Za-z0-9_\-]{4})", "$1***$2")

@@ -16,6 +16,11 @@ AUTO_SWEEP, REVIEW_SWEEP = tuple(round(0.80 + 0.01 * i, 2) for i in range(20)),
 # -------------------------------------------------------------------------------------------------
 
 
+def waiting(results: DataFrame) -> DataFrame:
+    """Results that wait for a person and have not been applied (a null ``applied`` has not); one without any candidate waits too."""
+    return results.filter(F.col("decision").isin(*WAITING) & ~F.coalesce("applied", F.lit(False)))
+
+
 def siblings(results: DataFrame, prints: DataFrame) -> DataFrame:
     """(result_id, sibling) of ``results`` (result_id, card_id, print_id, language): the print of the same card, set prefix and number in the language; of the same rarity if there is one, else the first. None for English or without a print."""
     own = prints.select(F.col("print_id").alias("o_id"), F.col("set_prefix").alias("o_prefix"), F.col("number").alias("o_number"), F.col("rarity").alias("o_rarity"))

@@ -75,7 +75,7 @@ def filled_cells(cells: DataFrame) -> DataFrame:
 
 def pixel_box(left: Column, top: Column, right: Column, bottom: Column, width: Column, height: Column) -> Column:
     """A relative box in whole pixels, cut at the image's borders."""
-    at = lambda x, n: F.floor(x * n).cast("int")
+    at = lambda x, n: (x * n).cast("int")  # towards zero
     zero = lambda c: F.greatest(F.lit(0), c)
     return F.struct(zero(at(left, width)).alias("left"), zero(at(top, height)).alias("top"), F.least(width, at(right, width)).alias("right"), F.least(height, at(bottom, height)).alias("bottom"))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from recordlink.functions import decide
+from recordlink.functions import decide, text
 from recordlink.operators import changes, collection, match, review, rules
 from recordlink.plans.catalog_of_queries import _CODES, _EXACT, _ON, query
 from recordlink.sources.views import view
@@ -353,3 +353,24 @@ def _first_line():
 def udf_reader(spark, d):
     """A user's reader over every document; its failures are rows."""
     return ingest.read_with(view(spark, d, "documents"), _first_line, "doc_id", "text", "line string, chars long").select("doc_id", "line", "chars", "status")
+
+
+@query("flt_waiting", "SELECT result_id, job_id, decision FROM result WHERE decision IN ('pending', 'manual', 'unmatched') AND NOT applied", ("result",))
+def flt_waiting(spark, d):
+    """The review queue: what waits for a person and is not applied."""
+    return review.waiting(view(spark, d, "result")).select("result_id", "job_id", "decision")
+
+
+@query(
+    "fun_masked_event",
+    """SELECT event_id, '***' AS token, '***' AS api_key, event_type AS kind,
+  concat('key sk-', left(md5(CAST(event_id AS STRING)), 4), '***', right(md5(CAST(event_id AS STRING)), 4), ' of ', CAST(user_id AS STRING)) AS message
+FROM events""",
+)
+def fun_masked_event(spark, d):
+    """Events as field maps: secret fields masked whole, keys inside other values in part."""
+    digest = F.md5(F.col("event_id").cast("string"))
+    parts = {"Token": digest, "api_key": F.col("user_id").cast("string"), "kind": F.col("event_type"), "message": F.concat(F.lit("key sk-"), digest, F.lit(" of "), F.col("user_id").cast("string"))}
+    m = text.mask_event(F.create_map(*[x for k, v in parts.items() for x in (F.lit(k), v)]))
+    e = view(spark, d, "events").select("event_id", m.alias("m"))
+    return e.select("event_id", F.col("m")["Token"].alias("token"), F.col("m")["api_key"].alias("api_key"), F.col("m")["kind"].alias("kind"), F.col("m")["message"].alias("message"))
