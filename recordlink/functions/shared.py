@@ -9,14 +9,28 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Tables that ``written`` made and ``forget`` has not removed yet, by application.
+_made: dict[str, list[str]] = {}
+
+
 def folder(spark: SparkSession, name: str) -> str:
-    """A new path in ``spark.checkpoint.dir``; below a temporary folder only where that is unset and the master is local (tests)."""
+    """A new path in ``spark.checkpoint.dir``; ``forget`` removes it. Below a temporary folder only where that is unset and the master is local (tests)."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-")
-    return f"{base}/{name}-{uuid.uuid4().hex}"
+    path = f"{base}/{name}-{uuid.uuid4().hex}"
+    _made.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def forget(spark: SparkSession) -> None:
+    """Removes the tables that this application has written here. Results that were not written elsewhere are lost with them, so call it after the job."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in _made.pop(spark.sparkContext.applicationId, []):
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(conf).delete(where, True)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

@@ -32,6 +32,8 @@ def name_index(names: DataFrame, doc: list[str]) -> DataFrame:
 
 #: Documents of a shard of a full-text index, and queries that meet it at once.
 SHARD_DOCS, BLOCK_QUERIES = 100_000, 1_000
+#: Postings of a term that are cheaper to add than to skip, beyond the number of results.
+FEW_POSTINGS = 1_000
 
 
 def _best_of_shard(k: int):
@@ -56,7 +58,7 @@ def _best_of_shard(k: int):
             q, idfs, rest, left = qs[lo], idf[lo:hi], bound[lo:hi][::-1].cumsum()[::-1], None
             for i, t in enumerate(ats[lo:hi].tolist()):
                 where, adds = pos[starts[t] : ends[t]], part[starts[t] : ends[t]]
-                if left is None and i and len(where) > 1_000 + k and rest[i] < (least := np.partition(score, -k)[-k]) - 1e-8:
+                if left is None and i and len(where) > FEW_POSTINGS + k and rest[i] < (least := np.partition(score, -k)[-k]) - 1e-8:
                     left = np.flatnonzero(score >= least - rest[i] - 1e-8)
                 if left is None:
                     score[where] += idfs[i] * adds

@@ -119,3 +119,61 @@ def test_nothing_is_applied_twice(spark):
     again = after.filter("applied").selectExpr("image_id", "crop", "result_id as item_id")
     items, _ = review.apply_auto(items.drop("action"), r, again, again.select("item_id"), prints, over)
     assert sum(x.quantity for x in items.collect()) == 2
+
+
+def test_forget_removes_what_was_written(spark):
+    kept, shared._made[spark.sparkContext.applicationId] = shared._made.get(spark.sparkContext.applicationId, []), []
+    df = shared.written(spark.range(3), "some")
+    assert df.count() == 3
+    path = shared._made[spark.sparkContext.applicationId][0]
+    shared.forget(spark)
+    shared._made[spark.sparkContext.applicationId] = kept
+    with pytest.raises(Exception):  # noqa: B017
+        spark.read.parquet(path).count()
+
+
+def test_bounds_of_distances(spark):
+    """The counts of characters never say more than the distance, and the banded distance is the distance where it counts."""
+    from recordlink.functions import text
+
+    r = random.Random(6)
+    pairs = [tuple("".join(r.choice("aaab cd019-é") for _ in range(r.randrange(25))) for _ in range(2)) for _ in range(400)]
+    df = spark.createDataFrame(pairs, "a string, b string")
+    a, b = F.col("a"), F.col("b")
+    low = text.least_distance(text.counts_of_characters(a), text.counts_of_characters(b), F.length("a"), F.length("b"))
+    rows = df.select("a", "b", low.alias("low"), text.edit_similarity(a, b).alias("whole"), text.edit_similarity_from(a, b, F.lit(0.6)).alias("near"), similarity.native(a, b).alias("native"), similarity.native_from(a, b, text.token_sort(a), text.token_sort(b), F.lit(0.6)).alias("native_near")).collect()
+    for x in rows:
+        assert x.low <= lev(x.a, x.b)
+        assert x.near == (pytest.approx(x.whole) if x.whole >= 0.6 else 0.0)
+        assert x.native_near == pytest.approx(x.native) if x.native >= 0.6 else x.native_near < 0.6
+
+
+def test_full_text_is_the_scan_of_all_terms(spark, monkeypatch):
+    """Also in many shards and blocks, with words that nearly all names have, and with ties."""
+    import math
+
+    monkeypatch.setattr(ladder, "SHARD_DOCS", 40)
+    monkeypatch.setattr(ladder, "BLOCK_QUERIES", 7)
+    monkeypatch.setattr(ladder, "FEW_POSTINGS", 0)
+    r = random.Random(9)
+    words = ["brand"] * 8 + ["blue", "red", "ring", "rings", "dragon", "of", "a1", "a12"]
+    names = sorted({(i, " ".join(["brand", *r.choices(words, k=r.randrange(1, 6))])) for i in range(150)})
+    asked = sorted({" ".join(r.choices(words + ["a", "ri", "zzz"], k=r.randrange(1, 5))) for _ in range(40)})
+    index = shared.written(ladder.name_index(spark.createDataFrame(names, "doc long, strict string"), ["doc"]), "index")
+    ph = shared.written(ladder.phrases(spark.createDataFrame([(x,) for x in asked], "q string"), "q", "q"), "phrases")
+    docs = {i: n.split() for i, n in names}
+    average = sum(map(len, docs.values())) / len(docs)
+    for k in (3, 10_000):
+        got: dict = {}
+        for x in ladder.text_search(index, ladder.totals(index, ["doc"]), ph, "q", "doc", k).orderBy("q", "rank").collect():
+            got.setdefault(x.q, []).append((x.doc, round(x.score, 7)))
+        for q in asked:
+            terms = {(t, i == len(q.split()) - 1 and len(t) >= 2) for i, t in enumerate(q.split())}
+            score: dict = {}
+            for t, prefix in terms:
+                tf = {i: n for i, ws in docs.items() if (n := sum(w.startswith(t) if prefix else w == t for w in ws))}
+                idf = max(math.log((len(docs) - len(tf) + 0.5) / (len(tf) + 0.5)), 1e-6) if tf else 0
+                for i, n in tf.items():
+                    score[i] = score.get(i, 0) + idf * n * 2.2 / (n + 1.2 * (0.25 + 0.75 * len(docs[i]) / average))
+            want = sorted(score.items(), key=lambda x: (-round(x[1], 9), x[0]))[:k]
+            assert got.get(q, []) == [(i, round(s, 7)) for i, s in want], q
