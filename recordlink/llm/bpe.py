@@ -89,18 +89,20 @@ class Transducer:
         """Compile a transition: the next state, and the last token of the prefix read so far, packed in one number."""
         suffix, lasts = self.states[state]
         text = suffix + bytes((byte,))
-        last = None
-        for i in range(len(text)):  # the longest token first
-            t = self.ranks.get(text[i:])
+        last, cut, size, prefixes, get = None, -1, len(text), self.prefixes, self.ranks.get
+        for i in range(size):  # the longest token first
+            part = text[i:]
+            if part not in prefixes:  # and so no token either
+                continue
+            if cut < 0:
+                cut = i
+            t = get(part)
             if t is not None and lasts[i] is not None and self.compatible(-1, t) and (lasts[i] == -1 or self.compatible(lasts[i], t)):
                 last = t
                 break
-        lasts = (*lasts, last)
-        cut = 0
-        while cut < len(text) and text[cut:] not in self.prefixes:
-            cut += 1
+        cut = size if cut < 0 else cut
         # a position from which no token can go on is of no use to any later token
-        key = (text[cut:], tuple(t if text[i:] in self.prefixes or i == len(text) else None for i, t in enumerate(lasts[cut:], cut)))
+        key = (text[cut:], (*[lasts[i] if text[i:] in prefixes else None for i in range(cut, size)], last))
         nxt = self.ids.get(key)
         if nxt is None:
             nxt = self.ids[key] = len(self.states)
