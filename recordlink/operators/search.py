@@ -13,7 +13,7 @@ from recordlink.operators import collection, ladder
 
 # ---- fixed values -------------------------------------------------------------------------------
 EQUAL, BOUNDED = ("type", "attribute", "race"), ("atk", "defense", "level", "scale", "linkval")
-LANGUAGES, DEFAULT_LANGUAGE = ("EN", "PT", "FR", "DE", "IT", "JA", "KO"), "EN"
+LANGUAGES, DEFAULT_LANGUAGE = ("EN", "FR", "DE", "IT", "PT", "JA", "KO"), "EN"
 UI_LANGUAGES = {"en": "EN", "pt_br": "PT"}
 # -------------------------------------------------------------------------------------------------
 
@@ -87,16 +87,31 @@ def item_order(by: str = "name", descending: bool = False) -> list[Column]:
     return [c.desc_nulls_last() if descending else c.asc_nulls_first() for c in first] + rest
 
 
+#: Rows up to a page that a top-k may hold; deeper pages are found by ranges.
+SHALLOW = 100_000
+
+
 def page(df: DataFrame, order: list[Column], number: int, size: int) -> DataFrame:
     """Rows of a page with their place; a page beyond the last one is the last, and there is always a first one. Order by what tells rows apart.
 
-    The rows up to the page are taken first (a top-k, no full sort); only they are numbered.
+    Of a page near the beginning the rows up to it are taken (a top-k, no full sort). For a deeper one all rows are dealt out by ranges of the order and counted by range: only the ranges in which the page lies are sorted and numbered.
     """
     total = df.count()
     pages = max(1, -(-total // size))
     number = min(max(1, number), pages)
-    top = df.orderBy(*order).limit(number * size)
-    rows = top.withColumn("place", F.row_number().over(W.orderBy(*order))).filter(F.col("place") > (number - 1) * size)
+    lo, hi = (number - 1) * size, number * size
+    if hi <= SHALLOW:
+        rows, before = df.orderBy(*order).limit(hi), 0
+    else:
+        rows = shared.written(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "page-ranges")
+        ranges, start, before = [], 0, 0
+        for r in rows.groupBy("_range").count().orderBy("_range").collect():  # one row for each range
+            if start < hi and start + r["count"] > lo:
+                before = before if ranges else start
+                ranges.append(r["_range"])
+            start += r["count"]
+        rows = rows.filter(F.col("_range").isin(ranges)).drop("_range")
+    rows = rows.withColumn("place", (F.row_number().over(W.orderBy(*order)) + before).cast("int")).filter((F.col("place") > lo) & (F.col("place") <= hi))
     return rows.withColumns({"page": F.lit(number), "pages": F.lit(pages)})
 
 

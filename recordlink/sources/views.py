@@ -6,6 +6,11 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Region codes that made codes carry: of two letters, of one letter (padded), and none.
+READ_REGIONS = (
+    "EN", "FR", "DE", "IT", "PT", "SP", "ES", "JP", "JA", "KR", "AE", "AS", "TC", "SC", "NA", "EU", "E ", "A ", "F ", "G ", "I ", "P ", "S ", "  ", "  ",
+)
+
 VIEWS = {
     "card": """SELECT p_partkey AS card_id, concat_ws(' ', p_name, lower(p_type), replace(p_brand, '#', ' '), cast(p_size AS string)) AS name, p_type AS type, p_brand AS archetype,
         p_size AS level, cast(floor(p_retailprice) AS int) AS atk,
@@ -35,7 +40,7 @@ VIEWS = {
     "misread": """SELECT concat_ws('-', cast(l_orderkey AS string), cast(l_linenumber AS string), cast(l_partkey AS string), cast(l_suppkey AS string)) AS reading_id,
         concat(CASE WHEN l_orderkey % 4 = 0 THEN concat('S', lpad(cast(l_suppkey AS string), 4, '0')) WHEN l_orderkey % 4 = 1 THEN concat('5D', substr('KLMNOPQR', cast(1 + l_suppkey % 8 AS int), 1)) ELSE concat('L0', substr('BCDEFGHI', cast(1 + l_suppkey % 8 AS int), 1)) END,
           CASE WHEN l_orderkey % 7 = 6 THEN '' WHEN l_orderkey % 11 = 10 THEN ' - ' ELSE '-' END,
-          substr('ENFRDEITPTSPESJPJAKRAEASTCSCNAEUE A F G I P S     ', cast(1 + 2 * (l_partkey % 25) AS int), 2), CASE WHEN l_partkey % 6 = 0 THEN 'XYZ' WHEN l_partkey % 3 = 0 THEN replace(lpad(cast(l_suppkey % 1000 AS string), 3, '0'), '1', 'I') ELSE replace(lpad(cast(l_suppkey % 1000 AS string), 3, '0'), '0', 'O') END) AS raw_code,
+          split_part('<regions>', ',', cast(1 + l_partkey % 25 AS int)), CASE WHEN l_partkey % 6 = 0 THEN 'XYZ' WHEN l_partkey % 3 = 0 THEN replace(lpad(cast(l_suppkey % 1000 AS string), 3, '0'), '1', 'I') ELSE replace(lpad(cast(l_suppkey % 1000 AS string), 3, '0'), '0', 'O') END) AS raw_code,
         CASE l_orderkey % 6 WHEN 0 THEN NULL WHEN 1 THEN concat(' ', cast(12345678 + l_partkey AS string), '.') WHEN 2 THEN replace(cast(80018000 + l_partkey AS string), '8', 'B') WHEN 3 THEN concat(cast(40007000 + l_partkey AS string), ' 1Edicao')
           WHEN 4 THEN concat('#', cast(l_partkey % 1000 AS string)) ELSE concat('XY', cast(10000 + l_partkey % 70000 AS string), 'K', cast(200000 + l_suppkey AS string), 'Q') END AS raw_id FROM {lineitem}""",
     "scan_result": """SELECT event_id, user_id AS job_id, ts AS created_at, value, CASE event_type WHEN 'purchase' THEN 'auto' WHEN 'click' THEN 'pending' WHEN 'view' THEN 'manual' WHEN 'error' THEN 'unmatched' ELSE 'rejected' END AS decision,
@@ -53,6 +58,7 @@ VIEWS = {
         abs(cast(embedding[#3] AS double)) + 0.01 AS w, abs(cast(embedding[#4] AS double)) + 0.01 AS h,
         (0.6 + (vec_id % 10) / 20.0) * (abs(cast(embedding[#3] AS double)) + 0.01) * (abs(cast(embedding[#4] AS double)) + 0.01) AS filled FROM {embeddings}""",
 }
+VIEWS["misread"] = VIEWS["misread"].replace("<regions>", ",".join(READ_REGIONS))
 
 
 def tables_of(name: str) -> list[str]:

@@ -1,6 +1,9 @@
 """Keys with editions, what items carry, and backups that come back equal."""
 
-from recordlink.operators import catalogue, collection, exports
+import pytest
+from pyspark.sql import functions as F
+
+from recordlink.operators import catalogue, collection, exports, search
 
 ROW = "card_id long, print_id string, pending_set string, pending_rarity string, condition string, edition string, language string, quantity long, source string, notes string, added_at string"
 
@@ -47,3 +50,13 @@ def test_frames_without_editions_still_work(spark):
     old = frame(spark, (1, "p", None, None, "NM", None, "EN", 2, None, None, None)).select("card_id", "print_id", "pending_set", "pending_rarity", "condition", "language", "quantity")
     got = collection.add(old, old).collect()
     assert [(r.edition, r.quantity, r.action) for r in got] == [("Unlimited", 4, "updated")]
+
+
+@pytest.mark.parametrize("number", [1, 3, 17, 10**6])
+def test_deep_pages(spark, monkeypatch, number):
+    rows = spark.range(997).select(F.expr("CASE WHEN id % 11 <> 0 THEN id * 7919 % 101 END").alias("a"), "id")
+    order = [F.col("a").desc_nulls_last(), F.col("id").asc_nulls_first()]
+    near = search.page(rows, order, number, 60).collect()
+    monkeypatch.setattr(search, "SHALLOW", 0)
+    assert sorted(map(tuple, search.page(rows, order, number, 60).collect())) == sorted(map(tuple, near)) and len(near) in (60, 37)
+    assert search.page(rows.limit(0), order, number, 60).collect() == []
