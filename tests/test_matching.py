@@ -177,3 +177,47 @@ def test_full_text_is_the_scan_of_all_terms(spark, monkeypatch):
                     score[i] = score.get(i, 0) + idf * n * 2.2 / (n + 1.2 * (0.25 + 0.75 * len(docs[i]) / average))
             want = sorted(score.items(), key=lambda x: (-round(x[1], 9), x[0]))[:k]
             assert got.get(q, []) == [(i, round(s, 7)) for i, s in want], q
+
+
+def test_copies_of_names_are_compared_once(spark, monkeypatch):
+    """Cards that share a name: the index and the comparisons have each name once, and the results are those of all cards."""
+    r = random.Random(4)
+    words = "blue red ring rings dragon of the bolt silver knight".split()
+    names = [" ".join(r.choices(words, k=3)) for _ in range(30)]
+    cards = [(i, names[i % 30] if i < 270 else names[0]) for i in range(420)]
+    card = spark.createDataFrame(cards, "card_id long, name string")
+    alt = spark.createDataFrame([(i, "PT", names[(i + 7) % 30]) for i in range(0, 420, 3)], "card_id long, language string, name string")
+    variants = shared.written(match.name_variants(card, alt), "copies")
+    asked = sorted({n[:-1] for n in names} | {n.replace(" ", "") for n in names} | {"dragon", "red ring"})
+    typed = shared.written(spark.createDataFrame([(x, x) for x in asked], "typed string, fuzzy string"), "asked")
+    searched, search = [], ladder.text_search
+
+    def seen(index, *more):
+        searched.append((index.select("doc").distinct().count(), index.agg({"copies": "max"}).first()[0]))
+        return search(index, *more)
+
+    monkeypatch.setattr(ladder, "text_search", seen)
+    got = sorted(map(tuple, ladder.shortlist(typed, variants).collect()))
+    english, other = len({n for _, n in cards}), len({names[(i + 7) % 30] for i in range(0, 420, 3)})
+    assert [n for n, _ in searched] == [english, other] and searched[0][1] > 100
+    lists, ph = [], shared.written(ladder.phrases(typed, "typed", "typed"), "phrases")
+    for condition in ("language = 'EN'", "language <> 'EN'"):
+        index = shared.written(ladder.name_index(variants.filter(condition), ["card_id", "language"]).withColumn("doc", F.struct("card_id", "language")), "all-cards")
+        lists.append(search(index, ladder.totals(index, ["doc"]), ph, "typed", "doc", ladder.SHORTLIST).select("typed", "doc.card_id", "rank"))
+    assert got == sorted(map(tuple, ladder.fused(lists, "typed", "card_id", ladder.SHORTLIST).collect()))
+
+    compared, deal = [], ladder.dealt
+    monkeypatch.setattr(ladder, "dealt", lambda rows: (compared.append(rows.count()), deal(rows))[1])
+    got = sorted(map(tuple, ladder.whole_catalogue(typed, variants).collect()))
+    assert compared[-1] <= len(asked) * len({v.fuzzy for v in variants.collect()})
+    pairs = variants.filter(F.length("fuzzy") >= 4).select("card_id", "language", "fuzzy").crossJoin(typed.select("typed", F.col("fuzzy").alias("asked")).filter(F.length("asked") >= 4))
+    assert got == sorted(map(tuple, ladder._best(pairs.withColumn("score", similarity.native(F.col("asked"), F.col("fuzzy"))), "typed", ladder.CUTOFF, ladder.TOP).collect())) and len(got) > 100
+
+
+def test_a_contour_of_exactly_the_share_counts(spark):
+    """0.75 of a box as (0.75 * w) * h can be a bit less than 0.75 * (w * h)."""
+    r = random.Random(1)
+    sizes = [(h * 0.69, h) for h in (r.uniform(0.3, 0.7) for _ in range(300))]
+    assert any(0.75 * w * h < 0.75 * (w * h) for w, h in sizes)
+    df = spark.createDataFrame([(i, w, h, 0.75 * w * h) for i, (w, h) in enumerate(sizes)], "box_id long, w double, h double, filled double")
+    assert rules.candidate_boxes(df).count() == 300
