@@ -78,6 +78,12 @@ def resolve_prints(target: DataFrame, choice: DataFrame) -> DataFrame:
     return j.groupBy(*KEY).agg(F.sum("quantity").alias("quantity"), *_carried(more, "turn"))
 
 
+def one_per_id(prints: DataFrame) -> DataFrame:
+    """One print for each print_id, the least by its code, where cards share ids: with it a listing shows every item once."""
+    first = F.min(F.struct("set_code_full", "set_prefix", "rarity"))
+    return prints.groupBy("print_id").agg(first.alias("p")).select("print_id", "p.*")
+
+
 def listing(items: DataFrame, card: DataFrame, prints: DataFrame) -> DataFrame:
     """Items with card name and the set and rarity to show: the print's if there is one (even a null rarity), else the pending text."""
     p = prints.select(F.col("print_id").alias("p_id"), "set_code_full", "set_prefix", "rarity")

@@ -165,5 +165,5 @@ def snk_backup_carried(spark, d):
 def ups_restore_empty(spark, d):
     """A backup that is read into an empty collection gives the same collection again."""
     every = collection.items(view(spark, d, "delta"))
-    saved = exports.backup(collection.listing(every, view(spark, d, "card"), view(spark, d, "card_print")))
+    saved = exports.backup(collection.listing(every, view(spark, d, "card"), collection.one_per_id(view(spark, d, "card_print"))))
     return catalogue.restored(every.limit(0), saved).drop("action")
