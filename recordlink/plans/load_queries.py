@@ -22,7 +22,11 @@ def _raw(spark, d):
     return view(spark, d, "lineitem").select(F.col("l_partkey").alias("card_id"), (o * 10 + F.col("l_linenumber")).alias("pos"), code.alias("set_code"), F.lit("x").alias("set_name"), F.when(F.col("l_linenumber") != 3, F.col("l_returnflag")).alias("rarity"), price.alias("price"))
 
 
-@query("prj_prints", f"WITH {_RAW} SELECT card_id, set_code_full, set_prefix, rarity, region, number, parsed FROM pr", ("card_set",))
+#: Sets whose codes are equal (numbers of five digits and more are cut to four) give a print one row.
+_RAW_ONCE = _RAW.replace("LEFT JOIN card_set s ON", "LEFT JOIN (SELECT DISTINCT set_code FROM card_set) s ON")
+
+
+@query("prj_prints", f"WITH {_RAW_ONCE} SELECT card_id, set_code_full, set_prefix, rarity, region, number, parsed FROM pr", ("card_set",))
 def prj_prints(spark, d):
     """Raw print codes to rows: blanks dropped, repeats in a card once, unknown prefixes null, unreadable codes kept as text."""
     return catalogue.print_rows(_raw(spark, d), view(spark, d, "card_set")).select("card_id", "set_code_full", "set_prefix", "rarity", "region", "number", "parsed")
