@@ -221,3 +221,15 @@ def test_a_contour_of_exactly_the_share_counts(spark):
     assert any(0.75 * w * h < 0.75 * (w * h) for w, h in sizes)
     df = spark.createDataFrame([(i, w, h, 0.75 * w * h) for i, (w, h) in enumerate(sizes)], "box_id long, w double, h double, filled double")
     assert rules.candidate_boxes(df).count() == 300
+
+
+@pytest.mark.parametrize("name", ["mat_similar", "mat_exact"])
+def test_each_name_is_normalised_once(spark, monkeypatch, name):
+    """What is normalised is a written table of the different names."""
+    from recordlink.plans import catalog_of_queries as q
+
+    sizes, written = {}, shared.written
+    monkeypatch.setattr(shared, "written", lambda df, what: (t := written(df, what), sizes.setdefault(what, (t.count(), t.distinct().count())))[0])
+    q.QUERIES[name](spark, "/root/testdata/sf0.001").count()
+    n, different = sizes["different-raw-name"]
+    assert n == different < q.view(spark, "/root/testdata/sf0.001", "reading").count()
