@@ -44,6 +44,7 @@ def pocket(shown: DataFrame) -> DataFrame:
 
 def backup(shown: DataFrame) -> DataFrame:
     """The 15 columns with ids, from which a collection can be restored. ``item_id`` is a digest of the logical key, so that it stays the same; region is that of the print's code, null if it has none."""
+    shown = shown if "edition" in shown.columns else shown.withColumn("edition", F.lit(collection.DEFAULT_EDITION))
     item = F.md5(F.concat_ws("|", *[F.coalesce(F.col(k).cast("string"), F.lit("~")) for k in collection.KEY]))
     shown = text.with_code(shown.withColumn("_code", F.when(F.col("has_print"), F.col("show_set"))), "_code")
     known = {"item_id": item, "card_name": F.col("name"), "card_print_id": F.col("print_id"), "set_code_full": F.col("show_set"), "rarity": F.col("show_rarity"), "region": F.col("code.region")}
@@ -58,7 +59,7 @@ def partner(shown: DataFrame) -> DataFrame:
 
 def ordered(shown: DataFrame) -> DataFrame:
     """By name, then by the whole key: the order of every export."""
-    return shown.orderBy(F.lower("name"), "name", *[F.col(k).asc_nulls_first() for k in collection.KEY])
+    return shown.orderBy(F.lower("name"), "name", *[F.col(k).asc_nulls_first() for k in collection.KEY if k in shown.columns])
 
 
 def csv_lines(df: DataFrame) -> DataFrame:
