@@ -23,10 +23,11 @@ def waiting(results: DataFrame) -> DataFrame:
 
 def siblings(results: DataFrame, prints: DataFrame) -> DataFrame:
     """(result_id, sibling) of ``results`` (result_id, card_id, print_id, language): the print of the same card, set prefix and number in the language; of the same rarity if there is one, else the first. None for English or without a print."""
-    own = prints.select(F.col("print_id").alias("o_id"), F.col("set_prefix").alias("o_prefix"), F.col("number").alias("o_number"), F.col("rarity").alias("o_rarity"))
-    r = results.filter("language <> 'EN'").join(own, F.col("print_id") == F.col("o_id")).select("result_id", "card_id", "language", "o_prefix", "o_number", "o_rarity").filter("o_prefix is not null")
-    other = prints.select(F.col("card_id").alias("s_card"), F.col("set_prefix").alias("s_prefix"), F.col("number").alias("s_number"), F.col("region").alias("s_region"), F.col("rarity").alias("s_rarity"), F.col("print_id").alias("sibling"))
-    fits = (F.col("card_id") == F.col("s_card")) & (F.col("o_prefix") == F.col("s_prefix")) & F.col("o_number").eqNullSafe(F.col("s_number")) & (F.col("language") == F.col("s_region"))
+    own = prints.select(F.col("print_id").alias("o_id"), F.col("set_prefix").alias("o_prefix"), F.col("number").alias("o_number"), F.col("rarity").alias("o_rarity")).repartition("o_id").distinct()  # cards share print ids: each print once, or the results multiply
+    r = results.filter("language <> 'EN' and print_id is not null").join(own, F.col("print_id") == F.col("o_id")).select("result_id", "card_id", "language", "o_prefix", "o_number", "o_rarity").filter("o_prefix is not null")
+    place = ["card_id", "set_prefix", "number", "region"]
+    other = prints.filter("set_prefix is not null and region is not null and region <> 'EN'").groupBy(*[F.col(c).alias(f"s_{c}") for c in place], F.col("rarity").alias("s_rarity")).agg(F.min("print_id").alias("sibling"))
+    fits = (F.col("card_id") == F.col("s_card_id")) & (F.col("o_prefix") == F.col("s_set_prefix")) & F.col("o_number").eqNullSafe(F.col("s_number")) & (F.col("language") == F.col("s_region"))
     order = F.struct((~F.col("s_rarity").eqNullSafe(F.col("o_rarity"))).cast("int"), "sibling")
     return r.join(other, fits).groupBy("result_id").agg(F.min_by("sibling", order).alias("sibling"))
 
@@ -55,9 +56,10 @@ def apply_auto(target: DataFrame, results: DataFrame, applied: DataFrame, items:
     can = (F.col("decision") == "auto") & F.col("card_id").isNotNull() & F.col("done").isNull()
     first = F.row_number().over(W.partitionBy("image_id", "crop", "can").orderBy("result_id"))
     r = r.withColumn("can", F.coalesce(can, F.lit(False))).withColumn("applied", F.col("can") & (first == 1)).select(*results.columns, "applied")
-    moved = in_language(r, prints, overrides)
-    used = r.select("result_id", "applied").join(moved.select("result_id", F.col("print_id").alias("new_print")), "result_id")
-    out = r.drop("applied").join(used, "result_id").withColumn("print_id", F.when(F.col("applied"), F.col("new_print")).otherwise(F.col("print_id"))).drop("new_print")
+    # the read language decides only for what is applied; the rest keeps its print and meets no print at all
+    asked = r.withColumns({"was_print": F.col("print_id"), "was_language": F.col("language"), "language": F.when(F.col("applied"), F.col("language"))})
+    moved = in_language(asked, prints, overrides)
+    out = moved.withColumns({"print_id": F.when(F.col("applied"), F.col("print_id")).otherwise(F.col("was_print")), "language": F.col("was_language")}).select(*results.columns, "applied")
     delta = out.filter("applied").select("card_id", "print_id", F.when(F.col("print_id").isNull(), F.col("set_code")).alias("pending_set"), F.lit(None).cast("string").alias("pending_rarity"), F.lit(DEFAULT_CONDITION).alias("condition"), F.coalesce("language", F.lit("EN")).alias("language"), F.lit(1).alias("quantity"))
     return collection.add(target, delta), out
 
@@ -78,12 +80,18 @@ def confirm(target: DataFrame, results: DataFrame, asked: DataFrame, prints: Dat
     ``asked``: ask_id, result_id, card_id, print_id, set_code, rarity, quantity, language. ``results``: result_id, decision, applied, language, card_id, print_id. A result that is unknown or was applied before (also by an earlier
     confirmation of the batch) is an error row. Language: the given one, that of the reading, the print's region, English; one that is not two or three capitals is English. A print confirmed in another language is learnt.
     """
-    a = with_rarity(asked, prints).join(results.select("result_id", F.col("applied").alias("was"), F.col("language").alias("read"), F.lit(True).alias("known")), "result_id", "left")
-    region = prints.select(F.col("print_id").alias("r_id"), "region")
-    a = a.join(region, F.col("print_id") == F.col("r_id"), "left").withColumn("language", search.stored_language(F.coalesce("language", "read", "region", F.lit("EN")))).drop("r_id", "region", "read")
+    # of a print that cards share each row is an outcome; they travel as one list and become rows after everything else
+    regions = prints.filter("print_id is not null").select(F.col("print_id").alias("r_id"), "region").repartition("r_id").groupBy("r_id").agg(F.sort_array(F.collect_list(F.struct("region"))).alias("regions"))
+    a = with_rarity(asked, prints)
+    a = a.join(regions, F.col("print_id") == F.col("r_id"), "left").drop("r_id").join(results.select("result_id", F.col("applied").alias("was"), F.col("language").alias("read"), F.lit(True).alias("known")), "result_id", "left")
+    in_ = lambda region: search.stored_language(F.coalesce("asked_language", "read", region, F.lit("EN")))
+    a = a.withColumnRenamed("language", "asked_language").withColumn("language", in_(F.get("regions", F.lit(0))["region"]))
     turn = F.row_number().over(W.partitionBy("result_id").orderBy("ask_id"))
     outcome = F.when(F.col("known").isNull(), "unknown").when(F.col("was") | (turn > 1), "already_applied").otherwise("confirmed")
     a = a.withColumn("outcome", outcome)
+    each = a.select("ask_id", "outcome", "print_id", "asked_language", "read", F.posexplode_outer("regions").alias("n", "r"))
+    again = F.when((F.col("n") > 0) & (F.col("outcome") == "confirmed"), "already_applied").otherwise(F.col("outcome"))
+    outcomes = each.select("ask_id", again.alias("outcome"), in_(F.col("r")["region"]).alias("language"), "print_id")
     good = a.filter("outcome = 'confirmed'")
     pending = lambda c, n: F.when(F.col("print_id").isNull(), F.col(c)).alias(n)
     delta = good.select("card_id", "print_id", pending("set_code", "pending_set"), pending("rarity", "pending_rarity"), F.lit(DEFAULT_CONDITION).alias("condition"), "language", "quantity")
@@ -92,7 +100,7 @@ def confirm(target: DataFrame, results: DataFrame, asked: DataFrame, prints: Dat
     new = r.withColumns({"decision": F.when(F.col("c"), "confirmed").otherwise(F.col("decision")), "applied": F.col("applied") | F.coalesce("c", F.lit(False)), "card_id": F.coalesce("c_card", "card_id"), "print_id": F.when(F.col("c"), F.col("c_print")).otherwise(F.col("print_id"))}).select(results.columns)
     learnt = good.filter("print_id is not null and language <> 'EN'").select("card_id", "language", "print_id", F.col("ask_id").alias("at"))
     both = overrides.select("card_id", "language", "print_id", F.lit(None).cast("long").alias("at")).unionByName(learnt.withColumn("at", F.col("at").cast("long")))
-    return {"collection": collection.add(target, delta), "results": new, "overrides": changes.overrides(both.withColumn("at", F.coalesce("at", F.lit(-1))), ["card_id", "language"], "print_id", "at", "print_id"), "outcome": a.select("ask_id", "outcome", "language", "print_id")}
+    return {"collection": collection.add(target, delta), "results": new, "overrides": changes.overrides(both.withColumn("at", F.coalesce("at", F.lit(-1))), ["card_id", "language"], "print_id", "at", "print_id"), "outcome": outcomes}
 
 
 def set_notes(target: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -109,7 +117,7 @@ def deck_cards(deck: DataFrame, changed: DataFrame) -> DataFrame:
     """``deck`` (deck_id, card_id, zone, quantity) after ``changed`` (deck_id, card_id, zone, op, quantity): add sums, set (the largest, if several) replaces, remove deletes; a row at zero or below disappears. Of one key's changes set comes before add, and remove last."""
     key = ["deck_id", "card_id", "zone"]
     n = lambda op, f: f(F.when(F.col("op") == op, F.col("quantity")))
-    c = changed.groupBy(*key).agg(n("add", F.sum).alias("more"), n("set", F.max).alias("to"), F.bool_or(F.col("op") == "remove").alias("gone"))
+    c = changed.repartition(*key).groupBy(*key).agg(n("add", F.sum).alias("more"), n("set", F.max).alias("to"), F.bool_or(F.col("op") == "remove").alias("gone"))  # keys meet once: sums beside the scan would hold a whole file part
     j = deck.join(c, key, "full")
     out = F.coalesce("to", "quantity", F.lit(0)) + F.coalesce("more", F.lit(0))
     return j.filter(~F.coalesce("gone", F.lit(False))).select(*key, out.cast("long").alias("quantity")).filter("quantity > 0")
@@ -156,10 +164,11 @@ def attached(results: DataFrame, card: DataFrame, prints: DataFrame) -> DataFram
 
 
 def print_options(resolved: DataFrame, prints: DataFrame) -> DataFrame:
-    """(reading_id, options) of ``resolved`` (reading_id, card_id, code): the prints of the card that the code names, where there are several of the code."""
-    p = prints.select(F.col("set_code_full").alias("code"), F.col("card_id").alias("p_card"), "print_id", "rarity")
-    g = resolved.join(p, "code").groupBy("reading_id").agg(F.count("*").alias("n"), F.sort_array(F.collect_list(F.when(F.col("p_card") == F.col("card_id"), F.struct("print_id", "rarity")))).alias("options"))
-    return g.filter("n > 1").select("reading_id", "options")
+    """(reading_id, options) of ``resolved`` (reading_id, card_id, code), one row per reading: the prints of the card that the code names, where there are several of the code. Only such codes meet the readings."""
+    every = F.sort_array(F.collect_list(F.struct("print_id", "rarity", "card_id")))  # a code has a few prints
+    p = prints.groupBy(F.col("set_code_full").alias("code")).agg(every.alias("every")).filter(F.size("every") > 1)
+    own = F.transform(F.filter("every", lambda x: x["card_id"] == F.col("card_id")), lambda x: F.struct(x["print_id"].alias("print_id"), x["rarity"].alias("rarity")))
+    return resolved.join(p, "code").select("reading_id", own.alias("options"))
 
 
 def backfilled(results: DataFrame, images: DataFrame) -> DataFrame:
