@@ -80,21 +80,21 @@ def sort_key(name: Column, locale: str = "EN") -> list[Column]:
     return [F.lower(text.strip_accents(name) if locale == "PT_BR" else name), name]
 
 
-def item_order(by: str = "name", descending: bool = False) -> list[Column]:
-    """The orders of a collection's listing, with the whole key as the last tie-break."""
+def item_order(by: str = "name", descending: bool = False, backwards: bool = False) -> list[Column]:
+    """The orders of a collection's listing, with the whole key as the last tie-break; ``backwards`` is the same order from its end."""
     first = {"name": [F.lower("name"), F.col("name")], "quantity": [F.col("quantity")], "added": [F.col("added_at")], "set": [F.col("show_set")]}[by]
-    rest = [F.col(c).asc_nulls_first() for c in collection.KEY]
-    return [c.desc_nulls_last() if descending else c.asc_nulls_first() for c in first] + rest
+    rest = [F.col(c).desc_nulls_last() if backwards else F.col(c).asc_nulls_first() for c in collection.KEY]
+    return [c.desc_nulls_last() if descending != backwards else c.asc_nulls_first() for c in first] + rest
 
 
 #: Rows up to a page that a top-k may hold; deeper pages are found by ranges.
 SHALLOW = 100_000
 
 
-def page(df: DataFrame, order: list[Column], number: int, size: int) -> DataFrame:
+def page(df: DataFrame, order: list[Column], number: int, size: int, backwards: list[Column] | None = None) -> DataFrame:
     """Rows of a page with their place; a page beyond the last one is the last, and there is always a first one. Order by what tells rows apart.
 
-    Of a page near the beginning the rows up to it are taken (a top-k, no full sort). For a deeper one all rows are dealt out by ranges of the order and counted by range: only the ranges in which the page lies are sorted and numbered.
+    Of a page near the beginning the rows up to it are taken (a top-k, no full sort), and of one near the end those from it on, if ``backwards``, the same order from the end, is given. For one in between all rows are dealt out by ranges of the order and counted by range: only the ranges in which the page lies are sorted and numbered.
     """
     total = df.count()
     pages = max(1, -(-total // size))
@@ -102,6 +102,8 @@ def page(df: DataFrame, order: list[Column], number: int, size: int) -> DataFram
     lo, hi = (number - 1) * size, number * size
     if hi <= SHALLOW:
         rows, before = df.orderBy(*order).limit(hi), 0
+    elif backwards and total - lo <= SHALLOW:
+        rows, before = df.orderBy(*backwards).limit(total - lo), lo
     else:
         rows = shared.written(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "page-ranges")
         ranges, start, before = [], 0, 0

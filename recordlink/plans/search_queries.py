@@ -73,7 +73,7 @@ def srt_items(spark, d):
 @query("srt_last_page", f"WITH {_SHOWN}, n AS (SELECT CAST(ceil(count(*) / 60.0) AS INT) AS pages FROM s) SELECT {_KEYS}, quantity, place, pages AS page, pages FROM (SELECT *, row_number() OVER (ORDER BY quantity, {_ORDER}) AS place FROM s), n WHERE place > (pages - 1) * 60", _SV)
 def srt_last_page(spark, d):
     """A page far beyond the end is the last one."""
-    return search.page(_shown(spark, d), search.item_order("quantity"), 10**6, 60).select(*collection.KEY, "quantity", "place", "page", "pages")
+    return search.page(_shown(spark, d), search.item_order("quantity"), 10**6, 60, search.item_order("quantity", backwards=True)).select(*collection.KEY, "quantity", "place", "page", "pages")
 
 
 _JOBS = "jobs AS (SELECT job_id, min(created_at) AS started_at, count(*) AS results FROM scan_result GROUP BY 1)"
