@@ -38,10 +38,15 @@ def _carried(columns: list[str], turn: str) -> list:
 
 def items(deltas: DataFrame, order: str = "seq") -> DataFrame:
     """Deltas as items: quantities summed by key; the source, notes and time of each item are the first ones in ``order``."""
-    d = keyed(deltas)
+    d = keyed(deltas).repartition(*KEY)  # keys are nearly all different: sums beside the scan would hold a whole file part and save nothing
     return d.groupBy(*KEY).agg(F.sum("quantity").alias("quantity"), *_carried([c for c in CARRIED if c in d.columns], order))
 
 
+def summed(deltas: DataFrame) -> DataFrame:
+    """Quantities by the whole key, as it stands; memory is bounded by the parts of the shuffle, not by those of the file."""
+    return deltas.select(*KEY, "quantity").repartition(*KEY).groupBy(*KEY).agg(F.sum("quantity").alias("quantity"))
+
+
 def add(target: DataFrame, delta: DataFrame, order: str | None = None) -> DataFrame:
     """Quantities summed on the key (null equals null); the action says what happened. Sums are taken on the map side, so a key that many rows share costs one row for each task.
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from recordlink.functions import text
+from recordlink.functions import shared, text
 from recordlink.operators import collection
 
 # ---- fixed values: column order of the two CSV formats ------------------------------------------
@@ -51,10 +51,28 @@ def backup(shown: DataFrame) -> DataFrame:
     return shown.select(*[known.get(c, _has(shown, c)).alias(c) for c in BACKUP_COLUMNS])
 
 
+def _partner_cells(shown: DataFrame) -> list[Column]:
+    known = (text.safe_cell(F.col("name")), F.col("quantity"), _text(F.col("show_rarity")), text.safe_cell(F.col("condition")), _text(_has(shown, "edition")), _text(_has(shown, "set_name")), F.coalesce("show_set", F.lit("")))
+    return [v.alias(c) for c, v in zip(PARTNER_COLUMNS, known)]
+
+
 def partner(shown: DataFrame) -> DataFrame:
     """The seven columns of the exchange format; what is unknown is empty."""
-    known = (text.safe_cell(F.col("name")), F.col("quantity"), _text(F.col("show_rarity")), text.safe_cell(F.col("condition")), _text(_has(shown, "edition")), _text(_has(shown, "set_name")), F.coalesce("show_set", F.lit("")))
-    return shown.select(*[v.alias(c) for c, v in zip(PARTNER_COLUMNS, known)])
+    return shown.select(*_partner_cells(shown))
+
+
+def partner_in_sets(shown: DataFrame, sets: DataFrame) -> DataFrame:
+    """``partner`` in the order of every export, with the name of each set (set_code, set_name) that an item's prefix names.
+
+    Items are put in order before the names come: where sets share a code, an item is sorted once and becomes as many rows afterwards. The names of a table of bounded size are broadcast, which keeps the order.
+    """
+    names = shared.written(sets.groupBy("set_code").agg(F.collect_list(F.struct(_text(F.col("set_name")).alias("name"))).alias("names")), "set-names")
+    near = shared.small(names)
+    if near is names:  # too many codes to broadcast
+        return partner(ordered(shown.join(sets.select(F.col("set_code").alias("set_prefix"), "set_name"), "set_prefix", "left")))
+    rows = ordered(shown).filter(F.monotonically_increasing_id() >= 0)  # always true: Spark drops a sort that lies directly below a join
+    cells = rows.select("set_prefix", *_partner_cells(rows)).join(near, F.col("set_prefix") == F.col("set_code"), "left").withColumn("name", F.explode_outer("names"))
+    return cells.select(*[F.coalesce("name.name", F.lit("")).alias(c) if c == "Card Set" else F.col(f"`{c}`") for c in PARTNER_COLUMNS])
 
 
 def ordered(shown: DataFrame) -> DataFrame:
