@@ -57,6 +57,41 @@ def test_bpe_is_tiktoken_and_round_trips():
             assert "".join(c.decode_stream(c.encode(t), 3)) == t
 
 
+def made_up(n):
+    r = random.Random(4)
+    bits = [a + b for a in "b c d f g h l m n p r s t v w th sch qu é".split() for b in "a e i o u an er on iñ ting ción".split()]
+    return " ".join("".join(r.choices(bits, k=r.randint(2, 5))) for _ in range(n))
+
+
+def test_bpe_compiles_no_move_of_many_words_twice(monkeypatch):
+    calls, step = [0], bpe.Transducer.step
+
+    def counted(self, *a):
+        calls[0] += 1
+        return step(self, *a)
+
+    monkeypatch.setattr(bpe.Transducer, "step", counted)
+    c, text = bpe.Codec(*bpe.public_vocabulary()), made_up(120_000)
+    first = c.encode(text)
+    once, calls[0] = calls[0], 0
+    c.memo, c.old = {}, {}
+    assert c.encode(text) == first and once > 100_000 and calls[0] == 0
+
+
+@pytest.mark.parametrize("slots", [512, 1 << 14])
+def test_bpe_with_small_tables_is_tiktoken(monkeypatch, slots):
+    import tiktoken
+
+    for name, value in (("SLOTS", slots), ("MOST_STATES", slots // 8), ("MOST_PAIRS", 50), ("MOST_PIECES", 90), ("BLOCK", 300)):
+        monkeypatch.setattr(bpe, name, value)
+    c = bpe.Codec(*bpe.public_vocabulary())
+    enc = tiktoken.Encoding("own", pat_str=bpe.public_vocabulary()[1], mergeable_ranks=c.fst.ranks, special_tokens={})
+    words = made_up(1500)
+    many = [None, "", words, "a", words[:2000] * 2, "x" * 63 + " " + "y" * 64 + "\n" + "zé" * 400, *words.split(" ")[:400]]
+    assert [memoryview(x).cast("I").tolist() for x in c.encode_all(many)] == [enc.encode_ordinary(t or "") for t in many]
+    assert c.fst.used < slots and c.encode_all([]) == []
+
+
 def test_empty_tables(spark, docs):
     none = docs.limit(0)
     assert jaccard.jaccard_components(none).collect() == []
