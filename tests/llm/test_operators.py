@@ -92,6 +92,14 @@ def test_bpe_with_small_tables_is_tiktoken(monkeypatch, slots):
     assert c.fst.used < slots and c.encode_all([]) == []
 
 
+def test_workers_drop_the_encoder_before_other_work():
+    one = bpe.codec(*bpe.public_vocabulary())
+    bpe.common.tidy(bpe.codec)
+    assert bpe.codec(*bpe.public_vocabulary()) is one
+    bpe.common.tidy()
+    assert bpe.codec.cache_info().currsize == 0
+
+
 def test_empty_tables(spark, docs):
     none = docs.limit(0)
     assert jaccard.jaccard_components(none).collect() == []
