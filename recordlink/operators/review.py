@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from recordlink.functions import decide, text
-from recordlink.operators import changes, collection, search
+from recordlink.operators import changes, collection, match, search
 
 # ---- fixed values -------------------------------------------------------------------------------
 WAITING = ("pending", "manual", "unmatched")
@@ -222,6 +222,20 @@ def errors(judged: DataFrame) -> DataFrame:
     return judged.filter(~F.col("name_ok") | ~F.col("code_ok"))
 
 
+def sure_errors(readings: DataFrame, cards: DataFrame, variants: DataFrame, prints: DataFrame) -> DataFrame:
+    """(file, name_ok, code_ok) of ``readings`` (reading_id, kind, truth, raw_code) whose name or code is not what was expected, for ids that do not repeat: nothing is joined by them.
+
+    ``cards``: (truth, kind, raw_name), the one name that such readings have; it is looked up once for all of them. What a code resolves to is the code that was read only if that is clean and the catalogue has it.
+    """
+    asked = cards.select(F.struct("truth", "kind").alias("reading_id"), "raw_name", "truth")
+    right = match.exact_names(asked, variants).filter(F.col("name_card") == F.col("reading_id.truth")).groupBy("reading_id.truth").agg(F.collect_set("reading_id.kind").alias("kinds"))  # by card, as the readings lie
+    known = prints.select(F.col("set_code_full").alias("raw_code")).distinct().withColumn("known", F.lit(True))
+    j = readings.join(right, "truth", "left").withColumn("right", F.coalesce(F.array_contains("kinds", F.col("kind")), F.lit(False)))
+    j = j.select("reading_id", "raw_code", "right", (F.col("kind") == 2).alias("without")).join(known, "raw_code", "left")
+    clean = F.col("known") & (text.code_clean(F.col("raw_code")) == F.col("raw_code")) & (F.col("raw_code") != "")
+    return errors(j.select(F.col("reading_id").alias("file"), F.col("right").alias("name_ok"), (F.col("without") | F.coalesce(clean, F.lit(False))).alias("code_ok")))
+
+
 def threshold_sweep(judged: DataFrame, auto: tuple = AUTO_SWEEP, review: tuple = REVIEW_SWEEP) -> DataFrame:
     """Every pair of thresholds with review <= auto: each reading is decided again; auto_count, auto_correct, manual_count, precision (null without any) and recall.
 
