@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from recordlink.functions import shared, text
 from recordlink.operators import ladder, match
+from recordlink.plans import catalog_of_queries
 
 ROW = "reading_id string, raw_name string, raw_code string, raw_id string, truth long"
 CARDS = [(10001, "Blue-Eyes White Dragon"), (10002, "Dark Magician"), (10003, "Pot of Greed"), (10004, "Red-Eyes Black Dragon"), (-5, "Mystical Space Typhoon")]
@@ -39,3 +40,11 @@ def test_match_is_that_of_joins_by_id(spark, again):
     beside = match.match(r, card, alt, prints, beside=("raw_id",))
     assert text_of(beside) == text_of(out.join(r.select("reading_id", "raw_id"), "reading_id").select(*beside.columns))
     assert again or not re.search(r"reading_id#\d+ = ", out._jdf.queryExecution().optimizedPlan().toString())
+
+
+def test_accuracy_reads_its_readings_once(spark, monkeypatch):
+    """agg_accuracy: the ids come with the match, the readings are not made again to be joined."""
+    seen, view = [], catalog_of_queries.view
+    monkeypatch.setattr(catalog_of_queries, "view", lambda s, d, name, **more: (seen.append(name), view(s, d, name, **more))[1])
+    got = catalog_of_queries.QUERIES["agg_accuracy"](spark, "/root/testdata/sf0.001").collect()
+    assert seen.count("reading") == 1 and len(got) == 1
